@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, mixing, sharding
+from siltstone.llm import chat, mixing, sharding, simhash, topk, warc
 
-MODULES = (mixing, chat, sharding)
+MODULES = (topk, mixing, warc, simhash, chat, sharding)
 
 
 def queries() -> dict:
