@@ -132,15 +132,18 @@ def one_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
 
 
 def one_member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `at`, and its end."""
-    reader = zlib.decompressobj(31)
-    try:
-        content = reader.decompress(memoryview(data)[at:])
-    except zlib.error:
-        raise Damaged("member does not decompress") from None
-    if not reader.eof:
-        raise Damaged("member does not end")
-    return content, len(data) - len(reader.unused_data)
+    """The content of the gzip member at `at`, and its end. Read in growing parts, as what follows it is copied."""
+    reader, content, size = zlib.decompressobj(31), [], 4096
+    while not reader.eof:
+        if at >= len(data):
+            raise Damaged("member does not end")
+        part = data[at : at + size]
+        try:
+            content.append(reader.decompress(part))
+        except zlib.error:
+            raise Damaged("member does not decompress") from None
+        at, size = at + len(part), min(2 * size, 1 << 20)
+    return b"".join(content), at - len(reader.unused_data)
 
 
 def read_records(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes | None, str | None]]:
