@@ -46,9 +46,6 @@ def init(languages: int, hidden: int, rng: np.random.Generator) -> dict[str, np.
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _gate(x: np.ndarray) -> np.ndarray:
-    return np.clip(0.25 * x + 0.5, 0, 1)
-
 
 def run_gru(p: dict[str, np.ndarray], d: str, windows: np.ndarray, keep: bool):
     """States (time, hidden, windows) for byte windows (time, windows), and what the backward pass needs."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, mixing, sharding, simhash, topk, warc
+from siltstone.llm import chat, langid, mixing, sharding, simhash, topk, warc
 
-MODULES = (topk, mixing, warc, simhash, chat, sharding)
+MODULES = (topk, mixing, warc, simhash, langid, chat, sharding)
 
 
 def queries() -> dict:
