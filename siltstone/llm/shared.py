@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def parts(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of UTF-8 data (runs without ASCII white space), in lists from about `size` bytes each; none is cut."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield data[at:end].split()
+        at = end
+
+
+class WordHashes(dict):
+    """64-bit XXH64 hashes of words, kept while there are few enough."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = found
+        return found
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        """The hashes of a list of words."""
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes, modulo 2**64, of every n consecutive word hashes."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for i in range(n):
+        out *= MULTIPLIER
+        out += hashes[i : i + len(out)]
+    out ^= out >> np.uint64(29)
+    return out * MULTIPLIER
+
+
+#: Any odd number does.
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
