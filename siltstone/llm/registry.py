@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, decontaminate, langid, mixing, sharding, simhash, topk, warc
+from siltstone.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, topk, warc
 
-MODULES = (topk, mixing, warc, simhash, langid, decontaminate, chat, sharding)
+MODULES = (topk, mixing, warc, simhash, quality, langid, decontaminate, chat, sharding)
 
 
 def queries() -> dict:
