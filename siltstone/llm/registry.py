@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from siltstone.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, substring, topk, warc
 
 MODULES = (topk, mixing, warc, simhash, substring, quality, langid, decontaminate, chat, sharding)
@@ -9,9 +10,10 @@ MODULES = (topk, mixing, warc, simhash, substring, quality, langid, decontaminat
 
 def queries() -> dict:
     """Every query of the operators by name."""
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    found = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

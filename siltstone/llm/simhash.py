@@ -3,10 +3,14 @@
 Fingerprint: over the words of the text in lower case (A-Z only), the 64-bit XXH64 (seed 42) of every shingle, repeats
 included; a bit is set where over half of the hashes have it. Two fingerprints link at `radius` or fewer differing bits.
 
-Links: equal fingerprints are one node. The 64 bits are cut into radius + 1 blocks; two fingerprints within the radius
-agree in one block at least, so a shard holds the nodes with one value of one block. In a shard a BK-tree is built over
-its nodes, children keyed by their Hamming distance to the parent, and a search follows only the edges whose key is
-within the radius of the query's distance. A search reports links of a spanning forest, never all pairs. A shard of
+Fingerprints may have `width` words of 64 bits, the further ones from further hashes of the same shingles.
+
+Links: equal fingerprints are one node. A shard holds the nodes that agree in one choice of bits. For small radii the
+choices are radius + 1 blocks that make up the 64 bits: two fingerprints within the radius agree in one at least, so
+every link is found. For large radii, as a similarity of 0.8 asks for, no blocks could do that; then the choices are
+TABLES sets of SAMPLED bits each, and a link within the radius is found with a probability that the README gives.
+In a shard a BK-tree is built over its nodes, children keyed by their Hamming distance to the parent, and a search
+follows only the edges whose key is within the radius of the query's distance. A search reports links of a spanning forest, never all pairs. A shard of
 more than MAX_TREE nodes is cut into trees of about that many; its nodes are sent to each of its trees as queries and
 stream through it, so a task holds one tree and one batch.
 
@@ -20,6 +24,8 @@ give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import stored
+from siltstone.llm.shared import MULTIPLIER, parts, stored
 from siltstone.sources.tables import table
 
 #: Bytes of text that are cut into words at a time, and hashes whose bits are counted at a time.
@@ -37,57 +43,70 @@ PART, BITS = 1 << 20, 1 << 16
 MAX_TREE = 2048
 #: Rounds of contraction at most; the number of nodes falls to a half or so in each.
 ROUNDS = 60
-
-
-def words_by_part(data: bytes) -> Iterator[list[bytes]]:
-    """The words of lower-cased UTF-8 data, in lists from about PART bytes each; no word is cut."""
-    at = 0
-    while at < len(data):
-        end = at + PART
-        while end < len(data) and data[end] not in b" \t\n\v\f\r":
-            end += 1
-        yield data[at:end].split()
-        at = end
-
-
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The SimHash fingerprint of a text as an unsigned 64-bit number."""
-    digest, counts, total, carry = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
-    for part in words_by_part((text or "").encode("utf-8", "surrogatepass").lower()):
+#: For large radii: choices of bits, and bits of each.
+TABLES, SAMPLED = 32, 16
+#: Rows about hot shards that are broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
+def further(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes number 0, 1, ... of what the given hashes stand for; number 0 is the hash itself."""
+    if not number:
+        return hashes
+    x = hashes + np.uint64(number) * MULTIPLIER
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, shingle: int, width: int = 1) -> int:
+    """The SimHash fingerprint of a text as an unsigned number of 64 * width bits, the first word lowest."""
+    digest, counts, total, carry = xxhash.xxh64_intdigest, np.zeros((width, 64), np.int64), 0, []
+
+    def count(hashes: np.ndarray) -> None:
+        nonlocal total
+        total += len(hashes)
+        for i in range(0, len(hashes), BITS):
+            for w in range(width):
+                part = further(hashes[i : i + BITS], w).astype("<u8").view(np.uint8).reshape(-1, 8)
+                counts[w] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    for part in parts((text or "").encode("utf-8", "surrogatepass").lower(), PART):
         words = carry + part
         buffer = b" ".join(words)
         if len(words) >= shingle:
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
-            hashes = np.fromiter([digest(buffer[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64, len(starts))
-            total += len(hashes)
-            for i in range(0, len(hashes), BITS):
-                counts += np.unpackbits(hashes[i : i + BITS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            count(np.fromiter([digest(buffer[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64, len(starts)))
         carry = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
     if not total and carry:
-        return digest(b" ".join(carry), 42)
-    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little") if total else 0
+        count(np.array([digest(b" ".join(carry), 42)], np.uint64))
+    return int.from_bytes(np.packbits(2 * counts.ravel() > total, bitorder="little").tobytes(), "little") if total else 0
 
 
-def add_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fingerprint") -> DataFrame:
-    """`docs` with the fingerprint of its text column as a (signed) long column."""
-    schema = docs.withColumn(out, F.lit(0).cast("long")).schema
+def add_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, width: int = 1, out: str = "fingerprint") -> DataFrame:
+    """`docs` with the fingerprint of its text column as `width` (signed) long columns: out, out_1, out_2, ..."""
+    names = [out, *(f"{out}_{i}" for i in range(1, width))]
+    schema = docs.withColumns({n: F.lit(0).cast("long") for n in names}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(text)), np.uint64, batch.num_rows).view(np.int64)
-            columns = {name: batch.column(name) for name in batch.schema.names} | {out: pa.array(found)}
+            data = b"".join(fingerprint(x.as_py(), shingle, width).to_bytes(8 * width, "little") for x in batch.column(text))
+            found = np.frombuffer(data, "<i8").reshape(-1, width)
+            columns = {name: batch.column(name) for name in batch.schema.names} | {n: pa.array(found[:, i]) for i, n in enumerate(names)}
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.mapInArrow(run, schema)
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit fingerprints."""
+    """A BK-tree over fingerprints of one or more 64-bit words each, (nodes, words)."""
 
     def __init__(self, prints: np.ndarray):
         self.prints, self.children = prints, [{} for _ in range(len(prints))]
-        values = prints.tolist()
+        data, size = prints.astype("<u8").tobytes(), 8 * prints.shape[1]
+        values = [int.from_bytes(data[i : i + size], "little") for i in range(0, len(data), size)]
         for i in range(1, len(values)):
             at, value = 0, values[i]
             while True:
@@ -102,14 +121,11 @@ class BKTree:
         todo = [(0, np.arange(len(queries)))] if len(self.prints) else []
         while todo:
             node, mine = todo.pop()
-            d = np.bitwise_count(queries[mine] ^ self.prints[node])
+            d = np.bitwise_count(queries[mine] ^ self.prints[node]).sum(axis=1, dtype=np.int16)
             if len(near := mine[d <= radius]):
                 yield node, near
-            if not self.children[node]:
-                continue
-            seen = d.astype(np.int16)
             for edge, child in self.children[node].items():
-                if len(below := mine[np.abs(seen - edge) <= radius]):
+                if len(below := mine[np.abs(d - edge) <= radius]):
                     todo.append((child, below))
 
 
@@ -136,75 +152,94 @@ class Forest:
             self.links.append((x, y))
 
 
-def _shard_links(radius: int):
-    """For rows (shard, piece, is_query, node) in this order: links (a, b) of a spanning forest for each tree."""
+def _shard_links(radius: int, width: int):
+    """For rows (shard, piece, is_query, node, p0, p1, ...) in this order: links (a, b) of a spanning forest for each
+    tree. p0, p1, ...: the words of the node's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, tree, forest, out = None, [], None, None, []
+        key, held, tree, names, forest, out = None, [], None, [], None, []
 
         def flush() -> pa.RecordBatch:
             made = np.array(out, np.int64).reshape(-1, 2)
             out.clear()
             return pa.RecordBatch.from_pydict({"a": pa.array(made[:, 0]), "b": pa.array(made[:, 1])})
 
-        def ask(queries: np.ndarray) -> None:
-            values = tree.prints.view(np.int64).tolist()
-            for node, near in tree.search(queries, radius):
-                for q in queries[near].view(np.int64).tolist():
-                    forest.join(values[node], q)
+        def ask(nodes: np.ndarray, prints: np.ndarray) -> None:
+            for at, near in tree.search(prints, radius):
+                for q in nodes[near].tolist():
+                    forest.join(names[at], q)
             out.extend(forest.links)
             forest.links.clear()
 
         def planted() -> None:
             """The tree of the nodes so far, asked for its own nodes."""
-            nonlocal tree, forest
-            tree, forest = BKTree(np.array(nodes, np.int64).view(np.uint64)), Forest()
+            nonlocal tree, names, forest
+            nodes, prints = (np.concatenate(x) for x in zip(*held))
+            tree, names, forest = BKTree(prints), nodes.tolist(), Forest()
             if len(nodes) > 1:
-                ask(tree.prints)
+                ask(nodes, prints)
+
+        def done() -> None:
+            if tree is None and sum(len(x) for x, _ in held) > 1:
+                planted()
 
         for batch in batches:
-            shard, piece = batch.column("shard").to_numpy(zero_copy_only=False), batch.column("piece").to_numpy(zero_copy_only=False)
-            query, node = batch.column("is_query").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(zero_copy_only=False)
+            shard, piece, query, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "piece", "is_query", "node"))
+            prints = np.stack([batch.column(f"p{i}").to_numpy().view(np.uint64) for i in range(width)], axis=1)
             cut = np.flatnonzero((np.diff(shard) != 0) | (np.diff(piece) != 0) | (np.diff(query) != 0)) + 1
             for a, b in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(node)])).tolist()):
                 if a == b:
                     continue
                 if key != (shard[a], piece[a]):
-                    if nodes and tree is None and len(nodes) > 1:
-                        planted()
-                    key, nodes, tree, forest = (shard[a], piece[a]), [], None, None
+                    done()
+                    key, held, tree = (shard[a], piece[a]), [], None
                 if not query[a]:
-                    nodes.extend(node[a:b].tolist())
+                    held.append((node[a:b], prints[a:b]))
                 else:
                     if tree is None:
                         planted()
-                    ask(node[a:b].view(np.uint64))
+                    ask(node[a:b], prints[a:b])
             if len(out) > 10_000:
                 yield flush()
-        if nodes and tree is None and len(nodes) > 1:
-            planted()
+        done()
         if out:
             yield flush()
 
     return run
 
 
-def near_links(nodes: DataFrame, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within the radius of each other. nodes: distinct longs `node`."""
-    blocks, cuts = radius + 1, [64 * i // (radius + 1) for i in range(radius + 2)]
-    # the shard: number of the block, and its bits in their places
-    masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(blocks)]
+def blocks(radius: int) -> list[list[int]]:
+    """Masks of radius + 1 blocks of the 64 bits."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [[(1 << b) - (1 << a)] for a, b in zip(cuts, cuts[1:])]
+
+
+def samples(width: int, tables: int = TABLES, sampled: int = SAMPLED) -> list[list[int]]:
+    """Masks of `tables` choices of `sampled` of the 64 * width bits; always the same ones."""
+    rng = random.Random(64 * width)
+    masks = []
+    for _ in range(tables):
+        mask = sum(1 << b for b in rng.sample(range(64 * width), sampled))
+        masks.append([mask >> 64 * w & (1 << 64) - 1 for w in range(width)])
+    return masks
+
+
+def near_links(nodes: DataFrame, radius: int = 2, max_tree: int = MAX_TREE, masks: list[list[int]] | None = None) -> DataFrame:
+    """Links (a, b) that connect fingerprints within the radius of each other. nodes: distinct longs `node`, and the
+    words p0, p1, ... of their fingerprints. masks: the choices of bits that make shards; blocks of 64 if not given."""
+    masks = masks or blocks(radius)
+    words = [f"p{i}" for i in range(len(masks[0]))]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = [F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)]
-    dealt = nodes.select("node", F.explode(F.array(*keys)).alias("shard"))
-    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = dealt.join(sizes, "shard").withColumn("pieces", F.ceil(F.col("n") / max_tree).cast("int"))
+    keys = [F.xxhash64(F.lit(i), *[F.col(w).bitwiseAND(F.lit(signed(m))) for w, m in zip(words, mask) if m]) for i, mask in enumerate(masks)]
+    dealt = nodes.select("node", *words, F.explode(F.array(*keys)).alias("shard"))
+    hot = stored(nodes.select(F.explode(F.array(*keys)).alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_tree), "hot-shards")
+    held = dealt.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "shard", "left").withColumn("pieces", F.coalesce(F.ceil(F.col("n") / max_tree), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     row = lambda piece, query: F.struct(piece.alias("piece"), F.lit(query).alias("is_query"))
     others = F.transform(F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: p < own), lambda p: row(p, True))
-    rows = held.select("shard", "node", F.explode(F.when(F.col("pieces") == 1, F.array(row(F.lit(0), False))).otherwise(F.concat(F.array(row(own, False)), others))).alias("x"))
-    placed = rows.select("shard", "x.piece", "x.is_query", "node").repartition("shard", "piece").sortWithinPartitions("shard", "piece", "is_query", "node")
-    return placed.mapInArrow(_shard_links(radius), "a long, b long")
+    rows = held.select("shard", "node", *words, F.explode(F.when(F.col("pieces") == 1, F.array(row(F.lit(0), False))).otherwise(F.concat(F.array(row(own, False)), others))).alias("x"))
+    placed = rows.select("shard", "x.piece", "x.is_query", "node", *words).repartition("shard", "piece").sortWithinPartitions("shard", "piece", "is_query", "node")
+    return placed.mapInArrow(_shard_links(radius, len(words)), "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -231,17 +266,28 @@ def connected(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
-    """One row per document: doc_id, fingerprint (long), component_id, the smallest doc_id that links reach."""
-    prints = stored(add_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).drop("text"), "prints")
-    nodes = stored(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected(near_links(nodes.select("node"), radius, max_tree))
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, max_tree: int = MAX_TREE, width: int = 1) -> DataFrame:
+    """One row per document: doc_id, fingerprint (long, of several words a hash of them), component_id, the smallest
+    doc_id that links reach. With one word of fingerprint all links are found, with several those of `samples`."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    made = add_fingerprint(rows, "text", shingle, width, "p0").drop("text")
+    words = ["p0", *(f"p{i}" for i in range(1, width))]
+    made = made.select("doc_id", *[F.col(x).alias(w) for x, w in zip(["p0", *(f"p0_{i}" for i in range(1, width))], words)])
+    prints = stored(made.withColumn("fingerprint", F.col("p0") if width == 1 else F.xxhash64(*words)), "prints")
+    nodes = stored(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("first"), *[F.min(w).alias(w) for w in words]), "nodes")
+    roots = connected(near_links(nodes.select("node", *words), radius, max_tree, None if width == 1 else samples(width)))
     rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select(F.col("node").alias("fingerprint"), "component_id")
     return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def similarity_radius(similarity: float, width: int) -> int:
+    """Differing bits, of 64 * width, that two texts with this share of common shingles have on average."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(64 * width * math.acos(cosine) / math.pi)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document: shingles of 3 words, links at 2 or fewer differing bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
