@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import revenue
+from siltstone.plans import questions, revenue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (revenue,)
+MODULES = (revenue, questions)
 
 
 def queries() -> dict[str, Query]:
