@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import questions, revenue
+from siltstone.plans import conforming, questions, revenue, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (revenue, questions)
+MODULES = (revenue, questions, splitting, conforming)
 
 
 def queries() -> dict[str, Query]:
