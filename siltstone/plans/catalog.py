@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import conforming, questions, revenue, splitting
+from siltstone.plans import conforming, questions, revenue, splitting, timevalid
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (revenue, questions, splitting, conforming)
+MODULES = (revenue, questions, splitting, conforming, timevalid)
 
 
 def queries() -> dict[str, Query]:
