@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import conforming, questions, revenue, splitting, timevalid
+from siltstone.plans import analysis, conforming, questions, revenue, splitting, timevalid, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (revenue, questions, splitting, conforming, timevalid)
+MODULES = (revenue, questions, splitting, conforming, timevalid, warehouse, analysis)
 
 
 def queries() -> dict[str, Query]:
