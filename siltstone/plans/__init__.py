@@ -1 +1 @@
-
+"""Registered queries and the star schema that they stand on."""

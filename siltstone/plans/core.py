@@ -6,23 +6,19 @@ and advertising spend follow from keys and dates by the rules written here. Mone
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.columns import day_number, num, quarter, ratio
 from siltstone.sources.tables import table
 
+__all__ = ["ad_spend", "bookings", "crew_days", "day_number", "fx_daily", "live", "merch_lines", "num", "quarter", "ratio", "sessions"]
+
 MONEY = "decimal(18,2)"
 CHANNELS = ("click", "view", "error", "purchase", "signup")
 FX_FROM, FX_TO, BASE_DATE = "1995-01-01", "2002-12-31", "1997-01-01"
 
 
-def day_number(day: Column) -> Column:
-    """Days since 1970-01-01."""
-    return F.datediff(day, F.lit("1970-01-01").cast("date"))
-
-
 def fx_daily(spark: SparkSession) -> DataFrame:
     """(currency, rate_date, rate): local units for one of the currency, for every day."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(FX_FROM).cast("date"), F.lit(FX_TO).cast("date"))).alias("rate_date"))
@@ -99,27 +95,6 @@ def live(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("is_cancelled"))
 
 
-def quarter(day: str | Column) -> Column:
-    """2024Q1."""
-    day = F.col(day) if isinstance(day, str) else day
-    return F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
-
-
-def num(x: Column, digits: int = 2) -> Column:
-    """A decimal or double result as a double rounded to `digits`."""
-    return F.round(x.cast("double"), digits)
-
-
-def ratio(a: Column, b: Column, digits: int = 6) -> Column:
-    """a / b as a rounded double; null where b is 0 or null."""
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
-
-
-def total(*columns: Column) -> Column:
-    """Sum of columns."""
-    return reduce(lambda a, b: a + b, columns)
-
-
 #: The same rules in SQL; the oracles put them in front of their own SELECT.
 CORE_SQL = f"""
 WITH RECURSIVE fx AS (

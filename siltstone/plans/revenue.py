@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.columns import quarter
 from siltstone.sources.tables import table
 
 
-def _quarter(day: str):
-    return F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
-
-
 def q01_quarterly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order and line revenue side by side per quarter, from a spine of the quarters that either has."""
     orders = table(spark, sf_dir, "orders").select(
-        _quarter("o_orderdate").alias("quarter"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount")
+        quarter("o_orderdate").alias("quarter"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount")
     )
     lines = table(spark, sf_dir, "lineitem").select(
-        _quarter("l_shipdate").alias("quarter"),
+        quarter("l_shipdate").alias("quarter"),
         (F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(6,4)"))).alias("amount"),
     )
     per_order = orders.groupBy("quarter").agg(F.sum("amount").alias("order_revenue"))

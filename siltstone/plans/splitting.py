@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import split as S
@@ -90,16 +90,28 @@ def r4_cascade(spark, sf_dir):
     return go.select("l_orderkey", F.col("_reason").alias("reason"), num(F.col("price")).alias("price"))
 
 
-def r6_value_at_risk(spark, sf_dir):
-    """Quarantined rows of two tables by table and reason, with the value at risk and sub-totals."""
+def _quarantined(spark, sf_dir):
+    """Rejected rows of two tables in the shape of the quarantine."""
     lines = _lines(spark, sf_dir)
     a = S.quarantine(S.rejected(lines.filter("l_partkey % 37 = 0"), "orphan"), "lineitem", ["l_orderkey", "price"])
     b = S.quarantine(S.rejected(lines.filter("l_partkey % 41 = 0"), "sentinel quantity"), "lineitem", ["l_orderkey", "price"])
     c = S.quarantine(S.rejected(_orders(spark, sf_dir).filter("o_orderkey % 50 = 0"), "exact duplicate"), "orders", ["o_orderkey", "price"])
-    out = S.value_rejected(a.unionByName(b).unionByName(c), "price", ["orphan", "sentinel quantity"])
+    return a.unionByName(b).unionByName(c)
+
+
+def r6_value_at_risk(spark, sf_dir):
+    """Quarantined rows of two tables by table and reason, with the value at risk and sub-totals."""
+    out = S.value_rejected(_quarantined(spark, sf_dir), "price", ["orphan", "sentinel quantity"])
     return out.withColumn("at_risk", num(F.col("at_risk")))
 
 
+def q13_rejected_rows(spark, sf_dir):
+    """Q13: rejected rows by table and reason with the value at risk, their share of all rejected rows, and the grand total."""
+    out = S.value_rejected(_quarantined(spark, sf_dir), "price", ["orphan", "sentinel quantity"]).filter("level <> 1")
+    everything = F.max(F.when(F.col("level") == 3, F.col("n_rows"))).over(Window.partitionBy())
+    return out.select(F.coalesce("src_table", F.lit("all")).alias("src_table"), "reason", "n_rows", num(F.coalesce("at_risk", F.lit(0))).alias("at_risk"), "affects_revenue", F.round(F.col("n_rows") / everything, 6).alias("share"))
+
+
 def r7_status_from_absence(spark, sf_dir):
     """Orders without a status and without lines are cancelled."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"))
@@ -168,7 +180,7 @@ def s3_unified_sources(spark, sf_dir):
     return S.unify_sources({"one": (a, {}), "two": (b, {"booking_ref": "o_orderkey", "customer_id": "o_custkey"}), "three": (c, {"Booking Ref": "o_orderkey"})})
 
 
-QUERIES = {f.__name__: f for f in (d1_exact_duplicates, d2_content_duplicates, d8_disambiguated_keys, d11_grain, r1_orphans, s9_quarantine, r2_sibling_repair, r3_sentinels, r4_cascade, r6_value_at_risk, r7_status_from_absence, r8_fill_from, r9_proven_rule, r10_constant_in_group, r12_parent_names, r13_negative_lines, r14_orphan_evidence, r15_exceeds_parent, r16_repeats, s3_unified_sources)}
+QUERIES = {f.__name__: f for f in (d1_exact_duplicates, d2_content_duplicates, d8_disambiguated_keys, d11_grain, r1_orphans, s9_quarantine, r2_sibling_repair, r3_sentinels, r4_cascade, r6_value_at_risk, q13_rejected_rows, r7_status_from_absence, r8_fill_from, r9_proven_rule, r10_constant_in_group, r12_parent_names, r13_negative_lines, r14_orphan_evidence, r15_exceeds_parent, r16_repeats, s3_unified_sources)}
 
 _M = "DECIMAL(18,2)"
 ORACLES = {
@@ -191,6 +203,10 @@ UNION ALL SELECT 'sentinel l_quantity', count(*) FROM lineitem WHERE l_partkey %
     "r6_value_at_risk": f"""WITH q AS (SELECT 'lineitem' AS src_table, 'orphan' AS reason, l_extendedprice::{_M} AS v, true AS a FROM lineitem WHERE l_partkey % 37 = 0
   UNION ALL SELECT 'lineitem', 'sentinel quantity', l_extendedprice::{_M}, true FROM lineitem WHERE l_partkey % 41 = 0 UNION ALL SELECT 'orders', 'exact duplicate', o_totalprice::{_M}, false FROM orders WHERE o_orderkey % 50 = 0)
 SELECT src_table, reason, grouping(src_table, reason)::INTEGER AS level, count(*) AS n_rows, round((sum(v) FILTER (a))::DOUBLE, 2) AS at_risk, bool_or(a) AS affects_revenue FROM q GROUP BY ROLLUP (src_table, reason)""",
+    "q13_rejected_rows": f"""WITH q AS (SELECT 'lineitem' AS t, 'orphan' AS r, l_extendedprice::{_M} AS v, true AS a FROM lineitem WHERE l_partkey % 37 = 0
+  UNION ALL SELECT 'lineitem', 'sentinel quantity', l_extendedprice::{_M}, true FROM lineitem WHERE l_partkey % 41 = 0 UNION ALL SELECT 'orders', 'exact duplicate', o_totalprice::{_M}, false FROM orders WHERE o_orderkey % 50 = 0),
+g AS (SELECT t AS src_table, r AS reason, count(*) AS n, sum(v) FILTER (a) AS x, bool_or(a) AS b FROM q GROUP BY ALL UNION ALL SELECT 'all', NULL, count(*), sum(v) FILTER (a), bool_or(a) FROM q)
+SELECT src_table, reason, n AS n_rows, round(coalesce(x, 0)::DOUBLE, 2) AS at_risk, b AS affects_revenue, round(n / (SELECT count(*) FROM q), 6) AS share FROM g""",
     "r7_status_from_absence": "SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus WHEN o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 'Cancelled' END AS status, count(*) AS n FROM orders GROUP BY 1",
     "r8_fill_from": """WITH r AS (SELECT o_custkey, count(DISTINCT CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 8 = 0 THEN 99 ELSE c_nationkey END) AS n, min(CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 8 = 0 THEN 99 ELSE c_nationkey END) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 f AS (SELECT c_nationkey, c_custkey % 4 = 0 AS blank, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey ELSE v END AS nation FROM customer LEFT JOIN r ON c_custkey = o_custkey AND n = 1)

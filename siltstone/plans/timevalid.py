@@ -94,7 +94,7 @@ def t4_missing_weekdays(spark, sf_dir):
     return T.missing_weekdays(_published(spark, sf_dir), FROM, TO)
 
 
-def _versions(spark, sf_dir):
+def price_versions(spark, sf_dir):
     """Three price versions per part: some overlap, some leave a gap, some are inverted, some are closed at the end."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").cast(MONEY).alias("price"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("version"))
     day = lambda n: F.date_add(F.lit("1995-01-01").cast("date"), n.cast("int"))
@@ -107,17 +107,17 @@ def _versions(spark, sf_dir):
 
 def t5_repaired_versions(spark, sf_dir):
     """T5: windows without overlap and gap."""
-    return T.repair_scd2(_versions(spark, sf_dir), "sku").select("sku", "version", "valid_from", "valid_to", "is_current", "repair")
+    return T.repair_scd2(price_versions(spark, sf_dir), "sku").select("sku", "version", "valid_from", "valid_to", "is_current", "repair")
 
 
 def t6_version_check(spark, sf_dir):
     """The repaired windows have no defect left."""
-    return T.check_scd2(T.repair_scd2(_versions(spark, sf_dir), "sku"), "sku")
+    return T.check_scd2(T.repair_scd2(price_versions(spark, sf_dir), "sku"), "sku")
 
 
 def q06_window_integrity(spark, sf_dir):
     """Overlapping pairs, inverted windows, open ends before the last, and affected SKUs of the raw versions."""
-    v = _versions(spark, sf_dir)
+    v = price_versions(spark, sf_dir)
     pairs = T.overlapping_windows(v.filter("valid_to IS NULL OR valid_to >= valid_from"), "sku", "version")
     rows = [("overlapping pairs", pairs.agg(F.count(F.lit(1)))), ("skus with overlaps", pairs.agg(F.countDistinct("sku"))), ("inverted windows", v.agg(F.count_if(F.col("valid_to") < F.col("valid_from")))), ("open windows", v.agg(F.count_if(F.col("valid_to").isNull())))]
     out = None
@@ -130,7 +130,7 @@ def q06_window_integrity(spark, sf_dir):
 
 def _priced(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sku"), F.col("l_shipdate").cast("date").alias("day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("paid"), "l_returnflag")
-    return T.join_valid(lines, T.repair_scd2(_versions(spark, sf_dir), "sku"), "sku", "day")
+    return T.join_valid(lines, T.repair_scd2(price_versions(spark, sf_dir), "sku"), "sku", "day")
 
 
 def t7_validity_join(spark, sf_dir):

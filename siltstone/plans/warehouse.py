@@ -11,8 +11,9 @@ from siltstone.operators import checks as K
 from siltstone.operators import profile as P
 from siltstone.operators.conform import NULL_SPELLINGS
 from siltstone.operators.split import agreement
-from siltstone.operators.temporal import dim_date
+from siltstone.operators.temporal import check_scd2, dim_date, repair_scd2
 from siltstone.plans.core import CORE_SQL, MONEY, ad_spend, bookings, crew_days, fx_daily, live, merch_lines, num, quarter, ratio, sessions
+from siltstone.plans.timevalid import price_versions
 from siltstone.sources import text as X
 from siltstone.sources.tables import table
 
@@ -200,6 +201,7 @@ def v_checks(spark, sf_dir):
         K.result(line, "V9 identity", F.max(F.abs(price - price * disc - price * (1 - disc))), 0), K.ranking(table(spark, sf_dir, "nation"), "V10 ranking", "n_regionkey", ["0", "1", "2", "3", "4"]),
         K.result(e, "V11 rate", F.avg((F.col("event_type") == "view").cast("int")), 0.2, 0.05),
         K.violations(e, "V12 local time", F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Africa/Lagos") != F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR")),
+        K.result(check_scd2(repair_scd2(price_versions(spark, sf_dir), "sku"), "sku"), "V13 windows", F.max(F.col("overlaps") + F.col("gaps") + F.col("repeated_starts") + F.col("keys_without_one_current")), 0),
         K.result(acc, "V14 accounting", F.max(F.col("a") - F.col("b") - F.col("c")), 0),
     ])
 
@@ -211,7 +213,7 @@ def v15_tie_out(spark, sf_dir):
     return K.run_checks([K.tie_out(a, b, "tie-out", ["quarter"], "x", 0.005), K.tie_out(a, b.filter("quarter <> '1996Q1'"), "missing group", ["quarter"], "x", 0.005)])
 
 
-def q13_dimension_dates(spark, sf_dir):
+def w1_date_dimension(spark, sf_dir):
     """The date dimension joined to bookings: jobs by peak season and weekend."""
     d = dim_date(spark, "1995-01-01", "2001-12-31")
     return live(bookings(spark, sf_dir)).join(F.broadcast(d), F.col("shoot_date") == F.col("day")).groupBy("is_peak", "is_weekend").agg(F.count(F.lit(1)).alias("jobs"))
@@ -223,7 +225,7 @@ def r11_agreement(spark, sf_dir):
     return agreement(p, "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (s1_text_table, s1_row_numbers, s2_separators, s8_loaded_clean, s5_structural_rows, s6_block_check, s12_extracts, s13_row_counts, s15_findings, w1_dimension, w2_channel_bridge, w3_booking_fact, w4_labour_fact, w5_rate_multipliers, w6_merch_fact, w8_linked_sessions, w9_ad_spend, w10_discount_evidence, w11_constraints, p1_profile, p5_summary, v_checks, v15_tie_out, q13_dimension_dates, r11_agreement)}
+QUERIES = {f.__name__: f for f in (s1_text_table, s1_row_numbers, s2_separators, s8_loaded_clean, s5_structural_rows, s6_block_check, s12_extracts, s13_row_counts, s15_findings, w1_dimension, w2_channel_bridge, w3_booking_fact, w4_labour_fact, w5_rate_multipliers, w6_merch_fact, w8_linked_sessions, w9_ad_spend, w10_discount_evidence, w11_constraints, p1_profile, p5_summary, v_checks, v15_tie_out, w1_date_dimension, r11_agreement)}
 
 _PROF = r"""WITH c AS (SELECT 'customer' AS "table", 'c_custkey' AS col, c_custkey::VARCHAR AS v FROM customer UNION ALL SELECT 'customer', 'c_name', c_name FROM customer UNION ALL SELECT 'customer', 'c_mktsegment', CASE WHEN c_custkey % 10 <> 3 THEN c_mktsegment END FROM customer
   UNION ALL SELECT 'orders', 'o_orderkey', o_orderkey::VARCHAR FROM orders UNION ALL SELECT 'orders', 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT 'orders', 'price', format('{:,.2f}', o_totalprice::DECIMAL(18,2)) FROM orders
@@ -263,9 +265,9 @@ SELECT coalesce(s.campaign, k.campaign) AS campaign, spend, CASE WHEN k.campaign
     "v_checks": """WITH k AS (SELECT 'V1 known answer' AS "check", count(DISTINCT o_orderpriority)::DOUBLE AS got, 5::DOUBLE AS target, 'FAIL' AS bad, 0::DOUBLE AS tol FROM orders UNION ALL SELECT 'V1 soft', count(DISTINCT o_orderstatus), 4, 'NOTE', 0 FROM orders UNION ALL SELECT 'V2 unique', 0, 0, 'FAIL', 0
   UNION ALL SELECT 'V3 foreign key', count(*), 0, 'FAIL', 0 FROM orders WHERE o_orderkey = 5 UNION ALL SELECT 'V4 complete', 0, 0, 'FAIL', 0 UNION ALL SELECT 'V5 hygiene', 0, 0, 'FAIL', 0 UNION ALL SELECT 'V6 domain', count(*), 0, 'FAIL', 0 FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT 'V7 payload', count(*) FILTER (json_extract_string(props, '$.k') IS NULL), 0, 'FAIL', 0 FROM events UNION ALL SELECT 'V8 range', 0, 0, 'FAIL', 0 UNION ALL SELECT 'V9 identity', 0, 0, 'FAIL', 0 UNION ALL SELECT 'V10 ranking', 0, 0, 'FAIL', 0
-  UNION ALL SELECT 'V11 rate', avg((event_type = 'view')::INT), 0.2, 'FAIL', 0.05 FROM events UNION ALL SELECT 'V12 local time', 0, 0, 'FAIL', 0 UNION ALL SELECT 'V14 accounting', 0, 0, 'FAIL', 0)
+  UNION ALL SELECT 'V11 rate', avg((event_type = 'view')::INT), 0.2, 'FAIL', 0.05 FROM events UNION ALL SELECT 'V12 local time', 0, 0, 'FAIL', 0 UNION ALL SELECT 'V13 windows', 0, 0, 'FAIL', 0 UNION ALL SELECT 'V14 accounting', 0, 0, 'FAIL', 0)
 SELECT "check", CASE WHEN abs(got - target) <= tol THEN 'PASS' ELSE bad END AS status, round(got, 6) AS got, target FROM k""",
     "v15_tie_out": """SELECT 'tie-out' AS "check", 'PASS' AS status, 0::DOUBLE AS got, 0::DOUBLE AS target UNION ALL SELECT 'missing group', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, (count(*) > 0)::INT::DOUBLE, 0 FROM orders WHERE o_orderstatus <> 'P' AND year(o_orderdate) = 1996 AND quarter(o_orderdate) = 1""",
-    "q13_dimension_dates": CORE_SQL + " SELECT month(shoot_date) IN (11, 12) AS is_peak, isodow(shoot_date) > 5 AS is_weekend, count(*) AS jobs FROM live GROUP BY ALL",
+    "w1_date_dimension": CORE_SQL + " SELECT month(shoot_date) IN (11, 12) AS is_peak, isodow(shoot_date) > 5 AS is_weekend, count(*) AS jobs FROM live GROUP BY ALL",
     "r11_agreement": "SELECT count(*) FILTER (p_partkey % 6 <> 0 AND p_partkey % 5 <> 0) AS same, count(*) FILTER (p_partkey % 6 <> 0 AND p_partkey % 5 = 0) AS different, count(*) FILTER (p_partkey % 6 = 0) AS missing FROM part",
 }

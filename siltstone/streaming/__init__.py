@@ -1 +1 @@
-
+"""No query of the library runs on a stream: all sources are read whole, in batch. The operators take any DataFrame."""
