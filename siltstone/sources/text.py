@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,13 +13,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/siltstone-{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    """A new temporary folder, for a session on one machine that names none."""
+    return tempfile.mkdtemp(prefix="siltstone-")
+
+
 def read_text_table(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
     """All cells as text, empty cells kept, quoted line breaks kept; `_row` is the row of the sheet, its header being 1.
 
