@@ -172,11 +172,12 @@ def repeated_ranges(docs: DataFrame, window: int = 50, hot: int = HOT, shard_wor
     document with a smaller doc_id cover. docs: (doc_id, text)."""
     found = stored(docs.mapInArrow(_find_segments(window), "doc_id long, key long, seg long, first int, size int"), "segments")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
+    shared = stored(shared, "segments-keys")  # so that the join deals out both sides and can split a hot key
     repeated = stored(found.join(shared, "key", "left_semi"), "segments-shared")
     least = stored(repeated.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "first", "size")).alias("x")).select("key", "seg", "x.*"), "segments-least")
 
     several = least.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = least.join(several, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "seg", "first", "size", "hot")).alias("wanted"))
+    wanted = least.join(stored(several, "segments-several"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "seg", "first", "size", "hot")).alias("wanted"))
     cut = stored(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_segments(window), "key long, seg long, doc_id long, first int, text binary"), "segments-cut")
 
     texts = cut.filter("text IS NOT NULL")
