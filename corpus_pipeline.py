@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from siltstone.llm.decontaminate import without_contaminated
 from siltstone.llm.langid import fit, predict
 from siltstone.llm.mixing import mix_sources
+from siltstone.llm.nearcopies import near_copies
 from siltstone.llm.sharding import assign_shards
 from siltstone.llm.shared import stored, word_count
-from siltstone.llm.simhash import BROADCAST_ROWS, near_duplicates, similarity_radius
+from siltstone.llm.simhash import BROADCAST_ROWS
 from siltstone.sources.tables import table
 
 #: A document is rejected if its language is unknown or less likely than this.
 LEAST_SCORE = 0.4
-#: Near copies: words of a shingle, similarity, words of a fingerprint.
-SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 4
 SHARDS = 24
 
 
@@ -38,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near copies. Rows with one doc_id are one document;
     documents whose doc_id is null stay only where their class has no doc_id."""
-    classes = stored(near_duplicates(docs, shingle=SHINGLE, radius=similarity_radius(SIMILARITY, WIDTH), width=WIDTH).select(F.col("doc_id").alias("__id"), "component_id"), "classes")
+    classes = stored(near_copies(docs).select(F.col("doc_id").alias("__id"), "component_id"), "classes")
     away = stored(classes.filter("component_id IS NOT NULL AND (__id IS NULL OR __id <> component_id)").select("__id").distinct(), "copies")
     kept = docs.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, docs["doc_id"].eqNullSafe(away["__id"]), "left_anti")
     repeated = stored(classes.filter("__id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id"), "repeated")

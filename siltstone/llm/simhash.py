@@ -129,55 +129,36 @@ class BKTree:
                     todo.append((child, below))
 
 
-class Forest:
-    """Union-find over fingerprints that keeps only the links that join two trees."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        at = x
-        while (up := parent.setdefault(at, at)) != at:
-            at = up
-        while x != at:
-            parent[x], x = at, parent[x]
-        return at
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.parent[b] = a
-            self.links.append((x, y))
-
-
 def _shard_links(radius: int, width: int):
     """For rows (shard, piece, is_query, node, p0, p1, ...) in this order: links (a, b) of a spanning forest for each
     tree. p0, p1, ...: the words of the node's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, tree, names, forest, out = None, [], None, [], None, []
+        key, held, tree, names, labels, out = None, [], None, [], None, []
 
         def flush() -> pa.RecordBatch:
             made = np.array(out, np.int64).reshape(-1, 2)
             out.clear()
             return pa.RecordBatch.from_pydict({"a": pa.array(made[:, 0]), "b": pa.array(made[:, 1])})
 
-        def ask(nodes: np.ndarray, prints: np.ndarray) -> None:
+        def ask(nodes: np.ndarray, prints: np.ndarray, mine: np.ndarray) -> None:
+            """Links that join two components only. mine: the components of the queries, labels those of the tree."""
             for at, near in tree.search(prints, radius):
-                for q in nodes[near].tolist():
-                    forest.join(names[at], q)
-            out.extend(forest.links)
-            forest.links.clear()
+                near = near[mine[near] != labels[at]]
+                while len(near):
+                    out.append((names[at], int(nodes[near[0]])))
+                    old = mine[near[0]]
+                    labels[labels == old] = labels[at]
+                    mine[mine == old] = labels[at]
+                    near = near[mine[near] != labels[at]]
 
         def planted() -> None:
             """The tree of the nodes so far, asked for its own nodes."""
-            nonlocal tree, names, forest
+            nonlocal tree, names, labels
             nodes, prints = (np.concatenate(x) for x in zip(*held))
-            tree, names, forest = BKTree(prints), nodes.tolist(), Forest()
+            tree, names, labels = BKTree(prints), nodes.tolist(), np.arange(len(nodes))
             if len(nodes) > 1:
-                ask(nodes, prints)
+                ask(nodes, prints, labels)
 
         def done() -> None:
             if tree is None and sum(len(x) for x, _ in held) > 1:
@@ -198,7 +179,7 @@ def _shard_links(radius: int, width: int):
                 else:
                     if tree is None:
                         planted()
-                    ask(node[a:b], prints[a:b])
+                    ask(node[a:b], prints[a:b], np.arange(len(names), len(names) + b - a))
             if len(out) > 10_000:
                 yield flush()
         done()
@@ -224,15 +205,35 @@ def samples(width: int, tables: int = TABLES, sampled: int = SAMPLED) -> list[li
     return masks
 
 
+def _dealt(masks: list[list[int]]):
+    """For rows (node, p0, p1, ...): each once for every mask, with the shard that the masked bits name."""
+    words = [f"p{i}" for i in range(len(masks[0]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [batch.column(w).to_numpy().view(np.uint64) for w in words]
+            for number, mask in enumerate(masks, 1):
+                key = np.full(batch.num_rows, number, np.uint64)
+                for p, m in zip(prints, mask):
+                    key = further(key ^ further(p & np.uint64(m), 1), 1)
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node")} | {w: batch.column(w) for w in words} | {"shard": pa.array(key.view(np.int64))})
+
+    return run
+
+
 def near_links(nodes: DataFrame, radius: int = 2, max_tree: int = MAX_TREE, masks: list[list[int]] | None = None) -> DataFrame:
     """Links (a, b) that connect fingerprints within the radius of each other. nodes: distinct longs `node`, and the
     words p0, p1, ... of their fingerprints. masks: the choices of bits that make shards; blocks of 64 if not given."""
-    masks = masks or blocks(radius)
+    if masks is None:
+        masks = blocks(radius)
+        signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+        keys = [F.xxhash64(F.lit(i), F.col("p0").bitwiseAND(F.lit(signed(m)))) for i, (m,) in enumerate(masks)]
+        dealt, shards = nodes.select("node", "p0", F.explode(F.array(*keys)).alias("shard")), nodes.select(F.explode(F.array(*keys)).alias("shard"))
+    else:
+        dealt = nodes.mapInArrow(_dealt(masks), ", ".join(["node long", *(f"p{i} long" for i in range(len(masks[0]))), "shard long"]))
+        shards = dealt.select("shard")
     words = [f"p{i}" for i in range(len(masks[0]))]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = [F.xxhash64(F.lit(i), *[F.col(w).bitwiseAND(F.lit(signed(m))) for w, m in zip(words, mask) if m]) for i, mask in enumerate(masks)]
-    dealt = nodes.select("node", *words, F.explode(F.array(*keys)).alias("shard"))
-    hot = stored(nodes.select(F.explode(F.array(*keys)).alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_tree), "hot-shards")
+    hot = stored(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_tree), "hot-shards")
     held = dealt.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "shard", "left").withColumn("pieces", F.coalesce(F.ceil(F.col("n") / max_tree), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     row = lambda piece, query: F.struct(piece.alias("piece"), F.lit(query).alias("is_query"))
