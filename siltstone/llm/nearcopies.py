@@ -1,69 +1,72 @@
-"""Near copies by the exact similarity of shingle sets, with candidates from SimHash fingerprints.
+"""Near copies by the exact similarity of shingle sets, with candidates from SimHash fingerprints in BK-trees.
 
 Two texts are near copies if their sets of shingles have a Jaccard similarity of at least SIMILARITY. A class is what
 such pairs connect; no other link makes one.
 
-Candidates: fingerprints of the shingle *sets* (repeats count once, as they do in the similarity) go through the sharded
-BK-trees of `simhash`, at RADIUS differing bits. Two sets at the similarity differ in at most the share WORST of the bits
-on average (sets of 4 and 5 shingles; 0.152 for long texts); RADIUS is 4 standard deviations above that, 5.9 above the
-mean of long texts. The choices of bits that make shards are as many as leave a pair with WORST of its bits different
-without a common one in MISS of cases; each has so many bits that a shard holds about SHARD_NODES nodes. The links of the
-trees are only used to put texts that may be near copies into one group, so what their forests drop loses nothing.
+Fingerprints: each of 64 * WIDTH hashed signs is summed over a text's shingle *set* (repeats count once, as they do in the
+similarity); the signs of the sums are the fingerprint. Two sets at the similarity differ in at most the share WORST of
+the bits on average (sets of 4 and 5 shingles; 0.152 for long texts); RADIUS is 4 standard deviations above that, 5.9
+above the mean of long texts.
 
-Verification: in every group all pairs of different texts within the RADIUS are compared by their shingle sets, but for
-those that verified links connect already. A group of more than PIECE texts is cut into pieces, each compared with itself
-and half of the others in turn.
+Shards: at such a radius a BK-tree over all nodes prunes little, so trees are small and a node is in several of them.
+The sums are turned by fixed random matrices and cut into blocks; place and sign of the strongest entry of a few blocks
+name a shard. Two sets at the similarity have a cosine of 8/9 or more, which gives the chance that they share such a name
+(`chance`); `choices` takes blocks so large that a shard has about SHARD_NODES unrelated nodes, whatever their number,
+and so many names that a pair at the similarity shares none in MISS of cases. The number of names grows with the
+logarithm of the number of documents. The links of the trees are only used to put texts that may be near copies into one
+group, so what their forests drop loses nothing.
+
+Verification: in a group of up to `piece` texts all pairs of different texts within the RADIUS are compared by their
+shingle sets, but for those that verified links connect already. In a larger group about STARS of its texts are compared
+with all others first; then the texts that are still outside the largest class of their group are compared with all of it,
+piece by piece.
 
 Defined cases: texts that are equal are one; a null text is one text; texts without words are near copies of each other
-only; a null doc_id takes part and its class has the smallest doc_id that is not null. Texts and shingles are told apart
-by 64-bit hashes.
+only; rows that share a doc_id and differ in text are different documents; a null doc_id takes part and comes after all
+others; an empty table gives an empty result. Texts and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import parts, stored
-from siltstone.llm.simhash import BITS, BROADCAST_ROWS, MAX_TREE, PART, connected, further, near_links, samples
+from siltstone.llm.shared import WordHashes, parts, split_join, stored, window_hashes
+from siltstone.llm.simhash import BROADCAST_ROWS, MAX_TREE, PART, bit_counts, connected, near_links, rest_rows, sized, star_rows, whole_rows
 
 SHINGLE, SIMILARITY, WIDTH = 5, 0.8, 4
-WORST, MISS, SHARD_NODES = 3 / 16, 1e-4, 64
+WORST, MISS, SHARD_NODES = 3 / 16, 2e-3, 4
 RADIUS = math.ceil(64 * WIDTH * WORST + 4 * math.sqrt(64 * WIDTH * WORST * (1 - WORST)))
-#: Texts of a group that a task holds at most.
-PIECE = 1024
+#: The cosine of two sets at the similarity, less the standard error that sums over 64 * WIDTH signs have of it.
+COSINE = 8 / 9 - (1 - (8 / 9) ** 2) / math.sqrt(64 * WIDTH)
+#: Texts of a group that a task holds at most, and texts of a large group that all others are compared with first.
+PIECE, STARS = 1024, 256
+#: Texts whose names are found at a time.
+TOGETHER = 256
+WORDS = [f"p{i}" for i in range(WIDTH)]
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; a shorter text with words is one shingle."""
-    digest, found, carry = xxhash.xxh64_intdigest, [], []
+    found, carry = [], np.zeros(0, np.uint64)
     for part in parts((text or "").encode("utf-8", "surrogatepass").lower(), PART):
-        words = carry + part
-        if len(words) >= SHINGLE:
-            buffer = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            starts = np.concatenate(([0], ends[: len(words) - SHINGLE])).tolist()
-            found.append(np.fromiter([digest(buffer[a:b], 42) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())], np.uint64, len(starts)))
-        carry = words[len(words) - SHINGLE + 1 :] if len(words) >= SHINGLE else words
-    if not found and carry:
-        found.append(np.array([digest(b" ".join(carry), 42)], np.uint64))
+        words = np.concatenate((carry, hashes.array(part)))
+        found.append(window_hashes(words, SHINGLE))
+        carry = words[max(0, len(words) - SHINGLE + 1) :]
+    if len(carry) and not sum(map(len, found)):
+        found.append(window_hashes(carry, len(carry)))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def set_fingerprint(hashes: np.ndarray) -> bytes:
-    """The SimHash fingerprint of a shingle set, WIDTH words of 64 bits."""
-    counts = np.zeros((WIDTH, 64), np.int64)
-    for i in range(0, len(hashes), BITS):
-        for w in range(WIDTH):
-            part = further(hashes[i : i + BITS], w).astype("<u8").view(np.uint8).reshape(-1, 8)
-            counts[w] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts.ravel() > len(hashes), bitorder="little").tobytes()
+def sign_sums(hashes: np.ndarray) -> np.ndarray:
+    """The sums of 64 * WIDTH hashed signs over a shingle set."""
+    return 2 * np.concatenate([bit_counts(hashes, w) for w in range(WIDTH)]) - len(hashes)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -74,35 +77,71 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common / (len(a) + len(b) - common) >= SIMILARITY
 
 
-def choices(nodes: int) -> tuple[int, int]:
-    """Numbers of choices of bits, and of bits of each, for so many fingerprints."""
-    sampled = max(8, round(math.log2(max(nodes, 1) / SHARD_NODES)))
-    return math.ceil(math.log(MISS) / math.log1p(-((1 - WORST) ** sampled))), sampled
+@cache
+def chance(block: int, cosine: float = COSINE) -> float:
+    """How often two vectors of this cosine have their strongest of `block` random entries in one place, with one sign;
+    by 20,000 draws that are always the same."""
+    rng = np.random.default_rng(block)
+    a = rng.standard_normal((20_000, block))
+    b = cosine * a + math.sqrt(1 - cosine * cosine) * rng.standard_normal((20_000, block))
+    i, j, row = np.abs(a).argmax(axis=1), np.abs(b).argmax(axis=1), np.arange(len(a))
+    return float(((i == j) & ((a[row, i] > 0) == (b[row, j] > 0))).mean())
 
 
-WORDS = [f"p{i}" for i in range(WIDTH)]
+def choices(nodes: int) -> tuple[int, int, int]:
+    """(names, blocks of each name, entries of a block) for so many documents: as few names as do."""
+    need = math.log2(max(nodes, 256) / SHARD_NODES)
+    able = [(k, d) for k in range(1, 9) for d in (16, 32, 64, 128, 256) if k * (1 + math.log2(d)) >= need]
+    return min((math.ceil(math.log(MISS) / math.log1p(-(chance(d) ** k))), k, d) for k, d in able)
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = b"".join(set_fingerprint(shingle_set(x.as_py())) for x in batch.column("text"))
-        found = np.frombuffer(data, "<i8").reshape(-1, WIDTH)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "member": batch.column("member")} | {n: pa.array(found[:, i]) for i, n in enumerate(WORDS)})
+def _turned(names: int, blocks: int, entries: int) -> np.ndarray:
+    """The matrix that gives the entries of all blocks of all names; always the same one."""
+    return np.random.default_rng(64 * WIDTH).standard_normal((64 * WIDTH, names * blocks * entries)).astype(np.float32)
+
+
+def shard_names(sums: np.ndarray, names: int, blocks: int, entries: int, turn: np.ndarray) -> np.ndarray:
+    """The names (texts, names), as longs, of the shards of texts with these sign sums."""
+    turned = (sums.astype(np.float32) @ turn).reshape(len(sums), names, blocks, entries)
+    at = np.abs(turned).argmax(axis=3)
+    code = 2 * at + (np.take_along_axis(turned, at[..., None], axis=3)[..., 0] > 0)
+    name = np.broadcast_to(np.arange(names), code.shape[:2]).astype(np.int64)
+    for b in range(blocks):
+        name = name * (2 * entries) + code[:, :, b]
+    return name
+
+
+def _prints(how: tuple[int, int, int]):
+    """doc_id, member, the words of the fingerprint and the keys of the shards of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, turn = WordHashes(), _turned(*how)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                sums = np.array([sign_sums(shingle_set(x.as_py(), hashes)) for x in batch.column("text")], np.int64).reshape(-1, 64 * WIDTH)
+                prints = np.packbits(sums > 0, axis=1, bitorder="little").view("<i8")
+                keys = shard_names(sums, *how, turn)
+                columns = {"doc_id": batch.column("doc_id"), "member": batch.column("member")} | {n: pa.array(prints[:, i]) for i, n in enumerate(WORDS)}
+                columns["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * how[0]), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (shard, piece, is_query, member, p0, ..., text) in this order: verified links (a, b) that connect all
-    near copies among the rows of a piece, and between them and its queries."""
-    key = None
+    """For rows (shard, piece, is_query, node, p0, ..., text) in this order: verified links (a, b) that connect all near
+    copies among the rows of a piece, and between them and its queries."""
+    key, hashes = None, WordHashes()
     for batch in batches:
         links: list[tuple[int, int]] = []
         prints = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
-        shard, piece, query, member = (batch.column(c).to_pylist() for c in ("shard", "piece", "is_query", "member"))
+        shard, piece, query, node = (batch.column(c).to_pylist() for c in ("shard", "piece", "is_query", "node"))
         for i, text in enumerate(batch.column("text")):
             if key != (shard[i], piece[i]):
                 key, names, sets, mine = (shard[i], piece[i]), [], [], 0
-                held, sizes, component = np.zeros((PIECE, WIDTH), np.uint64), np.zeros(PIECE, np.int64), np.zeros(PIECE, np.int64)
-            found, n, mine = shingle_set(text.as_py()), len(names), mine + 1
+                held, sizes, component = np.zeros((8, WIDTH), np.uint64), np.zeros(8, np.int64), np.zeros(8, np.int64)
+            found, n, mine = shingle_set(text.as_py(), hashes), len(names), mine + 1
             low, high = np.minimum(sizes[:n], len(found)), np.maximum(sizes[:n], len(found))
             apart = np.bitwise_count(held[:n] ^ prints[i]).sum(axis=1, dtype=np.int16)
             near = np.flatnonzero(((low / np.maximum(high, 1) >= SIMILARITY) | (low == high)) & (apart <= RADIUS))
@@ -110,48 +149,51 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while len(near):
                 j, near = near[0], near[1:]
                 if similar(sets[j], found):
-                    links.append((names[j], member[i]))
+                    links.append((names[j], node[i]))
                     component[component == component[j]] = mine
                     near = near[component[near] != mine]
             if not query[i]:
                 if n == len(held):
                     held, sizes, component = (np.concatenate((x, np.zeros_like(x))) for x in (held, sizes, component))
                 held[n], sizes[n], component[n] = prints[i], len(found), mine
-                names.append(member[i])
+                names.append(node[i])
                 sets.append(found)
         made = np.array(links, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_pydict({"a": pa.array(made[:, 0]), "b": pa.array(made[:, 1])})
 
 
-def verified_links(rows: DataFrame, members: DataFrame, piece: int = PIECE) -> DataFrame:
-    """Links (a, b) between members that are near copies. rows: (member, text), repeats allowed; members: one row each,
-    with its group `shard`, the size `n` of the group, and the words of its fingerprint."""
-    many = members.filter("n > 1")
-    pieces = F.ceil(F.col("n") / piece).cast("int")
-    own = F.pmod(F.xxhash64("member"), F.col("pieces")).cast("int")
-    # every two pieces meet once: as far as half way round, and of pieces just opposite the lower one asks
-    steps = F.filter(F.sequence(F.lit(0), F.floor(F.col("pieces") / 2).cast("int")), lambda s: (2 * s < F.col("pieces")) | (F.col("own") < s))
-    placed = many.withColumn("pieces", pieces).withColumn("own", own).withColumn("step", F.explode(steps))
-    placed = placed.select("member", "shard", F.pmod(F.col("own") + F.col("step"), F.col("pieces")).alias("piece"), (F.col("step") > 0).alias("is_query"), *WORDS)
-    wanted = stored(many.select("member"), "wanted")
-    texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "member", "left_semi").dropDuplicates(["member"])
-    dealt = placed.join(texts, "member").select("shard", "piece", "is_query", "member", *WORDS, "text")
-    return dealt.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "is_query", "member").mapInArrow(_verified, "a long, b long")
-
-
-def near_copies(docs: DataFrame, max_tree: int = MAX_TREE, piece: int = PIECE) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id of its class) for every row of docs (doc_id, text)."""
+def verified_links(rows: DataFrame, members: DataFrame, piece: int = PIECE, stars: int = STARS) -> DataFrame:
+    """Links (a, b) between near copies of one group. rows: (node, text), repeats allowed; members: one row for each
+    distinct text `node` with its group `shard`, the group's size `n` and the words of its fingerprint."""
+    wanted = stored(members.select("node"), "wanted")
+    texts = stored(rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi").dropDuplicates(["node"]), "group-texts")
+
+    def links(placed: DataFrame) -> DataFrame:
+        dealt = placed.select("shard", "piece", "is_query", "node", *WORDS).join(texts, "node").select("shard", "piece", "is_query", "node", *WORDS, "text")
+        return dealt.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "is_query", "node").mapInArrow(_verified, "a long, b long")
+
+    found = links(whole_rows(members.filter(F.col("n") <= piece)))
+    large = stored(members.filter(F.col("n") > piece), "large-groups")
+    if large.isEmpty():
+        return found
+    first = stored(found.unionByName(links(star_rows(large, min(piece, stars)))), "verified")
+    return first.unionByName(links(rest_rows(large, connected(first), piece)))
+
+
+def near_copies(docs: DataFrame, max_tree: int = MAX_TREE, piece: int = PIECE, stars: int = STARS) -> DataFrame:
+    """For every row of docs (doc_id, text): doc_id, member (the hash of its text), and the first document of its class:
+    component_id, the smallest doc_id, and component_member, of its texts the one with the smallest hash."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("member"))
-    made = rows.mapInArrow(_prints, ", ".join(["doc_id long, member long", *(f"{w} long" for w in WORDS)]))
+    how = choices(rows.count())
+    made = rows.mapInArrow(_prints(how), ", ".join(["doc_id long, member long", *(f"{w} long" for w in WORDS), "keys array<long>"]))
     prints = stored(made.withColumn("node", F.xxhash64(*WORDS)), "prints")
-    nodes = stored(prints.groupBy("node").agg(*[F.min(w).alias(w) for w in WORDS]), "nodes")
-    tables, sampled = choices(nodes.count())
-    groups = connected(near_links(nodes, RADIUS, max_tree, samples(WIDTH, tables, sampled)))
-    members = prints.groupBy("member").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in ("node", *WORDS)])
-    grouped = stored(members.join(groups, "node", "left").withColumn("shard", F.coalesce("root", "node")).drop("root", "node"), "members")
-    sizes = grouped.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    roots = connected(verified_links(rows.select("member", "text"), grouped.join(sizes, "shard"), piece))
-    rooted = grouped.select(F.col("member").alias("node"), "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("node").alias("member"), "component_id")
-    return prints.select("doc_id", "member").join(classes, "member").select("doc_id", "component_id")
+    nodes = stored(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in (*WORDS, "keys")]), "nodes")
+    groups = connected(near_links(nodes, RADIUS, max_tree, WIDTH))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "member")
+    members = stored(prints.groupBy("member").agg(F.min(order).alias("first"), *[F.min(c).alias(c) for c in ("node", *WORDS)]), "members")
+    grouped = stored(split_join(members, groups, ["node"], "left").select(F.col("member").alias("node"), "first", *WORDS, F.coalesce("root", "node").alias("shard")), "grouped")
+    roots = connected(verified_links(rows.select(F.col("member").alias("node"), "text"), grouped.join(sized(grouped), "shard"), piece, stars))
+    rooted = stored(grouped.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    classes = stored(split_join(rooted, least, ["root"]).select(F.col("node").alias("member"), F.col("least.doc_id").alias("component_id"), F.col("least.member").alias("component_member")), "classes")
+    return split_join(prints.select("doc_id", "member"), classes, ["member"])

@@ -5,7 +5,8 @@ A new shard brings new scores only, so a record either stays or moves into the n
 -w / ln(u), u uniform in (0, 1) from the MD5 digest of "key:shard", which gives shard s a share of w_s / sum(w).
 
 Defined cases: a null key is a key of its own; repeated keys share a shard, and repeated rows get slots of their own;
-empty tables give empty results; only the named columns are read and all others are carried through.
+empty tables give empty results; only the named columns are read and all others are carried through, but for columns that
+have the names of the results, which are replaced. Texts are never read by the operator, however long they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import stored
+from siltstone.llm.shared import spare, stored
 from siltstone.sources.tables import table
 
 #: Rows that one task numbers at a time when slots are given.
@@ -43,11 +44,12 @@ def assign_shards(df: DataFrame, key: str, shards: int, weights: list[float] | N
         raise ValueError("shards must be positive, with a positive weight each")
     text, of = key_text(F.col(key)), F.array(*[F.lit(float(w)) for w in (weights or [1.0] * shards)])
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(shard_score(text, s, F.get(of, s)).alias("score"), s.alias("shard"))))
-    out = df.withColumn("__best", best)
+    (temporary,) = spare(df, "best")
+    out = df.withColumn(temporary, best)
     if grown:
         more = shard_score(text, F.lit(shards), grown_weight)
-        out = out.withColumn(grown, F.when(more > F.col("__best.score"), F.lit(shards)).otherwise(F.col("__best.shard")).cast("int"))
-    return out.withColumn(shard, F.col("__best.shard").cast("int")).drop("__best")
+        out = out.withColumn(grown, F.when(more > F.col(f"{temporary}.score"), F.lit(shards)).otherwise(F.col(f"{temporary}.shard")).cast("int"))
+    return out.withColumn(shard, F.col(f"{temporary}.shard").cast("int")).drop(temporary)
 
 
 def give_slots(rows: DataFrame, shard: str, key: str, shards: int, slot: str = "slot") -> DataFrame:

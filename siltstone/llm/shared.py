@@ -17,13 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a new temporary folder
+    serves a session on one machine; on a cluster it would be lost data, so there it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or _own_folder()).rstrip("/")
 
 
 @cache
 def _own_folder() -> str:
-    """A new temporary folder, for a session on one machine that names none."""
+    """A new temporary folder."""
     return tempfile.mkdtemp(prefix="siltstone-")
 
 
@@ -44,6 +48,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key that one task may always get in a join.
+KEY_ROWS = 100_000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once; how: inner or left. A key with over KEY_ROWS rows of left, and over
+    a ten-thousandth of all, stays where its rows are and right's row of it is broadcast (10,000 rows at most). left is
+    read several times; it should be a stored table, or a small one."""
+    if left.count() <= KEY_ROWS:
+        return left.join(right, keys, how)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > KEY_ROWS)
+    hot = stored(counts, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot.filter(F.col("__n") > left.count() // 10_000).select(*keys))
+    rest, few = left.join(hot, keys, "left_anti"), right.join(hot, keys, "left_semi")
+    return rest.join(right, keys, how).unionByName(left.join(hot, keys, "left_semi").join(F.broadcast(few), keys, how))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be none of df's columns (in any case)."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as long; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -3,16 +3,16 @@
 Fingerprint: over the words of the text in lower case (A-Z only), the 64-bit XXH64 (seed 42) of every shingle, repeats
 included; a bit is set where over half of the hashes have it. Two fingerprints link at `radius` or fewer differing bits.
 
-Fingerprints may have `width` words of 64 bits, the further ones from further hashes of the same shingles.
+Links: equal fingerprints are one node. A shard holds the nodes that agree in one key; for op4 the keys are radius + 1
+blocks that make up the 64 bits: two fingerprints within the radius agree in one at least, so every link is found.
+(`nearcopies` has other keys for larger radii.) In a shard a BK-tree is built over its nodes, children keyed by their
+Hamming distance to the parent, and a search follows only the edges whose key is within the radius of the query's
+distance. A search reports links of a spanning forest, never all pairs.
 
-Links: equal fingerprints are one node. A shard holds the nodes that agree in one choice of bits. For small radii the
-choices are radius + 1 blocks that make up the 64 bits: two fingerprints within the radius agree in one at least, so
-every link is found. For large radii, as a similarity of 0.8 asks for, no blocks could do that; then the choices are
-TABLES sets of SAMPLED bits each, and a link within the radius is found with a probability that the README gives.
-In a shard a BK-tree is built over its nodes, children keyed by their Hamming distance to the parent, and a search
-follows only the edges whose key is within the radius of the query's distance. A search reports links of a spanning forest, never all pairs. A shard of
-more than MAX_TREE nodes is cut into trees of about that many; its nodes are sent to each of its trees as queries and
-stream through it, so a task holds one tree and one batch.
+Trees are sent to the tasks that ask them. A shard of up to MAX_TREE nodes is asked where it is built. In a larger shard
+about MAX_TREE of its nodes, drawn by hash, make a tree that is broadcast to every chunk of the shard, whose other nodes
+ask it (stars). Only nodes that this has not connected with the largest class of their shard then ask the trees of all
+pieces of the shard (rest), so a large group of copies costs work in proportion to its size.
 
 Classes: random contraction. In each round every node moves to the neighbour, or itself, with the least hash for that
 round; the links are rewritten and repeated ones dropped. The number of nodes falls by a constant factor each round.
@@ -24,17 +24,15 @@ give empty results; other columns are not read.
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import MULTIPLIER, parts, stored
+from siltstone.llm.shared import KEY_ROWS, MULTIPLIER, parts, split_join, stored
 from siltstone.sources.tables import table
 
 #: Bytes of text that are cut into words at a time, and hashes whose bits are counted at a time.
@@ -43,10 +41,11 @@ PART, BITS = 1 << 20, 1 << 16
 MAX_TREE = 2048
 #: Rounds of contraction at most; the number of nodes falls to a half or so in each.
 ROUNDS = 60
-#: For large radii: choices of bits, and bits of each.
-TABLES, SAMPLED = 32, 16
 #: Rows about hot shards that are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Nodes of a large shard that ask one copy of its drawn tree, in units of that tree's size; trees up to SMALL nodes are
+#: searched node by node.
+CHUNK, SMALL = 8, 48
 
 
 def further(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -60,41 +59,40 @@ def further(hashes: np.ndarray, number: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, width: int = 1) -> int:
-    """The SimHash fingerprint of a text as an unsigned number of 64 * width bits, the first word lowest."""
-    digest, counts, total, carry = xxhash.xxh64_intdigest, np.zeros((width, 64), np.int64), 0, []
+def bit_counts(hashes: np.ndarray, number: int = 0) -> np.ndarray:
+    """How many of the hashes number `number` have each of their 64 bits set."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), BITS):
+        part = further(hashes[i : i + BITS], number).astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return counts
 
-    def count(hashes: np.ndarray) -> None:
-        nonlocal total
-        total += len(hashes)
-        for i in range(0, len(hashes), BITS):
-            for w in range(width):
-                part = further(hashes[i : i + BITS], w).astype("<u8").view(np.uint8).reshape(-1, 8)
-                counts[w] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The SimHash fingerprint of a text as an unsigned number of 64 bits."""
+    digest, counts, total, carry = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
     for part in parts((text or "").encode("utf-8", "surrogatepass").lower(), PART):
         words = carry + part
-        buffer = b" ".join(words)
         if len(words) >= shingle:
+            buffer = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
-            count(np.fromiter([digest(buffer[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64, len(starts)))
+            counts += bit_counts(np.fromiter([digest(buffer[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64, len(starts)))
+            total += len(starts)
         carry = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
     if not total and carry:
-        count(np.array([digest(b" ".join(carry), 42)], np.uint64))
-    return int.from_bytes(np.packbits(2 * counts.ravel() > total, bitorder="little").tobytes(), "little") if total else 0
+        counts, total = bit_counts(np.array([digest(b" ".join(carry), 42)], np.uint64)), 1
+    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little") if total else 0
 
 
-def add_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, width: int = 1, out: str = "fingerprint") -> DataFrame:
-    """`docs` with the fingerprint of its text column as `width` (signed) long columns: out, out_1, out_2, ..."""
-    names = [out, *(f"{out}_{i}" for i in range(1, width))]
-    schema = docs.withColumns({n: F.lit(0).cast("long") for n in names}).schema
+def add_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fingerprint") -> DataFrame:
+    """`docs` with the fingerprint of its text column as the (signed) long column `out`, which replaces one of that name."""
+    schema = docs.withColumn(out, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = b"".join(fingerprint(x.as_py(), shingle, width).to_bytes(8 * width, "little") for x in batch.column(text))
-            found = np.frombuffer(data, "<i8").reshape(-1, width)
-            columns = {name: batch.column(name) for name in batch.schema.names} | {n: pa.array(found[:, i]) for i, n in enumerate(names)}
+            data = b"".join(fingerprint(x.as_py(), shingle).to_bytes(8, "little") for x in batch.column(text))
+            columns = {name: batch.column(name) for name in batch.schema.names} | {out: pa.array(np.frombuffer(data, "<i8"))}
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.mapInArrow(run, schema)
@@ -104,17 +102,32 @@ class BKTree:
     """A BK-tree over fingerprints of one or more 64-bit words each, (nodes, words)."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints, self.children = prints, [{} for _ in range(len(prints))]
+        self.prints, self.children = prints, []
         data, size = prints.astype("<u8").tobytes(), 8 * prints.shape[1]
-        values = [int.from_bytes(data[i : i + size], "little") for i in range(0, len(data), size)]
-        for i in range(1, len(values)):
-            at, value = 0, values[i]
-            while True:
-                d = (values[at] ^ value).bit_count()
-                if (below := self.children[at].get(d)) is None:
-                    self.children[at][d] = i
-                    break
-                at = below
+        self.values: list[int] = []
+        for i in range(0, len(data), size):
+            self.add(int.from_bytes(data[i : i + size], "little"))
+
+    def add(self, value: int) -> None:
+        at, number = 0, len(self.values)
+        self.values.append(value)
+        self.children.append({})
+        while number:
+            d = (self.values[at] ^ value).bit_count()
+            if (below := self.children[at].get(d)) is None:
+                self.children[at][d] = number
+                return
+            at = below
+
+    def near(self, value: int, radius: int) -> Iterator[int]:
+        """The nodes within the radius of one value."""
+        todo = [0] if self.values else []
+        while todo:
+            node = todo.pop()
+            d = (self.values[node] ^ value).bit_count()
+            if d <= radius:
+                yield node
+            todo += [child for edge, child in self.children[node].items() if abs(d - edge) <= radius]
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         """(node, numbers of the queries within the radius of it). All queries go down the tree together."""
@@ -152,6 +165,19 @@ def _shard_links(radius: int, width: int):
                     mine[mine == old] = labels[at]
                     near = near[mine[near] != labels[at]]
 
+        def small(nodes: list[int], prints: np.ndarray) -> None:
+            """The links of a small shard: each node asks the tree of those before it and is added to it."""
+            asked, parent = BKTree(prints[:1]), list(range(len(nodes)))
+            data, size = prints.astype("<u8").tobytes(), 8 * width
+            for i in range(1, len(nodes)):
+                value = int.from_bytes(data[i * size : i * size + size], "little")
+                for j in asked.near(value, radius):
+                    if parent[j] != parent[i]:
+                        out.append((nodes[j], nodes[i]))
+                        old = parent[i]
+                        parent = [parent[j] if x == old else x for x in parent]
+                asked.add(value)
+
         def planted() -> None:
             """The tree of the nodes so far, asked for its own nodes."""
             nonlocal tree, names, labels
@@ -161,22 +187,31 @@ def _shard_links(radius: int, width: int):
                 ask(nodes, prints, labels)
 
         def done() -> None:
-            if tree is None and sum(len(x) for x, _ in held) > 1:
-                planted()
+            if tree is None and (n := sum(len(x) for x, _ in held)) > 1:
+                if n <= SMALL:
+                    nodes, prints = (np.concatenate(x) for x in zip(*held))
+                    small(nodes.tolist(), prints)
+                else:
+                    planted()
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             shard, piece, query, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "piece", "is_query", "node"))
             prints = np.stack([batch.column(f"p{i}").to_numpy().view(np.uint64) for i in range(width)], axis=1)
-            cut = np.flatnonzero((np.diff(shard) != 0) | (np.diff(piece) != 0) | (np.diff(query) != 0)) + 1
-            for a, b in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(node)])).tolist()):
-                if a == b:
-                    continue
+            edge = (np.diff(shard) != 0) | (np.diff(piece) != 0)
+            cut = np.flatnonzero(edge | (np.diff(query) != 0)) + 1
+            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(node)]))
+            # shards of one node that begin and end inside the batch have no link
+            alone = (ends - starts == 1) & (starts > 0) & (ends < len(node))
+            alone[1:-1] &= edge[starts[1:-1] - 1] & edge[np.minimum(ends[1:-1], len(node) - 1) - 1]
+            for a, b in zip(starts[~alone].tolist(), ends[~alone].tolist()):
                 if key != (shard[a], piece[a]):
                     done()
                     key, held, tree = (shard[a], piece[a]), [], None
                 if not query[a]:
                     held.append((node[a:b], prints[a:b]))
-                else:
+                elif held:
                     if tree is None:
                         planted()
                     ask(node[a:b], prints[a:b], np.arange(len(names), len(names) + b - a))
@@ -189,58 +224,75 @@ def _shard_links(radius: int, width: int):
     return run
 
 
-def blocks(radius: int) -> list[list[int]]:
+def blocks(radius: int) -> list[int]:
     """Masks of radius + 1 blocks of the 64 bits."""
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [[(1 << b) - (1 << a)] for a, b in zip(cuts, cuts[1:])]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
 
 
-def samples(width: int, tables: int = TABLES, sampled: int = SAMPLED) -> list[list[int]]:
-    """Masks of `tables` choices of `sampled` of the 64 * width bits; always the same ones."""
-    rng = random.Random(64 * width)
-    masks = []
-    for _ in range(tables):
-        mask = sum(1 << b for b in rng.sample(range(64 * width), sampled))
-        masks.append([mask >> 64 * w & (1 << 64) - 1 for w in range(width)])
-    return masks
+def block_keys(fingerprint: Column, radius: int) -> Column:
+    """An array of longs: fingerprints (longs) within the radius of each other have one in common."""
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    return F.array(*[F.xxhash64(F.lit(i), fingerprint.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(blocks(radius))])
 
 
-def _dealt(masks: list[list[int]]):
-    """For rows (node, p0, p1, ...): each once for every mask, with the shard that the masked bits name."""
-    words = [f"p{i}" for i in range(len(masks[0]))]
+def sized(rows: DataFrame, key: str = "shard") -> DataFrame:
+    """(key, n) of the keys that more than one row has."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [batch.column(w).to_numpy().view(np.uint64) for w in words]
-            for number, mask in enumerate(masks, 1):
-                key = np.full(batch.num_rows, number, np.uint64)
-                for p, m in zip(prints, mask):
-                    key = further(key ^ further(p & np.uint64(m), 1), 1)
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node")} | {w: batch.column(w) for w in words} | {"shard": pa.array(key.view(np.int64))})
 
-    return run
+def _drawn(limit: int) -> Column:
+    """Whether a node is among the about `limit` nodes of its shard that make the tree which all others ask."""
+    return F.pmod(F.xxhash64("node", "shard"), F.col("n")) < limit
 
 
-def near_links(nodes: DataFrame, radius: int = 2, max_tree: int = MAX_TREE, masks: list[list[int]] | None = None) -> DataFrame:
-    """Links (a, b) that connect fingerprints within the radius of each other. nodes: distinct longs `node`, and the
-    words p0, p1, ... of their fingerprints. masks: the choices of bits that make shards; blocks of 64 if not given."""
-    if masks is None:
-        masks = blocks(radius)
-        signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-        keys = [F.xxhash64(F.lit(i), F.col("p0").bitwiseAND(F.lit(signed(m)))) for i, (m,) in enumerate(masks)]
-        dealt, shards = nodes.select("node", "p0", F.explode(F.array(*keys)).alias("shard")), nodes.select(F.explode(F.array(*keys)).alias("shard"))
-    else:
-        dealt = nodes.mapInArrow(_dealt(masks), ", ".join(["node long", *(f"p{i} long" for i in range(len(masks[0]))), "shard long"]))
-        shards = dealt.select("shard")
-    words = [f"p{i}" for i in range(len(masks[0]))]
-    hot = stored(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_tree), "hot-shards")
-    held = dealt.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "shard", "left").withColumn("pieces", F.coalesce(F.ceil(F.col("n") / max_tree), F.lit(1)).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    row = lambda piece, query: F.struct(piece.alias("piece"), F.lit(query).alias("is_query"))
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: p < own), lambda p: row(p, True))
-    rows = held.select("shard", "node", *words, F.explode(F.when(F.col("pieces") == 1, F.array(row(F.lit(0), False))).otherwise(F.concat(F.array(row(own, False)), others))).alias("x"))
-    placed = rows.select("shard", "x.piece", "x.is_query", "node", *words).repartition("shard", "piece").sortWithinPartitions("shard", "piece", "is_query", "node")
-    return placed.mapInArrow(_shard_links(radius, len(words)), "a long, b long")
+def whole_rows(rows: DataFrame) -> DataFrame:
+    """Rows (shard, node, ...) of small shards with the columns piece and is_query: one piece each."""
+    return rows.withColumns({"piece": F.lit(0), "is_query": F.lit(False)})
+
+
+def star_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (shard, n, node, ...) of large shards with piece and is_query: the drawn nodes stand in every piece, the others
+    ask them in one."""
+    pieces = F.ceil(F.col("n") / (CHUNK * limit)).cast("int")
+    where = F.when(_drawn(limit), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), pieces).cast("int")))
+    return rows.withColumn("is_query", ~_drawn(limit)).withColumn("piece", F.explode(where))
+
+
+def rest_rows(rows: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """Rows (shard, n, node, ...) of large shards with piece and is_query: every node stands in a piece of its own shard,
+    and those that are neither drawn nor in the shard's largest class (roots: node, root) ask all others."""
+    labelled = stored(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    count = labelled.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = count.groupBy("shard").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
+    outside = (F.col("root") != F.col("most")) & ~_drawn(limit)
+    told = labelled.join(F.broadcast(most) if most.count() <= BROADCAST_ROWS else most, "shard").withColumn("outside", outside)
+    open_shards = stored(told.filter("outside").select("shard").distinct(), "open-shards")
+    told = told.join(F.broadcast(open_shards) if open_shards.count() <= BROADCAST_ROWS else open_shards, "shard", "left_semi")
+    pieces, own = F.ceil(F.col("n") / limit).cast("int"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit)).cast("int")
+    place = lambda piece, query: F.struct(piece.alias("piece"), F.lit(query).alias("is_query"))
+    others = F.transform(F.filter(F.sequence(F.lit(0), pieces - 1), lambda p: p != own), lambda p: place(p, True))
+    where = F.concat(F.array(place(own, False)), F.when(F.col("outside"), others).otherwise(F.array().cast("array<struct<piece:int,is_query:boolean>>")))
+    return told.withColumn("x", F.explode(where)).drop("root", "most", "outside").withColumns({"piece": F.col("x.piece"), "is_query": F.col("x.is_query")}).drop("x")
+
+
+def near_links(nodes: DataFrame, radius: int = 2, max_tree: int = MAX_TREE, width: int = 1) -> DataFrame:
+    """Links (a, b) that connect the fingerprints within the radius of each other that share a key. nodes: distinct longs
+    `node`, the words p0, p1, ... of their fingerprints, and `keys`, an array of longs that name shards."""
+    words = [f"p{i}" for i in range(width)]
+    dealt = nodes.select("node", *words, F.explode("keys").alias("shard"))
+    hot = stored(sized(nodes.select(F.explode("keys").alias("shard"))).filter(F.col("n") > max_tree), "hot-shards")
+
+    def links(rows: DataFrame) -> DataFrame:
+        placed = rows.select("shard", "piece", "is_query", "node", *words).repartition("shard", "piece").sortWithinPartitions("shard", "piece", "is_query", "node")
+        return placed.mapInArrow(_shard_links(radius, width), "a long, b long")
+
+    if hot.isEmpty():
+        return links(whole_rows(dealt))
+    named = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    large = stored(dealt.join(named, "shard"), "hot-nodes")
+    first = stored(links(whole_rows(dealt.join(named, "shard", "left_anti"))).unionByName(links(star_rows(large, max_tree))), "first-links")
+    return first.unionByName(links(rest_rows(large, connected(first), max_tree)))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -253,12 +305,13 @@ def connected(links: DataFrame) -> DataFrame:
         both = links.select("a", "b").union(links.select("b", "a"))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(number)), F.col(c).alias("to"))
         moved = stored(both.groupBy("a").agg(F.least(F.min(order("b")), order("a"))["to"].alias("to")), "moved")
-        ends = links.join(moved.withColumnRenamed("to", "x"), "a").join(moved.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        ends = split_join(links, moved.withColumnRenamed("to", "x"), ["a"])
+        ends = split_join(stored(ends, "ends") if links.count() > KEY_ROWS else ends, moved.select(F.col("a").alias("b"), F.col("to").alias("y")), ["b"])
         rest = ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if labels is None:
             labels = moved.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
-            labels = labels.join(moved.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            labels = split_join(labels, moved.select(F.col("a").alias("root"), "to"), ["root"], "left").select("node", F.coalesce("to", "root").alias("root"))
         links, labels = stored(rest, "links"), stored(labels, "labels")
     else:
         raise RuntimeError("the links did not contract")
@@ -267,26 +320,16 @@ def connected(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, max_tree: int = MAX_TREE, width: int = 1) -> DataFrame:
-    """One row per document: doc_id, fingerprint (long, of several words a hash of them), component_id, the smallest
-    doc_id that links reach. With one word of fingerprint all links are found, with several those of `samples`."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
+    """One row per document: doc_id, fingerprint (long), component_id, the smallest doc_id that links reach."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    made = add_fingerprint(rows, "text", shingle, width, "p0").drop("text")
-    words = ["p0", *(f"p{i}" for i in range(1, width))]
-    made = made.select("doc_id", *[F.col(x).alias(w) for x, w in zip(["p0", *(f"p0_{i}" for i in range(1, width))], words)])
-    prints = stored(made.withColumn("fingerprint", F.col("p0") if width == 1 else F.xxhash64(*words)), "prints")
-    nodes = stored(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("first"), *[F.min(w).alias(w) for w in words]), "nodes")
-    roots = connected(near_links(nodes.select("node", *words), radius, max_tree, None if width == 1 else samples(width)))
-    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    prints = stored(add_fingerprint(rows, "text", shingle).select("doc_id", "fingerprint"), "prints")
+    nodes = stored(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("first")), "nodes")
+    roots = connected(near_links(nodes.select("node", F.col("node").alias("p0"), block_keys(F.col("node"), radius).alias("keys")), radius, max_tree))
+    rooted = stored(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("node").alias("fingerprint"), "component_id")
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def similarity_radius(similarity: float, width: int) -> int:
-    """Differing bits, of 64 * width, that two texts with this share of common shingles have on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * width * math.acos(cosine) / math.pi)
+    classes = stored(split_join(rooted, least, ["root"]).select(F.col("node").alias("fingerprint"), "component_id"), "classes")
+    return split_join(prints, classes, ["fingerprint"]).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

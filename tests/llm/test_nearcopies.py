@@ -72,3 +72,33 @@ def test_large_groups_in_pieces(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for piece in (7, 30, 4096):
         assert {r.doc_id: r.component_id for r in near_copies(df, max_tree=20, piece=piece).collect()} == plain_classes(texts)
+
+
+def test_pairs_at_the_similarity_are_found(spark):
+    """Recall on pairs between 0.80 and 0.84, most of them hard: of all such pairs at least 0.98 (no other links)."""
+    rng, texts, pairs = random.Random(23), {}, []
+    for g in range(1500):
+        n = rng.choice([13, 22, 49, 120, 250])
+        base = [f"w{rng.randint(0, 99_999)}" for _ in range(n)]
+        other = base[:]
+        e = max(1, (n - 4) // 9)  # the last e words change e shingles
+        other[n - e :] = [f"x{rng.randint(0, 99_999)}" for _ in range(e)]
+        a, b = 2 * g, 2 * g + 1
+        texts[a], texts[b] = " ".join(base), " ".join(other)
+        if 0.8 <= jaccard(shingles(texts[a]), shingles(texts[b])) <= 0.84:
+            pairs.append((a, b))
+    assert len(pairs) > 1000
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert all(got[a] in (a, a - a % 2) for a in texts)
+
+
+def test_ids_with_different_texts_and_repeated_rows(spark, sf_dir):
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "x", 2), (2, a, "en", "x", 3), (1, a, "en", "y", 4), (1, a, "en", "x", 1), (None, b, "en", "x", 6), (None, "alone here", None, None, None), (7, None, "en", "x", 8), (8, "", "en", "x", 9)]
+    docs = spark.createDataFrame([(*r, "kept", i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, member string, doc long")
+    out = cp.near_dedup(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in out.collect())
+    assert got == sorted([(1, a, 1), (1, b, 2), (0, "alone here", 0), (7, "", 8)]) and {r.member for r in out.collect()} == {"kept"}
+    assert cp.near_dedup(spark, docs.limit(0), sf_dir).count() == 0

@@ -6,7 +6,7 @@ import re
 import xxhash
 
 from siltstone.llm import simhash
-from siltstone.llm.simhash import add_fingerprint, connected, near_duplicates, near_links, op4_simhash
+from siltstone.llm.simhash import add_fingerprint, block_keys, connected, near_duplicates, near_links, op4_simhash
 from siltstone.sources.tables import table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,7 +67,7 @@ def test_dense_clusters_in_small_trees(spark):
     df = spark.createDataFrame([(signed(x),) for x in prints.values()], "node long")
     want = plain_classes(prints)
     for max_tree in (7, 4096):
-        roots = {r.node: r.root for r in connected(near_links(df.withColumn("p0", df.node), 2, max_tree)).collect()}
+        roots = {r.node: r.root for r in connected(near_links(df.withColumns({"p0": df.node, "keys": block_keys(df.node, 2)}), 2, max_tree)).collect()}
         got = {i: roots.get(signed(x), signed(x)) for i, x in prints.items()}
         for i in prints:
             for j in prints:
@@ -94,21 +94,3 @@ def test_nulls_empty_repeats_and_clashing_columns(spark):
     assert got == [(-1, 5), (3, 3), (4, 3), (5, 5), (5, 5), (7, 7), (9, 3)]
     assert near_duplicates(df.limit(0)).count() == 0
     assert add_fingerprint(df.limit(0).select("doc_id", "text")).count() == 0
-
-
-def test_wide_fingerprints_find_similar_texts(spark):
-    rng = random.Random(7)
-    w = lambda n: [f"w{rng.randint(0, 9999)}" for _ in range(n)]
-    rows, want = [], {}
-    for g in range(40):
-        base = w(rng.randint(150, 400))
-        for c in range(rng.choice([1, 1, 3])):
-            t = base[:]
-            if c:
-                t[rng.randrange(len(t))] = "edited"
-            rows.append((len(rows), " ".join(t)))
-            want.setdefault(g, []).append(len(rows) - 1)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_duplicates(df, shingle=5, width=4, radius=simhash.similarity_radius(0.8, 4)).collect()}
-    assert got == {d: min(ds) for ds in want.values() for d in ds}
-    assert simhash.similarity_radius(0.8, 4) == 39
