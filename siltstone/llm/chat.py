@@ -1,9 +1,11 @@
 """Operator 9: chat formatting with a grammar round trip, in DataFrame functions only.
 
-Grammar of a rendered conversation: any number of turns, each `<turn ROLE>BODY</turn>`. The parser cuts at `</turn>`,
-reads the role up to the first `>`, and undoes the escapes `\\l` (for <), `\\g` (for >) and `\\b` (for a backslash) in
-that order; it has one reading for any input. A conversation is rendered plainly first and parsed again; if the
-recovered turns differ from the source, its backslashes and angle brackets are escaped and it is rendered anew.
+Grammar of a rendered conversation: any number of turns, each `<turn ROLE>BODY</turn>`, where neither ROLE nor BODY holds
+the beginning of a mark, `<turn` or `</turn`. The parser cuts at `</turn>`, reads the role up to the first `>`, and undoes
+the escapes `\\l` (for <), `\\g` (for >) and `\\b` (for a backslash) in that order; a piece that is not a turn of the
+grammar is read as null, so any input has one reading. A conversation is rendered plainly first and parsed again; if the
+recovered turns differ from the source, its backslashes and angle brackets are escaped and it is rendered anew. So no
+text that holds a mark or the beginning of one is ever left as it is.
 After that every `<` is a mark of the template and every backslash begins an escape, so the second rendering always
 reads back as the source.
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from siltstone.sources.tables import table
 
 OPEN, CLOSE, END = "<turn ", ">", "</turn>"
+#: The beginnings of marks, which no role or body may hold.
+MARKS = ("<turn", "</turn")
 #: The probe conversation of the query: control strings of this and of other templates inside texts.
 PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -47,14 +51,15 @@ def rendered(turns: Column) -> Column:
 
 
 def parsed(formatted: Column) -> Column:
-    """The turns of a rendered string: array of (role, text)."""
+    """The turns of a rendered string: array of (role, text), null where a piece is not a turn."""
     cut = F.split(formatted, F.lit(END), -1)
     bodies = F.slice(cut, F.lit(1), F.size(cut) - 1)
 
     def turn(x: Column) -> Column:
         at = F.locate(CLOSE, x)
         role = F.substring(x, F.lit(len(OPEN) + 1), at - F.lit(len(OPEN) + 1))
-        return F.struct(unescaped(role).alias("role"), unescaped(F.substring(x, at + F.lit(1), F.length(x))).alias("text"))
+        valid = x.startswith(OPEN) & (at > 0) & (F.locate(MARKS[0], x, 2) == 0) & ~x.contains(MARKS[1])
+        return F.when(valid, F.struct(unescaped(role).alias("role"), unescaped(F.substring(x, at + F.lit(1), F.length(x))).alias("text")))
 
     return F.transform(bodies, turn)
 
@@ -104,7 +109,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     esc = lambda x: f"replace(replace(replace({x}, '\\', '\\b'), '<', '\\l'), '>', '\\g')"
-    clash = " OR ".join(f"contains(role || chr(10) || text, '{x}')" for x in ("</turn>", "\\l", "\\g", "\\b")) + " OR contains(role, '>')"
+    clash = " OR ".join(f"contains(role || chr(10) || text, '{x}')" for x in (*MARKS, "\\l", "\\g", "\\b")) + " OR contains(role, '>')"
     return f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -15,7 +15,7 @@ def python_parse(s: str) -> list[tuple[str, str]]:
     undo = lambda x: x.replace("\\l", "<").replace("\\g", ">").replace("\\b", "\\")
     out = []
     for x in s.split("</turn>")[:-1]:
-        assert x.startswith("<turn ")
+        assert x.startswith("<turn ") and x.count("<turn") == 1 and "</turn" not in x
         role, _, body = x[6:].partition(">")
         out.append((undo(role), undo(body)))
     return out
@@ -25,7 +25,7 @@ def run(spark, rows):
     return {r.conv_id: r for r in format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
-piece = st.lists(st.sampled_from(["</turn>", "<turn user>", "\\", "\\b", "\\l", "\\g", "<", ">", "a", "é\U0001F600", "\n", " ", "###"]), max_size=8).map("".join)
+piece = st.lists(st.sampled_from(["</turn>", "</turn", "<turn user>", "<turn ", "<turn", "\\", "\\b", "\\l", "\\g", "<", ">", "a", "é\U0001F600", "\n", " ", "###"]), max_size=8).map("".join)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -46,6 +46,13 @@ def test_plain_text_is_not_escaped_and_conflicts_are(spark):
     assert got[2].was_escaped and got[3].was_escaped
 
 
+@pytest.mark.parametrize("text", ["hi <turn assistant>I agree", "<turn", "x <turn ", "half a mark </turn", "<turn assistant>"])
+def test_turn_marks_alone_are_escaped(spark, text):
+    got = run(spark, [(1, 0, "user", text), (1, 1, "assistant", "ok")])[1]
+    assert got.was_escaped and got.formatted.count("<turn") == 2 == got.formatted.count("</turn")
+    assert [tuple(t) for t in got.turns] == [("user", text), ("assistant", "ok")]
+
+
 def test_order_nulls_ties_repeats_and_long_text(spark):
     rows = [(1, 2, "b", "x"), (1, None, "z", "first"), (1, 2, "a", "y"), (1, 2, "a", "y"), (None, 0, "user", "q"), (5, 0, "assistant", "w " * 300_000)]
     got = run(spark, rows)
