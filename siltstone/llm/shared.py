@@ -40,6 +40,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what a round of a loop wrote at a new path and no later step reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: computed once, and later stages that lose an
     executor restart from these files."""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import struct
 
 import pytest
 
@@ -59,3 +60,30 @@ def test_large_codes_are_exact(spark):
     rng = random.Random(9)
     rows = [(i, [float(rng.randint(-(2**20), 2**20)) for _ in range(3)]) for i in range(60)]
     assert run(spark, [(i, v, 0) for i, v in rows]) == plain(codes(rows))
+
+
+def test_codes_beyond_32_bits(spark):
+    rng = random.Random(10)
+    rows = [(0, [3e6, 1.0]), (1, [1.0, 1.0]), (2, [-3e9, 2.5]), (100, [2.0**21, -7.0]), (3, [0.0, 1e8])] + [(i, [rng.uniform(-1e6, 1e6), 0.5]) for i in range(200, 230)]
+    rows = [(i, [struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, v in rows]
+    assert run(spark, [(i, v, 0) for i, v in rows]) == plain(codes(rows))
+    assert any(r[2] == 0 for r in plain(codes(rows)))
+
+
+def test_what_no_long_holds_is_an_error(spark):
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, [(0, [1e30, 1.0], 0), (1, [1.0, 1.0], 0)])
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, [(0, [1e9, 1.0], 0), (1, [1e9, 1.0], 0)])
+
+
+def test_the_cutoff_saves_scores(spark):
+    """On skewed vectors few rows are resolved, and the lists' depth does not change the result."""
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) * (8 if i % 50 == 1 else 1) for _ in range(16)], 0) for i in range(3000)]
+    rows = [(i, [struct.unpack("f", struct.pack("f", x))[0] for x in v], l) for i, v, l in rows]
+    want, n_queries = plain(codes([r[:2] for r in rows])), 30
+    for depth in (4, 64):
+        counted = spark.sparkContext.accumulator(0)
+        assert run(spark, rows, row_block=500, query_block=16, depth=depth, counted=counted) == want
+        assert counted.value < 0.05 * n_queries * len(rows)
