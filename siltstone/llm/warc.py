@@ -6,18 +6,25 @@ The writer's line separator is a zero byte: the last byte of the empty member, w
 with equal payloads of at least `least` bytes the one with the smallest id is a response and the others are revisits
 without payload that name it.
 
+Files are rolled by records and by bytes: payloads of up to SMALL bytes are packed RECORDS_PER_FILE a file, larger ones by
+classes of size, so many a file as FILE_BYTES holds, since Spark's binary source takes no file over 2 GB.
+
 Reading: archives come through Spark's binary file source. A member is checked by its own checksum, a record by its
-version line, its length, the two line ends after it and its payload digest. After a failed check the reader looks for
-the next member, or in plain archives the next version line, from which a whole record can be read, goes on there, and
-reports the bytes between as a gap with the reason.
+version line, its length, the two line ends after it and its payload digest. What a damaged or cut member gives before
+its end is read too; where the member does not decompress or its checksum fails, only records whose payload digest fits
+count, and they carry that reason, as nothing proves their headers. After a failed check the reader goes on at the next version line of the same content, or at the
+next member of the file, from which a whole record can be read; a record of which only the payload digest fails is
+passed over as a whole. The bytes between are reported as a gap with the reason; `inside` is the place of a record or gap
+in the content of a member, null in plain archives, and then `bytes` counts bytes of that content.
 
 Defined cases: null payloads are empty; a null id is never the smallest, and its record names no page; rows that repeat
 the smallest id of their payload are responses all; empty tables give an archive without records; other columns are not
-read. A record is held in memory as a whole, archives are kept to RECORDS_PER_FILE records.
+read. A record, and an archive file, is held in memory as a whole.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -27,18 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import new_path
+from siltstone.llm.shared import new_path, split_join, stored
 from siltstone.sources.tables import table
 
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE, FILE_BYTES, SMALL = 1000, 1 << 30, 1 << 20
 LEVEL = 1
 #: Fixed values of the formats.
 VERSION, LINE, MEMBER = b"WARC/1.1", b"\r\n", b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a record's headers at most.
+MOST_HEAD = 1 << 20
 #: Rows of payloads that are broadcast at most when revisits are found (40 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
-SCHEMA = "archive string, kind string, start long, bytes long, reason string, page_id long, record_type string, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+SCHEMA = "archive string, kind string, start long, inside long, bytes long, reason string, page_id long, record_type string, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
 def member(record: bytes) -> bytes:
@@ -84,33 +93,49 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     sized = pages.select("page_id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload"))
     sized = sized.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     counted = sized.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = counted.filter("n > 1 AND first IS NOT NULL").select("payload_digest", "first").persist()
+    repeated = stored(counted.filter("n > 1 AND first IS NOT NULL").select("payload_digest", "first"), "repeated")
     if repeated.count() <= BROADCAST_ROWS:
         found = sized.join(F.broadcast(repeated), "payload_digest", "left")
     else:
-        found = sized.join(repeated, "payload_digest", "left")
+        found = split_join(sized, repeated, ["payload_digest"], "left")
     refers = F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first"))
     long_enough = F.col("payload_bytes") >= least
     out = found.withColumn("refers_to", F.when(long_enough, refers))
     return out.select("page_id", "uri", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_digest", "payload_bytes", "refers_to")
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", payload: str = "html", least: int = 100) -> None:
-    """Writes a record for each row of pages into archives under `path`. payload: text (as UTF-8) or binary."""
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", payload: str = "html", least: int = 100, file_bytes: int = FILE_BYTES, small: int = SMALL) -> None:
+    """Writes a record for each row of pages into archives under `path`. payload: text (as UTF-8) or binary. No file has
+    more than about file_bytes bytes of payload, but for those of one record."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(uri).alias("uri"), F.col(payload).cast("binary").alias("payload"))
-    packed = with_revisits(rows, least).mapInArrow(_pack, "value binary")
-    packed.select(F.col("value").cast("string")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    named = with_revisits(rows, least)
+    # class 0: up to `small` bytes, class c: up to 2 ** c times as many
+    size = F.coalesce(F.octet_length("payload"), F.lit(0))
+    of_size = F.when(size <= small, 0).otherwise(F.ceil(F.log2(size / small))).cast("int")
+    # revisits have no payload and are all in class 0
+    for number, c in enumerate(sorted({0, *(r.c for r in rows.select(of_size.alias("c")).distinct().collect())})):
+        part = named.filter(of_size == c)
+        packed = part.mapInArrow(_pack, "value binary").select(F.col("value").cast("string"))
+        most = max(1, min(RECORDS_PER_FILE, file_bytes // (small << c)))
+        packed.write.mode("append" if number else "errorifexists").option("lineSep", "\u0000").option("maxRecordsPerFile", most).text(path)
+
+
+UNPROVEN = "member does not decompress"
 
 
 class Damaged(Exception):
-    """A failed check."""
+    """A failed check; resume: where the record ends, if that is known all the same."""
+
+    def __init__(self, reason: str, resume: int | None = None):
+        super().__init__(reason)
+        self.resume = resume
 
 
 def one_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers (lower case), payload and end of the record that starts at `at`; all checks are made."""
     if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
-    end = data.find(LINE + LINE, at)
+    end = data.find(LINE + LINE, at, at + MOST_HEAD)
     if end < 0:
         raise Damaged("headers do not end")
     lines = data[at:end].split(LINE)
@@ -122,62 +147,139 @@ def one_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     except (KeyError, ValueError):
         raise Damaged("no content length") from None
     start = end + 4
-    payload = data[start : start + size]
-    if len(payload) < size or data[start + size : start + size + 4] != LINE + LINE:
+    if len(data) < start + size + 4 or data[start + size : start + size + 4] != LINE + LINE:
         raise Damaged("length does not fit")
-    named = head.get("warc-payload-digest", "")
+    payload, named = data[start : start + size], head.get("warc-payload-digest", "")
     if head.get("warc-type") == "response" and named.startswith("sha256:") and named[7:] != hashlib.sha256(payload).hexdigest():
-        raise Damaged("payload digest does not fit")
+        raise Damaged("payload digest does not fit", start + size + 4)
     return head, payload, start + size + 4
 
 
-def one_member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `at`, and its end. Read in growing parts, as what follows it is copied."""
-    reader, content, size = zlib.decompressobj(31), [], 4096
+def one_member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at `at`, its end, and what is wrong with it; then the content is what comes before the
+    damage. Read in growing parts, as what follows the member is copied."""
+    reader, content, size, began = zlib.decompressobj(31), [], 4096, at
     while not reader.eof:
         if at >= len(data):
-            raise Damaged("member does not end")
+            return b"".join(content), at, "member does not end"
         part = data[at : at + size]
         try:
             content.append(reader.decompress(part))
         except zlib.error:
-            raise Damaged("member does not decompress") from None
+            return b"".join([*content, _before_damage(data, began, at, size)]), at, UNPROVEN
         at, size = at + len(part), min(2 * size, 1 << 20)
-    return b"".join(content), at - len(reader.unused_data)
+    return b"".join(content), at - len(reader.unused_data), None
+
+
+def _before_damage(data: bytes, began: int, at: int, size: int) -> bytes:
+    """What the part [at, at + size) of a member gives before its damage, byte by byte."""
+    reader, content = zlib.decompressobj(31), []
+    reader.decompress(data[began:at])
+    try:
+        for i in range(at, min(at + size, len(data))):
+            content.append(reader.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(content)
+
+
+def proven(head: dict, payload: bytes) -> bool:
+    """Whether the record names a digest of its payload or block that fits (hexadecimal SHA-256 or base 32 SHA-1)."""
+    for name in ("warc-payload-digest", "warc-block-digest"):
+        kind, _, told = head.get(name, "").partition(":")
+        if kind == "sha256" and told.lower() == hashlib.sha256(payload).hexdigest() or kind == "sha1" and told == base64.b32encode(hashlib.sha1(payload).digest()).decode():
+            return True
+    return False
+
+
+class Next:
+    """The next place of a pattern at or after a place that only grows; each byte is searched once."""
 
+    def __init__(self, data: bytes, what: bytes):
+        self.data, self.what, self.found = data, what, -2
 
-def read_records(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes | None, str | None]]:
-    """(start, end, headers, payload, None) for each record, (start, end, None, None, reason) for each gap, in order."""
-    at, bad, reason = 0, None, None
+    def __call__(self, at: int) -> int:
+        """len(data) if there is none."""
+        if -2 < self.found < at or self.found == -2:
+            found = self.data.find(self.what, at)
+            self.found = found if found >= 0 else len(self.data)
+        return self.found
 
-    def read(where: int) -> tuple[list[tuple[dict, bytes]], int]:
-        if data.startswith(MEMBER, where):
-            content, end = one_member(data, where)
-            found, inner = [], 0
-            while inner < len(content):
-                head, payload, inner = one_record(content, inner)
-                found.append((head, payload))
-            return found, end
-        head, payload, end = one_record(data, where)
-        return [(head, payload)], end
 
+Found = tuple[int, int, dict | None, bytes | None, str | None]
+
+
+def plain_records(data: bytes, at: int = 0, stop: bytes | None = None) -> Iterator[Found]:
+    """(start, end, headers, payload, None) for each record of plain content, (start, end, None, None, reason) for each gap,
+    in order. stop: the reader returns where a whole record has ended or none begins and this stands."""
+    line, bad, reason = Next(data, b"WARC/"), None, None
+    other = Next(data, stop) if stop else None
     while at < len(data):
+        if stop and data.startswith(stop, at):
+            break
         try:
-            found, end = read(at)
+            head, payload, end = one_record(data, at)
         except Damaged as why:
             if bad is None:
                 bad, reason = at, str(why)
-            later = [x for x in (data.find(MEMBER, at + 1), data.find(b"WARC/", at + 1)) if x >= 0]
-            at = min(later, default=len(data))
+            if why.resume is not None:
+                yield bad, why.resume, None, None, reason
+                at, bad = why.resume, None
+            else:
+                at = min(line(at + 1), other(at + 1) if other else len(data))
             continue
         if bad is not None:
             yield bad, at, None, None, reason
             bad = None
-        for head, payload in found:
-            yield at, end, head, payload, None
+        yield at, end, head, payload, None
         at = end
     if bad is not None:
-        yield bad, len(data), None, None, reason
+        yield bad, at, None, None, reason
+
+
+def read_records(data: bytes) -> Iterator[tuple[int, int | None, int, dict | None, bytes | None, str | None]]:
+    """(start, inside, bytes, headers, payload, None or the doubt about its member) for each record, (start, inside, bytes, None, None, reason) for each
+    gap, in order. inside: the place in the content of the member at `start`, None outside of members."""
+    at, bad, reason, member_at, line = 0, None, None, Next(data, MEMBER), Next(data, b"WARC/")
+
+    def gap(end: int):
+        nonlocal bad
+        out = [(bad, None, end - bad, None, None, reason)] if bad is not None and end > bad else []
+        bad = None
+        return out
+
+    while at < len(data):
+        if data.startswith(MEMBER, at):
+            content, end, wrong = one_member(data, at)
+            found = list(plain_records(content))
+            doubt = wrong if wrong == UNPROVEN else None
+            if doubt:
+                found = [x for x in found if x[2] is not None and proven(x[2], x[3])]
+            if wrong is None or any(x[2] is not None for x in found):
+                yield from gap(at)
+                for start, stop, head, payload, why in found:
+                    if why is None or wrong is None or stop < len(content):
+                        yield at, start, stop - start, head, payload, why or doubt
+                if wrong is None:
+                    at = end
+                    continue
+            if bad is None:
+                bad, reason = at, wrong
+            at = min(member_at(at + 1), line(at + 1))
+            if any(x[2] is not None for x in found):
+                yield from gap(at)
+            continue
+        last = at
+        for start, end, head, payload, why in plain_records(data, at, MEMBER):
+            if head is None:
+                if bad is None:
+                    bad, reason = start, why
+            else:
+                yield from gap(start)
+                yield start, None, end - start, head, payload, None
+            last = end
+        at = last
+    yield from gap(len(data))
 
 
 def _page(name: str | None) -> int | None:
@@ -185,6 +287,10 @@ def _page(name: str | None) -> int | None:
     return int(digits) if digits.lstrip("-").isdigit() else None
 
 
+def _number(told: str | None) -> int | None:
+    return int(told) if told and told.isdigit() else None
+
+
 def _unpack(keep_payload: bool):
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -194,14 +300,14 @@ def _unpack(keep_payload: bool):
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
                 rows, held = [], 0
-                for start, end, head, payload, reason in read_records(content.as_py()):
+                for start, inside, size, head, payload, reason in read_records(content.as_py()):
                     if head is None:
-                        rows.append((path.as_py(), "gap", start, end - start, reason, None, None, None, None, None, None, None))
+                        rows.append((path.as_py(), "gap", start, inside, size, reason, None, None, None, None, None, None, None))
                         continue
-                    size = head.get("warc-payload-length") if head.get("warc-type") == "revisit" else str(len(payload))
+                    told = head.get("warc-payload-length") if head.get("warc-type") == "revisit" else str(len(payload))
                     digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
                     uri, kept = head.get("warc-target-uri"), payload if keep_payload and head.get("warc-type") != "revisit" else None
-                    rows.append((path.as_py(), "record", start, end - start, None, _page(head.get("warc-record-id")), head.get("warc-type"), uri, int(size or 0), digest, _page(head.get("warc-refers-to")), kept))
+                    rows.append((path.as_py(), "record", start, inside, size, reason, _page(head.get("warc-record-id")), head.get("warc-type"), uri, _number(told), digest, _page(head.get("warc-refers-to")), kept))
                     held += len(kept or b"")
                     if len(rows) >= 1000 or held > 1 << 24:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
@@ -213,7 +319,7 @@ def _unpack(keep_payload: bool):
 
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """Records and gaps of all archives under `path`: archive, kind (record or gap), start, bytes, reason, page_id,
+    """Records and gaps of all archives under `path`: archive, kind (record or gap), start, inside, bytes, reason, page_id,
     record_type, uri, payload_bytes, payload_digest, refers_to, payload (null for revisits, or if not kept)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_unpack(keep_payload), SCHEMA)

@@ -56,7 +56,7 @@ def records(n):
 
 def read(data):
     found = list(read_records(data))
-    return [int(h["warc-record-id"][10:-1]) for _, _, h, _, _ in found if h], [(a, b) for a, b, h, _, _ in found if h is None]
+    return [int(h.get("warc-record-id", "<urn:page:-1>")[10:-1]) for _, _, _, h, _, _ in found if h], [(a, a + n) if inside is None else (a, inside, n) for a, inside, n, h, _, _ in found if h is None]
 
 
 def test_salvage_of_damaged_members_and_plain_records():
@@ -88,3 +88,44 @@ def test_every_single_byte_flip_loses_one_record_at_most():
         data = bytearray(whole)
         data[at] ^= 0xFF
         assert len(read(bytes(data))[0]) >= 2
+
+
+def test_records_inside_one_member_are_salvaged():
+    parts = records(3)
+    hurt = bytearray(parts[1])
+    hurt[-50] ^= 0xFF
+    at, n = len(parts[0]), len(parts[1])
+    ids, gaps = read(gzip.compress(parts[0] + bytes(hurt) + parts[2]))
+    assert ids == [0, 2] and gaps == [(0, at, n)]
+    ids, gaps = read(gzip.compress(parts[0] + parts[1][:-200] + parts[2]))
+    assert ids == [0, 2] and gaps == [(0, at, n - 200)]
+    whole = gzip.compress(b"".join(parts))
+    ids, gaps = read(whole[:-120])
+    assert ids == [0, 1] and gaps == [(0, len(whole) - 120)]
+    bad = bytearray(whole + member(records(5)[4]))
+    bad[len(whole) - 6] ^= 0xFF  # the checksum of the first member only
+    assert read(bytes(bad))[0] == [0, 1, 2, 4]
+    bad[len(whole) // 2] ^= 0xFF
+    ids, _ = read(bytes(bad))
+    assert ids[0] == 0 and ids[-1] == 4
+
+
+def test_a_plain_record_with_a_member_magic_in_its_damage():
+    parts = records(4)
+    hurt = parts[1][:300] + b"\x1f\x8b\x08" + parts[1][310:]
+    assert read(parts[0] + hurt + parts[2] + parts[3]) == ([0, 2, 3], [(len(parts[0]), len(parts[0]) + len(hurt))])
+
+
+def test_files_are_rolled_by_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "u", rng.randbytes(rng.choice([100, 900, 1800, 7000, 30_000]))) for i in range(60)] + [(100 + i, "u", b"same" * 4000) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html binary").coalesce(1)
+    path = str(tmp_path / "rolled")
+    write_archives(df, path, file_bytes=16_000, small=1000)
+    back = read_archives(spark, path)
+    per_file = {}
+    for r in back.collect():
+        per_file.setdefault(r.archive, []).append(len(r.payload or b""))
+    assert sum(map(len, per_file.values())) == len(rows) and back.filter("kind = 'gap'").count() == 0
+    assert all(sum(x) <= 16_000 or len(x) == 1 for x in per_file.values())
+    assert {r.page_id: bytes(r.payload) for r in with_payloads(back).collect()} == {i: x for i, _, x in rows}
