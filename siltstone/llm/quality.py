@@ -1,27 +1,31 @@
 """Operator 6: quality by the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, of order ORDER: the most frequent code points of all trusted text have symbols of their
-own, other letters and all else share two, white space is one symbol however long its run. A text begins after spaces.
-Tasks count the n-grams of their trusted texts, Spark adds the counts up; lower orders count distinct left
-neighbours. Per order, the count table is joined with its contexts' totals and with the probabilities of the next
-lower order, both dealt out by their keys, which gives the interpolated probability of every n-gram seen and the
-back-off weight of every context seen. There are at most 2 ** (BITS * ORDER) n-grams however much text there is, so
-the tables have a proven bound (64 MB); spread out into one array, they go to the tasks that score whole texts.
-
-A document is kept if its perplexity is at most its threshold: the `quantile` of the log perplexities of its language's
-trusted documents, to a thousandth of a nat, and `slack` over the root of its number of symbols, as the mean of few
-symbols says little. The quantile is taken over a fifth of the trusted documents, by a hash of the doc_id, and the
-model is trained on all others, so that what it has learned by heart does not lower the thresholds.
-
-Defined cases: a null or empty text has perplexity null and is not kept; a text of white space only is one symbol;
-a null language is a language of its own; a language without such trusted documents has threshold null and keeps what has
-symbols; without trusted text at all every symbol is equally likely; a document with several labels is trusted if none
-is against it; repeated rows are each scored; empty tables give empty results; other columns are not read.
+The model is over the bytes of the text in UTF-8, of order ORDER, so it has every script; a run of ASCII white space is
+one space, and a text begins after spaces. Tasks count the n-grams of their trusted texts, Spark adds the counts up;
+lower orders count distinct left neighbours. Per order, the count table is joined with its contexts' totals and with the
+probabilities of the next lower order, all dealt out by their keys, which gives the interpolated probability of every
+n-gram seen and the back-off weight of every context seen.
+
+Scoring looks up the n-grams of whole texts. The model's tables are broadcast if they have at most `broadcast_rows` rows;
+else documents are dealt to blocks of about BLOCK_BYTES of text, the distinct n-grams of each block are joined with the
+tables order by order, and each block is put together with its own n-grams. Both ways give the same scores.
+
+A document is kept if its perplexity is at most its threshold, the `quantile` of the perplexities of all trusted documents
+of its language, to a thousandth of a nat. Trusted documents are dealt to `folds` by a hash of the doc_id, and for the
+thresholds each fold is scored by the model of the others, so that what a model has learned by heart does not lower
+them. All documents are scored by the model of all trusted text.
+
+Defined cases: a null or empty text has perplexity null and is not kept; a text of white space only is one symbol; texts
+are read whole, in parts; a null language is a language of its own; a language without trusted documents that have a
+symbol has threshold null and keeps what has symbols; without trusted text at all every byte is equally likely; a
+document with several labels is trusted if none is against it, null labels and labels without a doc_id count for
+nothing; documents without a doc_id are never trusted; repeated rows are each scored; empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,191 +36,248 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import stored
 from siltstone.sources.tables import table
 
-ORDER, BITS = 4, 6
-#: Least probability of a symbol; discounts may be 0, and what was never seen then has none.
-FLOOR = 1e-7
-SYMBOLS = 1 << BITS
-SPACE, OTHER_LETTER, OTHER = 0, 1, 2
-#: Characters that are turned into symbols at a time.
-PART = 1 << 20
-#: Trusted doc_ids that are broadcast at most; beyond them texts are shuffled to the labels.
+ORDER, SYMBOLS = 5, 256
+#: Bytes of a text that are turned into n-grams at a time, and n-grams that are counted at a time.
+PART, COUNTED = 1 << 20, 1 << 22
+#: Least log probability of a byte; discounts may be 0, and what was never seen then has none.
+FLOOR = math.log(1e-7)
+#: Rows of the model's tables (about 16 bytes each) that are broadcast at most; text of a block beyond that.
+BROADCAST_MODEL, BLOCK_BYTES = 6_000_000, 1 << 24
+#: Trusted doc_ids and thresholds that are broadcast at most; beyond them texts are shuffled to the labels.
 BROADCAST_ROWS = 1_000_000
 #: Thousandths of a nat are the unit in which quantiles are taken.
 UNITS = 1000
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 
 
-def _code_points(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
-    for text in texts:
-        for i in range(0, len(text or ""), PART):
-            yield np.frombuffer(text[i : i + PART].encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
-    return (x.as_py() for x in batch.column("text"))
-
-
-def symbol_table(trusted: DataFrame) -> np.ndarray:
-    """The symbol of every code point, from the code point counts of all trusted text (at most one row per code point)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for points in _code_points(_texts(batch)):
-                found = np.bincount(points)
-                total[: len(found)] += found
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"point": pa.array(at, pa.int64()), "n": pa.array(total[at])})
-
-    counts = trusted.select("text").mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    common = [r.point for r in counts.orderBy(F.desc("n"), "point").limit(4 * SYMBOLS).collect()]
-    table_of_symbols = np.full(0x110000, OTHER, np.uint8)
-    for point in range(0x110000):
-        c = chr(point)
-        if c.isspace():
-            table_of_symbols[point] = SPACE
-        elif c.isalpha():
-            table_of_symbols[point] = OTHER_LETTER
-    for symbol, point in enumerate([p for p in common if not chr(p).isspace() and unicodedata.category(chr(p))[0] != "C"][: SYMBOLS - 3], 3):
-        table_of_symbols[point] = symbol
-    return table_of_symbols
-
-
-def _grams(text: str | None, symbols: np.ndarray) -> Iterator[np.ndarray]:
+def grams(text: str | None) -> Iterator[np.ndarray]:
     """The codes of the ORDER-grams that end at each symbol of a text, in parts."""
-    carry, first = np.full(ORDER - 1, SPACE, np.int32), True
-    for points in _code_points(iter([text])):
-        s = symbols[points].astype(np.int32)
-        keep = s != SPACE
-        keep[1:] |= s[:-1] != SPACE
-        keep[0] = keep[0] or first or carry[-1] != SPACE
-        s, first = np.concatenate((carry, s[keep])), False
+    data = (text or "").encode("utf-8", "surrogatepass")
+    carry, first = np.full(ORDER - 1, 32, np.int64), True
+    for at in range(0, len(data), PART):
+        s = np.frombuffer(data, np.uint8, min(PART, len(data) - at), at)
+        space = SPACES[s]
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[0] = keep[0] or first or carry[-1] != 32
+        s, first = np.concatenate((carry, np.where(space, 32, s)[keep].astype(np.int64))), False
         codes = s[: len(s) - ORDER + 1].copy()
         for i in range(1, ORDER):
-            codes <<= BITS
+            codes <<= 8
             codes |= s[i : len(s) - ORDER + 1 + i]
         carry = s[len(s) - ORDER + 1 :]
         yield codes
 
 
-def count_grams(trusted: DataFrame, symbols: np.ndarray) -> DataFrame:
-    """(gram, c): how often each ORDER-gram occurs in all trusted texts."""
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    return (x.as_py() for x in batch.column("text"))
+
+
+def count_grams(trusted: DataFrame, folds: int) -> DataFrame:
+    """(model, gram, c) from (fold, text): how often each ORDER-gram occurs, for model i in all folds but fold i, for model
+    number `folds` in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << (BITS * ORDER), np.int32), [], 0
-
-        def add() -> None:
-            nonlocal held, size
-            if held:
-                # sorted, so that a few distinct ones are added to the large array
-                found, n = np.unique(np.concatenate(held), return_counts=True)
-                total[found] += n.astype(np.int32)
-                held, size = [], 0
+        held, size = {}, 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for fold, codes in held.items():
+                found, n = np.unique(np.concatenate(codes), return_counts=True)
+                for i in range(0, len(found), 1 << 16):
+                    part = found[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"fold": pa.array(np.full(len(part), fold, np.int32)), "gram": pa.array(part), "c": pa.array(n[i : i + (1 << 16)])})
+            held.clear()
+            size = 0
 
         for batch in batches:
-            for text in _texts(batch):
-                for codes in _grams(text, symbols):
-                    held.append(codes)
+            for fold, text in zip(batch.column("fold").to_pylist(), _texts(batch)):
+                for codes in grams(text):
+                    held.setdefault(fold, []).append(codes)
                     size += len(codes)
-                    if size > 4 * PART:
-                        add()
-        add()
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(part, pa.int64()), "c": pa.array(total[part], pa.int64())})
+                    if size > COUNTED:
+                        yield from counted()
+        yield from counted()
 
-    return trusted.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    counts = trusted.select("fold", "text").mapInArrow(run, "fold int, gram long, c long").groupBy("fold", "gram").agg(F.sum("c").alias("c"))
+    models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("fold")))
+    return counts.withColumn("model", models).groupBy("model", "gram").agg(F.sum("c").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """The three discounts of modified Kneser-Ney from the counts of counts 1 to 4; 0 where they are not defined."""
-    n = counts.agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    y = n.n1 / (n.n1 + 2 * n.n2) if n.n1 else 0.0
-    some = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.0 for i in (1, 2, 3)]
-    return [min(max(d, 0.0), float(i)) for i, d in enumerate(some, 1)]
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(model, d1, d2, d3): the discounts of modified Kneser-Ney from the counts of counts 1 to 4; 0 where they are not
+    defined. A row for each model."""
+    n = counts.groupBy("model").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
+    some = [F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.0)) for i in (1, 2, 3)]
+    return n.select("model", *[F.greatest(F.lit(0.0), F.least(F.lit(float(i)), d)).alias(f"d{i}") for i, d in enumerate(some, 1)])
 
 
-def model_tables(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Per order from 1 to ORDER: (gram, p) for every n-gram seen and (context, backoff) for every context seen."""
-    counts = {ORDER: stored(grams, "kn-counts")}
+def model_tables(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Per order from 1 to ORDER: (model, gram, p) for every n-gram seen and (model, context, backoff) for every context
+    seen, from counts (model, gram, c) of the highest order."""
+    of = {ORDER: stored(counts, "kn-counts")}
     for n in range(ORDER - 1, 0, -1):
-        counts[n] = stored(counts[n + 1].groupBy(F.col("gram").bitwiseAND((1 << (BITS * n)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "kn-counts")
+        of[n] = stored(of[n + 1].groupBy("model", F.col("gram").bitwiseAND((1 << (8 * n)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "kn-counts")
     out, lower = [], None
     for n in range(1, ORDER + 1):
-        d = _discounts(counts[n])
-        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = counts[n].withColumn("context", F.shiftright("gram", BITS)).withColumn("d", off)
-        totals = rows.groupBy("context").agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") > 2).alias("n3"))
-        weights = stored(totals.select("context", "total", ((d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).alias("backoff")), "kn-weights")
-        joined = rows.join(weights, "context").withColumn("lower_gram", F.col("gram").bitwiseAND((1 << (BITS * (n - 1))) - 1))
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = of[n].join(F.broadcast(_discounts(of[n])), "model").withColumn("d", off).withColumn("context", F.shiftright("gram", 8))
+        weights = stored(rows.groupBy("model", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("backoff")), "kn-weights")
+        joined = rows.join(weights, ["model", "context"]).withColumn("lower_gram", F.col("gram").bitwiseAND((1 << (8 * (n - 1))) - 1))
         if lower is None:
             joined = joined.withColumn("lower_p", F.lit(1.0 / SYMBOLS))
         else:
-            joined = joined.join(lower.select(F.col("gram").alias("lower_gram"), F.col("p").alias("lower_p")), "lower_gram")
-        lower = stored(joined.select("gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("backoff") * F.col("lower_p")).alias("p")), "kn-probabilities")
-        out.append((lower, weights.select("context", "backoff")))
+            joined = joined.join(lower.select("model", F.col("gram").alias("lower_gram"), F.col("p").alias("lower_p")), ["model", "lower_gram"])
+        lower = stored(joined.select("model", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("backoff") * F.col("lower_p")).alias("p")), "kn-probabilities")
+        out.append((lower, weights.select("model", "context", "backoff")))
     return out
 
 
-def log_probabilities(tables: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """The log probability of every ORDER-gram, seen or not, as one array of fixed size."""
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
+def joined_scores(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """asked (model, gram) with logp, the log probability of the last byte of the n-gram after the others."""
+    p = asked.withColumn("q", F.lit(1.0 / SYMBOLS))
     for n, (seen, weights) in enumerate(tables, 1):
-        backoff = np.ones(1 << (BITS * (n - 1)), np.float32)
-        rows = weights.toArrow()
-        backoff[rows.column("context").to_numpy()] = rows.column("backoff").to_numpy()
-        # a context backs off to itself without its first symbol
-        p = (backoff.reshape(SYMBOLS if n > 1 else 1, -1, 1) * p.reshape(1, -1, SYMBOLS)).ravel()
-        rows = seen.toArrow()
-        p[rows.column("gram").to_numpy()] = rows.column("p").to_numpy()
-    np.maximum(p, FLOOR, out=p)
-    return np.log(p, out=p)
-
-
-def score(docs: DataFrame, symbols: np.ndarray, logp: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_symbols, nats (mean negative log probability of a symbol; null without symbols)."""
+        p = p.withColumn("g", F.col("gram").bitwiseAND((1 << (8 * n)) - 1)).withColumn("context", F.shiftright("g", 8))
+        p = p.join(weights, ["model", "context"], "left").join(seen.withColumnRenamed("gram", "g"), ["model", "g"], "left")
+        p = p.select("model", "gram", F.coalesce("p", F.coalesce("backoff", F.lit(1.0)) * F.col("q")).alias("q"))
+    return p.select("model", "gram", F.greatest(F.log("q"), F.lit(FLOOR)).alias("logp"))
+
+
+class Lookup:
+    """The tables of one model as sorted arrays."""
+
+    def __init__(self, orders: list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]):
+        self.orders = orders
+
+    @staticmethod
+    def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the wanted keys and whether they are there."""
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
+
+    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
+        out, factor, left = np.empty(len(codes)), np.ones(len(codes)), np.arange(len(codes))
+        for n in range(len(self.orders), 0, -1):
+            (seen, p), (contexts, backoff) = self.orders[n - 1]
+            part = codes[left] & ((1 << (8 * n)) - 1)
+            at, found = self._at(seen, part)
+            out[left[found]] = factor[left[found]] * p[at[found]]
+            left, part = left[~found], part[~found]
+            if not len(left):
+                break
+            at, found = self._at(contexts, part >> 8)
+            factor[left[found]] *= backoff[at[found]]
+        out[left] = factor[left] / SYMBOLS
+        with np.errstate(divide="ignore"):
+            return np.maximum(np.log(out), FLOOR)
+
+
+def collected(tables: list[tuple[DataFrame, DataFrame]], folds: int) -> list[Lookup]:
+    """The tables of all models on the driver; their size has been checked."""
+    parts = []
+    for pair in tables:
+        for rows, key, value in zip(pair, ("gram", "context"), ("p", "backoff")):
+            got = rows.select("model", key, value).toArrow()
+            model, keys, values = (got.column(c).to_numpy() for c in ("model", key, value))
+            order = np.lexsort((keys, model))
+            cuts = np.searchsorted(model[order], np.arange(folds + 2))
+            parts.append([(keys[order[a:b]], values[order[a:b]]) for a, b in zip(cuts, cuts[1:])])
+    return [Lookup([(parts[2 * n][m], parts[2 * n + 1][m]) for n in range(len(tables))]) for m in range(folds + 1)]
+
+
+def _mean(text: str | None, log_probabilities) -> tuple[int, float | None]:
+    total, n = 0.0, 0
+    for codes in grams(text):
+        total += float(log_probabilities(codes).sum())
+        n += len(codes)
+    return n, -total / n if n else None
+
+
+CARRIED = ("doc_id", "lang", "lang_key", "model")
+SCORED = "doc_id long, lang string, lang_key string, model int, n_symbols long, nats double"
+
+
+def _scored(rows: pa.RecordBatch | pa.Table, found: list[tuple[int, float | None]]) -> dict:
+    return {c: rows.column(c) for c in CARRIED} | {"n_symbols": pa.array([n for n, _ in found], pa.int64()), "nats": pa.array([x for _, x in found], pa.float64())}
+
+
+def score_by_broadcast(docs: DataFrame, lookups) -> DataFrame:
+    """SCORED for docs (CARRIED, text); lookups: a broadcast of a Lookup for each model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, sizes = [], []
-            for text in _texts(batch):
-                total, n = 0.0, 0
-                for codes in _grams(text, symbols):
-                    total += float(logp[codes].sum(dtype=np.float64))
-                    n += len(codes)
-                sums.append(-total / n if n else None)
-                sizes.append(n)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_symbols": pa.array(sizes, pa.int64()), "nats": pa.array(sums, pa.float64())})
+            models = batch.column("model").to_pylist()
+            yield pa.RecordBatch.from_pydict(_scored(batch, [_mean(t, lookups.value[m].log_probabilities) for m, t in zip(models, _texts(batch))]))
+
+    return docs.mapInArrow(run, SCORED)
+
+
+def score_by_blocks(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """SCORED for docs (CARRIED, text), by joins of the n-grams of blocks of documents with the tables."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.lit("block")), F.lit(max(1, math.ceil(size / block_bytes)))))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        codes, held = np.empty(0, np.int64), []
+        for text in rows.column("text"):
+            for part in grams(text.as_py()):
+                held.append(part)
+                if sum(map(len, held)) > COUNTED:
+                    codes, held = np.unique(np.concatenate([codes, *held])), []
+        codes = np.unique(np.concatenate([codes, *held]))
+        one = lambda c, t: pa.array([rows.column(c)[0].as_py()] * len(codes), t)
+        return pa.table({"model": one("model", pa.int32()), "block": one("block", pa.int64()), "gram": pa.array(codes)})
+
+    asked = stored(placed.groupBy("model", "block").applyInArrow(ask, "model int, block long, gram long"), "kn-asked")
+    told = stored(joined_scores(asked.select("model", "gram").distinct(), tables), "kn-told")
+    answers = asked.join(told, ["model", "gram"])
+
+    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
+        keys, values = told.column("gram").to_numpy(), told.column("logp").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = [_mean(t.as_py(), lambda codes: values[np.searchsorted(keys, codes)]) for t in rows.column("text")]
+        return pa.table(_scored(rows, found))
 
-    return docs.mapInArrow(run, "doc_id long, lang string, n_symbols long, nats double")
+    return placed.groupBy("model", "block").cogroup(answers.groupBy("model", "block")).applyInArrow(score, SCORED)
 
 
 def _thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     """(lang_key, limit): the upper end, in UNITS of a nat, of the bucket that the quantile of each language falls into."""
-    buckets = scored.filter("held AND nats IS NOT NULL").groupBy("lang_key", F.floor(F.col("nats") * UNITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    buckets = scored.filter("nats IS NOT NULL").groupBy("lang_key", F.floor(F.col("nats") * UNITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     per = Window.partitionBy("lang_key")
     up = F.sum("n").over(per.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = buckets.withColumn("up", up).withColumn("all", F.sum("n").over(per))
     return ranked.filter(F.col("up") >= F.col("all") * quantile).groupBy("lang_key").agg((F.min("bucket") + 1).alias("limit"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 2.5) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, folds: int = 2, broadcast_rows: int = BROADCAST_MODEL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, keep for every row of docs (doc_id, text, lang).
 
     labels: (doc_id, quality); documents of quality 1 are trusted.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    good = stored(labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1 AND doc_id IS NOT NULL").select("doc_id"), "trusted")
-    trusted = rows.join(F.broadcast(good) if good.count() <= BROADCAST_ROWS else good, "doc_id", "left_semi").filter("text IS NOT NULL")
-    fitted = trusted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) > 0)
-    symbols = symbol_table(fitted)
-    logp = log_probabilities(model_tables(count_grams(fitted, symbols)))
-    scored = stored(score(rows, symbols, logp), "scored")
-    flagged = scored.join(good.withColumn("t", F.lit(True)), "doc_id", "left").withColumn("held", F.coalesce("t", F.lit(False)) & (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0))
-    flagged = flagged.withColumn("lang_key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
-    limits = _thresholds(flagged, quantile)
-    out = flagged.join(F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits, "lang_key", "left")
-    most = F.col("limit") / UNITS + slack / F.sqrt(F.nullif(F.col("n_symbols"), F.lit(0)))
+    spark = docs.sparkSession
+    good = stored(labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("trusted")), "trusted")
+    near = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    language = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), language.alias("lang_key"))
+    rows = rows.join(near, "doc_id", "left").withColumn("fold", F.when(F.coalesce("trusted", F.lit(False)), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))).cast("int"))
+    tables = model_tables(count_grams(rows.filter("fold IS NOT NULL"), folds))
+    # every document by the model of all, the trusted ones by the model of the other folds too
+    models = F.explode(F.when(F.col("fold").isNull(), F.array(F.lit(folds))).otherwise(F.array(F.lit(folds), F.col("fold"))))
+    asked = rows.withColumn("model", models)
+    if sum(t.count() for pair in tables for t in pair) <= broadcast_rows:
+        lookups = spark.sparkContext.broadcast(collected(tables, folds))
+        scored = score_by_broadcast(asked.select(*CARRIED, "text"), lookups)
+    else:
+        scored = score_by_blocks(asked.select(*CARRIED, "text"), tables, block_bytes)
+    scored = stored(scored, "scored")
+    limits = stored(_thresholds(scored.filter(F.col("model") < folds), quantile), "limits")
+    out = scored.filter(F.col("model") == folds).join(F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits, "lang_key", "left")
+    most = F.col("limit") / UNITS
     keep = F.col("nats").isNotNull() & F.coalesce(F.col("nats") <= most, F.lit(True))
     return out.select("doc_id", "lang", "n_symbols", F.exp("nats").alias("perplexity"), F.exp(most).alias("threshold"), keep.alias("keep"))
 

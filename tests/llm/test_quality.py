@@ -7,24 +7,24 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from siltstone.llm import quality
-from siltstone.llm.quality import BITS, ORDER, SYMBOLS, count_grams, judge, log_probabilities, model_tables, op6_quality, symbol_table
+from siltstone.llm.quality import ORDER, SYMBOLS, count_grams, judge, model_tables, op6_quality
 from siltstone.sources.tables import table
 
 ROWS = "doc_id long, text string, lang string"
 
 
-def plain_grams(text, symbols):
-    s = [0] * (ORDER - 1)
-    for c in text:
-        x = int(symbols[ord(c)])
-        if x != 0 or s[-1] != 0 or len(s) == ORDER - 1:
+def plain_grams(text):
+    s = [32] * (ORDER - 1)
+    for x in text.encode():
+        x = 32 if x in b" \t\n\v\f\r" else x
+        if x != 32 or s[-1] != 32 or len(s) == ORDER - 1:
             s.append(x)
     return [tuple(s[i : i + ORDER]) for i in range(len(s) - ORDER + 1)]
 
 
-def plain_model(texts, symbols):
+def plain_model(texts):
     """Interpolated modified Kneser-Ney by its definition, over dictionaries."""
-    counts = {ORDER: Counter(g for t in texts for g in plain_grams(t, symbols))}
+    counts = {ORDER: Counter(g for t in texts for g in plain_grams(t))}
     for n in range(ORDER - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     tables = {}
@@ -49,30 +49,71 @@ def plain_model(texts, symbols):
     return p
 
 
+def code(g):
+    return sum(x << (8 * (ORDER - 1 - i)) for i, x in enumerate(g))
+
+
+def some_texts(rng, n):
+    return ["".join(rng.choice("aab  ,é\nXx!日本") for _ in range(rng.randint(1, 120))) for _ in range(n)]
+
+
 def test_probabilities_against_the_definition_and_they_sum_to_one(spark):
     rng = random.Random(1)
-    texts = ["".join(rng.choice("aab  ,é\nXx!") for _ in range(rng.randint(1, 120))) for _ in range(30)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    symbols = symbol_table(df)
-    logp = log_probabilities(model_tables(count_grams(df, symbols)))
-    p = plain_model(texts, symbols)
-    assert np.allclose(np.exp(logp).reshape(-1, SYMBOLS).sum(axis=1), 1, atol=1e-4)
-    for _ in range(500):
-        g = tuple(rng.randint(0, 9) for _ in range(ORDER))
-        code = sum(x << (BITS * (ORDER - 1 - i)) for i, x in enumerate(g))
-        assert math.isclose(math.exp(logp[code]), max(p(g), quality.FLOOR), rel_tol=1e-4)
+    texts = some_texts(rng, 30)
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "fold int, text string").repartition(3)
+    tables = model_tables(count_grams(df, 2))
+    lookups = quality.collected(tables, 2)
+    seen = sorted({x for t in texts for x in t.encode()})
+    for model, own in ((0, texts[1::2]), (1, texts[::2]), (2, texts)):
+        p = plain_model(own)
+        wanted = [tuple(rng.choice(seen) for _ in range(ORDER)) for _ in range(200)] + [g for t in texts[:4] for g in plain_grams(t)]
+        want = [math.log(max(p(g), math.exp(quality.FLOOR))) for g in wanted]
+        assert np.allclose(lookups[model].log_probabilities(np.array([code(g) for g in wanted])), want, rtol=1e-9)
+        asked = spark.createDataFrame(sorted({(model, code(g)) for g in wanted}), "model int, gram long")
+        joined = {r.gram: r.logp for r in quality.joined_scores(asked, tables).collect()}
+        assert all(math.isclose(joined[code(g)], x, rel_tol=1e-9) for g, x in zip(wanted, want))
+        context = wanted[0][:-1]
+        assert math.isclose(sum(p((*context, x)) for x in range(256)), 1, rel_tol=1e-9)
 
 
 def test_long_texts_in_parts(monkeypatch):
     rng = random.Random(2)
-    symbols = np.full(0x110000, 2, np.uint8)
-    symbols[[32, 10]], symbols[97:123] = 0, np.arange(3, 29)
     for n in (0, 1, 5, 50, 400):
-        text = "".join(rng.choice("ab \nz") for _ in range(n))
-        want = [sum(x << (BITS * (ORDER - 1 - i)) for i, x in enumerate(g)) for g in plain_grams(text, symbols)]
+        text = "".join(rng.choice("ab \nzé") for _ in range(n))
+        want = [code(g) for g in plain_grams(text)]
         for size in (3, 7, 1 << 20):
             monkeypatch.setattr(quality, "PART", size)
-            assert [int(x) for part in quality._grams(text, symbols) for x in part] == want
+            assert [int(x) for part in quality.grams(text) for x in part] == want
+
+
+def test_perplexities_quantiles_and_keep_against_the_definition(spark):
+    """The whole result by brute force, in both ways of looking up; three scripts."""
+    rng = random.Random(4)
+    docs = [(i, t, ("en", "ja", None)[i % 3], i) for i, t in enumerate(some_texts(rng, 60))] + [(60, "Добрый день, как дела", "ru", 0), (61, "Добрый вечер", "ru", 0)]
+    good = {i for i in range(60) if i % 4} | {60}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, model int")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(61)], "doc_id long, quality int")
+    fold = {r.doc_id: r.f for r in spark.range(62).selectExpr("id as doc_id", "pmod(xxhash64(id, 'fold'), 2) as f").collect()}
+
+    def nats(p, text):
+        g = plain_grams(text)
+        return -sum(math.log(max(p(x), math.exp(quality.FLOOR))) for x in g) / len(g)
+
+    p_all = plain_model([t for i, t, *_ in docs if i in good])
+    p_fold = [plain_model([t for i, t, *_ in docs if i in good and fold[i] != f]) for f in (0, 1)]
+    held = defaultdict(list)
+    for i, t, lang, _ in docs:
+        if i in good:
+            held[lang].append(nats(p_fold[fold[i]], t))
+    limits = {lang: (math.floor(sorted(x)[math.ceil(len(x) * 0.9) - 1] * 1000) + 1) / 1000 for lang, x in held.items()}
+    for how in ({}, {"broadcast_rows": 0, "block_bytes": 500}):
+        got = {r.doc_id: r for r in judge(df, labels, quantile=0.9, **how).collect()}
+        assert len(got) == len(docs)
+        for i, t, lang, _ in docs:
+            want = nats(p_all, t)
+            assert math.isclose(got[i].perplexity, math.exp(want), rel_tol=1e-9) and got[i].n_symbols == len(plain_grams(t))
+            assert math.isclose(got[i].threshold, math.exp(limits[lang]), rel_tol=1e-9)
+            assert got[i].keep == (want <= limits[lang])
 
 
 def test_query_keeps_good_documents_and_drops_bad_ones(spark):
