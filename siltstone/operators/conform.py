@@ -29,7 +29,7 @@ def conform_nulls(df: DataFrame, columns: list[str], spellings: tuple[str, ...]
 
 def conform_category(df: DataFrame, column: str, mapping: DataFrame, default: str | None = None) -> tuple[DataFrame, DataFrame]:
     """`column` mapped by its key, and the spellings that no row of mapping (key, value) explains."""
-    mapped = df.withColumn("__key", key_of(F.col(column))).join(F.broadcast(mapping.select(F.col("key").alias("__key"), F.col("value").alias("__value"))), "__key", "left")
+    mapped = df.withColumn("__key", key_of(F.col(column))).join(mapping.select(F.col("key").alias("__key"), F.col("value").alias("__value")), "__key", "left")
     value = F.col("__value") if default is None else F.when(F.col(column).isNull() | (F.col("__key") == ""), default).otherwise(F.col("__value"))
     known = F.col(column).isNull() | (F.col("__key") == "") | F.col("__value").isNotNull()
     unmapped = mapped.filter(~known).groupBy(F.col(column).alias("spelling")).agg(F.count(F.lit(1)).alias("n"))
@@ -255,6 +255,6 @@ def resolve_currency(df: DataFrame, sources: list[str], group: str, floor: tuple
 def convert_fx(df: DataFrame, fx: DataFrame, amount: str, currency: str, day: str, home: str) -> DataFrame:
     """`local`: the amount at the rate of its day; `fx_missing`: foreign without a rate. fx: (currency, rate_date, rate)."""
     rates = fx.select(F.col("currency").alias("__c"), F.col("rate_date").alias("__d"), F.col("rate").alias("fx_rate"))
-    out = df.join(F.broadcast(rates), (F.col(currency) == F.col("__c")) & (F.col(day) == F.col("__d")), "left").drop("__c", "__d")
+    out = df.join(rates, (F.col(currency) == F.col("__c")) & (F.col(day) == F.col("__d")), "left").drop("__c", "__d")
     at = F.when(F.col(currency) == home, F.lit(1).cast("decimal(14,6)")).otherwise(F.col("fx_rate"))
     return out.withColumn("local", F.round(F.col(amount) * at, 2).cast("decimal(18,2)")).withColumn("fx_missing", at.isNull())

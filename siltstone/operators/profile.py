@@ -1,49 +1,62 @@
-"""Column profiles: nulls, distinct values, shapes and inferred types, in one pass over the long form of a table."""
+"""Column profiles: nulls, distinct values, shapes and inferred types, over the long form of tables."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Type classes, the first that fits most values wins.
 CLASSES = {
-    "boolean": r"(?i)^(true|false|yes|no|y|n)$",
+    "boolean": r"(?i)^(true|false|yes|no|t|f|y|n|1|0)$",
     "integer": r"^-?\d{1,18}$",
     "decimal": r"^-?\d*\.\d+$",
     "timestamp": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}",
     "date": r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})$",
-    "money": r"^[$₦£€(]?\d{1,3}(,\d{3})+(\.\d+)?\)?$",
+    "money": r"(?i)^[(-]?([$₦£€]|ngn|usd|gbp|eur) ?\d[\d,]*(\.\d+)?\)?$|^[(-]?\d{1,3}(,\d{3})+(\.\d+)?\)?$",
 }
+#: Least values of a column that are given as examples.
+EXAMPLES = 3
 
 
 def long_form(df: DataFrame, name: str) -> DataFrame:
-    """(table, column, value) for every cell as text."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    """(table, column, value) for every cell as text; columns of arrays, maps and structs are left out."""
+    plain = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in plain])
     return df.select(F.lit(name).alias("table"), F.explode(cells).alias("x")).select("table", "x.column", "x.value")
 
 
 def shape(c: Column) -> Column:
-    """Digits as 9, letters as A, runs kept."""
-    return F.regexp_replace(F.regexp_replace(c, r"\d", "9"), r"\p{L}", "A")
+    """Runs of digits as 9, runs of letters as A."""
+    return F.regexp_replace(F.regexp_replace(c, r"\d+", "9"), r"\p{L}+", "A")
 
 
-def profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...], approximate: bool = False) -> DataFrame:
-    """Per column: rows, nulls, null rate, distinct values and shapes, inferred type, least and greatest value."""
+def profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...]) -> DataFrame:
+    """Per column: rows, nulls, null rate, distinct values and shapes, inferred type, least and greatest value, examples.
+
+    Equal cells are counted first, so what is classified and counted as distinct are values; a column may have any number
+    of them, as no task holds a column. Blank cells and spellings of null are nulls; a column of nulls only is text.
+    """
     cells = reduce(lambda a, b: a.unionByName(b), [long_form(df, name) for name, df in tables.items()])
-    value = F.when(~F.lower(F.trim("value")).isin(*null_spellings), F.col("value"))
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
-    rates = {k: F.avg(F.col("v").rlike(p).cast("int")) for k, p in CLASSES.items()}
-    stats = cells.withColumn("v", value).groupBy("table", "column").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v").isNull()).alias("nulls"), distinct("v").alias("distinct_values"), distinct(shape(F.col("v"))).alias("distinct_shapes"),
-        F.min("v").alias("least"), F.max("v").alias("greatest"), *[r.alias(f"r_{k}") for k, r in rates.items()],
+    value = F.when(~F.lower(F.trim("value")).isin("", *null_spellings), F.col("value"))
+    values = cells.select("table", "column", value.alias("v")).groupBy("table", "column", "v").agg(F.count(F.lit(1)).alias("n"))
+    fits = {k: F.sum(F.when(F.col("v").rlike(p), F.col("n")).otherwise(0)) for k, p in CLASSES.items()}
+    stats = values.groupBy("table", "column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values"),
+        F.min("v").alias("least"), F.max("v").alias("greatest"), *[f.alias(f"r_{k}") for k, f in fits.items()],
     )
+    shapes = values.filter("v IS NOT NULL").select("table", "column", shape(F.col("v")).alias("s")).groupBy("table", "column", "s").agg(F.lit(1).alias("one")).groupBy("table", "column").agg(F.count(F.lit(1)).alias("distinct_shapes"))
+    first = Window.partitionBy("table", "column").orderBy("v")
+    few = values.filter("v IS NOT NULL").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= EXAMPLES)
+    examples = few.groupBy("table", "column").agg(F.array_join(F.array_sort(F.collect_list(F.substring("v", 1, 40))), " | ").alias("examples"))
+    known = F.col("n_rows") - F.col("nulls")
     number = F.col("r_integer") + F.col("r_decimal")
     scored = F.array(*[F.struct(F.when(F.lit(k) == "decimal", number).otherwise(F.col(f"r_{k}")).alias("r"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(CLASSES)])
     best = F.array_max(scored)
-    kind = F.when(F.coalesce(best["r"], F.lit(0.0)) < 0.5, "text").when((best["k"] == "decimal") & (F.col("r_decimal") == 0), "integer").otherwise(best["k"])
-    return stats.select("table", "column", "n_rows", "nulls", F.round(F.col("nulls") / F.col("n_rows"), 6).alias("null_rate"), "distinct_values", "distinct_shapes", "least", "greatest", kind.alias("type"))
+    kind = F.when((known == 0) | (best["r"] * 2 < known), "text").when((best["k"] == "decimal") & (F.col("r_decimal") == 0), "integer").otherwise(best["k"])
+    joined = stats.join(shapes, ["table", "column"], "left").join(examples, ["table", "column"], "left")
+    return joined.select("table", "column", "n_rows", "nulls", F.round(F.col("nulls") / F.col("n_rows"), 6).alias("null_rate"), "distinct_values", F.coalesce("distinct_shapes", F.lit(0)).alias("distinct_shapes"), F.substring("least", 1, 40).alias("least"), F.substring("greatest", 1, 40).alias("greatest"), kind.alias("type"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def summarise(profiled: DataFrame) -> DataFrame:

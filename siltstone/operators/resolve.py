@@ -44,14 +44,23 @@ def match_rekeyed(df: DataFrame, key: str, offset: int, name: str, email: str, t
     return pairs.withColumn("similarity", score).withColumn("email_conflict", conflict).select("high", "low", "similarity", "email_conflict", ((F.col("similarity") >= threshold) & ~conflict).alias("holds"))
 
 
-def best_match_evidence(df: DataFrame, pairs: DataFrame, key: str, name: str) -> DataFrame:
-    """Whether each pair's low key is the one best match of the high key's name among rows with the same sound or the
-    same first letters; block keys keep the candidates few."""
+def best_match_evidence(df: DataFrame, pairs: DataFrame, key: str, name: str, edits: int = 2) -> DataFrame:
+    """Whether each pair's low key is the one best match of the high key's name among all other names within `edits`.
+
+    Names meet in blocks of runs of three letters. An edit changes three runs at most, so two names that are `edits` apart
+    share one of the 3 * edits + 1 rarest runs of each, in one order of all runs by how many names have them: no match
+    within `edits` is lost, and frequent runs make blocks only for names that have nothing rarer. Names of fewer than
+    three letters are one run. Null names match nothing; pairs without a match are not in the result.
+    """
     f = folded(F.col(name))
-    blocks = F.array_distinct(F.array(F.concat(F.lit("s"), F.soundex(f)), F.concat(F.lit("p"), F.substring(f, 1, 5)), F.concat(F.lit("e"), F.reverse(F.substring(F.reverse(f), 1, 5)))))
-    named = df.select(F.col(key).alias("k"), f.alias("n"), F.explode(blocks).alias("block"))
-    high = named.join(pairs.select(F.col("high").alias("k"), "low"), "k").select(F.col("k").alias("high"), "low", F.col("n").alias("hn"), "block")
-    other = high.join(named, "block").filter(F.col("k") != F.col("high")).select("high", "low", "k", F.levenshtein("hn", "n").alias("d")).distinct()
+    padded = F.concat(F.lit("^^"), f, F.lit("$"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+    named = df.select(F.col(key).alias("k"), f.alias("n"), F.explode(runs).alias("run"))
+    often = named.groupBy("run").agg(F.count(F.lit(1)).alias("c"))
+    rarest = named.join(often, "run").groupBy("k", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "run"))), 1, 3 * edits + 1).alias("x")).select("k", "n", F.explode("x.run").alias("run"))
+    high = rarest.join(pairs.select(F.col("high").alias("k"), "low"), "k").select(F.col("k").alias("high"), "low", F.col("n").alias("hn"), "run")
+    near = F.levenshtein("hn", "n", edits)
+    other = high.join(rarest, "run").filter(F.col("k") != F.col("high")).select("high", "low", "k", near.alias("d")).filter("d >= 0").distinct()
     best = other.withColumn("r", F.rank().over(Window.partitionBy("high").orderBy("d"))).filter("r = 1")
     return best.groupBy("high", "low").agg(F.count(F.lit(1)).alias("ties"), F.bool_or(F.col("k") == F.col("low")).alias("is_best"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOREVER = "9999-12-31"
+#: Ranges of values that a group is ranked in, for exact percentiles.
+RANGES = 64
 
 
 def correct_rate_outliers(fx: DataFrame, factor: float = 5, near: float = 0.15) -> DataFrame:
@@ -20,10 +22,17 @@ def correct_rate_outliers(fx: DataFrame, factor: float = 5, near: float = 0.15)
     return fx.withColumn("__fixed", fixed).withColumn("is_corrected", high | low).withColumn("rate", F.col("__fixed")).drop("__fixed")
 
 
-def daily_calendar(fx: DataFrame, start: str, end: str) -> DataFrame:
+def _days(fx: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """(currency, rate_date) for every day from start to end, by default from a currency's first rate to its last."""
+    span = fx.groupBy("currency").agg(F.min("rate_date").alias("a"), F.max("rate_date").alias("b"))
+    bound = lambda given, own: F.col(own) if given is None else F.lit(given).cast("date")
+    return span.select("currency", F.explode(F.sequence(bound(start, "a"), bound(end, "b"))).alias("rate_date"))
+
+
+def daily_calendar(fx: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """A rate for every day and currency: the last one published, before the first one the first; filled days are not
-    corrected."""
-    days = fx.select("currency").distinct().withColumn("rate_date", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))))
+    corrected. One row of fx per currency and day; a null rate counts as not published."""
+    days = _days(fx, start, end)
     w = Window.partitionBy("currency").orderBy("rate_date")
     up, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     all_days = days.join(fx.withColumn("__d", F.col("rate_date")), ["currency", "rate_date"], "left")
@@ -38,9 +47,9 @@ def rate_steps(fx: DataFrame, listed: float = 1.2, rejected: float = 2.0) -> Dat
     return out.select("currency", "rate_date", F.round("step", 6).alias("step"), ((F.col("step") > rejected) | (F.col("step") < 1 / rejected)).alias("is_rejected"))
 
 
-def missing_weekdays(fx: DataFrame, start: str, end: str) -> DataFrame:
+def missing_weekdays(fx: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Days from Monday to Friday without a published rate."""
-    days = fx.select("currency").distinct().withColumn("rate_date", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date")))).filter(F.weekday("rate_date") < 5)
+    days = _days(fx, start, end).filter(F.weekday("rate_date") < 5)
     return days.join(fx.select("currency", "rate_date"), ["currency", "rate_date"], "left_anti")
 
 
@@ -82,10 +91,37 @@ def join_valid(df: DataFrame, scd: DataFrame, key: str, day: str, lo: str = "val
 def price_evidence(lines: DataFrame, paid: str, listed: str, by: str) -> DataFrame:
     """Paid over list price by a flag: number, median, 5th and 95th percentile, share within a quarter."""
     r = F.col(paid).cast("double") / F.col(listed).cast("double")
-    return lines.filter(F.col(listed) > 0).withColumn("__r", r).groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile("__r", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("__r", F.lit(0.05)), 6).alias("p05"), F.round(F.percentile("__r", F.lit(0.95)), 6).alias("p95"),
-        F.round(F.avg(F.col("__r").between(0.75, 1.25).cast("int")), 6).alias("within_quarter"),
-    )
+    rows = lines.filter((F.col(listed) > 0) & r.isNotNull()).select(by, r.alias("__r"))
+    parts = exact_percentiles(rows, [by], "__r", {"median": 0.5, "p05": 0.05, "p95": 0.95})
+    shares = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("__r").between(0.75, 1.25).cast("int")), 6).alias("within_quarter"))
+    return shares.join(parts, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", *[F.round(p, 6).alias(p) for p in ("median", "p05", "p95")], "within_quarter")
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Per group (first column of `by` as __by) the wanted percentiles, interpolated, exact. No task holds a group: equal
+    values are counted, counts are dealt to RANGES ranges of values by approximate quantiles of the group and ranked range by
+    range. Nulls are left out; groups of nulls only are missing from the result."""
+    key = by[0]
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("__by"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = counts.groupBy("__by").agg(F.percentile_approx("__v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(2000)).alias("__cuts"), F.sum("__n").alias("__all"))
+    placed = counts.join(cuts.withColumnRenamed("__by", "__g"), F.col("__by").eqNullSafe(F.col("__g")))
+    placed = placed.withColumn("__piece", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
+    sizes = placed.groupBy("__g", "__piece").agg(F.sum("__n").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy("__g").orderBy("__piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size")
+    starts = sizes.select(F.col("__g").alias("__sg"), F.col("__piece").alias("__sp"), before.alias("__start"))
+    ranked = placed.join(starts, F.col("__g").eqNullSafe(F.col("__sg")) & (F.col("__piece") == F.col("__sp")))
+    up = F.sum("__n").over(Window.partitionBy("__g", "__piece").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranked.withColumn("__to", F.col("__start") + up)
+    found = ranked.groupBy(F.col("__g").alias("__by")).agg(*[x for name, p in wanted.items() for x in _at_rank(name, p)])
+    low, high = (lambda n: F.col(f"__{n}_lo")), (lambda n: F.col(f"__{n}_hi"))
+    return found.select("__by", *[(low(n) + (high(n) - low(n)) * F.col(f"__{n}_part")).alias(n) for n in wanted])
+
+
+def _at_rank(name: str, p: float) -> list[Column]:
+    """The values at the ranks beside p * (n - 1), from 0, and the part between; rows carry the ranks that they end at."""
+    place = F.lit(p) * (F.col("__all") - 1)
+    value = lambda rank: F.min(F.when(F.col("__to") > rank, F.col("__v")))
+    return [value(F.floor(place)).alias(f"__{name}_lo"), value(F.ceil(place)).alias(f"__{name}_hi"), F.max(place - F.floor(place)).alias(f"__{name}_part")]
 
 
 def two_readings(c: Column) -> tuple[Column, Column]:
@@ -109,8 +145,12 @@ def resolve_ambiguous_dates(df: DataFrame, raw: str, base: str) -> tuple[DataFra
 
 
 def dim_date(spark, start: str, end: str) -> DataFrame:
-    """Calendar: year, quarter, ISO year and week, week start, weekend, peak season (November, December)."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
+    """The calendar of the days from start to end."""
+    return calendar(spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")))
+
+
+def calendar(days: DataFrame) -> DataFrame:
+    """Of each day: year, quarter, ISO year and week, week start, weekend, peak season (November, December)."""
     return days.select("day", F.year("day").alias("year"), F.quarter("day").alias("quarter"), F.concat(F.year("day").cast("string"), F.lit("Q"), F.quarter("day").cast("string")).alias("year_quarter"),
         F.extract(F.lit("YEAROFWEEK"), "day").cast("int").alias("iso_year"), F.weekofyear("day").alias("iso_week"), F.trunc("day", "WEEK").alias("week_start"), (F.weekday("day") >= 5).alias("is_weekend"), F.month("day").isin(11, 12).alias("is_peak"))
 

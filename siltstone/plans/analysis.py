@@ -41,21 +41,21 @@ def a01_constant_currency(spark, sf_dir):
 
 def a02_yearly_growth(spark, sf_dir):
     """A2: years and first halves, with growth."""
-    y = live(bookings(spark, sf_dir)).groupBy(F.year("shoot_date").alias("year")).agg(F.sum("net").alias("r"), F.sum(F.when(F.month("shoot_date") <= 6, F.col("net"))).alias("h"))
+    y = live(bookings(spark, sf_dir, client=False)).groupBy(F.year("shoot_date").alias("year")).agg(F.sum("net").alias("r"), F.sum(F.when(F.month("shoot_date") <= 6, F.col("net"))).alias("h"))
     w = W.orderBy("year")
     return y.select("year", num(F.col("r")).alias("revenue"), num(F.col("h")).alias("h1"), ratio(F.col("r") - F.lag("r").over(w), F.lag("r").over(w)).alias("yoy"), ratio(F.col("h") - F.lag("h").over(w), F.lag("h").over(w)).alias("h1_yoy"))
 
 
 def a03_service_mix(spark, sf_dir):
     """A3: jobs, revenue, mean job and shares by service."""
-    s = live(bookings(spark, sf_dir)).groupBy("service").agg(N().alias("jobs"), F.sum("net").alias("r"))
+    s = live(bookings(spark, sf_dir, client=False)).groupBy("service").agg(N().alias("jobs"), F.sum("net").alias("r"))
     e = W.partitionBy()
     return s.select("service", "jobs", num(F.col("r")).alias("revenue"), ratio(F.col("r"), F.col("jobs"), 2).alias("mean_job"), ratio(F.col("r"), F.sum("r").over(e)).alias("revenue_share"), ratio(F.col("jobs"), F.sum("jobs").over(e)).alias("job_share"))
 
 
 def a04_status_mix(spark, sf_dir):
     """A4: states by year, and the share of revenue that was not completed."""
-    s = bookings(spark, sf_dir).groupBy(F.year("shoot_date").alias("year"), "status").agg(N().alias("jobs"), F.sum("net").alias("r"))
+    s = bookings(spark, sf_dir, client=False).groupBy(F.year("shoot_date").alias("year"), "status").agg(N().alias("jobs"), F.sum("net").alias("r"))
     y = W.partitionBy("year")
     return s.select("year", "status", "jobs", num(F.col("r")).alias("revenue"), ratio(F.col("jobs"), F.sum("jobs").over(y)).alias("share"), ratio(F.sum(F.when(F.col("status") != "Completed", F.col("r")).otherwise(0)).over(y), F.sum("r").over(y)).alias("not_completed"))
 
@@ -63,14 +63,14 @@ def a04_status_mix(spark, sf_dir):
 def a05_job_margins(spark, sf_dir):
     """A5: by service, jobs, losses, losses on estimated rates alone, jobs without labour, margin."""
     lab = crew_days(spark, sf_dir).groupBy("booking_id").agg(F.sum("labour_cost").alias("labour"), F.bool_and("rate_is_estimated").alias("estimated"))
-    j = live(bookings(spark, sf_dir)).join(lab, "booking_id", "left")
+    j = live(bookings(spark, sf_dir, client=False)).join(lab, "booking_id", "left")
     m = F.col("net") - F.coalesce("labour", F.lit(0))
     return j.groupBy("service").agg(N().alias("jobs"), F.count_if(m < 0).alias("losses"), F.count_if((m < 0) & F.col("estimated")).alias("artefacts"), F.count_if(F.col("labour").isNull()).alias("without_labour"), num(F.sum(m)).alias("margin"))
 
 
 def a06_seasonality(spark, sf_dir):
     """Jobs by month of the year over complete years, and their rank."""
-    m = live(bookings(spark, sf_dir)).filter(F.year("shoot_date").between(1995, 2000)).groupBy(F.month("shoot_date").alias("month")).agg(N().alias("jobs"))
+    m = live(bookings(spark, sf_dir, client=False)).filter(F.year("shoot_date").between(1995, 2000)).groupBy(F.month("shoot_date").alias("month")).agg(N().alias("jobs"))
     return m.select("month", "jobs", F.round(F.col("jobs") / 6, 6).alias("per_year"), F.row_number().over(W.orderBy(F.desc("jobs"), "month")).alias("rank"))
 
 
@@ -113,6 +113,12 @@ def a11_contribution(spark, sf_dir):
     return g.select("collection", "quarter", num(F.col("c")).alias("contribution"), F.count_if(F.col("c") < 0).over(W.partitionBy()).alias("losing_groups"))
 
 
+def a11_sku_contribution(spark, sf_dir):
+    """Contribution and units by SKU, and whether it loses."""
+    g = merch_lines(spark, sf_dir).filter("is_revenue").groupBy("sku").agg(F.sum(_contribution()).alias("c"), F.sum("quantity").alias("units"))
+    return g.select("sku", num(F.col("c")).alias("contribution"), "units", (F.col("c") < 0).alias("is_loss"))
+
+
 def a12_below_cost(spark, sf_dir):
     """Lines sold below cost, and the shortfall."""
     return merch_lines(spark, sf_dir).filter((F.col("gross") < F.col("cogs")) & (F.col("quantity") > 0)).agg(N().alias("n"), num(F.coalesce(F.sum(F.col("cogs") - F.col("gross")), F.lit(0))).alias("shortfall"))
@@ -217,19 +223,19 @@ WEB = Filters("2024-01-05", "2024-01-25", None, ("click", "view", "display"))
 
 def metric_bookings(spark, sf_dir, f: Filters = ASKED) -> DataFrame:
     """M2: live bookings within the filters."""
-    return f.on(live(bookings(spark, sf_dir)), "shoot_date")
+    return f.on(live(bookings(spark, sf_dir, client=False)), "shoot_date")
 
 
-def m02_production(spark, sf_dir):
+def m02_production(spark, sf_dir, f: Filters = ASKED):
     """M0, M1, M2: production by quarter."""
-    return metric_bookings(spark, sf_dir).groupBy(quarter("shoot_date").alias("quarter")).agg(num(F.sum("net")).alias("revenue"))
+    return metric_bookings(spark, sf_dir, f).groupBy(quarter("shoot_date").alias("quarter")).agg(num(F.sum("net")).alias("revenue"))
 
 
-def m03_services(spark, sf_dir):
+def m03_services(spark, sf_dir, f: Filters = ASKED):
     """M3: jobs, revenue, labour, losses, margin and share by service."""
     lab = crew_days(spark, sf_dir).groupBy("booking_id").agg(F.sum("labour_cost").alias("labour"))
     m = F.col("net") - F.coalesce("labour", F.lit(0))
-    s = metric_bookings(spark, sf_dir).join(lab, "booking_id", "left").groupBy("service").agg(N().alias("jobs"), F.sum("net").alias("r"), F.sum(m).alias("m"), F.count_if(m < 0).alias("losses"))
+    s = metric_bookings(spark, sf_dir, f).join(lab, "booking_id", "left").groupBy("service").agg(N().alias("jobs"), F.sum("net").alias("r"), F.sum(m).alias("m"), F.count_if(m < 0).alias("losses"))
     return s.select("service", "jobs", num(F.col("r")).alias("revenue"), "losses", ratio(F.col("m"), F.col("r")).alias("margin"), ratio(F.col("r"), F.sum("r").over(W.partitionBy())).alias("share"))
 
 
@@ -240,7 +246,7 @@ def m04_jobs_per_month(spark, sf_dir):
 
 def m05_status_mix(spark, sf_dir):
     """M5: value by state."""
-    return ASKED.on(bookings(spark, sf_dir), "shoot_date").groupBy("status").agg(num(F.sum("net")).alias("value"))
+    return ASKED.on(bookings(spark, sf_dir, client=False), "shoot_date").groupBy("status").agg(num(F.sum("net")).alias("value"))
 
 
 def m06_merch_quarters(spark, sf_dir):
@@ -248,9 +254,9 @@ def m06_merch_quarters(spark, sf_dir):
     return ASKED.on(merch_lines(spark, sf_dir).filter("is_revenue"), "order_date").groupBy(quarter("order_date").alias("quarter")).agg(num(F.sum("gross")).alias("gross"), num(F.sum("refunded")).alias("refunded"))
 
 
-def m07_collections(spark, sf_dir):
+def m07_collections(spark, sf_dir, f: Filters = ASKED):
     """M7: margin and refund rate by collection."""
-    c = ASKED.on(merch_lines(spark, sf_dir).filter("is_revenue"), "order_date").groupBy("collection").agg(F.sum("gross").alias("g"), F.sum(_contribution()).alias("c"), F.sum("refunded").alias("f"))
+    c = f.on(merch_lines(spark, sf_dir).filter("is_revenue"), "order_date").groupBy("collection").agg(F.sum("gross").alias("g"), F.sum(_contribution()).alias("c"), F.sum("refunded").alias("f"))
     return c.select("collection", num(F.col("g")).alias("gross"), ratio(F.col("c"), F.col("g")).alias("margin"), ratio(F.col("f"), F.col("g")).alias("refund_rate"))
 
 
@@ -270,28 +276,28 @@ def m09_channels(spark, sf_dir):
     return s.join(a, "channel", "full").na.fill(0, ["sessions", "conversions"]).na.fill(0.0, ["spend"]).withColumn("place", place)
 
 
-def m10_channel_quarters(spark, sf_dir):
-    """Spend, revenue and return by channel and quarter."""
-    d = channel_by_quarter(spark, sf_dir).filter(F.col("channel").isin(*WEB.channels))
+def m10_channel_quarters(spark, sf_dir, f: Filters = WEB):
+    """Spend, revenue and return by channel and quarter within the filters."""
+    d = channel_by_quarter(spark, sf_dir, f.on)
     return d.select("channel", "quarter", num(F.coalesce("spend", F.lit(0))).alias("spend"), num(F.coalesce("revenue", F.lit(0))).alias("revenue"), ratio(F.col("revenue"), F.col("spend")).alias("roas"))
 
 
-def m11_attribution(spark, sf_dir):
+def m11_attribution(spark, sf_dir, f: Filters = Filters(WEB.start, WEB.end)):
     """Converted, joined and unattributed within the filters."""
-    known = bookings(spark, sf_dir).select(F.col("booking_id").alias("order_id"), F.lit(True).alias("known"))
-    s = Filters(WEB.start, WEB.end).on(sessions(spark, sf_dir).filter("converted"), "session_date").join(known, "order_id", "left")
+    known = bookings(spark, sf_dir, client=False).select(F.col("booking_id").alias("order_id"), F.lit(True).alias("known"))
+    s = f.on(sessions(spark, sf_dir).filter("converted"), "session_date").join(known, "order_id", "left")
     return s.agg(N().alias("converted"), F.count("known").alias("joined"), num(F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("revenue"))), F.lit(0))).alias("unattributed"))
 
 
-def m12_traffic(spark, sf_dir):
+def m12_traffic(spark, sf_dir, f: Filters = Filters(WEB.start, WEB.end)):
     """Traffic quality within the filters."""
-    return Filters(WEB.start, WEB.end).on(sessions(spark, sf_dir), "session_date").agg(N().alias("sessions"), F.count_if("is_bot").alias("bots"), F.count_if("is_spam").alias("spam"))
+    return f.on(sessions(spark, sf_dir), "session_date").agg(N().alias("sessions"), F.count_if("is_bot").alias("bots"), F.count_if("is_spam").alias("spam"))
 
 
 def m14_headlines(spark, sf_dir):
     """Blended margin, refund rate, and return of paid channels that have both sessions and spend."""
     c = ASKED.on(merch_lines(spark, sf_dir).filter("is_revenue"), "order_date").agg(ratio(F.sum(_contribution()), F.sum("gross")).alias("margin"), ratio(F.sum("refunded"), F.sum("gross")).alias("refund_rate"))
-    p = channel_by_quarter(spark, sf_dir).filter("sessions > 0 AND spend > 0").agg(ratio(F.sum("revenue"), F.sum("spend")).alias("paid_roas"))
+    p = channel_by_quarter(spark, sf_dir, WEB.on).filter("sessions > 0 AND spend > 0").agg(ratio(F.sum("revenue"), F.sum("spend")).alias("paid_roas"))
     return c.crossJoin(_one(p))
 
 
@@ -306,6 +312,7 @@ _AL = f"order_date BETWEEN DATE '{ASKED.start}' AND DATE '{ASKED.end}'"
 _WD = lambda d: f"{d} BETWEEN DATE '{WEB.start}' AND DATE '{WEB.end}'"
 _CQ = f""", s AS (SELECT channel, {_Q('session_date')} AS quarter, count(*) AS sessions, count(*) FILTER (converted) AS conversions, sum(revenue) AS revenue FROM session WHERE NOT is_bot GROUP BY ALL),
 a AS (SELECT channel, {_Q('spend_date')} AS quarter, sum(spend) AS spend, sum(clicks) AS clicks FROM spend GROUP BY ALL), cq AS (SELECT * FROM s FULL JOIN a USING (channel, quarter))"""
+_CQW = _CQ.replace("WHERE NOT is_bot", f"WHERE NOT is_bot AND {_WD('session_date')} AND channel IN {WEB.channels}").replace("FROM spend GROUP", f"FROM spend WHERE {_WD('spend_date')} AND channel IN {WEB.channels} GROUP")
 _FO = """, f AS (SELECT DISTINCT ON (client_id) client_id, shoot_date AS first_day, lead_source AS channel FROM live ORDER BY client_id, shoot_date, booking_id),
 fo AS (SELECT f.*, EXISTS (SELECT 1 FROM live l WHERE l.client_id = f.client_id AND l.shoot_date > first_day AND l.shoot_date <= first_day + 90) AS repeated FROM f)"""
 _WU = """, d AS (SELECT DISTINCT crew_id, role, date_trunc('week', work_date)::DATE AS week FROM crew_day), sp AS (SELECT crew_id, role, min(week) AS a, max(week) AS b FROM d GROUP BY ALL),
@@ -333,6 +340,7 @@ SELECT count(*) AS weeks, round(median(use), 6) AS median, round(max(use), 6) AS
     "a10_devaluation": f""", j AS (SELECT year(shoot_date)::INTEGER AS year, net::DOUBLE / fx.rate::DOUBLE AS a, net::DOUBLE / b.rate::DOUBLE AS b FROM live JOIN fx ON fx.currency = 'USD' AND rate_date = shoot_date JOIN fx b ON b.currency = 'USD' AND b.rate_date = DATE '{BASE_DATE}' WHERE live.currency = 'NGN')
 SELECT year, round(sum(a), 1) AS usd, round(sum(b), 1) AS usd_at_base, round(sum(a) - sum(b), 1) AS gain FROM j GROUP BY 1""",
     "a11_contribution": f", g AS (SELECT collection, {_Q('order_date')} AS quarter, sum({_CON}) AS c FROM line WHERE is_revenue GROUP BY ALL) SELECT collection, quarter, {_NUM('c')} AS contribution, count(*) FILTER (c < 0) OVER () AS losing_groups FROM g",
+    "a11_sku_contribution": f"SELECT sku, {_NUM(f'sum({_CON})')} AS contribution, sum(quantity)::BIGINT AS units, sum({_CON}) < 0 AS is_loss FROM line WHERE is_revenue GROUP BY 1",
     "a12_below_cost": f"SELECT count(*) AS n, {_NUM('coalesce(sum(cogs - gross), 0)')} AS shortfall FROM line WHERE gross < cogs AND quantity > 0",
     "a13_sensitivity": f"SELECT {_NUM('sum(gross)')} AS everything, {_NUM('sum(gross) FILTER (is_revenue)')} AS recognised, round((sum(gross) FILTER (order_status <> 'pending'))::DOUBLE, 2) AS without_pending, round((sum(gross) FILTER (order_status <> 'cancelled'))::DOUBLE, 2) AS without_cancelled, round((sum(gross) FILTER (quantity > 0))::DOUBLE, 2) AS positive FROM line",
     "a14_refunded_orders": "SELECT round(count(DISTINCT order_id) FILTER (has_refund)::DOUBLE / count(DISTINCT order_id), 6) AS share FROM line",
@@ -359,8 +367,8 @@ SELECT service, jobs, {_NUM('r')} AS revenue, losses, {_RATIO('m', 'r')} AS marg
 SELECT reason, {_NUM('a')} AS amount, {_RATIO('a', 'sum(a) OVER ()')} AS share FROM r""",
     "m09_channels": f""", s AS (SELECT channel, count(*) AS sessions, count(*) FILTER (converted) AS conversions FROM session WHERE NOT is_bot AND {_WD('session_date')} AND channel IN {WEB.channels} GROUP BY 1), a AS (SELECT channel, {_NUM('sum(spend)')} AS spend FROM spend WHERE {_WD('spend_date')} AND channel IN {WEB.channels} GROUP BY 1)
 SELECT channel, coalesce(sessions, 0) AS sessions, coalesce(conversions, 0) AS conversions, coalesce(spend, 0) AS spend, coalesce(list_position({list(CHANNELS)}, channel), 0)::BIGINT AS place FROM s FULL JOIN a USING (channel)""",
-    "m10_channel_quarters": _CQ + f" SELECT channel, quarter, {_NUM('coalesce(spend, 0)')} AS spend, {_NUM('coalesce(revenue, 0)')} AS revenue, {_RATIO('revenue', 'spend')} AS roas FROM cq WHERE channel IN {WEB.channels}",
+    "m10_channel_quarters": _CQW + f" SELECT channel, quarter, {_NUM('coalesce(spend, 0)')} AS spend, {_NUM('coalesce(revenue, 0)')} AS revenue, {_RATIO('revenue', 'spend')} AS roas FROM cq",
     "m11_attribution": f", c AS (SELECT s.revenue, b.booking_id IS NOT NULL AS known FROM session s LEFT JOIN booking b ON s.order_id = b.booking_id WHERE converted AND {_WD('session_date')}) SELECT count(*) AS converted, count(*) FILTER (known) AS joined, round(coalesce(sum(revenue) FILTER (NOT known), 0)::DOUBLE, 2) AS unattributed FROM c",
     "m12_traffic": f"SELECT count(*) AS sessions, count(*) FILTER (is_bot) AS bots, count(*) FILTER (is_spam) AS spam FROM session WHERE {_WD('session_date')}",
-    "m14_headlines": _CQ + f" SELECT {_RATIO(f'sum({_CON})', 'sum(gross)')} AS margin, {_RATIO('sum(refunded)', 'sum(gross)')} AS refund_rate, (SELECT {_RATIO('sum(revenue)', 'sum(spend)')} FROM cq WHERE sessions > 0 AND spend > 0) AS paid_roas FROM line WHERE is_revenue AND {_AL}",
+    "m14_headlines": _CQW + f" SELECT {_RATIO(f'sum({_CON})', 'sum(gross)')} AS margin, {_RATIO('sum(refunded)', 'sum(gross)')} AS refund_rate, (SELECT {_RATIO('sum(revenue)', 'sum(spend)')} FROM cq WHERE sessions > 0 AND spend > 0) AS paid_roas FROM line WHERE is_revenue AND {_AL}",
 }.items()}

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import day_number, num, quarter, ratio
+from siltstone.operators.temporal import FOREVER, join_valid, repair_scd2
 from siltstone.sources.tables import table
 
-__all__ = ["ad_spend", "bookings", "crew_days", "day_number", "fx_daily", "live", "merch_lines", "num", "quarter", "ratio", "sessions"]
+__all__ = ["ad_spend", "bookings", "crew_days", "day_number", "fx_daily", "live", "merch_lines", "num", "price_versions", "quarter", "ratio", "sessions"]
 
 MONEY = "decimal(18,2)"
 CHANNELS = ("click", "view", "error", "purchase", "signup")
@@ -26,16 +27,19 @@ def fx_daily(spark: SparkSession) -> DataFrame:
     return days.withColumn("currency", F.explode(F.array(F.lit("NGN"), F.lit("USD"), F.lit("GBP")))).select("currency", "rate_date", rate.cast("decimal(14,6)").alias("rate"))
 
 
-def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order."""
+def bookings(spark: SparkSession, sf_dir: str, client: bool = True) -> DataFrame:
+    """One row per order. client: with the columns that come from its customer, currency and lead_source; without them
+    nothing is joined."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     status = F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "O", "Confirmed").otherwise("Cancelled")
     currency = F.when(F.col("c_nationkey") % 3 == 0, "NGN").when(F.col("c_nationkey") % 3 == 1, "USD").otherwise("GBP")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("booking_id"), F.col("o_custkey").alias("client_id"), F.col("o_orderdate").cast("date").alias("shoot_date"),
-        F.col("o_orderpriority").alias("service"), status.alias("status"), currency.alias("currency"), F.col("c_mktsegment").alias("lead_source"),
-        F.col("o_totalprice").cast(MONEY).alias("net"), (F.col("o_orderstatus") == "P").alias("is_cancelled"),
-    )
+    own = [
+        F.col("o_orderkey").alias("booking_id"), F.col("o_custkey").alias("client_id"), F.col("o_orderdate").cast("date").alias("shoot_date"), F.col("o_orderpriority").alias("service"),
+        status.alias("status"), F.col("o_totalprice").cast(MONEY).alias("net"), (F.col("o_orderstatus") == "P").alias("is_cancelled"),
+    ]
+    if not client:
+        return orders.select(*own)
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(*own, currency.alias("currency"), F.col("c_mktsegment").alias("lead_source"))
 
 
 def crew_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +55,30 @@ def crew_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def price_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three price versions per part: some overlap, some leave a gap, some are inverted, some are closed at the end."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").cast(MONEY).alias("price"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("version"))
+    day = lambda n: F.date_add(F.lit("1995-01-01").cast("date"), n.cast("int"))
+    lo = day(F.col("version") * 900)
+    end = F.when(F.col("sku") % 5 == 1, 930).when(F.col("sku") % 5 == 2, 880).otherwise(899)
+    hi = F.when((F.col("version") == 2) & (F.col("sku") % 3 != 0), F.lit(None)).when((F.col("version") == 1) & (F.col("sku") % 5 == 4), F.lit(None)).otherwise(day(F.col("version") * 900 + end))
+    inverted = (F.col("sku") % 7 == 0) & (F.col("version") == 0)
+    return p.select("sku", "version", (F.col("price") + F.col("version") * 10).cast(MONEY).alias("list_price"), F.when(inverted, hi).otherwise(lo).alias("valid_from"), F.when(inverted, lo).otherwise(hi).alias("valid_to"))
+
+
 def merch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with its measures."""
+    """One row per order line with its measures; list value and cost are those of the price version in force on its day
+    (null if there is none)."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     gross, quantity = F.col("l_extendedprice").cast(MONEY), F.col("l_quantity").cast("int")
     refund = F.when(F.col("l_returnflag") == "R", F.round(gross * F.lit("0.30").cast("decimal(4,2)"), 2)).otherwise(0).cast(MONEY)
-    cost = F.round(F.col("p_retailprice").cast(MONEY) * F.lit("0.60").cast("decimal(4,2)"), 2).cast(MONEY)
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    cost = F.round(F.col("list_price") * F.lit("0.60").cast("decimal(4,2)"), 2).cast(MONEY)
+    versions = repair_scd2(price_versions(spark, sf_dir), "sku").select(F.col("sku").alias("p_partkey"), "version", "list_price", "valid_from", "valid_to")
+    sold = line.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).withColumn("__day", F.col("l_shipdate").cast("date"))
+    return join_valid(sold, versions, "p_partkey", "__day").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("sku"), F.col("p_brand").alias("collection"),
         F.col("l_shipdate").cast("date").alias("order_date"), quantity.alias("quantity"), gross.alias("gross"),
-        F.round(gross * F.col("l_discount").cast("decimal(5,4)"), 2).cast(MONEY).alias("discount"), (cost * quantity).cast(MONEY).alias("cogs"),
+        F.round(gross * F.col("l_discount").cast("decimal(5,4)"), 2).cast(MONEY).alias("discount"), (cost * quantity).cast(MONEY).alias("cogs"), (F.col("list_price") * quantity).cast(MONEY).alias("list_value"), "version",
         refund.alias("refunded"), F.concat(F.lit("reason"), (F.col("l_suppkey") % 4).cast("string")).alias("reason"),
         (F.col("l_returnflag") == "R").alias("has_refund"), (F.col("l_linestatus") == "F").alias("is_revenue"),
         F.when(F.col("l_linenumber") % 5 == 0, "pending").when(F.col("l_linenumber") % 5 == 1, "cancelled").otherwise("shipped").alias("order_status"),
@@ -108,6 +126,9 @@ booking AS (
     o_totalprice::DECIMAL(18,2) AS net, o_orderstatus = 'P' AS is_cancelled
   FROM orders JOIN customer ON o_custkey = c_custkey),
 live AS (SELECT * FROM booking WHERE NOT is_cancelled),
+version_raw AS (SELECT p_partkey AS sku, r AS version, (p_retailprice::DECIMAL(18,2) + r * 10)::DECIMAL(18,2) AS list_price, DATE '1995-01-01' + (r * 900)::INT AS lo,
+  CASE WHEN r = 2 AND p_partkey % 3 <> 0 THEN NULL WHEN r = 1 AND p_partkey % 5 = 4 THEN NULL ELSE DATE '1995-01-01' + (r * 900 + CASE p_partkey % 5 WHEN 1 THEN 930 WHEN 2 THEN 880 ELSE 899 END)::INT END AS hi, p_partkey % 7 = 0 AND r = 0 AS inv FROM part, range(3) t(r)),
+version AS (SELECT sku, version, list_price, lo AS valid_from, coalesce(lead(lo) OVER (PARTITION BY sku ORDER BY lo) - 1, DATE '{FOREVER}') AS valid_to FROM version_raw),
 crew_day AS (
   SELECT l_orderkey AS booking_id, l_suppkey AS crew_id, l_shipdate::DATE AS work_date, 'role' || (l_suppkey % 5)::VARCHAR AS role,
     l_quantity / 2 AS hours, 2000 + l_suppkey % 7 * 100 AS standard_rate,
@@ -118,11 +139,11 @@ crew_day AS (
 line AS (
   SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS sku, p_brand AS collection, l_shipdate::DATE AS order_date, l_quantity::INT AS quantity,
     l_extendedprice::DECIMAL(18,2) AS gross, round(l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(5,4), 2)::DECIMAL(18,2) AS discount,
-    (round(p_retailprice::DECIMAL(18,2) * 0.60::DECIMAL(4,2), 2)::DECIMAL(18,2) * l_quantity::INT)::DECIMAL(18,2) AS cogs,
+    (round(list_price * 0.60::DECIMAL(4,2), 2)::DECIMAL(18,2) * l_quantity::INT)::DECIMAL(18,2) AS cogs, (list_price * l_quantity::INT)::DECIMAL(18,2) AS list_value, version,
     (CASE WHEN l_returnflag = 'R' THEN round(l_extendedprice::DECIMAL(18,2) * 0.30::DECIMAL(4,2), 2) ELSE 0 END)::DECIMAL(18,2) AS refunded,
     'reason' || (l_suppkey % 4)::VARCHAR AS reason, l_returnflag = 'R' AS has_refund, l_linestatus = 'F' AS is_revenue,
     CASE l_linenumber % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'cancelled' ELSE 'shipped' END AS order_status
-  FROM lineitem JOIN part ON l_partkey = p_partkey),
+  FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN version ON sku = l_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to),
 session AS (
   SELECT event_id AS session_id, user_id AS client_id, ts::DATE AS session_date, ts, event_type AS channel, event_id % 17 = 0 AS is_bot, event_id % 34 = 0 AS is_spam,
     event_type = 'purchase' AS converted, CASE WHEN event_type = 'purchase' THEN event_id * 3 END AS order_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.temporal import exact_percentiles
 from siltstone.plans.core import BASE_DATE, CORE_SQL, ad_spend, bookings, crew_days, fx_daily, live, merch_lines, num, quarter, ratio, sessions
 
 W = Window
@@ -12,7 +13,7 @@ W = Window
 
 def q02_service_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue and jobs by service and year: share of the year, change on the year before, first halves."""
-    per = live(bookings(spark, sf_dir)).groupBy("service", F.year("shoot_date").alias("year")).agg(
+    per = live(bookings(spark, sf_dir, client=False)).groupBy("service", F.year("shoot_date").alias("year")).agg(
         F.count(F.lit(1)).alias("jobs"), F.sum("net").alias("revenue"), F.sum(F.when(F.month("shoot_date") <= 6, F.col("net"))).alias("h1")
     )
     by_service, by_year = W.partitionBy("service").orderBy("year"), W.partitionBy("year")
@@ -24,14 +25,16 @@ def q02_service_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q03_worst_margin_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 live jobs with the worst margin, with a verdict: estimated rates or double-booked crew make it doubtful."""
+    """The 20 live jobs with the worst margin, with a verdict: estimated rates or double-booked crew make it doubtful.
+    Double bookings are looked for on the crew days of these 20 only."""
     crew = crew_days(spark, sf_dir)
-    double = crew.groupBy("crew_id", "work_date").agg(F.countDistinct("booking_id").alias("n")).filter("n > 1").select("crew_id", "work_date", F.lit(1).alias("double"))
-    labour = crew.join(double, ["crew_id", "work_date"], "left").groupBy("booking_id").agg(
-        F.sum("labour_cost").alias("labour"), F.count_if("rate_is_estimated").alias("estimated"), F.count("double").alias("doubled"), F.count(F.lit(1)).alias("days")
-    )
-    jobs = live(bookings(spark, sf_dir)).join(labour, "booking_id").withColumn("margin", F.col("net") - F.col("labour"))
-    top = jobs.orderBy("margin", "booking_id").limit(20)
+    labour = crew.groupBy("booking_id").agg(F.sum("labour_cost").alias("labour"), F.count_if("rate_is_estimated").alias("estimated"), F.count(F.lit(1)).alias("days"))
+    jobs = live(bookings(spark, sf_dir, client=False)).join(labour, "booking_id").withColumn("margin", F.col("net") - F.col("labour"))
+    top = F.broadcast(jobs.orderBy("margin", "booking_id").limit(20))
+    theirs = crew.join(top.select("booking_id"), "booking_id", "left_semi").select("booking_id", "crew_id", "work_date")
+    booked = crew.join(F.broadcast(theirs.select("crew_id", "work_date").distinct()), ["crew_id", "work_date"], "left_semi").groupBy("crew_id", "work_date").agg(F.countDistinct("booking_id").alias("n"))
+    doubled = theirs.join(F.broadcast(booked.filter("n > 1")), ["crew_id", "work_date"]).groupBy("booking_id").agg(F.count(F.lit(1)).alias("doubled"))
+    top = top.join(F.broadcast(doubled), "booking_id", "left").na.fill(0, ["doubled"])
     verdict = F.when(F.col("estimated") * 2 > F.col("days"), "estimated").when(F.col("doubled") > 0, "double booked").otherwise("genuine")
     evidence = F.concat_ws("; ", F.when(F.col("estimated") > 0, F.concat(F.col("estimated").cast("string"), F.lit(" estimated"))), F.when(F.col("doubled") > 0, F.concat(F.col("doubled").cast("string"), F.lit(" doubled"))))
     return top.select("booking_id", "service", num(F.col("net")).alias("net"), num(F.col("labour")).alias("labour"), num(F.col("margin")).alias("margin"), verdict.alias("verdict"), evidence.alias("evidence"))
@@ -48,10 +51,9 @@ def weekly_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q04_weekly_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per week: active crew, working crew, utilisation, and the role whose utilisation binds."""
-    roles = weekly_utilisation(spark, sf_dir).withColumn("use", F.col("working") / F.col("active"))
-    first = W.partitionBy("week").orderBy(F.desc("use"), "role")
-    binding = roles.withColumn("r", F.row_number().over(first)).filter("r = 1").select("week", F.col("role").alias("binding_role"), F.round("use", 6).alias("binding_use"))
-    return roles.groupBy("week").agg(F.sum("active").alias("active"), F.sum("working").alias("working")).join(binding, "week").select("week", "active", "working", ratio(F.col("working"), F.col("active")).alias("utilisation"), "binding_role", "binding_use")
+    use = F.col("working") / F.col("active")
+    weeks = weekly_utilisation(spark, sf_dir).groupBy("week").agg(F.sum("active").alias("active"), F.sum("working").alias("working"), F.min_by("role", F.struct(-use, F.col("role"))).alias("binding_role"), F.round(F.max(use), 6).alias("binding_use"))
+    return weeks.select("week", "active", "working", ratio(F.col("working"), F.col("active")).alias("utilisation"), "binding_role", "binding_use")
 
 
 def q05_fx_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +72,9 @@ def q05_fx_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q07_unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units, revenue, cost, refunds and contribution by collection, with a loss flag."""
     lines = merch_lines(spark, sf_dir).filter("is_revenue")
-    part = lines.agg(F.count_if(F.col("cogs") > F.col("gross")).alias("n"))
     net = F.col("gross") - F.col("discount") - F.col("refunded") - F.col("cogs")
-    out = lines.groupBy("collection").agg(F.sum("quantity").alias("units"), F.sum("gross").alias("gross"), F.sum("discount").alias("discount"), F.sum("cogs").alias("cogs"), F.sum("refunded").alias("refunded"), F.sum(net).alias("contribution"))
-    return out.crossJoin(F.broadcast(part)).select(
+    out = lines.groupBy("collection").agg(F.sum("quantity").alias("units"), F.sum("gross").alias("gross"), F.sum("discount").alias("discount"), F.sum("cogs").alias("cogs"), F.sum("refunded").alias("refunded"), F.sum(net).alias("contribution"), F.count_if(F.col("cogs") > F.col("gross")).alias("below"))
+    return out.withColumn("n", F.sum("below").over(W.partitionBy())).select(
         "collection", "units", *[num(F.col(c)).alias(c) for c in ("gross", "discount", "cogs", "refunded", "contribution")],
         ratio(F.col("contribution"), F.col("gross") - F.col("discount")).alias("margin"), (F.col("contribution") < 0).alias("is_loss"), F.col("n").alias("lines_below_cost"),
     )
@@ -82,8 +83,8 @@ def q07_unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q08_refunds_by_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refund rate of each SKU against the store's, and the reason with the largest refunds."""
     lines = merch_lines(spark, sf_dir)
-    store = lines.agg(ratio(F.sum("refunded"), F.sum("gross")).alias("store_rate"))
     sku = lines.groupBy("sku").agg(F.sum("gross").alias("gross"), F.sum("refunded").alias("refunded"))
+    store = sku.agg(ratio(F.sum("refunded"), F.sum("gross")).alias("store_rate"))
     reasons = lines.filter("has_refund").groupBy("sku", "reason").agg(F.sum("refunded").alias("amount"))
     top = reasons.withColumn("r", F.row_number().over(W.partitionBy("sku").orderBy(F.desc("amount"), "reason"))).filter("r = 1").select("sku", F.col("reason").alias("top_reason"))
     return sku.join(top, "sku", "left").crossJoin(F.broadcast(store)).select("sku", num(F.col("gross")).alias("gross"), num(F.col("refunded")).alias("refunded"), ratio(F.col("refunded"), F.col("gross")).alias("rate"), "store_rate", "top_reason")
@@ -96,10 +97,10 @@ def q08b_refunds_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("reason", "refunds", "counted", num(F.col("amount")).alias("amount"), ratio(F.col("refunds"), F.sum("refunds").over(everything)).alias("share"))
 
 
-def channel_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions and spend side by side; either may be missing."""
-    s = sessions(spark, sf_dir).filter("NOT is_bot").groupBy("channel", quarter("session_date").alias("quarter")).agg(F.count(F.lit(1)).alias("sessions"), F.count_if("converted").alias("conversions"), F.sum("revenue").alias("revenue"))
-    a = ad_spend(spark, sf_dir).groupBy("channel", quarter("spend_date").alias("quarter")).agg(F.sum("spend").alias("spend"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+def channel_by_quarter(spark: SparkSession, sf_dir: str, within=lambda df, day: df) -> DataFrame:
+    """Sessions and spend side by side; either may be missing. within: a filter of both, told the column of days."""
+    s = within(sessions(spark, sf_dir).filter("NOT is_bot"), "session_date").groupBy("channel", quarter("session_date").alias("quarter")).agg(F.count(F.lit(1)).alias("sessions"), F.count_if("converted").alias("conversions"), F.sum("revenue").alias("revenue"))
+    a = within(ad_spend(spark, sf_dir), "spend_date").groupBy("channel", quarter("spend_date").alias("quarter")).agg(F.sum("spend").alias("spend"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
     return s.join(a, ["channel", "quarter"], "full")
 
 
@@ -112,7 +113,7 @@ def q09_channel_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q10_attribution_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Converted sessions, those whose order exists, and the revenue between, for all sessions and people's alone."""
-    orders = bookings(spark, sf_dir).select(F.col("booking_id").alias("order_id"), F.lit(True).alias("known"))
+    orders = bookings(spark, sf_dir, client=False).select(F.col("booking_id").alias("order_id"), F.lit(True).alias("known"))
     s = sessions(spark, sf_dir).filter("converted").join(orders, "order_id", "left")
     scoped = s.withColumn("scope", F.explode(F.array_compact(F.array(F.lit("all"), F.when(~F.col("is_bot"), "human")))))
     return scoped.groupBy("scope").agg(
@@ -138,8 +139,9 @@ def q11_repeat_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q12_cross_sell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Booking values of clients with and without web sessions: means, medians, Welch's t and degrees of freedom."""
     known = sessions(spark, sf_dir).select("client_id").distinct().withColumn("web", F.lit(True))
-    v = live(bookings(spark, sf_dir)).join(known, "client_id", "left").select(F.coalesce("web", F.lit(False)).alias("web"), F.col("net").cast("double").alias("x"))
-    s = v.groupBy("web").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.percentile("x", F.lit(0.5)).alias("md"))
+    v = live(bookings(spark, sf_dir, client=False)).join(known, "client_id", "left").select(F.coalesce("web", F.lit(False)).alias("web"), F.col("net").cast("double").alias("x"))
+    middle = exact_percentiles(v, ["web"], "x", {"md": 0.5}).withColumnRenamed("__by", "web")
+    s = v.groupBy("web").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v")).join(middle, "web")
     one = lambda c, w: F.max(F.when(F.col("web") == w, F.col(c)))
     p = s.agg(*[one(c, w).alias(f"{c}{int(w)}") for c in ("n", "m", "v", "md") for w in (True, False)])
     a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
@@ -150,18 +152,15 @@ def q12_cross_sell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q14_monthly_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue of both businesses, known costs, the gap and the share of known costs by month."""
-    m = lambda c: F.trunc(c, "MM").alias("month")
+    m, zero = (lambda c: F.trunc(c, "MM").alias("month")), F.lit(0).cast("decimal(28,2)")
     parts = [
-        live(bookings(spark, sf_dir)).groupBy(m("shoot_date")).agg(F.sum("net").alias("bookings")),
-        merch_lines(spark, sf_dir).filter("is_revenue").groupBy(m("order_date")).agg(F.sum(F.col("gross") - F.col("discount")).alias("merch"), F.sum(F.col("cogs") + F.col("refunded")).alias("merch_cost")),
-        crew_days(spark, sf_dir).groupBy(m("work_date")).agg(F.sum("labour_cost").alias("labour")),
+        live(bookings(spark, sf_dir, client=False)).groupBy(m("shoot_date")).agg(F.sum("net").alias("revenue")).select("month", "revenue", zero.alias("cost")),
+        merch_lines(spark, sf_dir).filter("is_revenue").groupBy(m("order_date")).agg(F.sum(F.col("gross") - F.col("discount")).alias("revenue"), F.sum(F.col("cogs") + F.col("refunded")).alias("cost")),
+        crew_days(spark, sf_dir).groupBy(m("work_date")).agg(F.sum("labour_cost").alias("cost")).select("month", zero.alias("revenue"), "cost"),
     ]
-    spine = parts[0].select("month").union(parts[1].select("month")).union(parts[2].select("month")).distinct()
-    for p in parts:
-        spine = spine.join(p, "month", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    revenue, cost = z("bookings") + z("merch"), z("merch_cost") + z("labour")
-    return spine.select("month", num(revenue).alias("revenue"), num(cost).alias("known_cost"), num(revenue - cost).alias("gap"), ratio(cost, revenue).alias("cost_share"))
+    per = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("month").agg(F.sum("revenue").alias("r"), F.sum("cost").alias("c"))
+    revenue, cost = F.coalesce("r", F.lit(0)), F.coalesce("c", F.lit(0))
+    return per.select("month", num(revenue).alias("revenue"), num(cost).alias("known_cost"), num(revenue - cost).alias("gap"), ratio(cost, revenue).alias("cost_share"))
 
 
 QUERIES = {f.__name__: f for f in (q02_service_by_year, q03_worst_margin_jobs, q04_weekly_utilisation, q05_fx_exposure, q07_unit_economics, q08_refunds_by_sku, q08b_refunds_by_reason, q09_channel_efficiency, q10_attribution_gap, q11_repeat_purchase, q12_cross_sell, q14_monthly_flow)}

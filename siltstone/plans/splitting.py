@@ -128,9 +128,14 @@ def r8_fill_from(spark, sf_dir):
 
 
 def r9_proven_rule(spark, sf_dir):
-    """The segment's first letter as a class, filled by its rule because the rule gives every known value."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 5 != 0, F.substring("c_mktsegment", 1, 1)).alias("class"))
-    return S.fill_if_rule_proven(c, "class", F.substring("c_mktsegment", 1, 1)).select("c_custkey", "class", "rule_violations")
+    """The segment's first letter as a class, filled by its rule where the rule gives every known value; and the same
+    with known values that break the rule, which is then not used."""
+    rule = F.substring("c_mktsegment", 1, 1)
+    known = F.when(F.col("c_custkey") % 5 != 0, rule)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", known.alias("class"))
+    broken = c.withColumn("class", F.when((F.col("c_custkey") % 97 == 1) & F.col("class").isNotNull(), F.lit("?")).otherwise(F.col("class")))
+    told = lambda df, name: S.fill_if_rule_proven(df, "class", rule).select(F.lit(name).alias("rule"), "c_custkey", "class", "rule_violations")
+    return told(c, "proven").unionByName(told(broken, "broken"))
 
 
 def r10_constant_in_group(spark, sf_dir):
@@ -211,7 +216,8 @@ SELECT src_table, reason, n AS n_rows, round(coalesce(x, 0)::DOUBLE, 2) AS at_ri
     "r8_fill_from": """WITH r AS (SELECT o_custkey, count(DISTINCT CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 8 = 0 THEN 99 ELSE c_nationkey END) AS n, min(CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 8 = 0 THEN 99 ELSE c_nationkey END) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
 f AS (SELECT c_nationkey, c_custkey % 4 = 0 AS blank, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey ELSE v END AS nation FROM customer LEFT JOIN r ON c_custkey = o_custkey AND n = 1)
 SELECT count(*) FILTER (nation = c_nationkey) AS same, count(*) FILTER (nation <> c_nationkey) AS different, count(*) FILTER (nation IS NULL) AS missing, count(*) FILTER (blank AND nation IS NOT NULL) AS filled FROM f""",
-    "r9_proven_rule": "SELECT c_custkey, substr(c_mktsegment, 1, 1) AS class, 0::BIGINT AS rule_violations FROM customer",
+    "r9_proven_rule": """WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 97 = 1 THEN '?' ELSE substr(c_mktsegment, 1, 1) END END AS class, substr(c_mktsegment, 1, 1) AS rule FROM customer)
+SELECT 'proven' AS rule, c_custkey, rule AS class, count(*) FILTER (CASE WHEN c_custkey % 5 <> 0 THEN rule END <> rule) OVER () AS rule_violations FROM b UNION ALL SELECT 'broken', c_custkey, class, count(*) FILTER (class <> rule) OVER () FROM b""",
     "r10_constant_in_group": """WITH p AS (SELECT p_partkey, p_brand || p_type AS g, CASE WHEN p_partkey % 3 <> 0 THEN length(p_brand)::INTEGER END AS size FROM part)
 SELECT p_partkey, g, coalesce(size, CASE WHEN min(size) OVER w = max(size) OVER w THEN max(size) OVER w END)::INTEGER AS size FROM p WINDOW w AS (PARTITION BY g)""",
     "r12_parent_names": "SELECT p_name, count(*) AS n, count(*) FILTER (l_orderkey % 9 = 0) AS mismatches FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import resolve as R
 from siltstone.operators import temporal as T
-from siltstone.plans.core import MONEY, day_number, fx_daily, num, sessions
+from siltstone.plans.core import CORE_SQL, MONEY, day_number, num, price_versions, sessions
 from siltstone.sources.tables import table
 
-OFFSET, FROM, TO = 1_000_000, "1995-01-01", "1996-12-31"
+OFFSET = 1_000_000
 
 
 def _clients(spark, sf_dir):
     """Customers, and copies of every tenth one at an offset key with a typo in the name."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Client "), F.translate(F.lpad(F.col("c_custkey").cast("string"), 6, "0"), "0123456789", "abcdefghij")).alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).alias("email"), "c_nationkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Client "), F.translate(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 12), "0123456789", "ghijklmnop")).alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).alias("email"), "c_nationkey")
     copies = c.filter("c_custkey % 10 = 0").select((F.col("c_custkey") + OFFSET).alias("c_custkey"), F.concat(F.lit("C"), "name").alias("name"), F.when(F.col("c_custkey") % 20 == 0, F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).alias("email"), "c_nationkey")
     return c.unionByName(copies)
 
@@ -32,7 +32,7 @@ def d4_rekeyed_pairs(spark, sf_dir):
 
 
 def d5_best_match(spark, sf_dir):
-    """The twin is the best name match among candidates of its blocks."""
+    """The twin is the best name match among the names that share one of their rarest runs of letters."""
     c = _clients(spark, sf_dir)
     pairs = R.match_rekeyed(c, "c_custkey", OFFSET, "name", "email", 0.85).filter("holds")
     return R.best_match_evidence(c, pairs, "c_custkey", "name").groupBy("is_best").agg(F.count(F.lit(1)).alias("n"))
@@ -67,11 +67,14 @@ def d10_canonical_labels(spark, sf_dir):
 
 
 def _published(spark, sf_dir):
-    """Rates of weekdays, every 29th day missing, every 61st with the point one place off. The orders give the days."""
-    used = table(spark, sf_dir, "orders").agg(F.min(F.col("o_orderdate").cast("date")).alias("a"))
-    fx = fx_daily(spark).filter((F.col("currency") != "NGN") & F.col("rate_date").between(FROM, TO) & (F.weekday("rate_date") < 5)).crossJoin(F.broadcast(used)).filter(F.col("rate_date") >= F.col("a")).drop("a")
-    n = day_number(F.col("rate_date"))
-    return fx.filter(n % 29 != 0).withColumn("rate", F.when(n % 61 == 0, F.col("rate") * 10).when(n % 67 == 0, F.col("rate") / 10).otherwise(F.col("rate")).cast("decimal(14,6)"))
+    """Rates of the days on which orders were taken, a currency by the client's number: a base and what the cents of the
+    day's orders leave, so steps are small. Weekdays only, every 29th day missing, every 61st and 67th with the point one
+    place off."""
+    currency, base = F.when(F.col("o_custkey") % 3 == 1, "USD").when(F.col("o_custkey") % 3 == 2, "GBP"), F.when(F.col("currency") == "USD", 1000).otherwise(1500)
+    o = table(spark, sf_dir, "orders").select(currency.alias("currency"), F.col("o_orderdate").cast("date").alias("rate_date"), (F.col("o_totalprice").cast(MONEY) * 100).cast("long").alias("cents"))
+    day = o.filter((F.weekday("rate_date") < 5) & F.col("currency").isNotNull()).groupBy("currency", "rate_date").agg(F.sum("cents").alias("cents"))
+    n, rate = day_number(F.col("rate_date")), (base + F.col("cents") % 100).cast("decimal(14,6)")
+    return day.filter(n % 29 != 0).select("currency", "rate_date", F.when(n % 61 == 0, rate * 10).when(n % 67 == 0, rate / 10).otherwise(rate).cast("decimal(14,6)").alias("rate"))
 
 
 def t1_corrected_rates(spark, sf_dir):
@@ -80,8 +83,8 @@ def t1_corrected_rates(spark, sf_dir):
 
 
 def t2_daily_rates(spark, sf_dir):
-    """A rate for every day, filled from the last one."""
-    return T.daily_calendar(T.correct_rate_outliers(_published(spark, sf_dir)), FROM, TO).withColumn("rate", num(F.col("rate"), 6))
+    """A rate for every day from the first to the last one published, filled from the last one."""
+    return T.daily_calendar(T.correct_rate_outliers(_published(spark, sf_dir))).withColumn("rate", num(F.col("rate"), 6))
 
 
 def t3_rate_steps(spark, sf_dir):
@@ -90,19 +93,8 @@ def t3_rate_steps(spark, sf_dir):
 
 
 def t4_missing_weekdays(spark, sf_dir):
-    """T4: weekdays without a rate."""
-    return T.missing_weekdays(_published(spark, sf_dir), FROM, TO)
-
-
-def price_versions(spark, sf_dir):
-    """Three price versions per part: some overlap, some leave a gap, some are inverted, some are closed at the end."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_retailprice").cast(MONEY).alias("price"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("version"))
-    day = lambda n: F.date_add(F.lit("1995-01-01").cast("date"), n.cast("int"))
-    lo = day(F.col("version") * 900)
-    end = F.when(F.col("sku") % 5 == 1, 930).when(F.col("sku") % 5 == 2, 880).otherwise(899)
-    hi = F.when((F.col("version") == 2) & (F.col("sku") % 3 != 0), F.lit(None)).when((F.col("version") == 1) & (F.col("sku") % 5 == 4), F.lit(None)).otherwise(day(F.col("version") * 900 + end))
-    inverted = (F.col("sku") % 7 == 0) & (F.col("version") == 0)
-    return p.select("sku", "version", (F.col("price") + F.col("version") * 10).cast(MONEY).alias("list_price"), F.when(inverted, hi).otherwise(lo).alias("valid_from"), F.when(inverted, lo).otherwise(hi).alias("valid_to"))
+    """T4: weekdays without a rate between the first and the last one published."""
+    return T.missing_weekdays(_published(spark, sf_dir))
 
 
 def t5_repaired_versions(spark, sf_dir):
@@ -162,9 +154,10 @@ def t10_learned_window(spark, sf_dir):
 
 
 def t11_calendar(spark, sf_dir):
-    """The calendar of the orders' years."""
-    o = table(spark, sf_dir, "orders").agg(F.max(F.col("o_orderdate").cast("date")).alias("m"))
-    return T.dim_date(spark, FROM, "2001-12-31").crossJoin(F.broadcast(o)).filter(F.col("day") <= F.col("m")).drop("m")
+    """The calendar of the days from the first to the last order, with the orders taken on each."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    span = o.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    return T.calendar(span.select(F.explode(F.sequence("a", "b")).alias("day"))).join(o.groupBy("day").agg(F.count(F.lit(1)).alias("orders")), "day", "left").na.fill(0, ["orders"])
 
 
 def t12_attribution_lag(spark, sf_dir):
@@ -186,9 +179,14 @@ def w7_refund_allocation(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (d3_merged_rows, d4_rekeyed_pairs, d5_best_match, d6_applied_merges, d7_shared_attributes, d9_id_block, d10_canonical_labels, t1_corrected_rates, t2_daily_rates, t3_rate_steps, t4_missing_weekdays, t5_repaired_versions, t6_version_check, q06_window_integrity, t7_validity_join, t9_price_evidence, t10_ambiguous_dates, t10_learned_window, t11_calendar, t12_attribution_lag, w7_refund_allocation)}
 
-_FX = f"""WITH d AS (SELECT d::DATE AS d, (d::DATE - DATE '1970-01-01') AS n FROM generate_series(TIMESTAMP '{FROM}', TIMESTAMP '{TO}', INTERVAL 1 DAY) t(d)),
-a AS (SELECT c AS currency, d, n, (CASE c WHEN 'USD' THEN 700 + n % 100 ELSE 900 + n % 120 END)::DECIMAL(14,6) AS clean FROM d, (VALUES ('USD'), ('GBP')) v(c)),
-p AS (SELECT *, CASE WHEN n % 61 = 0 THEN clean * 10 WHEN n % 67 = 0 THEN clean / 10 ELSE clean END AS raw FROM a WHERE isodow(d) < 6 AND n % 29 <> 0 AND d >= (SELECT min(o_orderdate)::DATE FROM orders))"""
+_FX = """WITH o AS (SELECT CASE o_custkey % 3 WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' END AS currency, o_orderdate::DATE AS d, (o_totalprice::DECIMAL(18,2) * 100)::BIGINT AS c FROM orders),
+q AS (SELECT currency, d, (d - DATE '1970-01-01') AS n, (max(CASE currency WHEN 'USD' THEN 1000 ELSE 1500 END) + sum(c) % 100)::DECIMAL(14,6) AS r FROM o WHERE isodow(d) < 6 AND currency IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT currency, d, (CASE WHEN n % 61 = 0 THEN r * 10 WHEN n % 67 = 0 THEN r / 10 ELSE r END)::DECIMAL(14,6)::DOUBLE AS raw FROM q WHERE n % 29 <> 0),
+w AS (SELECT *, lag(raw) OVER w AS b, lead(raw) OVER w AS f FROM p WINDOW w AS (PARTITION BY currency ORDER BY d)),
+h AS (SELECT *, b IS NOT NULL OR f IS NOT NULL AS beside, coalesce(raw > 5 * b, true) AND coalesce(raw > 5 * f, true) AND (coalesce(abs(raw / 10 / b - 1) <= 0.15, false) OR coalesce(abs(raw / 10 / f - 1) <= 0.15, false)) AS hi,
+  coalesce(raw < b / 5, true) AND coalesce(raw < f / 5, true) AND (coalesce(abs(raw * 10 / b - 1) <= 0.15, false) OR coalesce(abs(raw * 10 / f - 1) <= 0.15, false)) AS lo FROM w),
+fixed AS (SELECT currency, d, CASE WHEN beside AND hi THEN raw / 10 WHEN beside AND lo THEN raw * 10 ELSE raw END AS rate, beside AND (hi OR lo) AS is_corrected FROM h),
+a AS (SELECT currency, unnest(generate_series(min(d)::TIMESTAMP, max(d)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM p GROUP BY 1)"""
 _V = f"""WITH v AS (SELECT p_partkey AS sku, r AS version, (p_retailprice::DECIMAL(18,2) + r * 10)::DECIMAL(18,2) AS list_price, DATE '1995-01-01' + (r * 900)::INT AS lo,
   CASE WHEN r = 2 AND p_partkey % 3 <> 0 THEN NULL WHEN r = 1 AND p_partkey % 5 = 4 THEN NULL ELSE DATE '1995-01-01' + (r * 900 + CASE p_partkey % 5 WHEN 1 THEN 930 WHEN 2 THEN 880 ELSE 899 END)::INT END AS hi, p_partkey % 7 = 0 AND r = 0 AS inv FROM part, range(3) t(r)),
 f AS (SELECT sku, version, list_price, lo AS valid_from, CASE WHEN version = 2 THEN DATE '{T.FOREVER}' ELSE lo + 899 END AS valid_to, version = 2 AS is_current, concat_ws(',', CASE WHEN inv THEN 'swapped' END,
@@ -208,11 +206,10 @@ SELECT o.o_custkey, first(status ORDER BY o_orderkey) FILTER (status IS NOT NULL
     "d10_canonical_labels": """WITH p AS (SELECT p_partkey, lower(p_name) AS k, p_partkey % 4 AS r, list_aggregate(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS i FROM part),
 s AS (SELECT k, CASE r WHEN 0 THEN upper(k) WHEN 1 THEN k ELSE i END AS label, CASE WHEN r IN (0, 1) THEN 1 ELSE 0 END AS m, count(*) AS n, min(p_partkey) AS o FROM p GROUP BY ALL)
 SELECT k, first(label ORDER BY m, n DESC, o) AS label FROM s GROUP BY k""",
-    "t1_corrected_rates": _FX + " SELECT currency, d AS rate_date, round(clean::DOUBLE, 6) AS rate, n % 61 = 0 OR n % 67 = 0 AS is_corrected FROM p",
-    "t2_daily_rates": _FX + """ SELECT a.currency, a.d AS rate_date, round(coalesce(last_value(p.clean IGNORE NULLS) OVER w, first_value(p.clean IGNORE NULLS) OVER v)::DOUBLE, 6) AS rate, p.d IS NULL AS is_filled,
-  coalesce(last_value(p.d IGNORE NULLS) OVER w, first_value(p.d IGNORE NULLS) OVER v) AS source_rate_date, p.d IS NOT NULL AND (a.n % 61 = 0 OR a.n % 67 = 0) AS is_corrected
-FROM a LEFT JOIN p ON a.currency = p.currency AND a.d = p.d WINDOW w AS (PARTITION BY a.currency ORDER BY a.d ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY a.currency ORDER BY a.d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
-    "t3_rate_steps": _FX + """, s AS (SELECT currency, d, raw::DOUBLE / lag(raw) OVER (PARTITION BY currency ORDER BY d)::DOUBLE AS step FROM p)
+    "t1_corrected_rates": _FX + " SELECT currency, d AS rate_date, round(rate, 6) AS rate, is_corrected FROM fixed",
+    "t2_daily_rates": _FX + """ SELECT a.currency, a.d AS rate_date, round(last_value(x.rate IGNORE NULLS) OVER w, 6) AS rate, x.d IS NULL AS is_filled, last_value(x.d IGNORE NULLS) OVER w AS source_rate_date, coalesce(x.is_corrected, false) AS is_corrected
+FROM a LEFT JOIN fixed x ON a.currency = x.currency AND a.d = x.d WINDOW w AS (PARTITION BY a.currency ORDER BY a.d ROWS UNBOUNDED PRECEDING)""",
+    "t3_rate_steps": _FX + """, s AS (SELECT currency, d, raw / lag(raw) OVER (PARTITION BY currency ORDER BY d) AS step FROM p)
 SELECT currency, d AS rate_date, round(step, 6) AS step, step > 2 OR step < 0.5 AS is_rejected FROM s WHERE step > 1.2 OR step < 1 / 1.2""",
     "t4_missing_weekdays": _FX + " SELECT currency, d AS rate_date FROM a WHERE isodow(d) < 6 AND (currency, d) NOT IN (SELECT currency, d FROM p)",
     "t5_repaired_versions": _V + " SELECT sku, version::INTEGER AS version, valid_from, valid_to, is_current, repair FROM f",
@@ -225,8 +222,9 @@ SELECT l_returnflag, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, r
     "t10_ambiguous_dates": _RD + """, x AS (SELECT NOT sure AS ambiguous, sure OR NOT (o - day BETWEEN a AND b) AS is_resolved FROM u, w)
 SELECT ambiguous, is_resolved, CASE WHEN is_resolved THEN true END AS is_right, count(*) AS n FROM x GROUP BY ALL""",
     "t10_learned_window": _RD + " SELECT a::INTEGER AS lag_min, b::INTEGER AS lag_max, n AS sure FROM w",
-    "t11_calendar": f"""SELECT d::DATE AS day, year(d)::INTEGER AS year, quarter(d)::INTEGER AS quarter, year(d)::VARCHAR || 'Q' || quarter(d)::VARCHAR AS year_quarter, isoyear(d)::INTEGER AS iso_year, weekofyear(d)::INTEGER AS iso_week, date_trunc('week', d)::DATE AS week_start,
-  isodow(d) > 5 AS is_weekend, month(d) IN (11, 12) AS is_peak FROM generate_series(TIMESTAMP '{FROM}', (SELECT max(o_orderdate) FROM orders), INTERVAL 1 DAY) t(d)""",
+    "t11_calendar": """WITH o AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1)
+SELECT t.d::DATE AS day, year(t.d)::INTEGER AS year, quarter(t.d)::INTEGER AS quarter, year(t.d)::VARCHAR || 'Q' || quarter(t.d)::VARCHAR AS year_quarter, isoyear(t.d)::INTEGER AS iso_year, weekofyear(t.d)::INTEGER AS iso_week, date_trunc('week', t.d)::DATE AS week_start,
+  isodow(t.d) > 5 AS is_weekend, month(t.d) IN (11, 12) AS is_peak, coalesce(n, 0) AS orders FROM generate_series((SELECT min(d)::TIMESTAMP FROM o), (SELECT max(d)::TIMESTAMP FROM o), INTERVAL 1 DAY) t(d) LEFT JOIN o ON o.d = t.d::DATE""",
     "t12_attribution_lag": """WITH j AS (SELECT ts::DATE - (DATE '2024-01-01' + (o_orderkey % 30)::INT) AS d FROM events JOIN orders ON o_orderkey = event_id * 3 WHERE event_type = 'purchase')
 SELECT count(*) AS n, median(abs(d))::DOUBLE AS median_days, round(avg((d < 0)::INT), 6) AS before FROM j""",
     "w7_refund_allocation": """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::DATE AS day, (CASE WHEN l_partkey % 13 = 0 THEN -l_extendedprice ELSE l_extendedprice END)::DECIMAL(18,2) AS v, l_returnflag FROM lineitem),
