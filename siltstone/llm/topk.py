@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import new_path, removed, stored
+from siltstone.llm.shared import removed, stored
+from siltstone.sources.scratch import new_path
 from siltstone.sources.tables import table
 
 #: Rows of a block, about, queries of a round at most, and entries that a block keeps of a list.

@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import new_path, split_join, stored
+from siltstone.llm.shared import split_join, stored
+from siltstone.sources.scratch import new_path
 from siltstone.sources.tables import table
 
 RECORDS_PER_FILE, FILE_BYTES, SMALL = 1000, 1 << 30, 1 << 20
