@@ -102,3 +102,14 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 #: Any odd number does.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def further(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Hashes number 0, 1, ... of what the given hashes stand for; number 0 is the hash itself."""
+    if not number:
+        return hashes
+    x = hashes + np.uint64(number * int(MULTIPLIER) % (1 << 64))
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(odd)
+    return x ^ (x >> np.uint64(31))

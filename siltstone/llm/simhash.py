@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import KEY_ROWS, MULTIPLIER, parts, split_join, stored
+from siltstone.llm.shared import KEY_ROWS, further, parts, split_join, stored
 from siltstone.sources.tables import table
 
 #: Bytes of text that are cut into words at a time, and hashes whose bits are counted at a time.
@@ -48,17 +48,6 @@ BROADCAST_ROWS = 200_000
 CHUNK, SMALL = 8, 48
 
 
-def further(hashes: np.ndarray, number: int) -> np.ndarray:
-    """Hashes number 0, 1, ... of what the given hashes stand for; number 0 is the hash itself."""
-    if not number:
-        return hashes
-    x = hashes + np.uint64(number * int(MULTIPLIER) % (1 << 64))
-    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x ^= x >> np.uint64(shift)
-        x *= np.uint64(odd)
-    return x ^ (x >> np.uint64(31))
-
-
 def bit_counts(hashes: np.ndarray, number: int = 0) -> np.ndarray:
     """How many of the hashes number `number` have each of their 64 bits set."""
     counts = np.zeros(64, np.int64)

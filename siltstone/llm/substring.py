@@ -9,10 +9,12 @@ segments are indexed by their words (siltstone.llm.fmindex), and each is streame
 gives the length of the longest match with a smaller doc_id at every place: where that is a window or more, the
 window's words go.
 
-Anchors that more than `hot` different segments share are not given to one task: their windows are dealt out by the hash
-of the whole window, and those that a smaller doc_id holds too are reported.
+Anchors that more than `hot` different segments share are not given to one task: their segments are cut again around
+anchors of their own, found by another hash, and go the same way once more, through shards and indexes; after LEVELS such
+rounds the anchor is the whole window. So equal passages of any number make indexes of bounded size.
 
-Words are compared as words inside a shard, and by 128 bits of hashes where equal segments are put together.
+Words are compared as words inside a shard, and by 128 bits of hashes where equal segments are put together: an exact
+repeat of a whole segment is found there, before any index, and the indexes find what different segments share.
 
 Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; a null doc_id neither
 loses words nor takes any from others; rows that repeat a doc_id are one document in comparisons and are each returned;
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.fmindex import FMIndex
-from siltstone.llm.shared import MULTIPLIER, WordHashes, parts, stored, window_hashes
+from siltstone.llm.shared import MULTIPLIER, WordHashes, further, parts, split_join, stored, window_hashes
 from siltstone.sources.tables import table
 
 GRAM = 8
@@ -39,6 +41,8 @@ GRAM = 8
 SHARD_WORDS, HOT = 150_000, 4096
 #: Words of a document whose anchors are found at a time.
 SPAN = 1 << 16
+#: Rounds of anchors that are runs of GRAM words.
+LEVELS = 3
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
@@ -57,14 +61,14 @@ def range_hashes(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out * MULTIPLIER
 
 
-def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(hashes: np.ndarray, window: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, segment hash, first word, number of words) of the segments of a text's word hashes."""
     keys, hashed, firsts, sizes = [], [], [], []
-    gram = min(GRAM, window)
+    gram = min(GRAM, window) if level < LEVELS else window
     inner = window - gram + 1
     for at in range(0, max(0, len(hashes) - window + 1), SPAN):
         part = hashes[at : at + SPAN + window - 1]
-        grams = window_hashes(part, gram)
+        grams = further(window_hashes(part, gram), level)
         starts = np.arange(len(part) - window + 1)
         anchor = starts + np.lib.stride_tricks.sliding_window_view(grams, inner).argmin(axis=1)
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
@@ -84,17 +88,20 @@ def _hashes_of(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def _find_segments(window: int):
+def _find_segments(window: int, level: int):
+    """The segments of texts (doc_id, parent, part, text); a key is the anchor's hash and that of the parent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             held, size = [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc, parent, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "parent", "part")), batch.column("text")):
                 if doc is None:
                     continue
-                key, seg, first, words = segments(_hashes_of(text.as_py(), hashes), window)
+                key, seg, first, words = segments(_hashes_of(text.as_py(), hashes), window, level)
                 if len(key):
-                    held.append((np.full(len(key), doc), key.view(np.int64), seg.view(np.int64), first, words))
+                    key = further(key ^ np.uint64(parent % (1 << 64)), 1) if level else key
+                    held.append((np.full(len(key), doc), np.full(len(key), part), key.view(np.int64), seg.view(np.int64), first, words))
                     size += len(key)
                 if size > 50_000:
                     yield rows(held)
@@ -103,46 +110,37 @@ def _find_segments(window: int):
                 yield rows(held)
 
     def rows(held: list) -> pa.RecordBatch:
-        a, b, c, d, e = (np.concatenate(x) for x in zip(*held))
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(a, pa.int64()), "key": pa.array(b), "seg": pa.array(c), "first": pa.array(d, pa.int32()), "size": pa.array(e, pa.int32())})
+        a, b, c, d, e, f = (np.concatenate(x) for x in zip(*held))
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(a, pa.int64()), "part": pa.array(b, pa.int64()), "key": pa.array(c), "seg": pa.array(d), "first": pa.array(e, pa.int32()), "size": pa.array(f, pa.int32())})
 
     return run
 
 
-def _cut_segments(window: int):
-    """Rows (key, seg, doc_id, text) of wanted segments, and (key, seg, doc_id, first) of the windows of hot ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            out, held = [], 0
-            for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
-                words = [w for p in parts((text.as_py() or "").encode("utf-8", "surrogatepass")) for w in p]
-                wanted = [w for w in wanted if w["first"] + w["size"] <= len(words)]
-                if not wanted:
-                    continue
-                of = hashes.array(words)
-                lo = np.array([w["first"] for w in wanted])
-                found = range_hashes(of, lo, lo + np.array([w["size"] for w in wanted])).view(np.int64)
-                for w, seg in zip(wanted, found.tolist()):
-                    if seg != w["seg"]:  # another row with this doc_id
-                        continue
-                    if w["hot"]:
-                        at = w["first"] + np.arange(w["size"] - window + 1)
-                        out += [(w["key"], h, doc, i, None) for h, i in zip(range_hashes(of, at, at + window).view(np.int64).tolist(), at.tolist())]
-                    else:
-                        out.append((w["key"], seg, doc, None, b" ".join(words[w["first"] : w["first"] + w["size"]])))
-                        held += len(out[-1][4])
-                if held > 1 << 23 or len(out) > 100_000:
-                    yield rows(out)
-                    out, held = [], 0
-            yield rows(out)
+def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts (key, seg, doc_id, hot, text) of the wanted segments of texts."""
 
     def rows(out: list) -> pa.RecordBatch:
         a, b, c, d, e = zip(*out) if out else ((),) * 5
-        return pa.RecordBatch.from_pydict({"key": pa.array(a, pa.int64()), "seg": pa.array(b, pa.int64()), "doc_id": pa.array(c, pa.int64()), "first": pa.array(d, pa.int32()), "text": pa.array(e, pa.binary())})
+        return pa.RecordBatch.from_pydict({"key": pa.array(a, pa.int64()), "seg": pa.array(b, pa.int64()), "doc_id": pa.array(c, pa.int64()), "hot": pa.array(d, pa.bool_()), "text": pa.array(e, pa.string())})
 
-    return run
+    hashes = WordHashes()
+    for batch in batches:
+        out, held = [], 0
+        for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
+            words = [w for p in parts((text.as_py() or "").encode("utf-8", "surrogatepass")) for w in p]
+            wanted = [w for w in wanted if w["first"] + w["size"] <= len(words)]
+            if not wanted:
+                continue
+            lo = np.array([w["first"] for w in wanted])
+            found = range_hashes(hashes.array(words), lo, lo + np.array([w["size"] for w in wanted])).view(np.int64)
+            for w, seg in zip(wanted, found.tolist()):
+                if seg == w["seg"]:  # else it is another row with this doc_id
+                    out.append((w["key"], seg, doc, w["hot"], b" ".join(words[w["first"] : w["first"] + w["size"]]).decode("utf-8", "surrogatepass")))
+                    held += len(out[-1][4])
+            if held > 1 << 23:
+                yield rows(out)
+                out, held = [], 0
+        yield rows(out)
 
 
 def _search_shard(window: int):
@@ -151,7 +149,7 @@ def _search_shard(window: int):
     def run(key, shard):
         rows = sorted({(k, s, d): t for k, s, d, t in zip(*(shard.column(c).to_pylist() for c in ("key", "seg", "doc_id", "text")))}.items())
         numbers: dict[bytes, int] = {}
-        texts = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in t.split()], np.int64) for _, t in rows]
+        texts = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in t.split(" ")], np.int64) for _, t in rows]
         docs = np.unique([d for (_, _, d), _ in rows], return_inverse=True)[1]
         out = []
         if len(texts) > 1:
@@ -170,35 +168,37 @@ def _search_shard(window: int):
 def repeated_ranges(docs: DataFrame, window: int = 50, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, lo, hi): word ranges of documents, maybe overlapping, whose union is what windows that also start in a
     document with a smaller doc_id cover. docs: (doc_id, text)."""
-    found = stored(docs.mapInArrow(_find_segments(window), "doc_id long, key long, seg long, first int, size int"), "segments")
+    none = F.lit(0).cast("long")
+    return _ranges(docs.select("doc_id", none.alias("parent"), none.alias("part"), "text"), window, hot, shard_words, 0).drop("part")
+
+
+def _ranges(texts: DataFrame, window: int, hot: int, shard_words: int, level: int) -> DataFrame:
+    """(doc_id, part, lo, hi) of texts (doc_id, parent, part, text): part names a text of a document, and only texts of one
+    parent are compared."""
+    found = stored(texts.mapInArrow(_find_segments(window, level), "doc_id long, part long, key long, seg long, first int, size int"), "segments")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key")
     shared = stored(shared, "segments-keys")  # so that the join deals out both sides and can split a hot key
     repeated = stored(found.join(shared, "key", "left_semi"), "segments-shared")
-    least = stored(repeated.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "first", "size")).alias("x")).select("key", "seg", "x.*"), "segments-least")
+    least = stored(repeated.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "part", "first", "size")).alias("x")).select("key", "seg", "x.*"), "segments-least")
 
-    several = least.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = least.join(stored(several, "segments-several"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "seg", "first", "size", "hot")).alias("wanted"))
-    cut = stored(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_segments(window), "key long, seg long, doc_id long, first int, text binary"), "segments-cut")
+    several = least.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", ((F.col("n") > hot) & F.lit(level < LEVELS)).alias("hot"))
+    wanted = least.join(stored(several, "segments-several"), "key").groupBy("doc_id", "part").agg(F.collect_list(F.struct("key", "seg", "first", "size", "hot")).alias("wanted"))
+    cut = stored(texts.join(wanted, ["doc_id", "part"]).select("doc_id", "text", "wanted").mapInArrow(_cut_segments, "key long, seg long, doc_id long, hot boolean, text string"), "segments-cut")
 
-    texts = cut.filter("text IS NOT NULL")
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    shards = max(1, math.ceil(size / (6 * shard_words)))
-    shard = F.pmod(F.col("key"), F.lit(shards)).alias("shard")
-    searched = texts.select(shard, "key", "seg", "doc_id", "text").groupBy("shard").applyInArrow(_search_shard(window), "key long, seg long, lo int, hi int")
+    some = cut.filter("NOT hot")
+    size = some.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    shard = F.pmod(F.col("key"), F.lit(max(1, math.ceil(size / (6 * shard_words))))).alias("shard")
+    searched = some.select(shard, "key", "seg", "doc_id", "text").groupBy("shard").applyInArrow(_search_shard(window), "key long, seg long, lo int, hi int")
     searched = stored(searched, "segments-found")
-
-    held = repeated.join(least.select("key", "seg", F.col("doc_id").alias("least")), ["key", "seg"])
-    whole = held.filter("doc_id > least").select("doc_id", F.col("first").alias("lo"), (F.col("first") + F.col("size")).alias("hi"))
-    own = held.filter("doc_id = least").join(searched, ["key", "seg"]).select("doc_id", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
-    windows = cut.filter("first IS NOT NULL")
-    first_holder = windows.groupBy("key", "seg").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key", "seg", "a")
-    # a hot segment that its smallest document holds in several places loses the same words in each
-    places = held.filter("doc_id = least").select("key", "doc_id", F.col("seg").alias("whole_seg"), F.col("first").alias("place"))
-    origin = least.select("key", "doc_id", F.col("seg").alias("whole_seg"), F.col("first").alias("from"), "size")
-    hot_rows = windows.join(first_holder, ["key", "seg"]).filter("doc_id > a").select("key", "doc_id", F.col("first").alias("at"))
-    inside = hot_rows.join(origin, ["key", "doc_id"]).filter(F.col("at").between(F.col("from"), F.col("from") + F.col("size") - window))
-    moved = inside.join(places, ["key", "doc_id", "whole_seg"]).select("doc_id", (F.col("place") + F.col("at") - F.col("from")).alias("lo"))
-    return whole.unionByName(own).unionByName(moved.select("doc_id", "lo", (F.col("lo") + window).alias("hi")))
+    again = cut.filter("hot").dropDuplicates(["key", "seg"]).withColumn("part", F.xxhash64("key", "seg"))
+    if not again.isEmpty():
+        deeper = _ranges(again.select("doc_id", F.col("key").alias("parent"), "part", "text"), window, hot, shard_words, level + 1)
+        searched = searched.unionByName(deeper.join(again.select("doc_id", "part", "key", "seg"), ["doc_id", "part"]).select("key", "seg", "lo", "hi"))
+
+    held = split_join(repeated, least.select("key", "seg", F.col("doc_id").alias("least")), ["key", "seg"])
+    whole = held.filter("doc_id > least").select("doc_id", "part", F.col("first").alias("lo"), (F.col("first") + F.col("size")).alias("hi"))
+    own = held.filter("doc_id = least").join(searched, ["key", "seg"]).select("doc_id", "part", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    return whole.unionByName(own)
 
 
 def _merged(ranges: list[dict] | None) -> list[tuple[int, int]]:

@@ -62,7 +62,7 @@ def corpus(seed, n=120):
     return list({d: (d, t) for d, t in out}.values())
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [4096, 3, 1])
 def test_random_corpora_with_and_without_hot_anchors(spark, hot):
     texts = corpus(hot)
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
@@ -71,6 +71,24 @@ def test_random_corpora_with_and_without_hot_anchors(spark, hot):
     assert {d: WORDS.findall(t) for d, t in got.items()} == {d: k for d, (_, _, k) in want.items()}
 
 
+def test_a_hot_passage_in_different_surroundings(spark):
+    """One passage shorter than a window in many texts, and windows that differ in one word: several rounds of anchors."""
+    rng = random.Random(8)
+    w = lambda k: [f"v{rng.randint(0, 3000)}" for _ in range(k)]
+    line, base = w(12), w(25)
+    texts = []
+    for d in range(150):
+        near = base[:]
+        near[rng.randrange(25)] = f"edit{rng.randint(0, 4)}"
+        texts.append((d, " ".join(w(rng.randint(0, 12)) + line + w(rng.randint(5, 12)) + (near if d % 3 else base[:22]))))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = plain(texts, 15)
+    for hot in (1, 20):
+        got = {r.doc_id: r.text for r in remove_repeats(df, 15, hot=hot, shard_words=500).collect()}
+        assert {d: WORDS.findall(t) for d, t in got.items()} == {d: k for d, (_, _, k) in want.items()}
+    assert sum(g for _, g, _ in want.values()) > 500
+
+
 def test_nulls_repeats_long_texts_and_clashing_columns(spark):
     long = " ".join(f"x{i}" for i in range(200_000))
     a = " ".join(f"a{i}" for i in range(60))
