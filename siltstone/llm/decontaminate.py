@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import WordHashes, parts, stored, window_hashes
+from siltstone.llm.shared import WordHashes, parts, split_join, stored, window_hashes
 from siltstone.sources.tables import table
 
 LEAST, COVERAGE = 5, 0.8
@@ -78,30 +78,30 @@ def _probes(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds & mask, (seeds >> np.uint64(32)) & mask
 
 
+def _set(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each bit is set."""
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def seed_table(seeds: DataFrame) -> np.ndarray:
-    """A table of bits as bytes in which both probes of every seed are set; at most MOST_BITS."""
+    """A table of bits in 64-bit words in which both probes of every seed are set; at most MOST_BITS. Words are put together
+    by an aggregation, so what the driver gets is the table."""
     n = seeds.count()
     bits = 1 << min(int(math.log2(MOST_BITS)), max(16, math.ceil(math.log2(max(1, n) * BITS_PER_SEED))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(bits, np.bool_)
-        for batch in batches:
-            for probe in _probes(batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64), bits):
-                found[probe] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(found).tobytes()], pa.binary())})
-
-    total = np.zeros(bits // 8, np.uint8)
-    for row in seeds.select("seed").coalesce(2).mapInArrow(run, "bits binary").collect():
-        total |= np.frombuffer(bytes(row.bits), np.uint8)
-    return total
+    probes = F.array(F.col("seed").bitwiseAND(bits - 1), F.shiftrightunsigned("seed", 32).bitwiseAND(bits - 1))
+    each = seeds.select(F.explode(probes).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit"))
+    found = each.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
 
 
 def _places(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
     """doc_id, content (hash of the text), at, seed, tokens (binary) for the places that pass the seed table."""
-    size = len(bits) * 8
+    size = len(bits) * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of_bits, hashes = np.unpackbits(bits).view(np.bool_), WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -114,8 +114,8 @@ def _places(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
                     for n in lengths:
                         keys = window_hashes(tokens, n)
                         a, b = _probes(keys, size)
-                        hits = np.flatnonzero(table_of_bits[a])
-                        hits = hits[table_of_bits[b[hits]]]
+                        hits = np.flatnonzero(_set(bits, a))
+                        hits = hits[_set(bits, b[hits])]
                         if len(hits) and content is None:
                             content = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
                         for i in hits.tolist():
@@ -173,11 +173,11 @@ def tiles(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, i
         again = False
         for n, i, j in sorted(matches):
             n = -n
-            if not any(used_doc[i : i + n]) and not any(used_item[j : j + n]):
-                used_doc[i : i + n] = used_item[j : j + n] = b"\x01" * n
-                found.append((i, j, n))
-            else:
-                again = True  # what another tile has left of it may still be long enough
+            if any(used_doc[i : i + n]) or any(used_item[j : j + n]):
+                again = True  # what is left of it, or another match in its place, may be longer than those that follow
+                break
+            used_doc[i : i + n] = used_item[j : j + n] = b"\x01" * n
+            found.append((i, j, n))
         if again:
             continue
         if length == least:
@@ -218,14 +218,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
     if not lengths:
         return rows.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("covered"), F.lit(0.0).alias("coverage"))
     few = seeds.count() <= BROADCAST_ROWS
-    near = lambda df: F.broadcast(df) if few else df
-    places = _places(rows, seed_table(seeds), lengths).join(near(seeds.select("seed", "item")), "seed")
+    near = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    places, owners = _places(rows, seed_table(seeds), lengths), seeds.select("seed", "item")
+    if few:
+        places = places.join(F.broadcast(owners), "seed")
+    else:  # a seed that very many places have stays where they are
+        per_seed = owners.groupBy("seed").agg(F.collect_list("item").alias("items"))
+        places = split_join(stored(places, "places"), stored(per_seed, "owners"), ["seed"]).withColumn("item", F.explode("items")).drop("items")
     gathered = places.groupBy("doc_id", "content", "item").agg(F.collect_set(F.struct("at", "tokens")).alias("places"))
     # tiles are made of seeds: too few of them cannot reach the coverage
     sized = gathered.join(near(items.withColumnRenamed("tokens", "item_tokens")), "item")
     enough = sized.filter(F.size("places") * least >= F.lit(coverage) * F.size("item_tokens"))
     found = enough.mapInArrow(_tile(least, coverage), "doc_id long, content long, item long, n_words long, covered long")
-    names = named.select("item_id", F.xxhash64("tokens").alias("item")).distinct()
+    names = stored(named.select("item_id", F.xxhash64("tokens").alias("item")).distinct(), "item-names")
     out = found.join(near(names), "item").select("doc_id", "content", "item_id", "n_words", "covered", (F.col("covered") / F.col("n_words")).alias("coverage"))
     return out.drop("content")
 

@@ -7,7 +7,7 @@ all windows of many texts go through the network side by side and a text of any
 piecewise linear (hard sigmoid and hard tanh), which keeps a position cheap.
 
 Training: backpropagation through time with Adam on windows of at most `per_language` training documents of each
-language (those with the smallest hash of doc_id; a null doc_id is not drawn; `windows_per_document` windows spread over the whole text of each).
+language (rows with the smallest hash of doc_id; a null doc_id is not drawn; `windows_per_document` windows spread over the whole text of each).
 That sample is the only thing that reaches the driver, and its size is bounded by these parameters.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; a document's score is the mean
@@ -207,10 +207,14 @@ class Pool:
 
 def training_windows(labelled: DataFrame, per_language: int, windows_per_document: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, label numbers and languages of a bounded sample of (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("langid")), "doc_id")
+    hashed = F.xxhash64("doc_id", F.lit("langid"))
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
     usable = labelled.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND octet_length(text) > 0")
-    # ids are ranked without their texts; at most per_language of each language go to the tasks that fetch these
-    chosen = stored(usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct(), "langid-sample")
+    # of each language about 4 * per_language ids, those with the smallest hashes, are ranked, without their texts
+    ids = usable.select("doc_id", "lang")
+    share = ids.groupBy("lang").agg((4.0 * per_language / F.count(F.lit(1))).alias("share"))
+    small = ids.join(share, "lang").filter((hashed.cast("double") + 2.0**63) / 2.0**64 < F.col("share"))
+    chosen = stored(small.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct(), "langid-sample")
     each = Window.partitionBy("doc_id").orderBy("lang", "text")
     some = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").withColumn("r", F.row_number().over(each)).filter("r = 1")
 

@@ -34,19 +34,27 @@ REPAIRS, PER_BUCKET = 6, 1024
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     """Per __source: source_size, target. sizes: (__source, source_size), a row for each source.
 
-    A target is min(cap * source_size, level * weight) for the one level at which targets sum up to all sizes; this is
-    where resharing the excess by weight ends. Sources whose cap binds first come first in the order of cap / weight.
+    A target is min(cap * source_size, level * weight) for the one level at which targets sum up to all sizes. The level
+    starts at what all sources share; each round takes out the sources above their cap and shares the rest by weight,
+    until none is above; a round is one aggregation, of which the driver gets one row. Sources are numbered by their
+    places in a sorted table, so no task holds them all.
     """
-    rank = F.row_number().over(Window.orderBy("__source"))
-    weighted = sizes.withColumn("__w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(rank - 1, F.lit(len(weights))) + 1)).withColumn("__cap", F.lit(cap) * F.col("source_size"))
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(F.col("__cap") / F.col("__w"), "__source").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / (F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)))
-    # with the sources before it capped, a source whose cap is at or above the level is the first that is not capped
-    levels = weighted.withColumn("__level", level).withColumn("__open", F.col("__cap") >= F.col("__level") * F.col("__w"))
-    common = F.min(F.when(F.col("__open"), F.col("__level"))).over(everything)
-    first_open = F.coalesce(F.first(F.when(F.col("__open"), F.col("__level")), ignorenulls=True).over(Window.orderBy(F.col("__cap") / F.col("__w"), "__source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), common)
-    return levels.withColumn("__first", first_open).select("__source", "source_size", F.coalesce(F.least(F.col("__cap"), F.col("__first") * F.col("__w")), F.col("__cap")).cast("double").alias("target"))
+    in_order = stored(sizes.orderBy("__source"), "mix-sources")
+    placed = in_order.select("__source", "source_size", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows"))
+    starts = files.select("__file", (F.sum("__rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__rows")).alias("__start"))
+    number = (F.col("__start") + F.col("__row")) % len(weights)
+    weighted = placed.join(starts, "__file").select("__source", "source_size", F.get(F.array(*[F.lit(float(w)) for w in weights]), number.cast("int")).alias("__w"), (F.lit(cap) * F.col("source_size")).alias("__cap"))
+    weighted = stored(weighted, "mix-weights")
+    total = weighted.agg(F.sum("source_size").cast("double").alias("s"), F.sum("__w").alias("w")).first()
+    level, below = (total.s or 0.0) / (total.w or 1.0), -1
+    while True:
+        over = F.col("__cap") < F.lit(level) * F.col("__w")
+        got = weighted.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("__cap")).otherwise(0.0)).alias("capped"), F.sum(F.when(over, 0.0).otherwise(F.col("__w"))).alias("w")).first()
+        if got.n == below or not got.w:
+            break
+        level, below = (total.s - got.capped) / got.w, got.n
+    return weighted.select("__source", "source_size", F.least(F.col("__cap"), F.lit(level) * F.col("__w")).cast("double").alias("target"))
 
 
 def _newton(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:

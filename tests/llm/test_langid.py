@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 from siltstone.llm import langid
 from siltstone.llm.langid import Pool, cut, fit, init, op7_language_id, predict, step
@@ -66,3 +68,43 @@ def test_und_nulls_empty_and_clashing_columns(spark):
     model, languages = fit(df.filter("lang IS NULL").select("doc_id", "text", "lang"))
     assert model is None and {r.lang_pred for r in predict(df, model, languages).collect()} == {"und"}
     assert predict(df.limit(0), model, languages).count() == 0
+
+
+def test_scores_against_loops_over_bytes(spark):
+    """Every position by scalar loops over the gates, whole texts, means over all positions."""
+    p = langid.init(3, 2, np.random.default_rng(5))
+    clip = lambda x, lo, hi: max(lo, min(hi, x))
+
+    def states(d, data):
+        x, u, c, h, out = p["x" + d], p["u" + d], p["c" + d], [0.0, 0.0], []
+        for byte in data if d == "f" else data[::-1]:
+            b = [sum(float(u[i][k]) * h[k] for k in range(2)) + float(c[i][0]) for i in range(6)]
+            a = [float(v) for v in x[byte]]
+            r = [clip((a[i] + b[i]) / 4 + 0.5, 0, 1) for i in range(2)]
+            z = [clip((a[2 + i] + b[2 + i]) / 4 + 0.5, 0, 1) for i in range(2)]
+            m = [clip(a[4 + i] + r[i] * b[4 + i], -1, 1) for i in range(2)]
+            h = [m[i] + z[i] * (h[i] - m[i]) for i in range(2)]
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    def means(data):
+        inner, sums, n = langid.WINDOW - 2 * langid.MARGIN, [0.0] * 3, 0
+        starts = list(range(0, max(1, len(data) - 2 * langid.MARGIN), inner)) or [0]
+        for at in starts:
+            window = data[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            f, b = states("f", window), states("b", window)
+            lo = 0 if at == 0 else langid.MARGIN
+            hi = len(data) - at if at == starts[-1] else langid.WINDOW - langid.MARGIN
+            for t in range(lo, hi):
+                s = [sum(float(p["o"][k][i]) * (f[t] + b[t])[i] for i in range(4)) + float(p["q"][k][0]) for k in range(3)]
+                e = [math.exp(v - max(s)) for v in s]
+                sums, n = [x + y / sum(e) for x, y in zip(sums, e)], n + 1
+        assert n == len(data)
+        return [x / n for x in sums]
+
+    texts = ["a", "Héllo wörld", "x" * 191, "some words " * 40, "zé " * 150]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(df, p, ["a", "b", "c"]).collect()}
+    for i, t in enumerate(texts):
+        want = means(t.encode())
+        assert got[i].score == pytest.approx(max(want), rel=1e-4) and got[i].lang_pred == "abc"[want.index(max(want))]

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import pytest
 
+from siltstone.llm import mixing
 from siltstone.llm.mixing import mix_sources
 from siltstone.sources.tables import table
 
@@ -65,3 +67,31 @@ def test_repeated_rows_empty_table_and_extra_columns(spark):
     rows = mix_sources(df).collect()
     assert len(rows) == 61 and sum(r.doc_id == 1 for r in rows) == 50
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_rates_are_the_entropic_optimum(spark):
+    """The dual variables against bisection on the definition: sum of size * min(cap, exp(lambda * size / mean)) is the target."""
+    sizes = {"sa": [3, 3, 10, 40, 41, 400], "sb": [5, 7, 7, 20], "sc": [100] * 5, "sd": [1, 1000]}
+    targets = {"sa": 700.0, "sb": 20.0, "sc": 500.0, "sd": 2500.0}
+    counts = spark.createDataFrame([(s, x, v.count(x)) for s, v in sizes.items() for x in set(v)], "__source string, __size long, __n long")
+    wanted = spark.createDataFrame([(s, sum(v), targets[s]) for s, v in sizes.items()], "__source string, source_size long, target double")
+    got = {r["__source"]: r for r in mixing._newton(counts, wanted, 3.0).collect()}
+    for s, v in sizes.items():
+        mean = sum(x * x for x in v) / sum(v)
+        words = lambda lam: sum(x * min(3.0, math.exp(min(700.0, lam * x / mean))) for x in v)  # noqa: E731, B023
+        lo, hi = -1000.0, 1000.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(mid) < targets[s] else (lo, mid)
+        assert words(got[s]["__lambda"]) == pytest.approx(targets[s], rel=1e-5) and got[s]["__lambda"] == pytest.approx(lo, rel=1e-3, abs=1e-5)
+
+
+def test_targets_of_many_sources(spark):
+    """Levels by rounds against resharing one by one, with sources that are empty or capped late."""
+    rng = random.Random(3)
+    sizes = {f"h{i:03d}": rng.choice([0, 1, 2, 10, 100, 5000]) for i in range(200)} | {None: 40}
+    keyed = {("t" if s is None else "s" + s): n for s, n in sizes.items()}
+    df = spark.createDataFrame(list(keyed.items()), "__source string, source_size long").repartition(5)
+    got = {r["__source"]: r.target for r in mixing.source_targets(df, (1.0, 2.0, 3.0), 3.0).collect()}
+    want = expected_targets(sizes)
+    assert {k: pytest.approx(want[None if k == "t" else k[1:]], rel=1e-9, abs=1e-9) for k in got} == got
