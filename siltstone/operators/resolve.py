@@ -16,7 +16,8 @@ from siltstone.operators.split import rejected
 
 def merge_by_key(df: DataFrame, key: str, order: str, first: list[str], earliest: list[str], common: list[str]) -> tuple[DataFrame, DataFrame]:
     """One row per key: first non-null by `order`, earliest value, most common value (ties to the first row), and the
-    columns in which rows disagree; and the rows that were merged away."""
+    columns in which rows disagree; and the rows that were merged away. Nulls are no values and no disagreement; a null
+    key is a key; which of rows that agree in `order` is the first is not defined; an empty table gives empty ones."""
     value = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
     conflicts = F.array_compact(F.array(*[F.when(F.countDistinct(c) > 1, c) for c in [*first, *common]]))
     merged = df.groupBy(key).agg(*[value(c).alias(c) for c in first], *[F.min(c).alias(c) for c in earliest], F.array_join(conflicts, ",").alias("conflicts"), F.count(F.lit(1)).alias("n_rows"))
@@ -52,10 +53,9 @@ def best_match_evidence(df: DataFrame, pairs: DataFrame, key: str, name: str, ed
     within `edits` is lost, and frequent runs make blocks only for names that have nothing rarer. Names of fewer than
     three letters are one run. Null names match nothing; pairs without a match are not in the result.
     """
-    f = folded(F.col(name))
-    padded = F.concat(F.lit("^^"), f, F.lit("$"))
+    padded = F.concat(F.lit("^^"), F.col("n"), F.lit("$"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
-    named = df.select(F.col(key).alias("k"), f.alias("n"), F.explode(runs).alias("run"))
+    named = df.select(F.col(key).alias("k"), folded(F.col(name)).alias("n")).select("k", "n", F.explode(runs).alias("run"))
     often = named.groupBy("run").agg(F.count(F.lit(1)).alias("c"))
     rarest = named.join(often, "run").groupBy("k", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "run"))), 1, 3 * edits + 1).alias("x")).select("k", "n", F.explode("x.run").alias("run"))
     high = rarest.join(pairs.select(F.col("high").alias("k"), "low"), "k").select(F.col("k").alias("high"), "low", F.col("n").alias("hn"), "run")

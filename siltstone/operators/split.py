@@ -18,7 +18,8 @@ def rejected(df: DataFrame, reason: str, detail: Column | None = None) -> DataFr
 
 
 def quarantine(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """Rejected rows in the one shape of the quarantine: src_table, reason, detail, payload (JSON of `columns`)."""
+    """Rejected rows in the one shape of the quarantine: src_table, reason, detail, payload (JSON of `columns`, nulls written
+    out). One row for each row, repeated ones too; an empty table gives an empty one."""
     payload = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     return df.select(F.lit(name).alias("src_table"), F.col("_reason").alias("reason"), F.col("_detail").alias("detail"), payload.alias("payload"))
 

@@ -163,7 +163,8 @@ def attribution_lag(sessions: DataFrame, orders: DataFrame, on: str, session_day
 
 def allocate_refunds(lines: DataFrame, refunds: DataFrame, order: str, value: str, amount: str, day: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Refunds of an order consumed in (day, key) order up to its positive value (`counted`), and each positive line's
-    share of them pro rata (`refunded`)."""
+    share of them pro rata (`refunded`). Refunds of an order without lines count nothing; null days come last; lines that
+    are null or not positive get nothing; orders without refunds have 0."""
     worth = lines.groupBy(order).agg(F.sum(F.when(F.col(value) > 0, F.col(value)).otherwise(0)).alias("__worth"), F.sum(value).alias("__net"))
     w = Window.partitionBy(order).orderBy(F.col(day).asc_nulls_last(), key).rowsBetween(Window.unboundedPreceding, -1)
     cap = F.greatest(F.lit(0), F.col("__net"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -13,7 +15,9 @@ from siltstone.operators import conform as C
 from siltstone.operators import resolve as R
 from siltstone.operators import split as S
 from siltstone.operators import temporal as T
-from siltstone.sources.text import split_structural_rows
+from siltstone.plans.warehouse import build_booking_fact, build_dim
+from siltstone.sources.scratch import shared_folder
+from siltstone.sources.text import check_blocks, read_text_table, split_structural_rows
 
 day = dt.date
 
@@ -127,3 +131,69 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "r int, k int, s string")
     assert all(x.count() == 0 for x in (*S.split_exact_duplicates(df, ["k"], "r"), *S.split_orphans(df, df, ["k"]), S.duplicate_keys(df, ["k"]), S.fill_from(df, df, "k", "s")))
     assert C.missing_report(df, ["k", "s"]).count() == 2
+
+
+def test_percentiles_are_exact_whatever_the_ranges(spark):
+    rng = random.Random(1)
+    rows = [(g, v) for g in ("a", "b", None) for v in [rng.choice([1.0, 2.0, rng.uniform(0, 9), rng.gauss(0, 100)]) for _ in range(700)]] + [("one", 5.0), ("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r["__by"]: (r.lo, r.mid, r.hi) for r in T.exact_percentiles(df, ["g"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.95}).collect()}
+    assert set(got) == {"a", "b", None, "one"} and got["one"] == (5.0, 5.0, 5.0)
+    for g in ("a", "b", None):
+        v = sorted(x for k, x in rows if k == g)
+        for p, found in zip((0.05, 0.5, 0.95), got[g]):
+            at = p * (len(v) - 1)
+            assert found == pytest.approx(v[math.floor(at)] + (v[math.ceil(at)] - v[math.floor(at)]) * (at - math.floor(at)))
+
+
+def test_blocks_across_pieces(spark):
+    """The next subtotal may be pieces below; rows below the last one belong to none."""
+    rows = [("s", i, 5 if i == 40 else (6 if i == 75 else None), 5 if i <= 40 else 6) for i in range(1, 90)] + [("t", 3, None, 1)]
+    df = spark.createDataFrame(rows, "src string, r long, marker int, month int")
+    for size in (7, 1000):
+        wrong = check_blocks(df, "src", "r", "marker", "month", size)
+        assert sorted((x.src, x.r) for x in wrong.collect()) == [("s", r) for r in range(76, 90)] + [("t", 3)]
+
+
+def test_rows_are_numbered_over_files_and_splits(spark, tmp_path):
+    for n, part in enumerate((range(0, 5), range(5, 600), range(600, 603))):
+        (tmp_path / f"part-{n}.csv").write_text("a,b\n" + "".join(f"{i},x{i}\n" for i in part))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = {r.a: r._row for r in read_text_table(spark, str(tmp_path), ["a", "b"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {str(i): i + 2 for i in range(603)}
+
+
+def test_best_match_finds_typos_in_frequent_names(spark):
+    names = [(i, f"common name {chr(97 + i % 26)}{chr(97 + i // 26)}zq") for i in range(60)] + [(100, "grace farouk"), (1100, "grace faruok"), (1005, "comon name fazq"), (1007, None)]
+    df = spark.createDataFrame(names, "k long, n string")
+    pairs = spark.createDataFrame([(1100, 100), (1005, 5), (1007, 7)], "high long, low long")
+    assert {r.high: (r.is_best, r.ties) for r in R.best_match_evidence(df, pairs, "k", "n").collect()} == {1100: (True, 1), 1005: (True, 1)}
+
+
+def test_dimension_keys_are_gapless_over_pieces(spark):
+    df = spark.createDataFrame([(i * 3 % 1000,) for i in range(1500)] + [(None,)], "k long")
+    got = sorted((r.k, r.sk) for r in build_dim(df, "k", "sk", F.floor(F.col("k") / 64)).collect())
+    keys = sorted({i * 3 % 1000 for i in range(1500)})
+    assert got == [(k, n) for n, k in enumerate(keys, 1)]
+    assert build_dim(df.limit(0), "k", "sk", F.lit(0)).count() == 0
+
+
+def test_booking_fact_counts_what_does_not_fit(spark):
+    day1 = day(2024, 1, 1)
+    first = spark.createDataFrame([(1, 1, "USD", day1, D("10.00")), (2, 9, "XXX", day1, D("5.00")), (3, 1, "USD", day1, D("7.00")), (4, 1, "USD", day1, None)], "booking_id long, client_id long, currency string, shoot_date date, amount decimal(18,2)")
+    second = spark.createDataFrame([(1, D("10.01")), (2, D("5.02")), (3, D("7.00")), (3, D("7.00"))], "booking_id long, other decimal(18,2)")
+    rates = spark.createDataFrame([("USD", day1, D("2.0"))], "currency string, shoot_date date, rate decimal(14,6)")
+    got = {r.booking_id: (r.matches, r.differs, r.no_rate, r.no_client) for r in build_booking_fact(first, second, rates, spark.createDataFrame([(1, "A")], "client_id long, c_name string")).collect()}
+    assert got == {1: (1, False, False, False), 2: (1, True, True, True), 3: (2, True, False, False), 4: (0, True, False, False)}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    class Session:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
