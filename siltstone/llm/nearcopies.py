@@ -16,8 +16,8 @@ and so many names that a pair at the similarity shares none in MISS of cases. Th
 logarithm of the number of documents. The links of the trees are only used to put texts that may be near copies into one
 group, so what their forests drop loses nothing.
 
-Verification: in a group of up to `piece` texts all pairs of different texts within the RADIUS are compared by their
-shingle sets, but for those that verified links connect already. In a larger group about STARS of its texts are compared
+Verification: the texts of a group of up to `piece` are compared by their shingle sets, through an index of who holds each
+shingle; of the pairs at the similarity those are kept that connect what is not connected yet. In a larger group about STARS of its texts are compared
 with all others first; then the texts that are still outside the largest class of their group are compared with all of it,
 piece by piece.
 
@@ -69,14 +69,6 @@ def sign_sums(hashes: np.ndarray) -> np.ndarray:
     return 2 * np.concatenate([bit_counts(hashes, w) for w in range(WIDTH)]) - len(hashes)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two shingle sets have the similarity; two empty ones do."""
-    if not len(a) or not len(b):
-        return len(a) == len(b)
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common) >= SIMILARITY
-
-
 @cache
 def chance(block: int, cosine: float = COSINE) -> float:
     """How often two vectors of this cosine have their strongest of `block` random entries in one place, with one sign;
@@ -129,47 +121,83 @@ def _prints(how: tuple[int, int, int]):
     return run
 
 
+class Sets:
+    """The shingle sets of one piece, and an index of who holds each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.owner = owner[order]
+        self.keys, self.starts = np.unique(hashes[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(hashes))
+
+    def similar(self, found: np.ndarray) -> np.ndarray:
+        """The texts whose sets have the similarity to this one; empty sets have it to each other."""
+        if not len(found):
+            return np.flatnonzero(self.sizes == 0)
+        at = np.minimum(np.searchsorted(self.keys, found), max(0, len(self.keys) - 1))
+        at = at[self.keys[at] == found] if len(self.keys) else at[:0]
+        n = self.ends[at] - self.starts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return np.flatnonzero((common >= SIMILARITY * (self.sizes + len(found) - common)) & (common > 0))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (shard, piece, is_query, node, p0, ..., text) in this order: verified links (a, b) that connect all near
-    copies among the rows of a piece, and between them and its queries."""
-    key, hashes = None, WordHashes()
+    """For rows (shard, piece, is_query, node, text) in this order: verified links (a, b) that connect all near copies among
+    the rows of a piece, and between them and its queries."""
+    key, names, sets, index, component, links, hashes = None, [], [], None, np.zeros(0, np.int64), [], WordHashes()
+
+    def join(name: int, mine: int, near: np.ndarray) -> None:
+        """Links of one text to the texts near it, one to each component."""
+        while len(near):
+            links.append((names[near[0]], name))
+            component[component == component[near[0]]] = mine
+            near = near[component[near] != mine]
+
+    def indexed() -> None:
+        """The index of the texts so far, and their own links."""
+        nonlocal index, component
+        index, component = Sets(sets), np.arange(len(sets))
+        for i in range(1, len(sets)):
+            near = index.similar(sets[i])
+            near = near[near < i]
+            join(names[i], int(component[i]), near[component[near] != component[i]])
+
     for batch in batches:
-        links: list[tuple[int, int]] = []
-        prints = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in WORDS], axis=1)
         shard, piece, query, node = (batch.column(c).to_pylist() for c in ("shard", "piece", "is_query", "node"))
         for i, text in enumerate(batch.column("text")):
             if key != (shard[i], piece[i]):
-                key, names, sets, mine = (shard[i], piece[i]), [], [], 0
-                held, sizes, component = np.zeros((8, WIDTH), np.uint64), np.zeros(8, np.int64), np.zeros(8, np.int64)
-            found, n, mine = shingle_set(text.as_py(), hashes), len(names), mine + 1
-            low, high = np.minimum(sizes[:n], len(found)), np.maximum(sizes[:n], len(found))
-            apart = np.bitwise_count(held[:n] ^ prints[i]).sum(axis=1, dtype=np.int16)
-            near = np.flatnonzero(((low / np.maximum(high, 1) >= SIMILARITY) | (low == high)) & (apart <= RADIUS))
-            near = near[np.argsort(apart[near], kind="stable")]
-            while len(near):
-                j, near = near[0], near[1:]
-                if similar(sets[j], found):
-                    links.append((names[j], node[i]))
-                    component[component == component[j]] = mine
-                    near = near[component[near] != mine]
+                if index is None and len(sets) > 1:
+                    indexed()
+                key, names, sets, index = (shard[i], piece[i]), [], [], None
+            found = shingle_set(text.as_py(), hashes)
             if not query[i]:
-                if n == len(held):
-                    held, sizes, component = (np.concatenate((x, np.zeros_like(x))) for x in (held, sizes, component))
-                held[n], sizes[n], component[n] = prints[i], len(found), mine
                 names.append(node[i])
                 sets.append(found)
+            elif sets:
+                if index is None:
+                    indexed()
+                join(node[i], -1 - i, index.similar(found))
         made = np.array(links, np.int64).reshape(-1, 2)
+        links.clear()
         yield pa.RecordBatch.from_pydict({"a": pa.array(made[:, 0]), "b": pa.array(made[:, 1])})
+    if index is None and len(sets) > 1:
+        indexed()
+    made = np.array(links, np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_pydict({"a": pa.array(made[:, 0]), "b": pa.array(made[:, 1])})
 
 
 def verified_links(rows: DataFrame, members: DataFrame, piece: int = PIECE, stars: int = STARS) -> DataFrame:
     """Links (a, b) between near copies of one group. rows: (node, text), repeats allowed; members: one row for each
-    distinct text `node` with its group `shard`, the group's size `n` and the words of its fingerprint."""
+    distinct text `node` with its group `shard` and the group's size `n`."""
     wanted = stored(members.select("node"), "wanted")
     texts = stored(rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi").dropDuplicates(["node"]), "group-texts")
 
     def links(placed: DataFrame) -> DataFrame:
-        dealt = placed.select("shard", "piece", "is_query", "node", *WORDS).join(texts, "node").select("shard", "piece", "is_query", "node", *WORDS, "text")
+        dealt = placed.select("shard", "piece", "is_query", "node").join(texts, "node").select("shard", "piece", "is_query", "node", "text")
         return dealt.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "is_query", "node").mapInArrow(_verified, "a long, b long")
 
     found = links(whole_rows(members.filter(F.col("n") <= piece)))

@@ -41,6 +41,8 @@ PART, BITS = 1 << 20, 1 << 16
 MAX_TREE = 2048
 #: Rounds of contraction at most; the number of nodes falls to a half or so in each.
 ROUNDS = 60
+#: Links that one task joins at most.
+FEW = 10_000
 #: Rows about hot shards that are broadcast at most.
 BROADCAST_ROWS = 200_000
 #: Nodes of a large shard that ask one copy of its drawn tree, in units of that tree's size; trees up to SMALL nodes are
@@ -284,24 +286,46 @@ def near_links(nodes: DataFrame, radius: int = 2, max_tree: int = MAX_TREE, widt
     return first.unionByName(links(rest_rows(large, connected(first), max_tree)))
 
 
+def _few_roots(key: tuple, links: pa.Table) -> pa.Table:
+    """(a, to) for the nodes of at most FEW links: the smallest node of each one's class."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return pa.table({"a": pa.array(list(parent), pa.int64()), "to": pa.array([root(x) for x in list(parent)], pa.int64())})
+
+
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root) for every node that has a link; nodes of one class have one root."""
+    """(node, root) for every node that has a link; nodes of one class have one root. Links are contracted round by round;
+    the last FEW of them at most are joined in one task."""
     links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels = None
     for number in range(ROUNDS):
-        if links.isEmpty():
+        n = links.count()
+        if not n:
             break
         both = links.select("a", "b").union(links.select("b", "a"))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(number)), F.col(c).alias("to"))
-        moved = stored(both.groupBy("a").agg(F.least(F.min(order("b")), order("a"))["to"].alias("to")), "moved")
-        ends = split_join(links, moved.withColumnRenamed("to", "x"), ["a"])
-        ends = split_join(stored(ends, "ends") if links.count() > KEY_ROWS else ends, moved.select(F.col("a").alias("b"), F.col("to").alias("y")), ["b"])
-        rest = ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if n <= FEW:
+            moved = stored(links.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_few_roots, "a long, to long"), "moved")
+        else:
+            moved = stored(both.groupBy("a").agg(F.least(F.min(order("b")), order("a"))["to"].alias("to")), "moved")
         if labels is None:
             labels = moved.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
             labels = split_join(labels, moved.select(F.col("a").alias("root"), "to"), ["root"], "left").select("node", F.coalesce("to", "root").alias("root"))
-        links, labels = stored(rest, "links"), stored(labels, "labels")
+        labels = stored(labels, "labels")
+        if n <= FEW:
+            break
+        ends = split_join(links, moved.withColumnRenamed("to", "x"), ["a"])
+        ends = split_join(stored(ends, "ends") if n > KEY_ROWS else ends, moved.select(F.col("a").alias("b"), F.col("to").alias("y")), ["b"])
+        links = stored(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
     else:
         raise RuntimeError("the links did not contract")
     if labels is None:

@@ -74,9 +74,11 @@ def test_dense_clusters_in_small_trees(spark):
                 assert (got[i] == got[j]) == (want[i] == want[j])
 
 
-def test_a_long_chain_contracts(spark):
+def test_a_long_chain_contracts(spark, monkeypatch):
     df = spark.range(500).selectExpr("id as a", "id + 1 as b")
     assert connected(df).select("root").distinct().count() == 1
+    monkeypatch.setattr(simhash, "FEW", 20)
+    assert connected(df).select("root").distinct().count() == 1
 
 
 def test_long_texts_are_cut_between_words(spark, monkeypatch):
