@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import WordHashes, parts, split_join, stored, window_hashes
+from siltstone.llm.shared import WordHashes, parts, spare, split_join, stored, window_hashes
 from siltstone.sources.tables import table
 
 LEAST, COVERAGE = 5, 0.8
@@ -237,8 +237,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cove
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """`docs` without the documents in which an item is found; all columns are kept."""
-    found = stored(contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__found")).distinct(), "contaminated")
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("__found"))
+    (name,) = spare(docs, "found")
+    found = stored(contaminated(docs, benchmark, **how).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(name))
     return docs.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, key, "left_anti")
 
 

@@ -59,15 +59,15 @@ def give_slots(rows: DataFrame, shard: str, key: str, shards: int, slot: str = "
     in tasks of their own and start where the buckets before them end, so no task holds a whole shard.
     """
     columns = rows.columns
-    total = rows.count()
-    buckets = max(1, math.ceil(total / (shards * ROWS_PER_BUCKET)))
-    equal = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
-    sizes = equal.groupBy(shard, "__bucket").agg(F.sum("__n").alias("__in_bucket"))
-    before = F.sum("__in_bucket").over(Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__in_bucket")
-    starts = sizes.select(shard, "__bucket", before.alias("__start"))
-    inside = Window.partitionBy(shard, "__bucket").orderBy(*[F.col(c) for c in columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = equal.join(starts, [shard, "__bucket"]).withColumn("__first", F.col("__start") + F.sum("__n").over(inside) - F.col("__n"))
-    return numbered.select(*columns, F.explode(F.sequence("__first", F.col("__first") + F.col("__n") - 1)).alias(slot))
+    n, bucket, held, start, first = spare(rows, "n", "bucket", "held", "start", "first")
+    buckets = max(1, math.ceil(rows.count() / (shards * ROWS_PER_BUCKET)))
+    equal = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(n)).withColumn(bucket, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    sizes = equal.groupBy(shard, bucket).agg(F.sum(n).alias(held))
+    before = F.sum(held).over(Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(held)
+    starts = sizes.select(shard, bucket, before.alias(start))
+    inside = Window.partitionBy(shard, bucket).orderBy(*[F.col(c) for c in columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = equal.join(starts, [shard, bucket]).withColumn(first, F.col(start) + F.sum(n).over(inside) - F.col(n))
+    return numbered.select(*columns, F.explode(F.sequence(first, F.col(first) + F.col(n) - 1)).alias(slot))
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

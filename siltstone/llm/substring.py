@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.fmindex import FMIndex
-from siltstone.llm.shared import MULTIPLIER, WordHashes, further, parts, split_join, stored, window_hashes
+from siltstone.llm.shared import MULTIPLIER, WordHashes, further, parts, spare, split_join, stored, window_hashes
 from siltstone.sources.tables import table
 
 GRAM = 8
@@ -227,20 +227,21 @@ def kept_words(text: str | None, ranges: list[tuple[int, int]]) -> Iterator[list
         at = end
 
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    per_doc = ranges.distinct().groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("__ranges"))
-    return docs.join(per_doc, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+def _with_ranges(docs: DataFrame, ranges: DataFrame, out: str) -> DataFrame:
+    (doc,) = spare(docs, "of_doc")
+    per_doc = ranges.distinct().groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("lo", "hi")).alias(out))
+    return docs.join(per_doc, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", **how) -> DataFrame:
     """`docs` with the kept words of each text, joined by one space; rows and other columns are kept. Key: doc_id."""
-    ranged = _with_ranges(docs, repeated_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), window, **how))
-
+    (gone,) = spare(docs, "ranges")
+    ranged = _with_ranges(docs, repeated_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), window, **how), gone)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [x.as_py() if not r or x.as_py() is None else b" ".join(w for p in kept_words(x.as_py(), _merged(r)) for w in p).decode("utf-8", "surrogatepass") for x, r in zip(batch.column(text), batch.column("__ranges").to_pylist())]
+            new = [x.as_py() if not r or x.as_py() is None else b" ".join(w for p in kept_words(x.as_py(), _merged(r)) for w in p).decode("utf-8", "surrogatepass") for x, r in zip(batch.column(text), batch.column(gone).to_pylist())]
             yield pa.RecordBatch.from_pydict({c: pa.array(new, pa.string()) if c == text else batch.column(c) for c in columns})
 
     return ranged.mapInArrow(run, docs.schema)
@@ -249,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", **how)
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, gone, shas = [], [], []
-        for text, ranges in zip(batch.column("text"), batch.column("__ranges").to_pylist()):
+        for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
             text, merged, sha, kept = text.as_py(), _merged(ranges), hashlib.sha256(), 0
             for words in kept_words(text, merged):
                 if words:
@@ -265,7 +266,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, those that repeated windows of 50 cover, and a digest of the words that are kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _with_ranges(docs, repeated_ranges(docs)).select("doc_id", "text", "__ranges").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_ranges(docs, repeated_ranges(docs), "ranges").select("doc_id", "text", "ranges").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 QUERIES = {"op5_repeated_passages": op5_repeated_passages}

@@ -52,3 +52,19 @@ def test_odd_rows_go_through_all_stages(spark, tmp_path):
             df = cp.stored(stage(spark, df, str(tmp_path)), "test")
         found = {r.doc_id for r in df.collect()}
         assert found <= {1, None, 4} and (not found) == empty
+
+
+def test_extra_columns_of_any_name_keep_their_values(spark, tmp_path):
+    names = ["lang_pred", "score", "member", "doc", "of_source", "size", "wanted", "copy", "best", "__lang", "__id", "__found", "fingerprint", "shard", "_shard"]
+    texts = ["the and of with this that and more", "another text of the same kind with words", "quite some other words in the third one", "the and of with this that and more"]
+    rows = [(i, t, "en", "ab"[i % 2], len(t), *[f"{n}-{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` string" for n in names)]))
+    spark.createDataFrame([(1, "a benchmark item of some words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in cp.STAGES:
+        out = cp.stored(stage(spark, docs, str(tmp_path)), "test")
+        last = name == "sharding"
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n}-{r.doc_id}" for n in names if not (last and n == "shard"))
+        assert out.count() > 0
+        docs = out
