@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.plans.core import BASE_DATE, CHANNELS, CORE_SQL, ad_spend, bookings, crew_days, fx_daily, live, merch_lines, num, quarter, ratio, sessions
 from siltstone.plans.questions import channel_by_quarter, first_orders, q14_monthly_flow, weekly_utilisation
+from siltstone.sources.tables import table
 
 W = Window
 
@@ -80,6 +81,13 @@ def a07_double_bookings(spark, sf_dir):
     return d.groupBy(F.date_format("work_date", "yyyy-MM").alias("month")).agg(N().alias("double_bookings"), F.max("jobs").alias("most_jobs"))
 
 
+def a07_double_booking_summary(spark, sf_dir):
+    """All double bookings, their share in peak months, and the week with most of them (the first one of these)."""
+    d = crew_days(spark, sf_dir).groupBy("crew_id", "work_date").agg(F.countDistinct("booking_id").alias("jobs")).filter("jobs > 1")
+    weeks = d.groupBy(F.trunc("work_date", "WEEK").alias("week")).agg(N().alias("n"), F.count_if(F.month("work_date").isin(11, 12)).alias("peak"))
+    return weeks.agg(F.sum("n").alias("double_bookings"), ratio(F.sum("peak"), F.sum("n")).alias("peak_share"), F.min_by("week", F.struct(-F.col("n"), F.col("week"))).alias("worst_week"), F.max("n").alias("in_worst_week"))
+
+
 def a08_long_days(spark, sf_dir):
     """Share of days over 12 hours by month."""
     return crew_days(spark, sf_dir).groupBy(F.date_format("work_date", "yyyy-MM").alias("month")).agg(F.round(F.try_divide(F.count_if(F.col("hours") > 12), F.count("hours")), 6).alias("long_share"))
@@ -142,9 +150,11 @@ def a15_channel_totals(spark, sf_dir):
 
 
 def a16_attributed_revenue(spark, sf_dir):
-    """Value of the orders that converted sessions name, by channel."""
+    """Value of the orders that converted sessions name, by channel, and its return on the channel's spend."""
     per = merch_lines(spark, sf_dir).groupBy("order_id").agg(F.sum("gross").alias("gross"))
-    return sessions(spark, sf_dir).filter("converted").join(per, "order_id").groupBy("channel").agg(N().alias("sessions"), num(F.sum("gross")).alias("attributed"))
+    named = sessions(spark, sf_dir).filter("converted").join(per, "order_id").groupBy("channel").agg(N().alias("sessions"), F.sum("gross").alias("g"))
+    spend = ad_spend(spark, sf_dir).groupBy("channel").agg(F.sum("spend").alias("s"))
+    return named.join(spend, "channel", "left").select("channel", "sessions", num(F.col("g")).alias("attributed"), ratio(F.col("g"), F.col("s")).alias("attributed_roas"))
 
 
 def a17_traffic(spark, sf_dir):
@@ -166,6 +176,13 @@ def a19_campaigns(spark, sf_dir):
     return c.groupBy("campaign_set", "campaign").agg(num(F.sum("spend")).alias("spend"), F.sum("clicks").alias("clicks"))
 
 
+def a19_contribution_per_spend(spark, sf_dir):
+    """Merchandise contribution for each unit of spend, with what each set of campaigns has of it."""
+    sets = ad_spend(spark, sf_dir).agg(F.sum("spend").alias("s"), F.sum(F.when(F.col("campaign").isin("campaign0", "campaign1"), F.col("spend"))).alias("b"))
+    c = merch_lines(spark, sf_dir).filter("is_revenue").agg(F.sum(_contribution()).alias("c"))
+    return c.crossJoin(_one(sets)).select(num(F.col("c")).alias("contribution"), num(F.col("s")).alias("spend"), ratio(F.col("c"), F.col("s")).alias("per_spend"), ratio(F.col("b"), F.col("s")).alias("brand_share"))
+
+
 def a20_repeat_chi_square(spark, sf_dir):
     """Chi-square statistic and degrees of freedom of repeat against channel."""
     c = first_orders(spark, sf_dir).groupBy("channel", "repeated").agg(N().alias("n"))
@@ -177,11 +194,15 @@ def a20_repeat_chi_square(spark, sf_dir):
 
 
 def a21_customers(spark, sf_dir):
-    """Channel with the lowest and highest repeat rate, and clients that both businesses have."""
+    """Channel with the lowest and highest repeat rate, clients that both businesses have, and the share of merchandise
+    lines of clients that no session knows."""
     rates = first_orders(spark, sf_dir).groupBy("channel").agg(F.round(F.avg(F.col("repeated").cast("int")), 6).alias("rate"))
     best = rates.agg(F.min_by("channel", F.struct("rate", "channel")).alias("lowest"), F.min("rate").alias("lowest_rate"), F.min_by("channel", F.struct(-F.col("rate"), "channel")).alias("highest"), F.max("rate").alias("highest_rate"))
     both = live(bookings(spark, sf_dir)).select("client_id").distinct().join(sessions(spark, sf_dir).select("client_id").distinct(), "client_id", "left_semi").agg(N().alias("in_both"))
-    return best.crossJoin(_one(both))
+    known = sessions(spark, sf_dir).select("client_id").distinct().withColumn("known", F.lit(True))
+    buyers = bookings(spark, sf_dir, client=False).select(F.col("booking_id").alias("l_orderkey"), "client_id").join(known, "client_id", "left")
+    guests = table(spark, sf_dir, "lineitem").select("l_orderkey").join(buyers, "l_orderkey", "left").agg(F.round(F.avg(F.col("known").isNull().cast("int")), 6).alias("guest_line_share"))
+    return best.crossJoin(_one(both)).crossJoin(_one(guests))
 
 
 def a22_yearly_flow(spark, sf_dir):
@@ -333,6 +354,8 @@ SELECT year, status, jobs, {_NUM('r')} AS revenue, {_RATIO('jobs', 'sum(jobs) OV
 SELECT service, count(*) AS jobs, count(*) FILTER (m < 0) AS losses, count(*) FILTER (m < 0 AND est) AS artefacts, count(*) FILTER (labour IS NULL) AS without_labour, {_NUM('sum(m)')} AS margin FROM j GROUP BY 1""",
     "a06_seasonality": ", m AS (SELECT month(shoot_date)::INTEGER AS month, count(*) AS jobs FROM live WHERE year(shoot_date) BETWEEN 1995 AND 2000 GROUP BY 1) SELECT month, jobs, round(jobs / 6, 6) AS per_year, (row_number() OVER (ORDER BY jobs DESC, month))::INTEGER AS rank FROM m",
     "a07_double_bookings": ", d AS (SELECT crew_id, work_date, count(DISTINCT booking_id) AS jobs FROM crew_day GROUP BY ALL HAVING count(DISTINCT booking_id) > 1) SELECT strftime(work_date, '%Y-%m') AS month, count(*) AS double_bookings, max(jobs) AS most_jobs FROM d GROUP BY 1",
+    "a07_double_booking_summary": """, d AS (SELECT crew_id, work_date FROM crew_day GROUP BY ALL HAVING count(DISTINCT booking_id) > 1), w AS (SELECT date_trunc('week', work_date)::DATE AS week, count(*) AS n, count(*) FILTER (month(work_date) IN (11, 12)) AS p FROM d GROUP BY 1)
+SELECT sum(n)::BIGINT AS double_bookings, round(sum(p)::DOUBLE / nullif(sum(n), 0), 6) AS peak_share, first(week ORDER BY n DESC, week) AS worst_week, max(n) AS in_worst_week FROM w""",
     "a08_long_days": "SELECT strftime(work_date, '%Y-%m') AS month, round(count(*) FILTER (hours > 12) / count(hours), 6) AS long_share FROM crew_day GROUP BY 1",
     "a09_utilisation_summary": _WU + """, k AS (SELECT week, sum(active) AS active, sum(working)::DOUBLE / sum(active) AS use FROM wu GROUP BY 1), g AS (SELECT * FROM k WHERE active >= 0.9 * (SELECT max(active) FROM k)),
 bn AS (SELECT week, first(role ORDER BY working / active DESC, role) AS role FROM wu WHERE week IN (SELECT week FROM g) GROUP BY 1), bb AS (SELECT role, count(*) AS n FROM bn GROUP BY 1)
@@ -345,14 +368,16 @@ SELECT year, round(sum(a), 1) AS usd, round(sum(b), 1) AS usd_at_base, round(sum
     "a13_sensitivity": f"SELECT {_NUM('sum(gross)')} AS everything, {_NUM('sum(gross) FILTER (is_revenue)')} AS recognised, round((sum(gross) FILTER (order_status <> 'pending'))::DOUBLE, 2) AS without_pending, round((sum(gross) FILTER (order_status <> 'cancelled'))::DOUBLE, 2) AS without_cancelled, round((sum(gross) FILTER (quantity > 0))::DOUBLE, 2) AS positive FROM line",
     "a14_refunded_orders": "SELECT round(count(DISTINCT order_id) FILTER (has_refund)::DOUBLE / count(DISTINCT order_id), 6) AS share FROM line",
     "a15_channel_totals": _CQ + f", c AS (SELECT channel, sum(sessions) AS sessions, sum(conversions) AS conversions, sum(revenue) AS revenue, sum(spend) AS spend, sum(clicks) AS clicks FROM cq GROUP BY 1) SELECT channel, {_RATIO('conversions', 'sessions')} AS conversion, {_RATIO('spend', 'conversions')} AS cac, {_RATIO('revenue', 'spend')} AS roas, {_RATIO('spend', 'clicks')} AS cpc FROM c",
-    "a16_attributed_revenue": f", p AS (SELECT order_id, sum(gross) AS g FROM line GROUP BY 1) SELECT channel, count(*) AS sessions, {_NUM('sum(g)')} AS attributed FROM session JOIN p USING (order_id) WHERE converted GROUP BY 1",
+    "a16_attributed_revenue": f", p AS (SELECT order_id, sum(gross) AS g FROM line GROUP BY 1) SELECT channel, count(*) AS sessions, {_NUM('sum(g)')} AS attributed, round(sum(g)::DOUBLE / nullif((SELECT sum(spend) FROM spend s WHERE s.channel = x.channel)::DOUBLE, 0), 6) AS attributed_roas FROM session x JOIN p USING (order_id) WHERE converted GROUP BY 1",
     "a17_traffic": "SELECT count(*) AS all_sessions, count(*) FILTER (is_bot) AS bots, count(*) FILTER (is_spam) AS spam, count(*) FILTER (NOT is_bot) AS human, round(count(*) FILTER (converted) / count(*), 6) AS naive, round(count(*) FILTER (converted AND NOT is_bot) / count(*) FILTER (NOT is_bot), 6) AS human_rate FROM session",
     "a18_lead_sources": f", s AS (SELECT lead_source, count(*) AS jobs, sum(net) AS r FROM live GROUP BY 1) SELECT lead_source, jobs, {_NUM('r')} AS revenue, {_RATIO('jobs', 'sum(jobs) OVER ()')} AS share, {_RATIO('(SELECT sum(spend) FROM spend)', 'r', 9)} AS break_even FROM s",
     "a19_campaigns": f"SELECT CASE WHEN campaign IN ('campaign0', 'campaign1') THEN 'brand' ELSE 'other' END AS campaign_set, campaign, {_NUM('sum(spend)')} AS spend, sum(clicks)::BIGINT AS clicks FROM spend GROUP BY ALL",
+    "a19_contribution_per_spend": f", s AS (SELECT sum(spend) AS s, sum(spend) FILTER (campaign IN ('campaign0', 'campaign1')) AS b FROM spend), c AS (SELECT sum({_CON}) AS c FROM line WHERE is_revenue) SELECT {_NUM('c')} AS contribution, {_NUM('s')} AS spend, {_RATIO('c', 's')} AS per_spend, {_RATIO('b', 's')} AS brand_share FROM s, c",
     "a20_repeat_chi_square": _FO + """, c AS (SELECT channel, count(*) FILTER (NOT repeated)::DOUBLE AS n, count(*) FILTER (repeated)::DOUBLE AS y FROM fo GROUP BY 1), t AS (SELECT sum(n) AS tn, sum(y) AS ty FROM c), e AS (SELECT n, y, (n + y) * tn / (tn + ty) AS en, (n + y) * ty / (tn + ty) AS ey FROM c, t)
 SELECT round(sum(pow(n - en, 2) / nullif(en, 0)) + sum(pow(y - ey, 2) / nullif(ey, 0)), 6) AS statistic, (count(*) - 1)::INTEGER AS df FROM e""",
     "a21_customers": _FO + """, r AS (SELECT channel, round(avg(repeated::INT), 6) AS rate FROM fo GROUP BY 1)
-SELECT first(channel ORDER BY rate, channel) AS lowest, min(rate) AS lowest_rate, first(channel ORDER BY rate DESC, channel) AS highest, max(rate) AS highest_rate, (SELECT count(DISTINCT client_id) FROM live WHERE client_id IN (SELECT client_id FROM session)) AS in_both FROM r""",
+SELECT first(channel ORDER BY rate, channel) AS lowest, min(rate) AS lowest_rate, first(channel ORDER BY rate DESC, channel) AS highest, max(rate) AS highest_rate, (SELECT count(DISTINCT client_id) FROM live WHERE client_id IN (SELECT client_id FROM session)) AS in_both,
+  (SELECT round(avg((o_custkey IS NULL OR o_custkey NOT IN (SELECT client_id FROM session WHERE client_id IS NOT NULL))::INT), 6) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey) AS guest_line_share FROM r""",
     "a22_yearly_flow": _MF + f""", y AS (SELECT year(month)::INTEGER AS year, sum(revenue) AS r, sum(cost) AS c FROM mf GROUP BY 1), n AS (SELECT year(shoot_date) AS year, count(*) AS jobs FROM live GROUP BY 1)
 SELECT y.year, {_NUM('r')} AS revenue, {_NUM('c')} AS known_cost, {_NUM('r - c')} AS gap, {_RATIO('c', 'r')} AS cost_share, jobs FROM y LEFT JOIN n ON n.year = y.year""".replace("sum(revenue)", "sum(round(revenue, 2))").replace("sum(cost)", "sum(round(cost, 2))"),
     "a23_quality_tile": "SELECT count(*) FILTER (sku % 37 = 0) AS rejected, round((sum(gross) FILTER (sku % 37 = 0 AND is_revenue))::DOUBLE, 2) AS at_risk, round((sum(gross) FILTER (sku % 37 = 0 AND is_revenue))::DOUBLE / (sum(gross) FILTER (is_revenue))::DOUBLE, 6) AS share FROM line",
