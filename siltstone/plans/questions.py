@@ -26,11 +26,11 @@ def q02_service_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q03_worst_margin_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 live jobs with the worst margin, with a verdict: estimated rates or double-booked crew make it doubtful.
-    Double bookings are looked for on the crew days of these 20 only."""
+    Double bookings are looked for on the crew days of these 20 rows only, which are found first."""
     crew = crew_days(spark, sf_dir)
     labour = crew.groupBy("booking_id").agg(F.sum("labour_cost").alias("labour"), F.count_if("rate_is_estimated").alias("estimated"), F.count(F.lit(1)).alias("days"))
     jobs = live(bookings(spark, sf_dir, client=False)).join(labour, "booking_id").withColumn("margin", F.col("net") - F.col("labour"))
-    top = F.broadcast(jobs.orderBy("margin", "booking_id").limit(20))
+    top = F.broadcast(spark.createDataFrame(jobs.orderBy("margin", "booking_id").limit(20).collect(), jobs.schema))
     theirs = crew.join(top.select("booking_id"), "booking_id", "left_semi").select("booking_id", "crew_id", "work_date")
     booked = crew.join(F.broadcast(theirs.select("crew_id", "work_date").distinct()), ["crew_id", "work_date"], "left_semi").groupBy("crew_id", "work_date").agg(F.countDistinct("booking_id").alias("n"))
     doubled = theirs.join(F.broadcast(booked.filter("n > 1")), ["crew_id", "work_date"]).groupBy("booking_id").agg(F.count(F.lit(1)).alias("doubled"))
