@@ -176,6 +176,7 @@ def flag_counts(df: DataFrame, column: str = "dq_flags") -> DataFrame:
 
 
 def unify_sources(sources: dict[str, tuple[DataFrame, dict[str, str]]]) -> DataFrame:
-    """One table from sources that name their columns differently; missing columns are null, `src_file` names the source."""
+    """One table from sources that name their columns differently; missing columns are null, `src_file` names the source.
+    Columns of one name must have one type; repeated rows stay; an empty source gives no row."""
     parts = [df.withColumnsRenamed(renames).withColumn("src_file", F.lit(name)) for name, (df, renames) in sources.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
