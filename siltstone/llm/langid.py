@@ -33,6 +33,8 @@ HIDDEN = 8
 WINDOW, MARGIN = 192, 8
 #: Windows that go through the network together.
 TOGETHER = 2048
+#: Languages whose shares are broadcast at most.
+BROADCAST_LANGUAGES = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -212,8 +214,8 @@ def training_windows(labelled: DataFrame, per_language: int, windows_per_documen
     usable = labelled.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND octet_length(text) > 0")
     # of each language about 4 * per_language ids, those with the smallest hashes, are ranked, without their texts
     ids = usable.select("doc_id", "lang")
-    share = ids.groupBy("lang").agg((4.0 * per_language / F.count(F.lit(1))).alias("share"))
-    small = ids.join(share, "lang").filter((hashed.cast("double") + 2.0**63) / 2.0**64 < F.col("share"))
+    share = stored(ids.groupBy("lang").agg((4.0 * per_language / F.count(F.lit(1))).alias("share")), "langid-shares")
+    small = ids.join(F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share, "lang").filter((hashed.cast("double") + 2.0**63) / 2.0**64 < F.col("share"))
     chosen = stored(small.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct(), "langid-sample")
     each = Window.partitionBy("doc_id").orderBy("lang", "text")
     some = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").withColumn("r", F.row_number().over(each)).filter("r = 1")
