@@ -38,6 +38,8 @@ from siltstone.sources.tables import table
 
 #: Rows of a block, about, queries of a round at most, and entries that a block keeps of a list.
 ROW_BLOCK, QUERY_BLOCK, DEPTH = 4096, 512, 64
+#: Files of blocks at most.
+MOST_FILES = 20_000
 #: Queries whose products with a block are held at a time.
 TOGETHER = 64
 
@@ -234,7 +236,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int
     ids = vectors.filter("vec_id IS NOT NULL AND codes IS NOT NULL").dropDuplicates(["vec_id", "codes"]).withColumn("r", rank).filter(F.col("r") <= k + 1)
     items = stored(ids.groupBy("codes").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "topk-rows")
     n_blocks = max(1, math.ceil(items.count() / row_block))
-    dealt = items.groupBy(F.pmod(F.xxhash64(F.element_at("ids", 1), F.lit("block")), F.lit(n_blocks)).alias("b"), F.size("codes").alias("dim")).agg(F.collect_list(F.struct("ids", "codes")).alias("x"))
+    block = F.pmod(F.xxhash64(F.element_at("ids", 1), F.lit("block")), F.lit(n_blocks))
+    # as many files as blocks, up to a bound, so that rounds are dealt out to all tasks
+    placed = items.withColumn("b", block).repartition(min(n_blocks, MOST_FILES), "b")
+    dealt = placed.groupBy("b", F.size("codes").alias("dim")).agg(F.collect_list(F.struct("ids", "codes")).alias("x"))
     blocks = stored(dealt.select(F.col("x.ids").alias("ids"), F.flatten("x.codes").alias("codes")), "topk-blocks")
 
     path = new_path(spark, "topk-best")
