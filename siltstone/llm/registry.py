@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, decontaminate, langid, mixing, quality, sharding, simhash, substring, topk, warc
+from siltstone.llm import chat, decontaminate, langid, mixing, periodic, quality, sharding, simhash, substring, topk, warc
 
-MODULES = (topk, mixing, warc, simhash, substring, quality, langid, decontaminate, chat, sharding)
+MODULES = (topk, mixing, warc, simhash, substring, quality, langid, decontaminate, chat, sharding, periodic)
 
 
 def queries() -> dict:
