@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, decontaminate, divergence, langid, mixing, periodic, quality, sharding, simhash, substring, topk, warc
+from siltstone.llm import chat, decontaminate, divergence, langid, mixing, periodic, pii, quality, sharding, simhash, substring, topk, warc
 
-MODULES = (topk, mixing, warc, simhash, substring, quality, langid, decontaminate, chat, sharding, divergence, periodic)
+MODULES = (topk, mixing, warc, simhash, substring, quality, langid, decontaminate, chat, sharding, divergence, pii, periodic)
 
 
 def queries() -> dict:
