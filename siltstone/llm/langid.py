@@ -7,8 +7,9 @@ all windows of many texts go through the network side by side and a text of any
 piecewise linear (hard sigmoid and hard tanh), which keeps a position cheap.
 
 Training: backpropagation through time with Adam on windows of at most `per_language` training documents of each
-language (rows with the smallest hash of doc_id; a null doc_id is not drawn; `windows_per_document` windows spread over the whole text of each).
-That sample is the only thing that reaches the driver, and its size is bounded by these parameters.
+language and about `most_documents` in all (rows with the smallest hash of doc_id; a null doc_id is not drawn;
+`windows_per_document` windows spread over the whole text of each). That sample is the only thing that reaches the driver,
+and its size is bounded by these parameters; more languages than `most_documents` are an error.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; a document's score is the mean
 probability of its language; ties go to the language that is first by code point; without any training document all
@@ -33,9 +34,12 @@ HIDDEN = 8
 WINDOW, MARGIN = 192, 8
 #: Windows that go through the network together.
 TOGETHER = 2048
-#: Languages whose shares are broadcast at most.
-BROADCAST_LANGUAGES = 100_000
-LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of one of Unicode's letter categories; signs for numbers are none."""
+    return bool(LATIN.search(text)) or any(map(str.isalpha, text))
 
 
 def init(languages: int, hidden: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -207,7 +211,7 @@ class Pool:
         return out
 
 
-def training_windows(labelled: DataFrame, per_language: int, windows_per_document: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def training_windows(labelled: DataFrame, per_language: int, windows_per_document: int, most_documents: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, label numbers and languages of a bounded sample of (doc_id, text, lang)."""
     hashed = F.xxhash64("doc_id", F.lit("langid"))
     order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
@@ -215,7 +219,10 @@ def training_windows(labelled: DataFrame, per_language: int, windows_per_documen
     # of each language about 4 * per_language ids, those with the smallest hashes, are ranked, without their texts
     ids = usable.select("doc_id", "lang")
     share = stored(ids.groupBy("lang").agg((4.0 * per_language / F.count(F.lit(1))).alias("share")), "langid-shares")
-    small = ids.join(F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share, "lang").filter((hashed.cast("double") + 2.0**63) / 2.0**64 < F.col("share"))
+    if (number := share.count()) > most_documents:
+        raise ValueError(f"{number} languages are more than the {most_documents} documents of a sample")
+    per_language = min(per_language, most_documents // max(1, number))
+    small = ids.join(F.broadcast(share), "lang").filter((hashed.cast("double") + 2.0**63) / 2.0**64 < F.col("share"))
     chosen = stored(small.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct(), "langid-sample")
     each = Window.partitionBy("doc_id").orderBy("lang", "text")
     some = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").withColumn("r", F.row_number().over(each)).filter("r = 1")
@@ -237,9 +244,9 @@ def training_windows(labelled: DataFrame, per_language: int, windows_per_documen
     return windows, np.array([languages.index(lang) for lang, _ in rows], np.int64), languages
 
 
-def fit(labelled: DataFrame, per_language: int = 300, windows_per_document: int = 4) -> tuple[dict[str, np.ndarray] | None, list[str]]:
+def fit(labelled: DataFrame, per_language: int = 300, windows_per_document: int = 4, most_documents: int = 60_000) -> tuple[dict[str, np.ndarray] | None, list[str]]:
     """The network and its languages, from (doc_id, text, lang); None if there is nothing to learn from."""
-    windows, labels, languages = training_windows(labelled, per_language, windows_per_document)
+    windows, labels, languages = training_windows(labelled, per_language, windows_per_document, most_documents)
     return (train(windows, labels, len(languages)), languages) if languages else (None, [])
 
 
@@ -255,7 +262,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray] | None, languages: lis
             if pool:
                 for i in range(batch.num_rows):
                     x = texts[i].as_py()
-                    if x and LETTER.search(x):
+                    if x and has_letter(x):
                         pool.add(i, x.encode("utf-8", "replace"))
             means = pool.take() if pool else {}
             best = [int(means[i].argmax()) if i in means else -1 for i in range(batch.num_rows)]

@@ -59,12 +59,12 @@ def test_held_out_accuracy(spark):
 
 
 def test_und_nulls_empty_and_clashing_columns(spark):
-    rows = [(1, "the and of with", "en", 9), (2, "der die das und", "de", 9), (3, None, "en", 9), (4, "12 34 !!", "en", 9), (5, "", None, 9), (5, "", None, 9), (6, "the and " * 50_000, "en", 9)]
+    rows = [(1, "the and of with", "en", 9), (2, "der die das und", "de", 9), (3, None, "en", 9), (4, "12 34 !!", "en", 9), (5, "", None, 9), (5, "", None, 9), (6, "the and " * 50_000, "en", 9), (7, "½ ²", "en", 9), (8, "Ⅷ ٣ ①", None, 9), (9, "日", None, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     model, languages = fit(df.select("doc_id", "text", "lang"))
     got = {r.doc_id: r for r in predict(df, model, languages).collect()}
-    assert languages == ["de", "en"] and [got[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3 and got[4].score == 0
-    assert got[6].lang_pred == "en" and predict(df, model, languages).count() == 7
+    assert languages == ["de", "en"] and [got[i].lang_pred for i in (3, 4, 5, 7, 8)] == ["und"] * 5 and {got[i].score for i in (3, 4, 5, 7, 8)} == {0}
+    assert got[6].lang_pred == "en" and got[9].lang_pred != "und" and predict(df, model, languages).count() == 10
     model, languages = fit(df.filter("lang IS NULL").select("doc_id", "text", "lang"))
     assert model is None and {r.lang_pred for r in predict(df, model, languages).collect()} == {"und"}
     assert predict(df.limit(0), model, languages).count() == 0
@@ -108,3 +108,10 @@ def test_scores_against_loops_over_bytes(spark):
     for i, t in enumerate(texts):
         want = means(t.encode())
         assert got[i].score == pytest.approx(max(want), rel=1e-4) and got[i].lang_pred == "abc"[want.index(max(want))]
+
+
+def test_more_languages_than_the_sample_holds(spark):
+    df = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="5 languages"):
+        fit(df, most_documents=4)
+    assert len(langid.training_windows(df, 300, 4, 5)[2]) == 5
