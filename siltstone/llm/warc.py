@@ -38,14 +38,12 @@ from siltstone.llm.shared import split_join, stored
 from siltstone.sources.scratch import new_path
 from siltstone.sources.tables import table
 
-RECORDS_PER_FILE, FILE_BYTES, SMALL = 1000, 1 << 30, 1 << 20
+RECORDS_PER_FILE, FILE_BYTES, SMALL = 1000, 1 << 27, 1 << 17
 LEVEL = 1
 #: Fixed values of the formats.
 VERSION, LINE, MEMBER = b"WARC/1.1", b"\r\n", b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of a record's headers at most.
-MOST_HEAD = 1 << 20
 #: Rows of payloads that are broadcast at most when revisits are found (40 bytes each); beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
 SCHEMA = "archive string, kind string, start long, inside long, bytes long, reason string, page_id long, record_type string, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -110,12 +108,13 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: s
     more than about file_bytes bytes of payload, but for those of one record."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(uri).alias("uri"), F.col(payload).cast("binary").alias("payload"))
     named = with_revisits(rows, least)
-    # class 0: up to `small` bytes, class c: up to 2 ** c times as many
+    # class 0: up to `small` bytes, class c: up to 2 ** c times as many; revisits have no payload and are all in class 0
     size = F.coalesce(F.octet_length("payload"), F.lit(0))
     of_size = F.when(size <= small, 0).otherwise(F.ceil(F.log2(size / small))).cast("int")
-    # revisits have no payload and are all in class 0
-    for number, c in enumerate(sorted({0, *(r.c for r in rows.select(of_size.alias("c")).distinct().collect())})):
-        part = named.filter(of_size == c)
+    # larger payloads are few: they are stored once, and each of their classes reads that
+    large = stored(named.filter(of_size > 0).withColumn("class", of_size), "warc-large")
+    parts = {0: named.filter(of_size == 0)} | {r.c: large.filter(F.col("class") == r.c) for r in large.select(F.col("class").alias("c")).distinct().collect()}
+    for number, (c, part) in enumerate(sorted(parts.items())):
         packed = part.mapInArrow(_pack, "value binary").select(F.col("value").cast("string"))
         most = max(1, min(RECORDS_PER_FILE, file_bytes // (small << c)))
         packed.write.mode("append" if number else "errorifexists").option("lineSep", "\u0000").option("maxRecordsPerFile", most).text(path)
@@ -132,12 +131,27 @@ class Damaged(Exception):
         self.resume = resume
 
 
-def one_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
-    """Headers (lower case), payload and end of the record that starts at `at`; all checks are made."""
+class Next:
+    """The next place of a pattern at or after a place that only grows; each byte is searched once."""
+
+    def __init__(self, data: bytes, what: bytes):
+        self.data, self.what, self.found = data, what, -2
+
+    def __call__(self, at: int) -> int:
+        """len(data) if there is none."""
+        if -2 < self.found < at or self.found == -2:
+            found = self.data.find(self.what, at)
+            self.found = found if found >= 0 else len(self.data)
+        return self.found
+
+
+def one_record(data: bytes, at: int, blank: Next) -> tuple[dict, bytes, int]:
+    """Headers (lower case, of any length), payload and end of the record that starts at `at`; all checks are made. blank: the
+    next empty line."""
     if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
-    end = data.find(LINE + LINE, at, at + MOST_HEAD)
-    if end < 0:
+    end = blank(at)
+    if end == len(data):
         raise Damaged("headers do not end")
     lines = data[at:end].split(LINE)
     head = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:])}
@@ -193,33 +207,19 @@ def proven(head: dict, payload: bytes) -> bool:
     return False
 
 
-class Next:
-    """The next place of a pattern at or after a place that only grows; each byte is searched once."""
-
-    def __init__(self, data: bytes, what: bytes):
-        self.data, self.what, self.found = data, what, -2
-
-    def __call__(self, at: int) -> int:
-        """len(data) if there is none."""
-        if -2 < self.found < at or self.found == -2:
-            found = self.data.find(self.what, at)
-            self.found = found if found >= 0 else len(self.data)
-        return self.found
-
-
 Found = tuple[int, int, dict | None, bytes | None, str | None]
 
 
 def plain_records(data: bytes, at: int = 0, stop: bytes | None = None) -> Iterator[Found]:
     """(start, end, headers, payload, None) for each record of plain content, (start, end, None, None, reason) for each gap,
     in order. stop: the reader returns where a whole record has ended or none begins and this stands."""
-    line, bad, reason = Next(data, b"WARC/"), None, None
+    line, blank, bad, reason = Next(data, b"WARC/"), Next(data, LINE + LINE), None, None
     other = Next(data, stop) if stop else None
     while at < len(data):
         if stop and data.startswith(stop, at):
             break
         try:
-            head, payload, end = one_record(data, at)
+            head, payload, end = one_record(data, at, blank)
         except Damaged as why:
             if bad is None:
                 bad, reason = at, str(why)

@@ -129,3 +129,23 @@ def test_files_are_rolled_by_bytes(spark, tmp_path):
     assert sum(map(len, per_file.values())) == len(rows) and back.filter("kind = 'gap'").count() == 0
     assert all(sum(x) <= 16_000 or len(x) == 1 for x in per_file.values())
     assert {r.page_id: bytes(r.payload) for r in with_payloads(back).collect()} == {i: x for i, _, x in rows}
+
+
+def test_addresses_of_any_length(spark, tmp_path):
+    rows = [(1, "http://x/" + "a" * 2_000_000, "one"), (2, "u", "two"), (3, "é" * 700_000, "y" * 300_000)]
+    path = str(tmp_path / "long")
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    back = read_archives(spark, path).collect()
+    assert sorted((r.page_id, r.kind, r.uri, bytes(r.payload).decode()) for r in back) == [(i, "record", u, h) for i, u, h in rows]
+
+
+def test_version_lines_without_an_end_of_headers():
+    data = b"WARC/1.1\r\n" * 50_000
+    assert [(a, n, why) for a, _, n, _, _, why in read_records(data)] == [(0, len(data), "headers do not end")]
+
+
+def test_large_payloads_by_class_of_size(spark, tmp_path):
+    rows = [(i, "u", chr(97 + i) * (200 * 2**i)) for i in range(10)] + [(20, "u", "j" * (200 * 2**9))]
+    path = str(tmp_path / "classes")
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, file_bytes=8000, small=1000)
+    assert sorted((r.page_id, r.record_type, len(r.payload or b"")) for r in read_archives(spark, path).collect()) == sorted((i, "revisit" if i == 20 else "response", 0 if i == 20 else len(h)) for i, _, h in rows)
