@@ -16,6 +16,7 @@ their own numbers; an empty table gives an empty result; other columns are not r
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import stored, word_count
 from siltstone.sources.tables import table
 
-#: Newton iterations at most; ten are usual. Relative error of a source's words at which it is settled.
+#: Newton iterations (ten are usual), after which brackets are halved until they close. Relative error of a source's words
+#: at which it is settled.
 ITERATIONS, SETTLED = 60, 1e-6
 #: Units of a word in which sums are taken, so that they are sums of integers.
 UNIT = 1e6
-#: Passes that take up what rounding has left, and documents of one size numbered by one task.
+#: Passes that take up what rounding has left between looks whether any source can still be mended, and documents of one size numbered by one task.
 REPAIRS, PER_BUCKET = 6, 1024
 
 
@@ -70,7 +72,7 @@ def _newton(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         ((F.abs(ratio - 1) <= SETTLED) | (ratio >= cap * (1 - 1e-12))).alias("__done"),
     )
     state = stored(state, "mix-dual")
-    for _ in range(ITERATIONS):
+    for i in count():
         if state.filter("NOT __done").isEmpty():
             break
         z = F.col("__size") / F.col("__mean")
@@ -83,8 +85,8 @@ def _newton(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         low = F.col("__f") < F.col("target")
         lo, hi = F.when(low, F.col("__lambda")).otherwise(F.col("__lo")), F.when(low, F.col("__hi")).otherwise(F.col("__lambda"))
         step = F.col("__lambda") + (F.log("target") - F.log("__f")) * F.try_divide(F.col("__f"), F.col("__slope"))
-        inside = step.isNotNull() & ~F.isnan(step) & (step > lo) & (step < hi)
-        done = F.col("__done") | (F.abs(F.col("__f") / F.col("target") - 1) <= SETTLED) | (hi - lo <= 1e-13 * F.abs(hi))
+        inside = F.lit(i < ITERATIONS) & step.isNotNull() & ~F.isnan(step) & (step > lo) & (step < hi)
+        done = F.col("__done") | (F.abs(F.col("__f") / F.col("target") - 1) <= SETTLED) | (hi - lo <= 1e-13 * F.greatest(F.abs(lo), F.abs(hi)))
         state = stored(state.join(sums, "__source", "left").select(
             "__source", "target", "source_size", "__mean",
             F.when(F.coalesce(done, F.lit(True)), F.col("__lambda")).when(inside, step).otherwise((lo + hi) / 2).alias("__lambda"),
@@ -105,16 +107,19 @@ def _copies_by_size(counts: DataFrame, dual: DataFrame, cap: float) -> DataFrame
     rounded = lambda x: F.floor((x + int(UNIT / 2)) / UNIT)
     out = counts.join(dual, "__source").withColumn("__micro", micro).withColumn("__up_to", F.sum("__micro").over(down))
     out = out.withColumn("__m", (rounded(F.col("__up_to")) - rounded(F.col("__up_to") - F.col("__micro"))).cast("long"))
-    for _ in range(REPAIRS):
-        out = out.withColumn("__left", F.col("target") - F.sum(F.col("__m") * F.col("__size")).over(source))
-        room = F.when(F.col("__left") > 0, most * F.col("__n") - F.col("__m")).otherwise(F.col("__m"))
-        steps = F.least(room, F.greatest(F.lit(1), F.round(F.abs("__left") / F.col("__size"))))
-        rest = F.abs(F.abs("__left") - steps * F.col("__size"))
-        out = out.withColumn("__steps", F.signum("__left") * steps)
-        # the one size whose change leaves least, if that is less than now
-        out = out.withColumn("__pick", F.min(F.when((room > 0) & (rest < F.abs("__left")), F.struct(rest.alias("rest"), F.col("__size").alias("size")))).over(source))
-        out = out.withColumn("__m", (F.col("__m") + F.when(F.col("__size") == F.col("__pick.size"), F.col("__steps")).otherwise(0)).cast("long"))
-    return out.select("__source", "__size", "__n", "__m", "target")
+    while True:
+        for _ in range(REPAIRS):
+            out = out.withColumn("__left", F.col("target") - F.sum(F.col("__m") * F.col("__size")).over(source))
+            room = F.when(F.col("__left") > 0, most * F.col("__n") - F.col("__m")).otherwise(F.col("__m"))
+            steps = F.least(room, F.greatest(F.lit(1), F.round(F.abs("__left") / F.col("__size"))))
+            rest = F.abs(F.abs("__left") - steps * F.col("__size"))
+            out = out.withColumn("__steps", F.signum("__left") * steps)
+            # the one size whose change leaves least, if that is less than now
+            out = out.withColumn("__pick", F.min(F.when((room > 0) & (rest < F.abs("__left")), F.struct(rest.alias("rest"), F.col("__size").alias("size")))).over(source))
+            out = out.withColumn("__m", (F.col("__m") + F.when(F.col("__size") == F.col("__pick.size"), F.col("__steps")).otherwise(0)).cast("long"))
+        out = stored(out, "mix-copies")
+        if out.filter("__pick IS NOT NULL").isEmpty():
+            return out.select("__source", "__size", "__n", "__m", "target")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -130,7 +135,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), c
     counts = rows.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("__n"))
     targets = stored(source_targets(counts.groupBy("__source").agg(F.sum(F.col("__n") * F.col("__size")).alias("source_size")), weights, cap), "mix-targets")
     filled = stored(counts.filter("__size > 0"), "mix-counts")
-    by_size = stored(_copies_by_size(filled, _newton(filled, targets, cap), cap), "mix-copies")
+    by_size = _copies_by_size(filled, _newton(filled, targets, cap), cap)
 
     equal = rows.groupBy("doc_id", "source", "__source", "__size").agg(F.count(F.lit(1)).alias("__equal"))
     found = equal.join(by_size.drop("target"), ["__source", "__size"], "left").withColumn("__hash", F.xxhash64("doc_id", F.lit("mix")))

@@ -95,3 +95,22 @@ def test_targets_of_many_sources(spark):
     got = {r["__source"]: r.target for r in mixing.source_targets(df, (1.0, 2.0, 3.0), 3.0).collect()}
     want = expected_targets(sizes)
     assert {k: pytest.approx(want[None if k == "t" else k[1:]], rel=1e-9, abs=1e-9) for k in got} == got
+
+
+@pytest.mark.parametrize(("name", "value"), [("ITERATIONS", 0), ("REPAIRS", 1)])
+def test_no_source_is_left_unsettled(spark, monkeypatch, name, value):
+    """Halving alone settles the duals, and one pass at a time mends as much as six."""
+    docs = spark.createDataFrame([(i, f"s{i % 5}", " ".join(["w"] * (1 + i * i % 97))) for i in range(200)], "doc_id long, source string, text string")
+    want = sorted(map(tuple, mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, name, value)
+    got = sorted(map(tuple, mix_sources(docs).collect()))
+    if name == "REPAIRS":
+        assert got == want
+    taken = lambda rows, s: sum(r[6] for r in rows if r[1] == s)
+    assert all(abs(taken(got, f"s{k}") - taken(want, f"s{k}")) <= 3 for k in range(5))
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 400_000), (2, "b", "w"), (3, "b", "w w")], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mix_sources(df).collect()}
+    assert got[1].size == 400_000 and got[2].copies == got[3].copies == 3
