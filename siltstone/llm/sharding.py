@@ -52,16 +52,16 @@ def assign_shards(df: DataFrame, key: str, shards: int, weights: list[float] | N
     return out.withColumn(shard, F.col(f"{temporary}.shard").cast("int")).drop(temporary)
 
 
-def give_slots(rows: DataFrame, shard: str, key: str, shards: int, slot: str = "slot") -> DataFrame:
+def give_slots(rows: DataFrame, shard: str, shards: int, slot: str = "slot") -> DataFrame:
     """`rows` (small columns only) with a gapless number from 0 within each shard, the same in every run.
 
-    Equal rows are counted before the shuffle. Each shard is cut into buckets by the key's hash; buckets are numbered
+    Equal rows are counted before the shuffle. Each shard is cut into buckets by the hash of whole rows, so one key may have any number of different rows; buckets are numbered
     in tasks of their own and start where the buckets before them end, so no task holds a whole shard.
     """
     columns = rows.columns
     n, bucket, held, start, first = spare(rows, "n", "bucket", "held", "start", "first")
     buckets = max(1, math.ceil(rows.count() / (shards * ROWS_PER_BUCKET)))
-    equal = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(n)).withColumn(bucket, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    equal = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(n)).withColumn(bucket, F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
     sizes = equal.groupBy(shard, bucket).agg(F.sum(n).alias(held))
     before = F.sum(held).over(Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(held)
     starts = sizes.select(shard, bucket, before.alias(start))
@@ -79,7 +79,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
     )
     placed = stored(assign_shards(docs, "doc_id", 24, grown="grown_shard"), "shards")
-    return give_slots(placed, "shard", "doc_id", 24).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return give_slots(placed, "shard", 24).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def _oracle() -> str:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+from siltstone.llm import sharding
 from siltstone.llm.sharding import assign_shards, give_slots, op10_rendezvous_sharding
 from siltstone.sources.tables import table
 
@@ -31,7 +32,15 @@ def test_null_keys_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "x")] * 3 + [(7, "y")] * 5000, "id long, size string")
     out = assign_shards(df, "id", 4)
     assert out.columns == ["id", "size", "shard"] and out.filter("id = 7").select("shard").distinct().count() == 1
-    slots = give_slots(out.select("id", "shard"), "shard", "id", 4).collect()
+    slots = give_slots(out.select("id", "shard"), "shard", 4).collect()
     for shard, n in Counter(r.shard for r in slots).items():
         assert sorted(r.slot for r in slots if r.shard == shard) == list(range(n))
-    assert give_slots(out.select("id", "shard").limit(0), "shard", "id", 4).count() == 0
+    assert give_slots(out.select("id", "shard").limit(0), "shard", 4).count() == 0
+
+
+def test_very_different_rows_under_one_null_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 50)
+    df = assign_shards(spark.range(2000).selectExpr("CAST(NULL AS LONG) AS id", "id AS x"), "id", 3)
+    (shard,) = {r.shard for r in df.select("shard").distinct().collect()}
+    out = give_slots(df, "shard", 3).collect()
+    assert sorted(r.slot for r in out) == list(range(2000)) and {r.shard for r in out} == {shard} and {r.x for r in out} == set(range(2000))
