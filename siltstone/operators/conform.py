@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 NULL_SPELLINGS = ("", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "null", "tbc", "unknown")
 TRUE_SPELLINGS = ("1", "true", "t", "yes", "y", "active", "on")
 FALSE_SPELLINGS = ("0", "false", "f", "no", "n", "inactive", "off")
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def key_of(c: Column) -> Column:
@@ -118,25 +117,6 @@ def fit_clock_offset(df: DataFrame, ref: DataFrame, ts: str, shifts: range = ran
     return both.groupBy("shift").agg(F.round(F.sum("d"), 6).alias("distance"))
 
 
-def conform_money(c: Column, decimal_comma: bool = False) -> Column:
-    """decimal(18,2) from amounts with thousands marks, k/m/b, parentheses or a minus, `/-`, currency signs and codes;
-    null for what is not an amount."""
-    t = F.lower(F.trim(c))
-    negative = t.rlike(r"^\(.*\)$") | t.rlike(r"^\s*[^\d(]*-\s*\d") | t.rlike(r"^-")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"/-$", ""), r"(ngn|usd|gbp|eur)", ""), r"[₦$£€()\s -]", "")
-    plain = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")) if decimal_comma else F.replace(bare, F.lit(","), F.lit(""))
-    scale = F.when(plain.endswith("k"), 1_000).when(plain.endswith("m"), 1_000_000).when(plain.endswith("b"), 1_000_000_000).otherwise(1)
-    digits = F.regexp_replace(plain, r"[kmb]$", "")
-    value = F.when(digits.rlike(r"^\d+(\.\d+)?$"), digits.try_cast("decimal(18,6)"))
-    return F.round(value * scale * F.when(negative, -1).otherwise(1), 2).cast("decimal(18,2)")
-
-
-def embedded_currency(c: Column) -> Column:
-    """The currency that an amount names, if it names one."""
-    t = F.lower(c)
-    return F.when(t.rlike("ngn|₦"), "NGN").when(t.rlike(r"usd|\$"), "USD").when(t.rlike("gbp|£"), "GBP").when(t.rlike("eur|€"), "EUR")
-
-
 def conform_discount(c: Column) -> Column:
     """A share as decimal(6,4) from 5%, 5 or 0.05; blank is 0."""
     t = F.trim(F.coalesce(c, F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import conform as C
+from siltstone.operators.money import conform_money, money_problems
 from siltstone.operators.split import flag, flag_counts
 from siltstone.plans.core import MONEY, fx_daily, num
 from siltstone.sources.tables import table
@@ -122,27 +123,39 @@ def c9_clock_offset(spark, sf_dir):
 
 
 def _amounts(spark, sf_dir):
+    """Order values in spellings that are read, that are not, and that name two currencies."""
     price = F.col("o_totalprice").cast(MONEY)
     plain, grouped = price.cast("string"), F.format_number(price, 2)
-    spelt = by_key("o_orderkey", plain, grouped, F.concat(F.lit("NGN "), grouped), F.concat(F.lit("$"), plain), F.concat(F.lit("("), grouped, F.lit(")")), F.concat(F.lit("-"), plain), F.concat(grouped, F.lit("/-")), F.concat((price / 1000).cast("decimal(18,5)").cast("string"), F.lit("k")))
+    joined = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    spelt = by_key(
+        "o_orderkey", plain, grouped, joined("NGN ", grouped), joined("$", plain), joined("(", grouped, ")"), joined("-", plain), joined(grouped, "/-"), joined((price / 1000).cast("decimal(18,5)").cast("string"), "k"),
+        F.translate(grouped, ",", "\u00a0"), joined("\u20a6-", grouped), joined("NGN ", plain, " USD"), F.translate(plain, ".", ","), joined(F.translate(plain, ".", ","), ",1"), joined(" ", plain, " EUR "), F.lit(" n/a "), joined("(-", plain, ")"),
+    )
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", spelt.alias("raw"))
 
 
 def c10_money(spark, sf_dir):
-    """Order values in eight spellings, and the currency that they name."""
-    return _amounts(spark, sf_dir).select("o_orderkey", num(C.conform_money(F.col("raw"))).alias("amount"), C.embedded_currency(F.col("raw")).alias("currency"))
+    """Order values in sixteen spellings, the currency that they name, and what cannot be read."""
+    return conform_money(_amounts(spark, sf_dir), "raw").select("o_orderkey", num(F.col("money.amount")).alias("amount"), "money.currency", "money.problem")
+
+
+def c10_problems(spark, sf_dir):
+    """How often each problem occurs."""
+    return money_problems(conform_money(_amounts(spark, sf_dir), "raw"))
 
 
 def c10_decimal_comma(spark, sf_dir):
-    """The same values with a decimal comma."""
-    raw = table(spark, sf_dir, "orders").select("o_orderkey", F.translate(F.format_number(F.col("o_totalprice").cast(MONEY), 2), ",.", ".,").alias("raw"))
-    return raw.select("o_orderkey", num(C.conform_money(F.col("raw"), decimal_comma=True)).alias("amount"))
+    """Values of a file with decimal commas, beside grouped and plain ones that keep their meaning."""
+    price = F.col("o_totalprice").cast(MONEY)
+    spelt = by_key("o_orderkey", F.translate(price.cast("string"), ".", ","), F.format_number(price, 2), price.cast("string"), F.concat(F.lit("€"), F.format_number(price.cast("long"), 0)), F.translate(F.format_number(price, 2), ",.", ".,"))
+    raw = table(spark, sf_dir, "orders").select("o_orderkey", spelt.alias("raw"))
+    return conform_money(raw, "raw", decimal_comma=True).select("o_orderkey", num(F.col("money.amount")).alias("amount"), "money.problem")
 
 
 def c11_currencies(spark, sf_dir):
     """C11: currency of an order from its amount, a column, its client's other orders, or the floor; by rule."""
-    named = C.embedded_currency(F.col("raw"))
-    o = _amounts(spark, sf_dir).select("o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 3 == 1, F.when(named.isNotNull(), "USD")).alias("amount_currency"), F.when(F.col("o_orderkey") % 5 == 0, F.when(F.col("o_custkey") % 3 == 2, "GBP")).alias("column_currency"))
+    named = F.col("money.currency")
+    o = conform_money(_amounts(spark, sf_dir), "raw").select("o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 3 == 1, F.when(named.isNotNull(), "USD")).alias("amount_currency"), F.when(F.col("o_orderkey") % 5 == 0, F.when(F.col("o_custkey") % 3 == 2, "GBP")).alias("column_currency"))
     found = C.resolve_currency(o, ["amount_currency", "column_currency"], "o_custkey", (F.col("o_custkey") % 3 == 0, "NGN"))
     return found.groupBy("rule", "currency").agg(F.count(F.lit(1)).alias("n"))
 
@@ -226,7 +239,7 @@ def s4_repaired_text(spark, sf_dir):
     return C.repair_text(_mangled(spark, sf_dir), ["text"])[0].select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (c1_nulls, c1_null_census, c2_categories, c2_unmapped, c21_source_groups, c3_booleans, c4_ids, c4_id_report, c5_date_order, c6_dates, c7_instants, c8_instant_agreement, c9_clock_offset, c10_money, c10_decimal_comma, c11_currencies, c12_fx, c13_discounts, c14_hours, c14_counts, c15_contacts, c16_names, c17_urls, c19_traffic, c20_zero_fill, c22_missing, s4_repaired_text)}
+QUERIES = {f.__name__: f for f in (c1_nulls, c1_null_census, c2_categories, c2_unmapped, c21_source_groups, c3_booleans, c4_ids, c4_id_report, c5_date_order, c6_dates, c7_instants, c8_instant_agreement, c9_clock_offset, c10_money, c10_problems, c10_decimal_comma, c11_currencies, c12_fx, c13_discounts, c14_hours, c14_counts, c15_contacts, c16_names, c17_urls, c19_traffic, c20_zero_fill, c22_missing, s4_repaired_text)}
 
 ORACLES = {
     "c1_nulls": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 NOT IN (3, 7) THEN c_mktsegment END AS segment FROM customer",
@@ -244,9 +257,13 @@ ORACLES = {
     "c9_clock_offset": """WITH h AS (SELECT (hour(ts) * 60 + minute(ts)) // 15 AS slot, count(*)::DOUBLE / (SELECT count(*) FROM events) AS q FROM events GROUP BY 1),
 m AS (SELECT ((slot + 8 - 4 * s) % 96 + 96) % 96 AS slot, s AS shift, q AS p FROM h, range(-3, 4) r(s)), w AS (SELECT slot, s AS shift, q FROM h, range(-3, 4) r(s))
 SELECT shift::INTEGER AS shift, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS distance FROM m FULL JOIN w USING (slot, shift) GROUP BY shift""",
-    "c10_money": "SELECT o_orderkey, round((CASE WHEN o_orderkey % 8 IN (4, 5) THEN -1 ELSE 1 END * o_totalprice::DECIMAL(18,2))::DOUBLE, 2) AS amount, CASE o_orderkey % 8 WHEN 2 THEN 'NGN' WHEN 3 THEN 'USD' END AS currency FROM orders",
-    "c10_decimal_comma": "SELECT o_orderkey, round(o_totalprice::DECIMAL(18,2)::DOUBLE, 2) AS amount FROM orders",
-    "c11_currencies": """WITH o AS (SELECT *, CASE WHEN o_custkey % 3 = 1 AND o_orderkey % 8 IN (2, 3) THEN 'USD' END AS a, CASE WHEN o_orderkey % 5 = 0 AND o_custkey % 3 = 2 THEN 'GBP' END AS c FROM orders),
+    "c10_money": """SELECT o_orderkey, CASE WHEN k NOT IN (10, 11, 12, 14) THEN round((CASE WHEN k IN (4, 5, 9) THEN -1 ELSE 1 END * o_totalprice::DECIMAL(18,2))::DOUBLE, 2) END AS amount,
+  CASE WHEN k IN (2, 9) THEN 'NGN' WHEN k = 3 THEN 'USD' WHEN k = 13 THEN 'EUR' END AS currency, CASE WHEN k = 10 THEN 'conflicting currencies' WHEN k IN (11, 12) THEN 'not an amount' END AS problem
+FROM (SELECT *, o_orderkey % 16 AS k FROM orders)""",
+    "c10_problems": "SELECT CASE WHEN o_orderkey % 16 = 10 THEN 'conflicting currencies' WHEN o_orderkey % 16 IN (11, 12) THEN 'not an amount' WHEN o_orderkey % 16 = 14 THEN 'blank' ELSE 'read' END AS kind, count(*) AS n FROM orders GROUP BY 1",
+    "c10_decimal_comma": """SELECT o_orderkey, CASE WHEN k <= 2 THEN round(p::DOUBLE, 2) WHEN k = 3 THEN floor(p)::DOUBLE WHEN p < 1000 THEN round(p::DOUBLE, 2) END AS amount, CASE WHEN k = 4 AND p >= 1000 THEN 'not an amount' END AS problem
+FROM (SELECT o_orderkey, o_orderkey % 5 AS k, o_totalprice::DECIMAL(18,2) AS p FROM orders)""",
+    "c11_currencies": """WITH o AS (SELECT *, CASE WHEN o_custkey % 3 = 1 AND o_orderkey % 16 IN (2, 3, 9, 13) THEN 'USD' END AS a, CASE WHEN o_orderkey % 5 = 0 AND o_custkey % 3 = 2 THEN 'GBP' END AS c FROM orders),
 s AS (SELECT *, max(coalesce(a, c)) OVER (PARTITION BY o_custkey) AS sib FROM o)
 SELECT CASE WHEN a IS NOT NULL THEN 'amount_currency' WHEN c IS NOT NULL THEN 'column_currency' WHEN sib IS NOT NULL THEN 'siblings' WHEN o_custkey % 3 = 0 THEN 'floor' ELSE 'unresolved' END AS rule,
   coalesce(a, c, sib, CASE WHEN o_custkey % 3 = 0 THEN 'NGN' END) AS currency, count(*) AS n FROM s GROUP BY ALL""",

@@ -15,6 +15,7 @@ from siltstone.operators import conform as C
 from siltstone.operators import resolve as R
 from siltstone.operators import split as S
 from siltstone.operators import temporal as T
+from siltstone.operators.money import conform_money, money_problems
 from siltstone.plans.warehouse import build_booking_fact, build_dim
 from siltstone.sources.scratch import shared_folder
 from siltstone.sources.text import check_blocks, read_text_table, split_structural_rows
@@ -26,9 +27,33 @@ def one(spark, value, expression):
     return spark.createDataFrame([(value,)], "x string").select(expression(F.col("x")).alias("y")).first().y
 
 
-@pytest.mark.parametrize("text, value", [("1,234.50", "1234.50"), ("(1,000)", "-1000.00"), ("₦2.5m", "2500000.00"), ("NGN 12k", "12000.00"), ("500/-", "500.00"), ("-7", "-7.00"), ("1 200", "1200.00"), ("abc", None), ("", None), (None, None), ("12..3", None)])
-def test_money(spark, text, value):
-    assert one(spark, text, C.conform_money) == (None if value is None else D(value))
+def money(spark, texts, **options):
+    rows = conform_money(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string"), "x", **options).orderBy("i").collect()
+    return [(None if r.money.amount is None else float(r.money.amount), r.money.currency, r.money.problem) for r in rows]
+
+
+NONE, BAD = (None, None, None), (None, None, "not an amount")
+
+
+def test_money(spark):
+    told = {
+        "1,234.50": (1234.5, None, None), "(1,000)": (-1000, None, None), "₦2.5m": (2.5e6, "NGN", None), "NGN 12k": (12000, "NGN", None), "500/-": (500, None, None), "-7": (-7, None, None), "1 200": (1200, None, None),
+        "NGN2,977,000.00/-": (2977000, "NGN", None), "₦-4,900.00": (-4900, "NGN", None), "-(5)": BAD, "(-5)": (5, None, None), "5 USD": (5, "USD", None), "NGN ₦5": (5, "NGN", None), "1.5 B": (1.5e9, None, None), "1\u00a0234\u00a0567.8": (1234567.8, None, None),
+        "abc": BAD, "": NONE, " n/a ": NONE, "12..3": BAD, "87635,35": BAD, "1,2,3": BAD, "1 2": BAD, "1,23": BAD, "12,34,567": BAD, "ngn 5": BAD, "5-": BAD, "5kk": BAD, ".5": BAD, "--": NONE,
+        "NGN 12 USD": (None, None, "conflicting currencies"), "$5 €": (None, None, "conflicting currencies"), "£x": (None, "GBP", "not an amount"), "9" * 30: (None, None, "too large"), "9" * 19 + "b": (None, None, "too large"),
+    }
+    assert money(spark, [*told, None]) == [*told.values(), NONE]
+
+
+def test_money_with_decimal_commas(spark):
+    told = {"87635.35": (87635.35, None, None), "1,000.50": (1000.5, None, None), "1,254,300": (1254300, None, None), "87635,35": (87635.35, None, None), "1,254": (1254, None, None), "7,5": (7.5, None, None), "1.254,30": BAD, "€7,50": (7.5, "EUR", None), "1,2,3": BAD}
+    assert money(spark, list(told), decimal_comma=True) == list(told.values())
+
+
+def test_money_of_an_empty_table_and_extra_columns(spark):
+    df = spark.createDataFrame([("5", 1)], "x string, money int")
+    assert [r.money.amount for r in conform_money(df, "x").collect()] == [5] and conform_money(df.limit(0), "x").count() == 0
+    assert {tuple(r) for r in money_problems(conform_money(spark.createDataFrame([("5",), ("x",), (None,), ("x",)], "x string"), "x")).collect()} == {("read", 1), ("not an amount", 2), ("blank", 1)}
 
 
 @pytest.mark.parametrize("text, day_first, value", [("3/4/2024", True, day(2024, 4, 3)), ("3/4/2024", False, day(2024, 3, 4)), ("31.12.2023", True, day(2023, 12, 31)), ("5-Jan-24", True, day(2024, 1, 5)), ("45000", True, day(2023, 3, 15)), ("2024-02-30", True, None), ("13/13/2024", True, None), (None, True, None)])
