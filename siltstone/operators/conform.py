@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Spellings of a missing value, compared in lower case without outer blanks.
 NULL_SPELLINGS = ("", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "null", "tbc", "unknown")
-TRUE_SPELLINGS = ("1", "true", "t", "yes", "y", "active", "on")
-FALSE_SPELLINGS = ("0", "false", "f", "no", "n", "inactive", "off")
+TRUE_SPELLINGS = ("1", "1.0", "true", "t", "yes", "y", "active", "on")
+FALSE_SPELLINGS = ("0", "0.0", "false", "f", "no", "n", "inactive", "off")
 
 
 def key_of(c: Column) -> Column:
@@ -157,9 +158,24 @@ def tidy_name(c: Column, acronyms: tuple[str, ...] = ("LTD", "PLC", "TV")) -> Co
     return F.array_join(F.transform(words, lambda w: F.when(F.upper(w).isin(*acronyms), F.upper(w)).otherwise(title(w))), " ")
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters of the Latin script beyond ASCII whose decomposition begins with a letter from a to z, and those
+    letters; and the marks that a decomposed text has apart, which go."""
+    pairs = {chr(i): unicodedata.normalize("NFKD", chr(i))[0] for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(i).islower()}
+    return "".join(c for c, x in pairs.items() if x.isascii() and x.isalpha()), "".join(x for x in pairs.values() if x.isascii() and x.isalpha())
+
+
+ACCENTED, PLAIN = _plain_letters()
+#: Letters without a decomposition that are read as these (fixed values).
+STROKED = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ħ": "h", "ı": "i", "ŋ": "n", "ɓ": "b", "ɗ": "d", "ƙ": "k"}
+
+
 def folded(c: Column) -> Column:
-    """Letters a to z only: lower case, common accents taken off."""
-    return F.regexp_replace(F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), "[^a-z]", "")
+    """Letters a to z only: lower case, letters with marks as those without."""
+    out = F.translate(F.lower(c), ACCENTED, PLAIN)
+    for letter, plain in STROKED.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(out, "[^a-z]", "")
 
 
 def conform_url(c: Column) -> Column:

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from siltstone.operators.conform import folded
 from siltstone.operators.split import rejected
@@ -29,10 +24,28 @@ def merge_by_key(df: DataFrame, key: str, order: str, first: list[str], earliest
     return merged, rejected(df.withColumn("__n", n).filter("__n > 1").drop("__n"), "merged")
 
 
-@F.pandas_udf(DoubleType())
-def _similar(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+def common_letters(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts: for each letter of one, a row of lengths over the other."""
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def next_row(row: Column, x: Column) -> Column:
+        # row[j]: greatest length with the first j letters of b; `left` is what this row has so far
+        def step(left: Column, y: Column) -> Column:
+            j = F.size(left)
+            longer = F.when(x == y, F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(left, -1), F.element_at(row, j + 1)))
+            return F.concat(left, F.array(longer))
+
+        return F.aggregate(letters(b), F.array(F.lit(0)), step)
+
+    last = F.aggregate(letters(a), F.array_repeat(F.lit(0), F.length(b) + 1), next_row)
+    return F.element_at(last, -1)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Twice the letters that two texts have in common in one order, over the letters of both; 1 for two empty texts, null if
+    one is null."""
+    both = F.length(a) + F.length(b)
+    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(2 * common_letters(a, b) / both)
 
 
 def match_rekeyed(df: DataFrame, key: str, offset: int, name: str, email: str, threshold: float) -> DataFrame:
@@ -40,7 +53,7 @@ def match_rekeyed(df: DataFrame, key: str, offset: int, name: str, email: str, t
     pair holds. The similarity is computed for these pairs only."""
     side = lambda p: df.select(F.col(key).alias(p), folded(F.col(name)).alias(f"{p}_name"), F.col(email).alias(f"{p}_email"))
     pairs = side("high").filter(F.col("high") >= offset).withColumn("low", F.col("high") - offset).join(side("low"), "low")
-    score = F.when(F.col("high_name") == F.col("low_name"), 1.0).otherwise(_similar("high_name", "low_name"))
+    score = similarity(F.col("high_name"), F.col("low_name"))
     conflict = F.coalesce(F.col("high_email") != F.col("low_email"), F.lit(False))
     return pairs.withColumn("similarity", score).withColumn("email_conflict", conflict).select("high", "low", "similarity", "email_conflict", ((F.col("similarity") >= threshold) & ~conflict).alias("holds"))
 

@@ -35,10 +35,18 @@ def c1_null_census(spark, sf_dir):
     return C.conform_nulls(_nulled(spark, sf_dir), ["segment", "c_name"])[1]
 
 
+MAPPING = [("f", "Completed"), ("o", "Confirmed"), ("p", "Cancelled")]
+
+
+def spelt_statuses(spark: SparkSession, sf_dir: str, planted: bool = True) -> DataFrame:
+    """Order states in several spellings. planted: every hundredth key or so has one that no mapping explains."""
+    odd = F.when(F.lit(planted) & (F.col("o_orderkey") % 100 == 3), F.lit("??x")).otherwise(F.col("o_orderstatus"))
+    spelt = by_key("o_orderkey", F.col("o_orderstatus"), F.lower("o_orderstatus"), F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit(". ")), odd)
+    return table(spark, sf_dir, "orders").select("o_orderkey", spelt.alias("status"))
+
+
 def _statuses(spark, sf_dir):
-    spelt = by_key("o_orderkey", F.col("o_orderstatus"), F.lower("o_orderstatus"), F.concat(F.lit("  "), F.col("o_orderstatus"), F.lit(". ")), F.when(F.col("o_orderkey") % 100 == 3, F.lit("??x")).otherwise(F.col("o_orderstatus")))
-    mapping = spark.createDataFrame([("f", "Completed"), ("o", "Confirmed"), ("p", "Cancelled")], "key string, value string")
-    return C.conform_category(table(spark, sf_dir, "orders").select("o_orderkey", spelt.alias("status")), "status", mapping)
+    return C.conform_category(spelt_statuses(spark, sf_dir), "status", spark.createDataFrame(MAPPING, "key string, value string"))
 
 
 def c2_categories(spark, sf_dir):
@@ -96,10 +104,13 @@ def c6_dates(spark, sf_dir):
     return _dates(spark, sf_dir).select("o_orderkey", C.conform_date(F.col("raw"), day_first=True).alias("day"))
 
 
-def _instants(spark, sf_dir):
+def _instants(spark, sf_dir, turn=0, late=None):
+    """Event times in one of four formats, the next one for each turn; `late` events are an hour later."""
     ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    ts = ts if late is None else F.when(late, ts + F.expr("INTERVAL 1 HOUR")).otherwise(ts)
     f = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
-    spelt = by_key("event_id", F.concat(f(ts), F.lit("Z")), F.concat(f(ts + F.expr("INTERVAL 1 HOUR")), F.lit("+01:00")), f(ts), (F.unix_timestamp(ts) * 1000 + 3_600_000).cast("string"))
+    formats = [F.concat(f(ts), F.lit("Z")), F.concat(f(ts + F.expr("INTERVAL 1 HOUR")), F.lit("+01:00")), f(ts), (F.unix_timestamp(ts) * 1000 + 3_600_000).cast("string")]
+    spelt = by_key("event_id", *formats[turn:], *formats[:turn])
     value, tag = C.conform_instant(F.col("raw"), epoch_shift_hours=1)
     return table(spark, sf_dir, "events").select("event_id", "user_id", spelt.alias("raw")).select("event_id", "user_id", value.alias("at"), tag.alias("tag"))
 
@@ -110,10 +121,9 @@ def c7_instants(spark, sf_dir):
 
 
 def c8_instant_agreement(spark, sf_dir):
-    """Every event written in two formats; all gaps must be 0."""
-    one = _instants(spark, sf_dir)
-    other = one.withColumns({"tag": F.concat(F.lit("_"), F.col("tag"))})
-    return C.instant_agreement(one.unionByName(other), "event_id", "at", "tag")
+    """Every event written in two formats, the second of some an hour late: the gaps by the two formats."""
+    late = F.col("event_id") % 41 == 1
+    return C.instant_agreement(_instants(spark, sf_dir).unionByName(_instants(spark, sf_dir, 1, late)), "event_id", "at", "tag")
 
 
 def c9_clock_offset(spark, sf_dir):
@@ -201,7 +211,7 @@ def c15_contacts(spark, sf_dir):
 
 def c16_names(spark, sf_dir):
     """Names in title case with acronyms, and folded for matching."""
-    raw = by_key("c_custkey", F.concat(F.upper("c_mktsegment"), F.lit("  o'NEIL ltd")), F.concat(F.lower("c_mktsegment"), F.lit("-crÉme tv")))
+    raw = by_key("c_custkey", F.concat(F.upper("c_mktsegment"), F.lit("  o'NEIL ltd")), F.concat(F.lower("c_mktsegment"), F.lit("-crÉme tv")), F.concat(F.lit("Ọlá ṢADÉ "), F.col("c_mktsegment")), F.concat(F.lit("Łukasz Straße "), F.lower("c_mktsegment")))
     return table(spark, sf_dir, "customer").select("c_custkey", C.tidy_name(raw).alias("name"), C.folded(raw).alias("folded"))
 
 
@@ -253,7 +263,8 @@ ORACLES = {
     "c5_date_order": "SELECT count(*) FILTER (day(o_orderdate) > 12) AS day_first, 0::BIGINT AS month_first, count(*) FILTER (day(o_orderdate) <= 12) AS either FROM orders WHERE o_orderkey % 7 IN (0, 6)",
     "c6_dates": "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders",
     "c7_instants": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE event_id % 4 WHEN 0 THEN 'z' WHEN 1 THEN 'offset' WHEN 2 THEN 'naive' ELSE 'epoch' END AS tag FROM events",
-    "c8_instant_agreement": "SELECT '_' || t AS tag_a, t AS tag_b, 0::BIGINT AS gap_s, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'z' WHEN 1 THEN 'offset' WHEN 2 THEN 'naive' ELSE 'epoch' END AS t FROM events) GROUP BY t",
+    "c8_instant_agreement": """WITH e AS (SELECT ['z', 'offset', 'naive', 'epoch'][event_id % 4 + 1] AS f, ['offset', 'naive', 'epoch', 'z'][event_id % 4 + 1] AS g, CASE WHEN event_id % 41 = 1 THEN 3600 ELSE 0 END AS s FROM events)
+SELECT least(f, g) AS tag_a, greatest(f, g) AS tag_b, (CASE WHEN f < g THEN s ELSE -s END)::BIGINT AS gap_s, count(*) AS n FROM e GROUP BY ALL""",
     "c9_clock_offset": """WITH h AS (SELECT (hour(ts) * 60 + minute(ts)) // 15 AS slot, count(*)::DOUBLE / (SELECT count(*) FROM events) AS q FROM events GROUP BY 1),
 m AS (SELECT ((slot + 8 - 4 * s) % 96 + 96) % 96 AS slot, s AS shift, q AS p FROM h, range(-3, 4) r(s)), w AS (SELECT slot, s AS shift, q FROM h, range(-3, 4) r(s))
 SELECT shift::INTEGER AS shift, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS distance FROM m FULL JOIN w USING (slot, shift) GROUP BY shift""",
@@ -275,8 +286,9 @@ UNION ALL SELECT 'sum', (sum(l_quantity) FILTER (l_quantity <= 24))::BIGINT FROM
     "c14_counts": "SELECT o_orderkey, o_orderkey * 1234 AS n FROM orders",
     "c15_contacts": """SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'user' || lpad(c_custkey::VARCHAR, 6, '0') || '@example.com' END AS email,
   CASE WHEN c_custkey % 4 < 3 THEN '+234803' || lpad(c_custkey::VARCHAR, 6, '0') || '0' END AS phone, CASE WHEN c_custkey % 4 = 3 THEN 'too short' END AS phone_problem FROM customer""",
-    "c16_names": """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' O''Neil LTD' ELSE upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || '-Créme TV' END AS name,
-  CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) || 'oneilltd' ELSE lower(c_mktsegment) || 'cremetv' END AS folded FROM customer""",
+    "c16_names": """WITH c AS (SELECT c_custkey, c_custkey % 4 AS k, lower(c_mktsegment) AS l, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS t FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN t || ' O''Neil LTD' WHEN 1 THEN t || '-Créme TV' WHEN 2 THEN 'Ọlá Ṣadé ' || t ELSE 'Łukasz Straße ' || t END AS name,
+  CASE k WHEN 0 THEN l || 'oneilltd' WHEN 1 THEN l || 'cremetv' WHEN 2 THEN 'olasade' || l ELSE 'lukaszstrasse' || l END AS folded FROM c""",
     "c17_urls": r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '[?#].*$', '', 's'), '/index\.(html?|php)$', '/') AS u FROM pages)
 SELECT page_id, CASE WHEN regexp_replace(u, '/+$', '') = '' THEN '/' ELSE regexp_replace(u, '/+$', '') END AS url FROM t""",
     "c19_traffic": "SELECT count(*) FILTER (event_id % 17 = 0) AS bots, count(*) FILTER (event_id % 34 = 0 OR event_id % 101 = 0) AS spam, count(*) FILTER (event_id % 101 = 0 AND event_id % 17 <> 0) AS violations FROM events",

@@ -13,10 +13,15 @@ from siltstone.sources.tables import table
 OFFSET = 1_000_000
 
 
-def _clients(spark, sf_dir):
-    """Customers, and copies of every tenth one at an offset key with a typo in the name."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Client "), F.translate(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 12), "0123456789", "ghijklmnop")).alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).alias("email"), "c_nationkey")
-    copies = c.filter("c_custkey % 10 = 0").select((F.col("c_custkey") + OFFSET).alias("c_custkey"), F.concat(F.lit("C"), "name").alias("name"), F.when(F.col("c_custkey") % 20 == 0, F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).alias("email"), "c_nationkey")
+def clients(spark: SparkSession, sf_dir: str, planted: bool = False) -> DataFrame:
+    """Customers, and copies of every tenth one at an offset key with a typo in the name. planted: every sixth copy has the
+    next customer's name, every seventh an address of its own."""
+    name = lambda k: F.concat(F.lit("Client "), F.translate(F.substring(F.md5(k.cast("string")), 1, 12), "0123456789", "ghijklmnop"))
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", name(k).alias("name"), F.when(k % 3 != 0, F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org"))).alias("email"), "c_nationkey")
+    told = F.when(F.lit(planted) & (k % 60 == 0), name(k + 1)).otherwise(F.concat(F.lit("C"), "name"))
+    email = F.when(F.lit(planted) & (k % 70 == 10), F.lit("v@y.org")).when(k % 20 == 0, F.concat(F.lit("u"), k.cast("string"), F.lit("@x.org")))
+    copies = c.filter("c_custkey % 10 = 0").select((k + OFFSET).alias("c_custkey"), told.alias("name"), email.alias("email"), "c_nationkey")
     return c.unionByName(copies)
 
 
@@ -27,20 +32,21 @@ def d3_merged_rows(spark, sf_dir):
 
 
 def d4_rekeyed_pairs(spark, sf_dir):
-    """Copies at an offset key, by similarity of folded names and e-mails that do not conflict."""
-    return R.match_rekeyed(_clients(spark, sf_dir), "c_custkey", OFFSET, "name", "email", 0.85).select("high", "low", "email_conflict", "holds")
+    """Copies at an offset key, by similarity of folded names and e-mails that do not conflict; some do not hold."""
+    return R.match_rekeyed(clients(spark, sf_dir, planted=True), "c_custkey", OFFSET, "name", "email", 0.85).select("high", "low", "email_conflict", "holds")
 
 
 def d5_best_match(spark, sf_dir):
-    """The twin is the best name match among the names that share one of their rarest runs of letters."""
-    c = _clients(spark, sf_dir)
-    pairs = R.match_rekeyed(c, "c_custkey", OFFSET, "name", "email", 0.85).filter("holds")
+    """Whether the twin is the best name match among the names that share one of their rarest runs of letters; some
+    copies have another customer's name."""
+    c = clients(spark, sf_dir, planted=True)
+    pairs = R.match_rekeyed(c, "c_custkey", OFFSET, "name", "email", 0.85)
     return R.best_match_evidence(c, pairs, "c_custkey", "name").groupBy("is_best").agg(F.count(F.lit(1)).alias("n"))
 
 
 def d6_applied_merges(spark, sf_dir):
     """Survivors with gaps filled, and orders that referred to copies."""
-    c = _clients(spark, sf_dir)
+    c = clients(spark, sf_dir)
     pairs = R.match_rekeyed(c, "c_custkey", OFFSET, "name", "email", 0.85).filter("holds")
     out = R.apply_merges(c, pairs, "c_custkey", ["email"], ["c_nationkey"])
     refs = table(spark, sf_dir, "orders").select(F.when((F.col("o_custkey") % 10 == 0) & (F.col("o_orderkey") % 2 == 0), F.col("o_custkey") + OFFSET).otherwise(F.col("o_custkey")).alias("c_custkey"))
@@ -55,8 +61,8 @@ def d7_shared_attributes(spark, sf_dir):
 
 
 def d9_id_block(spark, sf_dir):
-    """Low ids unbroken, every high id with a twin."""
-    return R.check_id_block(_clients(spark, sf_dir), "c_custkey", OFFSET)
+    """Gaps among the low ids and high ids without a twin, of a table that lost every 90th customer."""
+    return R.check_id_block(clients(spark, sf_dir).filter("c_custkey % 90 <> 10 OR c_custkey >= 1000000"), "c_custkey", OFFSET)
 
 
 def d10_canonical_labels(spark, sf_dir):
@@ -66,7 +72,7 @@ def d10_canonical_labels(spark, sf_dir):
     return R.canonical_label(p, "k", "label", "p_partkey")
 
 
-def _published(spark, sf_dir):
+def published_rates(spark, sf_dir):
     """Rates of the days on which orders were taken, a currency by the client's number: a base and what the cents of the
     day's orders leave, so steps are small. Weekdays only, every 29th day missing, every 61st and 67th with the point one
     place off."""
@@ -79,22 +85,22 @@ def _published(spark, sf_dir):
 
 def t1_corrected_rates(spark, sf_dir):
     """Slips of the decimal point are found and undone."""
-    return T.correct_rate_outliers(_published(spark, sf_dir)).select("currency", "rate_date", num(F.col("rate"), 6).alias("rate"), "is_corrected")
+    return T.correct_rate_outliers(published_rates(spark, sf_dir)).select("currency", "rate_date", num(F.col("rate"), 6).alias("rate"), "is_corrected")
 
 
 def t2_daily_rates(spark, sf_dir):
     """A rate for every day from the first to the last one published, filled from the last one."""
-    return T.daily_calendar(T.correct_rate_outliers(_published(spark, sf_dir))).withColumn("rate", num(F.col("rate"), 6))
+    return T.daily_calendar(T.correct_rate_outliers(published_rates(spark, sf_dir))).withColumn("rate", num(F.col("rate"), 6))
 
 
 def t3_rate_steps(spark, sf_dir):
     """Large steps of the published rates."""
-    return T.rate_steps(_published(spark, sf_dir))
+    return T.rate_steps(published_rates(spark, sf_dir))
 
 
 def t4_missing_weekdays(spark, sf_dir):
     """T4: weekdays without a rate between the first and the last one published."""
-    return T.missing_weekdays(_published(spark, sf_dir))
+    return T.missing_weekdays(published_rates(spark, sf_dir))
 
 
 def t5_repaired_versions(spark, sf_dir):
@@ -103,8 +109,11 @@ def t5_repaired_versions(spark, sf_dir):
 
 
 def t6_version_check(spark, sf_dir):
-    """The repaired windows have no defect left."""
-    return T.check_scd2(T.repair_scd2(price_versions(spark, sf_dir), "sku"), "sku")
+    """Defects of the raw windows, and of the repaired ones, which have none."""
+    raw = price_versions(spark, sf_dir)
+    checked = {"raw": raw.withColumn("is_current", F.col("valid_to").isNull()), "repaired": T.repair_scd2(raw, "sku")}
+    a, b = (T.check_scd2(df, "sku").withColumn("state", F.lit(n)) for n, df in checked.items())
+    return a.unionByName(b)
 
 
 def q06_window_integrity(spark, sf_dir):
@@ -179,7 +188,7 @@ def w7_refund_allocation(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (d3_merged_rows, d4_rekeyed_pairs, d5_best_match, d6_applied_merges, d7_shared_attributes, d9_id_block, d10_canonical_labels, t1_corrected_rates, t2_daily_rates, t3_rate_steps, t4_missing_weekdays, t5_repaired_versions, t6_version_check, q06_window_integrity, t7_validity_join, t9_price_evidence, t10_ambiguous_dates, t10_learned_window, t11_calendar, t12_attribution_lag, w7_refund_allocation)}
 
-_FX = """WITH o AS (SELECT CASE o_custkey % 3 WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' END AS currency, o_orderdate::DATE AS d, (o_totalprice::DECIMAL(18,2) * 100)::BIGINT AS c FROM orders),
+FX_SQL = """WITH o AS (SELECT CASE o_custkey % 3 WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' END AS currency, o_orderdate::DATE AS d, (o_totalprice::DECIMAL(18,2) * 100)::BIGINT AS c FROM orders),
 q AS (SELECT currency, d, (d - DATE '1970-01-01') AS n, (max(CASE currency WHEN 'USD' THEN 1000 ELSE 1500 END) + sum(c) % 100)::DECIMAL(14,6) AS r FROM o WHERE isodow(d) < 6 AND currency IS NOT NULL GROUP BY 1, 2, 3),
 p AS (SELECT currency, d, (CASE WHEN n % 61 = 0 THEN r * 10 WHEN n % 67 = 0 THEN r / 10 ELSE r END)::DECIMAL(14,6)::DOUBLE AS raw FROM q WHERE n % 29 <> 0),
 w AS (SELECT *, lag(raw) OVER w AS b, lead(raw) OVER w AS f FROM p WINDOW w AS (PARTITION BY currency ORDER BY d)),
@@ -187,7 +196,7 @@ h AS (SELECT *, b IS NOT NULL OR f IS NOT NULL AS beside, coalesce(raw > 5 * b,
   coalesce(raw < b / 5, true) AND coalesce(raw < f / 5, true) AND (coalesce(abs(raw * 10 / b - 1) <= 0.15, false) OR coalesce(abs(raw * 10 / f - 1) <= 0.15, false)) AS lo FROM w),
 fixed AS (SELECT currency, d, CASE WHEN beside AND hi THEN raw / 10 WHEN beside AND lo THEN raw * 10 ELSE raw END AS rate, beside AND (hi OR lo) AS is_corrected FROM h),
 a AS (SELECT currency, unnest(generate_series(min(d)::TIMESTAMP, max(d)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM p GROUP BY 1)"""
-_V = f"""WITH v AS (SELECT p_partkey AS sku, r AS version, (p_retailprice::DECIMAL(18,2) + r * 10)::DECIMAL(18,2) AS list_price, DATE '1995-01-01' + (r * 900)::INT AS lo,
+VERSIONS_SQL = f"""WITH v AS (SELECT p_partkey AS sku, r AS version, (p_retailprice::DECIMAL(18,2) + r * 10)::DECIMAL(18,2) AS list_price, DATE '1995-01-01' + (r * 900)::INT AS lo,
   CASE WHEN r = 2 AND p_partkey % 3 <> 0 THEN NULL WHEN r = 1 AND p_partkey % 5 = 4 THEN NULL ELSE DATE '1995-01-01' + (r * 900 + CASE p_partkey % 5 WHEN 1 THEN 930 WHEN 2 THEN 880 ELSE 899 END)::INT END AS hi, p_partkey % 7 = 0 AND r = 0 AS inv FROM part, range(3) t(r)),
 f AS (SELECT sku, version, list_price, lo AS valid_from, CASE WHEN version = 2 THEN DATE '{T.FOREVER}' ELSE lo + 899 END AS valid_to, version = 2 AS is_current, concat_ws(',', CASE WHEN inv THEN 'swapped' END,
   CASE WHEN version = 2 THEN CASE WHEN hi IS NOT NULL THEN 'reopened' END WHEN hi IS NULL THEN 'closed' WHEN hi >= lo + 900 THEN 'trimmed' WHEN hi < lo + 899 THEN 'bridged' END) AS repair FROM v)"""
@@ -197,27 +206,32 @@ ORACLES = {
     "d3_merged_rows": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders), p AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL)
 SELECT o.o_custkey, first(status ORDER BY o_orderkey) FILTER (status IS NOT NULL) AS status, min(o_orderdate)::DATE AS day, concat_ws(',', CASE WHEN count(DISTINCT status) > 1 THEN 'status' END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'o_orderpriority' END) AS conflicts,
   count(*) AS n_rows, (SELECT first(o_orderpriority ORDER BY n DESC, f) FROM p WHERE p.o_custkey = o.o_custkey) AS o_orderpriority FROM o GROUP BY o.o_custkey""",
-    "d4_rekeyed_pairs": f"SELECT c_custkey + {OFFSET} AS high, c_custkey AS low, false AS email_conflict, true AS holds FROM customer WHERE c_custkey % 10 = 0",
-    "d5_best_match": "SELECT true AS is_best, count(*) AS n FROM customer WHERE c_custkey % 10 = 0",
+    "d4_rekeyed_pairs": f"""SELECT c_custkey + {OFFSET} AS high, c_custkey AS low, c_custkey % 70 = 10 AND c_custkey % 3 <> 0 AS email_conflict, c_custkey % 60 <> 0 AND NOT (c_custkey % 70 = 10 AND c_custkey % 3 <> 0) AS holds
+FROM customer WHERE c_custkey % 10 = 0""",
+    "d5_best_match": "SELECT c_custkey % 60 <> 0 AS is_best, count(*) AS n FROM customer WHERE c_custkey % 10 = 0 AND (c_custkey % 60 <> 0 OR c_custkey + 1 IN (SELECT c_custkey FROM customer)) GROUP BY 1",
     "d6_applied_merges": f"""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 20 = 0 THEN 'u' || (CASE WHEN c_custkey % 3 <> 0 THEN c_custkey ELSE c_custkey END)::VARCHAR || '@x.org' END AS email,
   CASE WHEN c_custkey % 10 = 0 THEN (c_custkey + {OFFSET})::VARCHAR END AS merged_from, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders FROM customer""",
     "d7_shared_attributes": "SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_nationkey) FILTER (c_nationkey > 2) + max((c_nationkey <= 2)::INT) AS n_nation FROM customer GROUP BY 1 HAVING count(*) > 1",
-    "d9_id_block": "SELECT min(c_custkey) AS low_min, max(c_custkey) AS low_max, count(*) AS low_ids, 0::BIGINT AS gaps, count(*) FILTER (c_custkey % 10 = 0) AS high_ids, 0::BIGINT AS without_twin FROM customer",
+    "d9_id_block": """WITH l AS (SELECT min(c_custkey) AS low_min, max(c_custkey) AS low_max, count(*) AS low_ids FROM customer WHERE c_custkey % 90 <> 10)
+SELECT l.*, low_max - low_min + 1 - low_ids AS gaps, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0) AS high_ids, (SELECT count(*) FROM customer WHERE c_custkey % 90 = 10) AS without_twin FROM l""",
     "d10_canonical_labels": """WITH p AS (SELECT p_partkey, lower(p_name) AS k, p_partkey % 4 AS r, list_aggregate(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS i FROM part),
 s AS (SELECT k, CASE r WHEN 0 THEN upper(k) WHEN 1 THEN k ELSE i END AS label, CASE WHEN r IN (0, 1) THEN 1 ELSE 0 END AS m, count(*) AS n, min(p_partkey) AS o FROM p GROUP BY ALL)
 SELECT k, first(label ORDER BY m, n DESC, o) AS label FROM s GROUP BY k""",
-    "t1_corrected_rates": _FX + " SELECT currency, d AS rate_date, round(rate, 6) AS rate, is_corrected FROM fixed",
-    "t2_daily_rates": _FX + """ SELECT a.currency, a.d AS rate_date, round(last_value(x.rate IGNORE NULLS) OVER w, 6) AS rate, x.d IS NULL AS is_filled, last_value(x.d IGNORE NULLS) OVER w AS source_rate_date, coalesce(x.is_corrected, false) AS is_corrected
+    "t1_corrected_rates": FX_SQL + " SELECT currency, d AS rate_date, round(rate, 6) AS rate, is_corrected FROM fixed",
+    "t2_daily_rates": FX_SQL + """ SELECT a.currency, a.d AS rate_date, round(last_value(x.rate IGNORE NULLS) OVER w, 6) AS rate, x.d IS NULL AS is_filled, last_value(x.d IGNORE NULLS) OVER w AS source_rate_date, coalesce(x.is_corrected, false) AS is_corrected
 FROM a LEFT JOIN fixed x ON a.currency = x.currency AND a.d = x.d WINDOW w AS (PARTITION BY a.currency ORDER BY a.d ROWS UNBOUNDED PRECEDING)""",
-    "t3_rate_steps": _FX + """, s AS (SELECT currency, d, raw / lag(raw) OVER (PARTITION BY currency ORDER BY d) AS step FROM p)
+    "t3_rate_steps": FX_SQL + """, s AS (SELECT currency, d, raw / lag(raw) OVER (PARTITION BY currency ORDER BY d) AS step FROM p)
 SELECT currency, d AS rate_date, round(step, 6) AS step, step > 2 OR step < 0.5 AS is_rejected FROM s WHERE step > 1.2 OR step < 1 / 1.2""",
-    "t4_missing_weekdays": _FX + " SELECT currency, d AS rate_date FROM a WHERE isodow(d) < 6 AND (currency, d) NOT IN (SELECT currency, d FROM p)",
-    "t5_repaired_versions": _V + " SELECT sku, version::INTEGER AS version, valid_from, valid_to, is_current, repair FROM f",
-    "t6_version_check": "SELECT 0::BIGINT AS overlaps, 0::BIGINT AS gaps, 0::BIGINT AS repeated_starts, 0::BIGINT AS keys_without_one_current",
-    "q06_window_integrity": _V + f""", g AS (SELECT sku, version, lo, coalesce(hi, DATE '{T.FOREVER}') AS hi FROM v WHERE NOT inv), o AS (SELECT a.sku FROM g a JOIN g b ON a.sku = b.sku AND a.version < b.version AND a.lo <= b.hi AND b.lo <= a.hi)
+    "t4_missing_weekdays": FX_SQL + " SELECT currency, d AS rate_date FROM a WHERE isodow(d) < 6 AND (currency, d) NOT IN (SELECT currency, d FROM p)",
+    "t5_repaired_versions": VERSIONS_SQL + " SELECT sku, version::INTEGER AS version, valid_from, valid_to, is_current, repair FROM f",
+    "t6_version_check": VERSIONS_SQL + """, r AS (SELECT sku, CASE WHEN inv THEN hi ELSE lo END AS a, CASE WHEN inv THEN lo ELSE hi END AS b FROM v), w AS (SELECT *, lag(a) OVER o AS pa, lag(b) OVER o AS pb FROM r WINDOW o AS (PARTITION BY sku ORDER BY a NULLS FIRST, b NULLS FIRST)),
+c AS (SELECT sku, count(*) FILTER (b IS NULL) AS c FROM r GROUP BY sku)
+SELECT 'raw' AS state, count(*) FILTER (pb >= a) AS overlaps, count(*) FILTER (pb + 1 < a) AS gaps, count(*) FILTER (pa = a) AS repeated_starts, (SELECT count(*) FILTER (c <> 1) FROM c) AS keys_without_one_current FROM w
+UNION ALL SELECT 'repaired', 0, 0, 0, 0""",
+    "q06_window_integrity": VERSIONS_SQL + f""", g AS (SELECT sku, version, lo, coalesce(hi, DATE '{T.FOREVER}') AS hi FROM v WHERE NOT inv), o AS (SELECT a.sku FROM g a JOIN g b ON a.sku = b.sku AND a.version < b.version AND a.lo <= b.hi AND b.lo <= a.hi)
 SELECT 'overlapping pairs' AS metric, count(*) AS n FROM o UNION ALL SELECT 'skus with overlaps', count(DISTINCT sku) FROM o UNION ALL SELECT 'inverted windows', count(*) FROM v WHERE inv UNION ALL SELECT 'open windows', count(*) FROM v WHERE hi IS NULL UNION ALL SELECT 'defects after repair', 0""",
-    "t7_validity_join": _V + " SELECT version::INTEGER AS version, count(*) AS n, round(sum(list_price)::DOUBLE, 2) AS list_total FROM lineitem JOIN f ON sku = l_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to GROUP BY 1",
-    "t9_price_evidence": _V + """, r AS (SELECT l_returnflag, l_extendedprice / l_quantity / list_price::DOUBLE AS r FROM lineitem JOIN f ON sku = l_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to)
+    "t7_validity_join": VERSIONS_SQL + " SELECT version::INTEGER AS version, count(*) AS n, round(sum(list_price)::DOUBLE, 2) AS list_total FROM lineitem JOIN f ON sku = l_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to GROUP BY 1",
+    "t9_price_evidence": VERSIONS_SQL + """, r AS (SELECT l_returnflag, l_extendedprice / l_quantity / list_price::DOUBLE AS r FROM lineitem JOIN f ON sku = l_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to)
 SELECT l_returnflag, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.95), 6) AS p95, round(avg((r BETWEEN 0.75 AND 1.25)::INT), 6) AS within_quarter FROM r GROUP BY 1""",
     "t10_ambiguous_dates": _RD + """, x AS (SELECT NOT sure AS ambiguous, sure OR NOT (o - day BETWEEN a AND b) AS is_resolved FROM u, w)
 SELECT ambiguous, is_resolved, CASE WHEN is_resolved THEN true END AS is_right, count(*) AS n FROM x GROUP BY ALL""",

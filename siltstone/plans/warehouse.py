@@ -77,7 +77,7 @@ def s11_products(spark, sf_dir):
     return X.read_text_table(spark, path, p.columns)
 
 
-def _kept_by_hand(spark, sf_dir):
+def kept_by_hand(spark, sf_dir):
     """A sheet for each year of orders: by month, each month followed by a subtotal and a spacer, a grand total at the end."""
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("src"), F.month("o_orderdate").alias("m"), F.lit(0).alias("kind"), "o_orderkey", F.col("o_totalprice").cast(MONEY).alias("amount"))
     months = o.groupBy("src", "m").agg(F.sum("amount").alias("amount"))
@@ -95,14 +95,14 @@ RULES = lambda: [(F.col("label").startswith("Subtotal"), "subtotal"), (F.col("la
 
 def s5_structural_rows(spark, sf_dir):
     """What is data and what is not in the hand-kept sheets."""
-    data, other = X.split_structural_rows(_kept_by_hand(spark, sf_dir), RULES(), F.col("label").rlike(r"^\d+$"))
+    data, other = X.split_structural_rows(kept_by_hand(spark, sf_dir), RULES(), F.col("label").rlike(r"^\d+$"))
     count = lambda df, reason: df.groupBy("src", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), num(F.sum("amount")).alias("amount"))
     return count(data, F.lit("data")).unionByName(count(other, F.col("_reason")))
 
 
 def s6_block_check(spark, sf_dir):
     """Rows above a subtotal belong to its month; every 50th row is said to be of another one."""
-    marked = _kept_by_hand(spark, sf_dir).withColumn("marker", F.when(F.col("label").startswith("Subtotal"), F.col("m"))).filter("label IS NOT NULL AND label <> 'Grand total'")
+    marked = kept_by_hand(spark, sf_dir).withColumn("marker", F.when(F.col("label").startswith("Subtotal"), F.col("m"))).filter("label IS NOT NULL AND label <> 'Grand total'")
     said = marked.withColumn("said", F.when((F.col("_row") % 50 == 0) & F.col("marker").isNull(), F.col("m") + 1).otherwise(F.col("m")))
     return X.check_blocks(said, "src", "_row", "marker", "said").groupBy("src").agg(F.count(F.lit(1)).alias("violations"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import checks as K
 from siltstone.operators import conform as C
+from siltstone.operators import gates as G
 from siltstone.operators import resolve as R
 from siltstone.operators import split as S
 from siltstone.operators import temporal as T
@@ -222,3 +223,51 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_similarity_against_a_table_of_lengths(spark):
+    rnd = random.Random(1)
+    rows = [("".join(rnd.choices("abcd", k=rnd.randint(0, 12))), "".join(rnd.choices("abcd", k=rnd.randint(0, 12)))) for _ in range(150)] + [("", ""), ("", "a"), (None, "a")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", R.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        assert r.s == (None if r.a is None else 1.0 if r.a == r.b else 2 * lcs(r.a, r.b) / (len(r.a) + len(r.b)))
+
+
+@pytest.mark.parametrize("text, value", [("Ọlá Ṣadé", "olasade"), ("Łukasz", "lukasz"), ("O\u0323la\u0301", "ola"), ("STRASSE straße", "strassestrasse"), ("ÆØ œ", "aeooe"), ("日本", ""), (None, None)])
+def test_folded_names(spark, text, value):
+    assert one(spark, text, C.folded) == value
+
+
+def test_a_gate_stops_a_job_and_keeps_its_evidence(spark):
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 7 = 0 THEN 'maybe' WHEN id % 2 = 0 THEN '1.0' WHEN id % 3 = 0 THEN ' n/a ' ELSE 'No' END AS b")
+    with pytest.raises(G.GateStopped, match="boolean b: unmapped is 15") as stopped:
+        G.passed([G.strict_boolean(df, "b")])
+    assert stopped.value.evidence == {"rows": 100, "unmapped": 15}
+    (clean,) = G.passed([G.strict_boolean(df.filter("b <> 'maybe'"), "b")])
+    assert {(r.id % 2 == 0, r.b) for r in clean.filter("id % 3 <> 0").collect()} == {(True, True), (False, False)}
+    (empty,) = G.passed([G.strict_boolean(df.limit(0), "b")])
+    assert empty.count() == 0
+
+
+def test_gates_of_dates_and_clocks(spark):
+    df = spark.createDataFrame([("13/1/2024",), ("1/2/2024",), (None,)], "d string")
+    (got,) = G.passed([G.strict_date_order(df, "d", day_first=True)])
+    assert sorted(str(r.d) for r in got.collect()) == ["2024-01-13", "2024-02-01", "None"]
+    for rows, day_first in (([("13/1/2024",)], False), ([("1/2/2024",)], True)):
+        with pytest.raises(G.GateStopped):
+            G.passed([G.strict_date_order(spark.createDataFrame(rows, "d string"), "d", day_first)])
+    e = spark.range(2000).selectExpr("CAST('2024-01-01' AS TIMESTAMP) + make_interval(0, 0, 0, 0, CAST(8 + pow(id % 7, 2) / 4 AS INT), CAST(id % 60 AS INT), 0) AS ts")
+    with pytest.raises(G.GateStopped, match="best_shift is -1"):
+        G.passed([G.strict_clock(e.selectExpr("ts - INTERVAL 1 HOUR AS ts"), e, "ts")])
+    (same,) = G.passed([G.strict_clock(e, e, "ts")])
+    assert same.filter("NOT is_reference").count() == 2000
