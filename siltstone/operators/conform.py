@@ -239,13 +239,15 @@ def repair_text(df: DataFrame, columns: list[str], passes: int = 2) -> tuple[Dat
 
 def resolve_currency(df: DataFrame, sources: list[str], group: str, floor: tuple[Column, str]) -> DataFrame:
     """`currency` from the first source column that has one, else the only one of the group's other rows, else the floor
-    rule; `rule` names which."""
-    direct = F.coalesce(*[F.col(s) for s in sources])
-    only = F.collect_set(direct).over(Window.partitionBy(group))
-    found = df.withColumn("__direct", direct).withColumn("__only", only).withColumn("__sibling", F.when(F.size("__only") == 1, F.element_at("__only", 1)))
+    rule; `rule` names which. Only rows without a source are joined with their group's; a null group has no siblings."""
+    told = df.withColumn("__direct", F.coalesce(*[F.col(s) for s in sources]))
     rule = reduce(lambda a, s: a.when(F.col(s).isNotNull(), s), sources[1:], F.when(F.col(sources[0]).isNotNull(), sources[0]))
-    rule = rule.when(F.col("__sibling").isNotNull(), "siblings").when(floor[0], "floor").otherwise("unresolved")
-    return found.withColumn("rule", rule).withColumn("currency", F.coalesce("__direct", "__sibling", F.when(floor[0], floor[1]))).drop("__direct", "__only", "__sibling")
+    direct = told.filter("__direct IS NOT NULL").withColumns({"rule": rule, "currency": F.col("__direct")})
+    only = told.filter("__direct IS NOT NULL").groupBy(F.col(group).alias("__group")).agg(F.when(F.min("__direct") == F.max("__direct"), F.min("__direct")).alias("__sibling"))
+    rest = told.filter("__direct IS NULL").join(only, F.col(group) == F.col("__group"), "left")
+    inferred = F.when(F.col("__sibling").isNotNull(), "siblings").when(floor[0], "floor").otherwise("unresolved")
+    found = rest.withColumns({"rule": inferred, "currency": F.coalesce("__sibling", F.when(floor[0], floor[1]))})
+    return direct.drop("__direct").unionByName(found.drop("__direct", "__group", "__sibling"))
 
 
 def convert_fx(df: DataFrame, fx: DataFrame, amount: str, currency: str, day: str, home: str) -> DataFrame:

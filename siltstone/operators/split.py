@@ -24,31 +24,83 @@ def quarantine(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return df.select(F.lit(name).alias("src_table"), F.col("_reason").alias("reason"), F.col("_detail").alias("detail"), payload.alias("payload"))
 
 
+#: Rows of a group that one task may rank; ranges of the first order column that larger groups are dealt to.
+GROUP_ROWS, RANGES = 100_000, 64
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str], prefix: str) -> Column:
+    """The condition that a's keys equal b's, which have the prefix; nulls are equal."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"{prefix}{k}"]) for k in keys])
+
+
+def with_group(df: DataFrame, keys: list[str], stats: list[Column], having: str | None = None) -> DataFrame:
+    """`df` with aggregates of each row's group, null where `having` does not hold. Groups are added up before anything is
+    shuffled, and the join's hot keys are left to adaptive execution, which splits their rows over tasks."""
+    per = df.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys]).agg(*stats)
+    per = per.filter(having) if having else per
+    return df.join(per, same_keys(df, per, keys, "__g_"), "left").drop(*[f"__g_{k}" for k in keys])
+
+
 def split_exact_duplicates(df: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """First row of equal keys by `order`, and the others with the row that they copy."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    numbered = df.withColumn("__n", F.row_number().over(w)).withColumn("__first", F.first(order).over(w))
-    kept = numbered.filter("__n = 1").drop("__n", "__first")
-    gone = rejected(numbered.filter("__n > 1"), "exact duplicate", F.concat(F.lit("copy of "), F.col("__first").cast("string")))
+    """First row of equal keys (nulls are equal) by `order`, a row number that no two rows share, and the others with the row
+    that they copy."""
+    told = with_group(df, keys, [F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first")], "__n > 1")
+    copies = F.coalesce(F.col(order) != F.col("__first"), F.lit(False))
+    kept = told.filter(~copies).drop("__n", "__first")
+    gone = rejected(told.filter(copies), "exact duplicate", F.concat(F.lit("copy of "), F.col("__first").cast("string")))
     return kept, gone.drop("__n", "__first")
 
 
 def split_content_duplicates(df: DataFrame, content: list[str], soft: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """As exact duplicates on `content`; where copies differ in `soft`, the kept row's `soft` becomes null and is flagged."""
-    same = Window.partitionBy(*content)
-    w = same.orderBy(order)
-    differs = F.size(F.collect_set(F.coalesce(F.col(soft).cast("string"), F.lit("\u0000"))).over(same)) > 1
-    numbered = df.withColumn("__n", F.row_number().over(w)).withColumn("__differs", differs)
-    kept = numbered.filter("__n = 1").withColumn(soft, F.when(~F.col("__differs"), F.col(soft))).withColumn("soft_conflict", F.col("__differs"))
-    gone = numbered.filter("__n > 1").withColumn("_reason", F.when(F.col("__differs"), f"duplicate but for {soft}").otherwise("duplicate"))
-    return kept.drop("__n", "__differs"), gone.withColumn("_detail", F.lit(None).cast("string")).drop("__n", "__differs")
+    """As exact duplicates on `content`; where copies differ in `soft` (null is a value), the kept row's `soft` becomes null
+    and is flagged."""
+    stats = [F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"), F.count(soft).alias("__known"), F.min(soft).alias("__least"), F.max(soft).alias("__most")]
+    told = with_group(df, content, stats, "__n > 1")
+    differs = F.coalesce((F.col("__least") != F.col("__most")) | ((F.col("__known") > 0) & (F.col("__known") < F.col("__n"))), F.lit(False))
+    copies = F.coalesce(F.col(order) != F.col("__first"), F.lit(False))
+    told = told.withColumns({"__differs": differs, "__copy": copies}).drop("__n", "__first", "__known", "__least", "__most")
+    kept = told.filter("NOT __copy").withColumn(soft, F.when(~F.col("__differs"), F.col(soft))).withColumn("soft_conflict", F.col("__differs"))
+    gone = told.filter("__copy").withColumn("_reason", F.when(F.col("__differs"), f"duplicate but for {soft}").otherwise("duplicate"))
+    return kept.drop("__copy", "__differs"), gone.withColumn("_detail", F.lit(None).cast("string")).drop("__copy", "__differs")
+
+
+def ordinal(df: DataFrame, column: str) -> Column:
+    """A double that never falls where the column rises: numbers and days themselves, of texts the first six bytes."""
+    kind = dict(df.dtypes)[column]
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.unix_date(column).cast("double") if kind == "date" else F.col(column).cast("double")
+
+
+def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """`out`: the place of each row in its group by `order` (nulls first), from 1; which of rows that agree in it comes first
+    is not defined.
+
+    A group of more than GROUP_ROWS rows is dealt to RANGES ranges of its first order column by approximate quantiles; ranges
+    are ranked in tasks of their own and start where the ones before them end. Rows of one group that agree in the first
+    order column stay together.
+    """
+    first = F.coalesce(ordinal(df, order[0]), F.lit(float("-inf")))
+    placed = df.withColumn("__v", first)
+    hot = placed.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > GROUP_ROWS)
+    of_hot = placed.join(hot, same_keys(placed, hot, keys, "__g_")).groupBy(*[f"__g_{k}" for k in keys])
+    cuts = of_hot.agg(F.percentile_approx("__v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(2000)).alias("__cuts"))
+    cut = placed.join(cuts, same_keys(placed, cuts, keys, "__g_"), "left").drop(*[f"__g_{k}" for k in keys])
+    cut = cut.withColumn("__piece", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__v"))), F.lit(0))).drop("__cuts", "__v")
+    sizes = cut.groupBy(*[F.col(k).alias(f"__g_{k}") for k in keys], F.col("__piece").alias("__p")).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*[f"__g_{k}" for k in keys]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("__start", before).filter("__start IS NOT NULL").drop("__size")
+    ranked = cut.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(*order)))
+    told = ranked.join(starts, same_keys(ranked, starts, keys, "__g_") & (F.col("__piece") == F.col("__p")), "left")
+    return told.withColumn(out, F.col("__r") + F.coalesce("__start", F.lit(0))).drop(*[f"__g_{k}" for k in keys], "__p", "__start", "__r", "__piece")
 
 
 def disambiguate_key(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
-    """`out`: the key as text, with -1, -2, ... where it repeats."""
-    same = Window.partitionBy(key)
-    n = F.row_number().over(same.orderBy(*order))
-    return df.withColumn(out, F.when(F.count(F.lit(1)).over(same) > 1, F.concat(F.col(key).cast("string"), F.lit("-"), n.cast("string"))).otherwise(F.col(key).cast("string")))
+    """`out`: the key as text, with -1, -2, ... by `order` where it repeats; a null key stays null."""
+    told = with_group(df, [key], [F.count(F.lit(1)).alias("__n")], "__n > 1")
+    alone = told.filter("__n IS NULL").drop("__n").withColumn(out, F.col(key).cast("string"))
+    again = rank_in_groups(told.filter("__n > 1").drop("__n"), [key], order, "__place")
+    return alone.unionByName(again.withColumn(out, F.concat(F.col(key).cast("string"), F.lit("-"), F.col("__place").cast("string"))).drop("__place"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,15 +126,24 @@ def split_cascade(child: DataFrame, kept: DataFrame, gone: DataFrame, on: list[s
     return child.join(lost, on, "left_anti"), rejected(child.join(lost, on, "left_semi"), "parent rejected")
 
 
+def only_values(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, column, ...): of each group the value of a column, null where it has several or none."""
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    return df.groupBy(group).agg(*[one(c) for c in columns])
+
+
 def repair_from_siblings(df: DataFrame, group: str, column: str, parent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An unknown value takes the only known one of its group, else the row goes. parent: the known values."""
+    """An unknown value takes the only known one of its group, else the row goes. parent: the known values. Only rows with
+    an unknown value are joined with their group's; a null group has no siblings."""
     known = parent.select(F.col(column)).distinct().withColumn("__known", F.lit(True))
     seen = df.join(known, column, "left")
-    valid = F.collect_set(F.when(F.col("__known"), F.col(column))).over(Window.partitionBy(group))
-    found = seen.withColumn("__valid", valid).withColumn("__one", F.when(F.size("__valid") == 1, F.element_at("__valid", 1)))
-    ok = F.col("__known").isNotNull() | F.col("__one").isNotNull()
-    fixed = found.filter(ok).withColumn("repaired", F.col("__known").isNull()).withColumn(column, F.when(F.col("__known"), F.col(column)).otherwise(F.col("__one")))
-    return fixed.drop("__known", "__valid", "__one"), rejected(found.filter(~ok), f"unknown {column}", F.col(column)).drop("__known", "__valid", "__one")
+    valid = seen.filter("__known").drop("__known")
+    only = only_values(valid, group, [column]).select(F.col(group).alias("__group"), F.col(column).alias("__one"))
+    unknown = seen.filter("__known IS NULL").drop("__known")
+    found = unknown.join(only, F.col(group) == F.col("__group"), "left").drop("__group")
+    fixed = found.filter("__one IS NOT NULL").withColumns({column: F.col("__one"), "repaired": F.lit(True)}).drop("__one")
+    kept = valid.withColumn("repaired", F.lit(False)).unionByName(fixed)
+    return kept, rejected(found.filter("__one IS NULL").drop("__one"), f"unknown {column}", F.col(column))
 
 
 def row_accounting(raw: DataFrame, kept: DataFrame, gone: DataFrame, by: str) -> DataFrame:
@@ -112,10 +173,12 @@ def fill_if_rule_proven(df: DataFrame, column: str, rule: Column) -> DataFrame:
 
 
 def fill_constant_in_group(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Nulls take the value of their group where it has one only."""
-    w = Window.partitionBy(key)
-    one = lambda c: F.when(F.min(c).over(w) == F.max(c).over(w), F.max(c).over(w))
-    return df.withColumns({c: F.coalesce(F.col(c), one(c)) for c in columns})
+    """Nulls take the value of their group where it has one only. Rows without a null are not joined; a null key has no
+    group."""
+    blank = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    only = only_values(df, key, columns).select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    filled = df.filter(blank).join(only, F.col(key) == F.col("__key"), "left").withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns})
+    return df.filter(~blank).unionByName(filled.select(*df.columns))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

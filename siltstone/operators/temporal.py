@@ -75,15 +75,9 @@ def check_scd2(df: DataFrame, key: str, lo: str = "valid_from", hi: str = "valid
     return a.crossJoin(F.broadcast(b))
 
 
-def overlapping_windows(df: DataFrame, key: str, version: str, lo: str = "valid_from", hi: str = "valid_to") -> DataFrame:
-    """Pairs of versions of one key whose windows overlap (an open end lasts for ever)."""
-    side = lambda p: df.select(F.col(key), F.col(version).alias(f"{p}_version"), F.col(lo).alias(f"{p}_lo"), F.coalesce(F.col(hi), F.lit(FOREVER).cast("date")).alias(f"{p}_hi"))
-    pairs = side("a").join(side("b"), key)
-    return pairs.filter((F.col("a_version") < F.col("b_version")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))).select(key, "a_version", "b_version")
-
-
 def join_valid(df: DataFrame, scd: DataFrame, key: str, day: str, lo: str = "valid_from", hi: str = "valid_to") -> DataFrame:
-    """Each event with the version in force on its day: an equi-join on the key with the window as residual condition."""
+    """Each event with the version in force on its day, for keys with a few versions: an equi-join on the key with the window
+    as residual condition. `intervals.join_intervals` and `join_as_of` are for keys with many."""
     versions = scd.withColumnsRenamed({key: "__key"})
     return df.join(versions, (F.col(key) == F.col("__key")) & F.col(day).between(F.col(lo), F.col(hi)), "left").drop("__key")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import intervals as I
 from siltstone.operators import resolve as R
 from siltstone.operators import temporal as T
 from siltstone.plans.core import CORE_SQL, MONEY, day_number, num, price_versions, sessions
@@ -119,7 +120,7 @@ def t6_version_check(spark, sf_dir):
 def q06_window_integrity(spark, sf_dir):
     """Overlapping pairs, inverted windows, open ends before the last, and affected SKUs of the raw versions."""
     v = price_versions(spark, sf_dir)
-    pairs = T.overlapping_windows(v.filter("valid_to IS NULL OR valid_to >= valid_from"), "sku", "version")
+    pairs = I.overlaps(v, "sku", "version", "valid_from", "valid_to")
     rows = [("overlapping pairs", pairs.agg(F.count(F.lit(1)))), ("skus with overlaps", pairs.agg(F.countDistinct("sku"))), ("inverted windows", v.agg(F.count_if(F.col("valid_to") < F.col("valid_from")))), ("open windows", v.agg(F.count_if(F.col("valid_to").isNull())))]
     out = None
     for name, df in rows:
@@ -139,6 +140,42 @@ def t7_validity_join(spark, sf_dir):
     return _priced(spark, sf_dir).groupBy("version").agg(F.count(F.lit(1)).alias("n"), num(F.sum("list_price")).alias("list_total"))
 
 
+def _service_windows(spark, sf_dir):
+    """Many windows a supplier: from the day of a first line, for 3 to 12 days; every eleventh is inverted."""
+    k = F.col("l_partkey")
+    day = F.col("l_shipdate").cast("date")
+    end = F.when(k % 11 == 0, F.date_sub(day, 2)).otherwise(F.date_add(day, (3 + k % 10).cast("int")))
+    return table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("supplier"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("window"), day.alias("since"), end.alias("until"))
+
+
+def t7_interval_join(spark, sf_dir):
+    """Second lines that were shipped within windows of their supplier, of which a supplier has many."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 2").select(F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_extendedprice").cast(MONEY).alias("price"))
+    met = I.join_intervals(lines, _service_windows(spark, sf_dir), ["supplier"], "day", "since", "until")
+    return met.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), num(F.sum("price")).alias("price"))
+
+
+def t7_range_join(spark, sf_dir):
+    """Days of orders within windows of any part's promotion: a range join without a key."""
+    k, first = F.col("p_partkey"), F.lit("1995-01-01").cast("date")
+    windows = table(spark, sf_dir, "part").filter("p_partkey % 7 = 0").select(k.alias("part"), F.date_add(first, (k * 3 % 2200).cast("int")).alias("since"), F.date_add(first, (k * 3 % 2200 + k % 30).cast("int")).alias("until"))
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("orders"))
+    return I.join_intervals(days, windows, [], "day", "since", "until").groupBy("part").agg(F.count(F.lit(1)).alias("days"), F.sum("orders").alias("orders"))
+
+
+def t7_as_of_rates(spark, sf_dir):
+    """Orders with the last rate published on their day or before, from two series with many days."""
+    currency = F.when(F.col("o_custkey") % 3 == 1, "USD").when(F.col("o_custkey") % 3 == 2, "GBP").otherwise("NGN")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", currency.alias("currency"), F.col("o_orderdate").cast("date").alias("day"))
+    rates = published_rates(spark, sf_dir).withColumn("published", F.col("rate_date"))
+    return I.join_as_of(o, rates, ["currency"], "day", "rate_date", ["rate", "published"]).select("o_orderkey", num(F.col("rate"), 6).alias("rate"), "published")
+
+
+def t8_overlaps(spark, sf_dir):
+    """Overlapping windows of suppliers with many, by a sweep: pairs by supplier."""
+    return I.overlaps(_service_windows(spark, sf_dir), "supplier", "window", "since", "until").groupBy("supplier").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def t9_price_evidence(spark, sf_dir):
     """Paid over list price."""
     return T.price_evidence(_priced(spark, sf_dir), "paid", "list_price", "l_returnflag")
@@ -186,7 +223,7 @@ def w7_refund_allocation(spark, sf_dir):
     return a.join(b, "l_orderkey").select("l_orderkey", num(F.col("amount")).alias("amount"), num(F.col("counted")).alias("counted"), (F.abs(F.col("refunded") - F.col("counted").cast("double")) < 0.1).alias("ties_out"))
 
 
-QUERIES = {f.__name__: f for f in (d3_merged_rows, d4_rekeyed_pairs, d5_best_match, d6_applied_merges, d7_shared_attributes, d9_id_block, d10_canonical_labels, t1_corrected_rates, t2_daily_rates, t3_rate_steps, t4_missing_weekdays, t5_repaired_versions, t6_version_check, q06_window_integrity, t7_validity_join, t9_price_evidence, t10_ambiguous_dates, t10_learned_window, t11_calendar, t12_attribution_lag, w7_refund_allocation)}
+QUERIES = {f.__name__: f for f in (d3_merged_rows, d4_rekeyed_pairs, d5_best_match, d6_applied_merges, d7_shared_attributes, d9_id_block, d10_canonical_labels, t1_corrected_rates, t2_daily_rates, t3_rate_steps, t4_missing_weekdays, t5_repaired_versions, t6_version_check, q06_window_integrity, t7_validity_join, t7_interval_join, t7_range_join, t7_as_of_rates, t8_overlaps, t9_price_evidence, t10_ambiguous_dates, t10_learned_window, t11_calendar, t12_attribution_lag, w7_refund_allocation)}
 
 FX_SQL = """WITH o AS (SELECT CASE o_custkey % 3 WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' END AS currency, o_orderdate::DATE AS d, (o_totalprice::DECIMAL(18,2) * 100)::BIGINT AS c FROM orders),
 q AS (SELECT currency, d, (d - DATE '1970-01-01') AS n, (max(CASE currency WHEN 'USD' THEN 1000 ELSE 1500 END) + sum(c) % 100)::DECIMAL(14,6) AS r FROM o WHERE isodow(d) < 6 AND currency IS NOT NULL GROUP BY 1, 2, 3),
@@ -202,6 +239,7 @@ f AS (SELECT sku, version, list_price, lo AS valid_from, CASE WHEN version = 2 T
   CASE WHEN version = 2 THEN CASE WHEN hi IS NOT NULL THEN 'reopened' END WHEN hi IS NULL THEN 'closed' WHEN hi >= lo + 900 THEN 'trimmed' WHEN hi < lo + 899 THEN 'bridged' END) AS repair FROM v)"""
 _RD = """WITH r AS (SELECT l_shipdate::DATE AS day, l_shipdate::DATE + (l_orderkey % 46)::INT AS t, l_partkey % 2 = 0 AS df FROM lineitem WHERE l_returnflag = 'R'),
 s AS (SELECT *, CASE WHEN day(t) <= 12 THEN make_date(year(t), day(t), month(t)) END AS o FROM r), u AS (SELECT *, o IS NULL OR o = t AS sure FROM s), w AS (SELECT min(t - day) AS a, max(t - day) AS b, count(*) AS n FROM u WHERE sure)"""
+_WINDOWS = """WITH w AS (SELECT l_suppkey AS supplier, l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR AS "window", l_shipdate::DATE AS since, CASE WHEN l_partkey % 11 = 0 THEN l_shipdate::DATE - 2 ELSE l_shipdate::DATE + (3 + l_partkey % 10)::INT END AS until FROM lineitem WHERE l_linenumber = 1)"""
 ORACLES = {
     "d3_merged_rows": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status FROM orders), p AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL)
 SELECT o.o_custkey, first(status ORDER BY o_orderkey) FILTER (status IS NOT NULL) AS status, min(o_orderdate)::DATE AS day, concat_ws(',', CASE WHEN count(DISTINCT status) > 1 THEN 'status' END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'o_orderpriority' END) AS conflicts,
@@ -231,6 +269,12 @@ UNION ALL SELECT 'repaired', 0, 0, 0, 0""",
     "q06_window_integrity": VERSIONS_SQL + f""", g AS (SELECT sku, version, lo, coalesce(hi, DATE '{T.FOREVER}') AS hi FROM v WHERE NOT inv), o AS (SELECT a.sku FROM g a JOIN g b ON a.sku = b.sku AND a.version < b.version AND a.lo <= b.hi AND b.lo <= a.hi)
 SELECT 'overlapping pairs' AS metric, count(*) AS n FROM o UNION ALL SELECT 'skus with overlaps', count(DISTINCT sku) FROM o UNION ALL SELECT 'inverted windows', count(*) FROM v WHERE inv UNION ALL SELECT 'open windows', count(*) FROM v WHERE hi IS NULL UNION ALL SELECT 'defects after repair', 0""",
     "t7_validity_join": VERSIONS_SQL + " SELECT version::INTEGER AS version, count(*) AS n, round(sum(list_price)::DOUBLE, 2) AS list_total FROM lineitem JOIN f ON sku = l_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to GROUP BY 1",
+    "t7_interval_join": _WINDOWS + " SELECT supplier, count(*) AS n, round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE, 2) AS price FROM lineitem JOIN w ON l_suppkey = supplier AND l_shipdate::DATE BETWEEN since AND until WHERE l_linenumber = 2 GROUP BY 1",
+    "t7_range_join": """WITH w AS (SELECT p_partkey AS part, DATE '1995-01-01' + (p_partkey * 3 % 2200)::INT AS since, DATE '1995-01-01' + (p_partkey * 3 % 2200 + p_partkey % 30)::INT AS until FROM part WHERE p_partkey % 7 = 0)
+SELECT part, count(DISTINCT o_orderdate::DATE) AS days, count(*) AS orders FROM w JOIN orders ON o_orderdate::DATE BETWEEN since AND until GROUP BY 1""",
+    "t7_as_of_rates": FX_SQL + """, q2 AS (SELECT o_orderkey, CASE o_custkey % 3 WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE 'NGN' END AS currency, o_orderdate::DATE AS day FROM orders)
+SELECT o_orderkey, round(raw, 6) AS rate, p.d AS published FROM q2 ASOF LEFT JOIN p ON q2.currency = p.currency AND q2.day >= p.d""",
+    "t8_overlaps": _WINDOWS + """ SELECT a.supplier, count(*) AS pairs FROM w a JOIN w b ON a.supplier = b.supplier AND a."window" < b."window" AND a.since <= b.until AND b.since <= a.until AND a.since <= a.until AND b.since <= b.until GROUP BY 1""",
     "t9_price_evidence": VERSIONS_SQL + """, r AS (SELECT l_returnflag, l_extendedprice / l_quantity / list_price::DOUBLE AS r FROM lineitem JOIN f ON sku = l_partkey AND l_shipdate::DATE BETWEEN valid_from AND valid_to)
 SELECT l_returnflag, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.95), 6) AS p95, round(avg((r BETWEEN 0.75 AND 1.25)::INT), 6) AS within_quarter FROM r GROUP BY 1""",
     "t10_ambiguous_dates": _RD + """, x AS (SELECT NOT sure AS ambiguous, sure OR NOT (o - day BETWEEN a AND b) AS is_resolved FROM u, w)

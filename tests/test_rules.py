@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import checks as K
 from siltstone.operators import conform as C
 from siltstone.operators import gates as G
+from siltstone.operators import intervals as I
 from siltstone.operators import resolve as R
 from siltstone.operators import split as S
 from siltstone.operators import temporal as T
@@ -271,3 +272,71 @@ def test_gates_of_dates_and_clocks(spark):
         G.passed([G.strict_clock(e.selectExpr("ts - INTERVAL 1 HOUR AS ts"), e, "ts")])
     (same,) = G.passed([G.strict_clock(e, e, "ts")])
     assert same.filter("NOT is_reference").count() == 2000
+
+
+def _windows(seed, n):
+    rnd = random.Random(seed)
+    start = day(2020, 1, 1)
+    some = lambda most: start + dt.timedelta(days=rnd.randint(0, most))
+    points = [(i, rnd.choice(["a", "b", None]), some(400) if rnd.random() < 0.95 else None) for i in range(n)]
+    windows = [(rnd.choice(["a", "b", "c", None]), i, some(350), rnd.choice([None, *[some(450) for _ in range(5)]])) for i in range(n // 2)]
+    return points, windows
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("width", [1, 32, 1000])
+def test_interval_joins_against_all_pairs(spark, keys, width):
+    points, windows = _windows(1, 80)
+    p, w = spark.createDataFrame(points, "i int, k string, day date"), spark.createDataFrame(windows, "k string, w int, lo date, hi date")
+    w = w if keys else w.drop("k")
+    want = sorted((i, x) for i, k, d in points for wk, x, lo, hi in windows if d and lo <= d <= (hi or dt.date.max) and (not keys or (k is not None and k == wk)))
+    got = I.join_intervals(p, w, keys, "day", "lo", "hi", width)
+    assert sorted((r.i, r.w) for r in got.collect()) == want
+    left = I.join_intervals(p, w, keys, "day", "lo", "hi", width, how="left")
+    assert {r.i for r in left.collect()} == set(range(80)) and left.filter("w IS NOT NULL").count() == len(want)
+    assert I.join_intervals(p.limit(0), w, keys, "day", "lo", "hi", width).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 20, 1000])
+def test_as_of_joins_against_a_scan(spark, width):
+    points, windows = _windows(2, 90)
+    versions = list({(k, lo): (k, lo, x) for k, x, lo, _ in windows}.values())
+    p, v = spark.createDataFrame(points, "i int, k string, day date"), spark.createDataFrame(versions, "k string, since date, x int")
+    got = {r.i: r.x for r in I.join_as_of(p, v, ["k"], "day", "since", ["x"], width).collect()}
+    for i, k, d in points:
+        earlier = [(since, x) for vk, since, x in versions if d and vk == k and since <= d]
+        assert got[i] == (max(earlier)[1] if earlier else None)
+    assert len(got) == len(points)
+
+
+def test_overlaps_against_all_pairs(spark):
+    _, windows = _windows(3, 120)
+    w = spark.createDataFrame(windows, "k string, w int, lo date, hi date")
+    ends = [(k, x, lo, hi or dt.date.max) for k, x, lo, hi in windows if lo <= (hi or dt.date.max)]
+    want = {(a[0], a[1], b[1]) for a in ends for b in ends if a[0] == b[0] and a[1] < b[1] and a[2] <= b[3] and b[2] <= a[3]}
+    got = [tuple(r) for r in I.overlaps(w, "k", "w", "lo", "hi").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_ranks_of_hot_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "GROUP_ROWS", most)
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b", None]), rnd.choice([None, rnd.randint(-50, 50)]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    got = {r.i: r.r for r in S.rank_in_groups(df, ["k"], ["v", "i"], "r").collect()}
+    for key in ("hot", "b", None):
+        order = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
+    texts = spark.createDataFrame([("k", f"prefix-{i % 50:03d}-{i:04d}") for i in range(300)], "k string, t string")
+    ranked = S.rank_in_groups(texts, ["k"], ["t"], "r").orderBy("r").collect()
+    assert [r.t for r in ranked] == sorted(r.t for r in ranked) and [r.r for r in ranked] == list(range(1, 301))
+
+
+def test_duplicates_of_one_hot_group_with_null_keys(spark):
+    df = spark.range(2000).selectExpr("CAST(NULL AS STRING) AS k", "IF(id % 2 = 0, NULL, 'x') AS soft", "id AS _row")
+    kept, gone = S.split_exact_duplicates(df, ["k"], "_row")
+    assert [r["_row"] for r in kept.collect()] == [0] and gone.count() == 1999 and {r["_detail"] for r in gone.collect()} == {"copy of 0"}
+    kept, gone = S.split_content_duplicates(df, ["k"], "soft", "_row")
+    assert [(r["_row"], r.soft, r.soft_conflict) for r in kept.collect()] == [(0, None, True)] and {r["_reason"] for r in gone.collect()} == {"duplicate but for soft"}
+    assert sorted(r.u for r in S.disambiguate_key(df.withColumn("k", F.lit("k")), "k", ["_row"], "u").collect()) == sorted(f"k-{i}" for i in range(1, 2001))
