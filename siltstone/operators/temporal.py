@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOREVER = "9999-12-31"
-#: Ranges of values that a group is ranked in, for exact percentiles.
-RANGES = 64
+#: Accuracy of the approximate percentiles that bracket an exact one.
+ACCURACY = 50_000
 
 
 def correct_rate_outliers(fx: DataFrame, factor: float = 5, near: float = 0.15) -> DataFrame:
@@ -92,30 +92,35 @@ def price_evidence(lines: DataFrame, paid: str, listed: str, by: str) -> DataFra
 
 
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """Per group (first column of `by` as __by) the wanted percentiles, interpolated, exact. No task holds a group: equal
-    values are counted, counts are dealt to RANGES ranges of values by approximate quantiles of the group and ranked range by
-    range. Nulls are left out; groups of nulls only are missing from the result."""
-    key = by[0]
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("__by"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = counts.groupBy("__by").agg(F.percentile_approx("__v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(2000)).alias("__cuts"), F.sum("__n").alias("__all"))
-    placed = counts.join(cuts.withColumnRenamed("__by", "__g"), F.col("__by").eqNullSafe(F.col("__g")))
-    placed = placed.withColumn("__piece", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
-    sizes = placed.groupBy("__g", "__piece").agg(F.sum("__n").alias("__size"))
-    before = F.sum("__size").over(Window.partitionBy("__g").orderBy("__piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size")
-    starts = sizes.select(F.col("__g").alias("__sg"), F.col("__piece").alias("__sp"), before.alias("__start"))
-    ranked = placed.join(starts, F.col("__g").eqNullSafe(F.col("__sg")) & (F.col("__piece") == F.col("__sp")))
-    up = F.sum("__n").over(Window.partitionBy("__g", "__piece").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = ranked.withColumn("__to", F.col("__start") + up)
-    found = ranked.groupBy(F.col("__g").alias("__by")).agg(*[x for name, p in wanted.items() for x in _at_rank(name, p)])
-    low, high = (lambda n: F.col(f"__{n}_lo")), (lambda n: F.col(f"__{n}_hi"))
-    return found.select("__by", *[(low(n) + (high(n) - low(n)) * F.col(f"__{n}_part")).alias(n) for n in wanted])
-
-
-def _at_rank(name: str, p: float) -> list[Column]:
-    """The values at the ranks beside p * (n - 1), from 0, and the part between; rows carry the ranks that they end at."""
+    """Per group (first column of `by` as __by) the wanted percentiles, interpolated, exact.
+
+    A first pass brackets each percentile between two approximate ones, whose ranks are off by at most a part in ACCURACY. A
+    second one counts what is below a bracket (with its greatest value), above it (with its least) and, by value, inside it;
+    only the insides, a few parts in ACCURACY of the group, are put in order. Nulls are left out; groups of nulls only are
+    missing from the result.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(F.col(by[0]).alias("__by"), F.col(value).alias("__v"))
+    near = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in wanted.values() for side in (-1, 1)]
+    brackets = known.groupBy(F.col("__by").alias("__g")).agg(F.count(F.lit(1)).alias("__all"), F.percentile_approx("__v", F.array(*[F.lit(x) for x in near]), F.lit(ACCURACY)).alias("__at"))
+    beside = known.join(brackets, F.col("__by").eqNullSafe(F.col("__g")))
+    side = lambda i: F.when(F.col("__v") < F.get("__at", F.lit(2 * i)), -1).when(F.col("__v") > F.get("__at", F.lit(2 * i + 1)), 1).otherwise(0)
+    laid = beside.select("__g", "__all", "__v", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), side(i).alias("side")) for i in range(len(wanted))])).alias("x"))
+    key = F.when(F.col("x.side") == 0, F.col("__v"))
+    counts = laid.groupBy("__g", "__all", F.col("x.i").alias("__i"), F.col("x.side").alias("__side"), key.alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    up = Window.partitionBy("__g", "__i").orderBy("__side", "__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("__to", F.sum("__n").over(up)).withColumn("__from", F.col("__to") - F.col("__n"))
+    found = placed.groupBy(F.col("__g").alias("__by")).agg(*[_at_rank(name, i, p) for i, (name, p) in enumerate(wanted.items())])
+    low, high = (lambda n: F.col(f"{n}.low").cast("double")), (lambda n: F.col(f"{n}.high").cast("double"))
+    return found.select("__by", *[(low(n) + (high(n) - low(n)) * F.col(f"{n}.part")).alias(n) for n in wanted])
+
+
+def _at_rank(name: str, i: int, p: float) -> Column:
+    """The values at the ranks beside p * (n - 1), from 0, and the part between. What is below a bracket may hold a rank as
+    its last, what is above as its first."""
     place = F.lit(p) * (F.col("__all") - 1)
-    value = lambda rank: F.min(F.when(F.col("__to") > rank, F.col("__v")))
-    return [value(F.floor(place)).alias(f"__{name}_lo"), value(F.ceil(place)).alias(f"__{name}_hi"), F.max(place - F.floor(place)).alias(f"__{name}_part")]
+    inside = lambda rank: (F.col("__i") == i) & (F.col("__from") <= rank) & (rank < F.col("__to"))
+    value = lambda rank: F.max(F.when(inside(rank), F.when(F.col("__side") < 0, F.col("__most")).otherwise(F.col("__least"))))
+    return F.struct(value(F.floor(place)).alias("low"), value(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part")).alias(name)
 
 
 def two_readings(c: Column) -> tuple[Column, Column]:
@@ -138,11 +143,6 @@ def resolve_ambiguous_dates(df: DataFrame, raw: str, base: str) -> tuple[DataFra
     return out.withColumn("resolved", resolved).drop("__d", "__m", "__sure", "lag_min", "lag_max", "sure"), window
 
 
-def dim_date(spark, start: str, end: str) -> DataFrame:
-    """The calendar of the days from start to end."""
-    return calendar(spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")))
-
-
 def calendar(days: DataFrame) -> DataFrame:
     """Of each day: year, quarter, ISO year and week, week start, weekend, peak season (November, December)."""
     return days.select("day", F.year("day").alias("year"), F.quarter("day").alias("quarter"), F.concat(F.year("day").cast("string"), F.lit("Q"), F.quarter("day").cast("string")).alias("year_quarter"),

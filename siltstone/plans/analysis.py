@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.columns import chi_square_tail
 from siltstone.plans.core import BASE_DATE, CHANNELS, CORE_SQL, ad_spend, bookings, crew_days, fx_daily, live, merch_lines, num, quarter, ratio, sessions
 from siltstone.plans.questions import channel_by_quarter, first_orders, q14_monthly_flow, weekly_utilisation
 from siltstone.sources.tables import table
@@ -23,13 +24,13 @@ def _one(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def _base(spark):
-    return fx_daily(spark).filter(F.col("rate_date") == F.lit(BASE_DATE).cast("date")).select("currency", F.col("rate").alias("base_rate"))
+def _base(spark, sf_dir):
+    return fx_daily(spark, sf_dir).filter(F.col("rate_date") == F.lit(BASE_DATE).cast("date")).select("currency", F.col("rate").alias("base_rate"))
 
 
 def _at_rates(spark, sf_dir):
-    fx = F.broadcast(fx_daily(spark)).withColumnRenamed("rate_date", "shoot_date")
-    return live(bookings(spark, sf_dir)).join(fx, ["currency", "shoot_date"]).join(F.broadcast(_base(spark)), "currency")
+    fx = F.broadcast(fx_daily(spark, sf_dir)).withColumnRenamed("rate_date", "shoot_date")
+    return live(bookings(spark, sf_dir)).join(fx, ["currency", "shoot_date"]).join(F.broadcast(_base(spark, sf_dir)), "currency")
 
 
 def a01_constant_currency(spark, sf_dir):
@@ -70,9 +71,11 @@ def a05_job_margins(spark, sf_dir):
 
 
 def a06_seasonality(spark, sf_dir):
-    """Jobs by month of the year over complete years, and their rank."""
-    m = live(bookings(spark, sf_dir, client=False)).filter(F.year("shoot_date").between(1995, 2000)).groupBy(F.month("shoot_date").alias("month")).agg(N().alias("jobs"))
-    return m.select("month", "jobs", F.round(F.col("jobs") / 6, 6).alias("per_year"), F.row_number().over(W.orderBy(F.desc("jobs"), "month")).alias("rank"))
+    """Jobs by month of the year over the years in which no month is without one, and their rank."""
+    per = live(bookings(spark, sf_dir, client=False)).groupBy(F.year("shoot_date").alias("year"), F.month("shoot_date").alias("month")).agg(N().alias("jobs"))
+    years = per.groupBy("year").agg(F.collect_list(F.struct("month", "jobs")).alias("months")).filter(F.size("months") == 12)
+    m = years.select(F.explode("months").alias("x")).groupBy("x.month").agg(F.sum("x.jobs").alias("jobs"), N().alias("years"))
+    return m.select("month", "jobs", F.round(F.col("jobs") / F.col("years"), 6).alias("per_year"), F.row_number().over(W.orderBy(F.desc("jobs"), "month")).alias("rank"))
 
 
 def a07_double_bookings(spark, sf_dir):
@@ -103,12 +106,13 @@ def a09_utilisation_summary(spark, sf_dir):
 
 
 def a10_devaluation(spark, sf_dir):
-    """A10: local-currency jobs in USD at the rate of the event and of the base date, by year."""
-    usd = fx_daily(spark).filter("currency = 'USD'").select(F.col("rate_date").alias("shoot_date"), "rate")
-    base = _base(spark).filter("currency = 'USD'").select("base_rate")
+    """A10: local-currency jobs in USD at the rate of the event and of the base date, by year, with the rates of its first and
+    last day with a job."""
+    usd = fx_daily(spark, sf_dir).filter("currency = 'USD'").select(F.col("rate_date").alias("shoot_date"), "rate")
+    base = _base(spark, sf_dir).filter("currency = 'USD'").select("base_rate")
     j = live(bookings(spark, sf_dir)).filter("currency = 'NGN'").join(F.broadcast(usd), "shoot_date").crossJoin(_one(base))
     at = lambda r: F.sum(F.col("net").cast("double") / F.col(r).cast("double"))
-    return j.groupBy(F.year("shoot_date").alias("year")).agg(F.round(at("rate"), 1).alias("usd"), F.round(at("base_rate"), 1).alias("usd_at_base"), F.round(at("rate") - at("base_rate"), 1).alias("gain"))
+    return j.groupBy(F.year("shoot_date").alias("year")).agg(F.round(at("rate"), 1).alias("usd"), F.round(at("base_rate"), 1).alias("usd_at_base"), F.round(at("rate") - at("base_rate"), 1).alias("gain"), num(F.min_by("rate", "shoot_date"), 6).alias("first_rate"), num(F.max_by("rate", "shoot_date"), 6).alias("last_rate"))
 
 
 def _contribution():
@@ -135,12 +139,12 @@ def a12_below_cost(spark, sf_dir):
 def a13_sensitivity(spark, sf_dir):
     """Merchandise totals under several filters in one pass."""
     t = lambda c: num(F.sum(F.when(c, F.col("gross")).otherwise(0)))
-    return merch_lines(spark, sf_dir).agg(t(F.lit(True)).alias("everything"), t(F.col("is_revenue")).alias("recognised"), t(F.col("order_status") != "pending").alias("without_pending"), t(F.col("order_status") != "cancelled").alias("without_cancelled"), t(F.col("quantity") > 0).alias("positive"))
+    return merch_lines(spark, sf_dir, priced=False).agg(t(F.lit(True)).alias("everything"), t(F.col("is_revenue")).alias("recognised"), t(F.col("order_status") != "pending").alias("without_pending"), t(F.col("order_status") != "cancelled").alias("without_cancelled"), t(F.col("quantity") > 0).alias("positive"))
 
 
 def a14_refunded_orders(spark, sf_dir):
     """Share of orders with a refund."""
-    return merch_lines(spark, sf_dir).agg(ratio(F.countDistinct(F.when(F.col("has_refund"), F.col("order_id"))), F.countDistinct("order_id")).alias("share"))
+    return merch_lines(spark, sf_dir, priced=False).agg(ratio(F.countDistinct(F.when(F.col("has_refund"), F.col("order_id"))), F.countDistinct("order_id")).alias("share"))
 
 
 def a15_channel_totals(spark, sf_dir):
@@ -151,7 +155,7 @@ def a15_channel_totals(spark, sf_dir):
 
 def a16_attributed_revenue(spark, sf_dir):
     """Value of the orders that converted sessions name, by channel, and its return on the channel's spend."""
-    per = merch_lines(spark, sf_dir).groupBy("order_id").agg(F.sum("gross").alias("gross"))
+    per = merch_lines(spark, sf_dir, priced=False).groupBy("order_id").agg(F.sum("gross").alias("gross"))
     named = sessions(spark, sf_dir).filter("converted").join(per, "order_id").groupBy("channel").agg(N().alias("sessions"), F.sum("gross").alias("g"))
     spend = ad_spend(spark, sf_dir).groupBy("channel").agg(F.sum("spend").alias("s"))
     return named.join(spend, "channel", "left").select("channel", "sessions", num(F.col("g")).alias("attributed"), ratio(F.col("g"), F.col("s")).alias("attributed_roas"))
@@ -184,13 +188,14 @@ def a19_contribution_per_spend(spark, sf_dir):
 
 
 def a20_repeat_chi_square(spark, sf_dir):
-    """Chi-square statistic and degrees of freedom of repeat against channel."""
+    """Chi-square statistic, degrees of freedom and p value of repeat against channel."""
     c = first_orders(spark, sf_dir).groupBy("channel", "repeated").agg(N().alias("n"))
     cells = c.groupBy("channel").pivot("repeated", [False, True]).agg(F.sum("n")).na.fill(0).toDF("channel", "no", "yes")
     t = cells.agg(F.sum("no").alias("tn"), F.sum("yes").alias("ty"), N().alias("rows"))
     e = lambda x: (F.col("no") + F.col("yes")) * F.col(x) / (F.col("tn") + F.col("ty"))
     part = lambda o, x: F.try_divide(F.pow(F.col(o) - e(x), 2), e(x))
-    return cells.crossJoin(_one(t)).agg(F.round(F.sum(part("no", "tn")) + F.sum(part("yes", "ty")), 6).alias("statistic"), (N() - 1).cast("int").alias("df"))
+    found = cells.crossJoin(_one(t)).agg((F.sum(part("no", "tn")) + F.sum(part("yes", "ty"))).alias("x"), (N() - 1).cast("int").alias("df"))
+    return found.select(F.round("x", 6).alias("statistic"), "df", F.round(chi_square_tail(F.col("x"), F.col("df")), 6).alias("p"))
 
 
 def a21_customers(spark, sf_dir):
@@ -214,7 +219,7 @@ def a22_yearly_flow(spark, sf_dir):
 
 def a23_quality_tile(spark, sf_dir):
     """Rows that the quarantine rules reject, revenue at risk, and its share."""
-    l = merch_lines(spark, sf_dir)  # noqa: E741
+    l = merch_lines(spark, sf_dir, priced=False)  # noqa: E741
     bad = F.col("sku") % 37 == 0
     return l.agg(F.count_if(bad).alias("rejected"), num(F.sum(F.when(bad & F.col("is_revenue"), F.col("gross")).otherwise(0))).alias("at_risk"), ratio(F.sum(F.when(bad & F.col("is_revenue"), F.col("gross")).otherwise(0)), F.sum(F.when(F.col("is_revenue"), F.col("gross")))).alias("share"))
 
@@ -272,7 +277,7 @@ def m05_status_mix(spark, sf_dir):
 
 def m06_merch_quarters(spark, sf_dir):
     """M6: merchandise by quarter."""
-    return ASKED.on(merch_lines(spark, sf_dir).filter("is_revenue"), "order_date").groupBy(quarter("order_date").alias("quarter")).agg(num(F.sum("gross")).alias("gross"), num(F.sum("refunded")).alias("refunded"))
+    return ASKED.on(merch_lines(spark, sf_dir, priced=False).filter("is_revenue"), "order_date").groupBy(quarter("order_date").alias("quarter")).agg(num(F.sum("gross")).alias("gross"), num(F.sum("refunded")).alias("refunded"))
 
 
 def m07_collections(spark, sf_dir, f: Filters = ASKED):
@@ -283,7 +288,7 @@ def m07_collections(spark, sf_dir, f: Filters = ASKED):
 
 def m08_refund_reasons(spark, sf_dir):
     """M8: refunds by reason, dated by the first day of their order."""
-    l = merch_lines(spark, sf_dir)  # noqa: E741
+    l = merch_lines(spark, sf_dir, priced=False)  # noqa: E741
     first = l.groupBy("order_id").agg(F.min("order_date").alias("first_day"))
     r = ASKED.on(l.filter("has_refund").join(first, "order_id"), "first_day").groupBy("reason").agg(F.sum("refunded").alias("a"))
     return r.select("reason", num(F.col("a")).alias("amount"), ratio(F.col("a"), F.sum("a").over(W.partitionBy())).alias("share"))
@@ -352,7 +357,7 @@ SELECT year, {_NUM('r')} AS revenue, {_NUM('h')} AS h1, {_RATIO('r - lag(r) OVER
 SELECT year, status, jobs, {_NUM('r')} AS revenue, {_RATIO('jobs', 'sum(jobs) OVER w')} AS share, round((sum(CASE WHEN status <> 'Completed' THEN r ELSE 0 END) OVER w)::DOUBLE / (sum(r) OVER w)::DOUBLE, 6) AS not_completed FROM s WINDOW w AS (PARTITION BY year)""",
     "a05_job_margins": f""", lab AS (SELECT booking_id, sum(labour_cost) AS labour, bool_and(rate_is_estimated) AS est FROM crew_day GROUP BY 1), j AS (SELECT live.*, labour, est, net - coalesce(labour, 0) AS m FROM live LEFT JOIN lab USING (booking_id))
 SELECT service, count(*) AS jobs, count(*) FILTER (m < 0) AS losses, count(*) FILTER (m < 0 AND est) AS artefacts, count(*) FILTER (labour IS NULL) AS without_labour, {_NUM('sum(m)')} AS margin FROM j GROUP BY 1""",
-    "a06_seasonality": ", m AS (SELECT month(shoot_date)::INTEGER AS month, count(*) AS jobs FROM live WHERE year(shoot_date) BETWEEN 1995 AND 2000 GROUP BY 1) SELECT month, jobs, round(jobs / 6, 6) AS per_year, (row_number() OVER (ORDER BY jobs DESC, month))::INTEGER AS rank FROM m",
+    "a06_seasonality": ", m AS (SELECT month(shoot_date)::INTEGER AS month, count(*) AS jobs FROM live WHERE year(shoot_date) IN (SELECT year(shoot_date) FROM live GROUP BY 1 HAVING count(DISTINCT month(shoot_date)) = 12) GROUP BY 1), n AS (SELECT count(*) AS n FROM (SELECT year(shoot_date) FROM live GROUP BY 1 HAVING count(DISTINCT month(shoot_date)) = 12)) SELECT month, jobs, round(jobs / n.n, 6) AS per_year, (row_number() OVER (ORDER BY jobs DESC, month))::INTEGER AS rank FROM m, n",
     "a07_double_bookings": ", d AS (SELECT crew_id, work_date, count(DISTINCT booking_id) AS jobs FROM crew_day GROUP BY ALL HAVING count(DISTINCT booking_id) > 1) SELECT strftime(work_date, '%Y-%m') AS month, count(*) AS double_bookings, max(jobs) AS most_jobs FROM d GROUP BY 1",
     "a07_double_booking_summary": """, d AS (SELECT crew_id, work_date FROM crew_day GROUP BY ALL HAVING count(DISTINCT booking_id) > 1), w AS (SELECT date_trunc('week', work_date)::DATE AS week, count(*) AS n, count(*) FILTER (month(work_date) IN (11, 12)) AS p FROM d GROUP BY 1)
 SELECT sum(n)::BIGINT AS double_bookings, round(sum(p)::DOUBLE / nullif(sum(n), 0), 6) AS peak_share, first(week ORDER BY n DESC, week) AS worst_week, max(n) AS in_worst_week FROM w""",
@@ -360,8 +365,8 @@ SELECT sum(n)::BIGINT AS double_bookings, round(sum(p)::DOUBLE / nullif(sum(n),
     "a09_utilisation_summary": _WU + """, k AS (SELECT week, sum(active) AS active, sum(working)::DOUBLE / sum(active) AS use FROM wu GROUP BY 1), g AS (SELECT * FROM k WHERE active >= 0.9 * (SELECT max(active) FROM k)),
 bn AS (SELECT week, first(role ORDER BY working / active DESC, role) AS role FROM wu WHERE week IN (SELECT week FROM g) GROUP BY 1), bb AS (SELECT role, count(*) AS n FROM bn GROUP BY 1)
 SELECT count(*) AS weeks, round(median(use), 6) AS median, round(max(use), 6) AS peak, (SELECT first(role ORDER BY n DESC, role) FROM bb) AS binding_role FROM g""",
-    "a10_devaluation": f""", j AS (SELECT year(shoot_date)::INTEGER AS year, net::DOUBLE / fx.rate::DOUBLE AS a, net::DOUBLE / b.rate::DOUBLE AS b FROM live JOIN fx ON fx.currency = 'USD' AND rate_date = shoot_date JOIN fx b ON b.currency = 'USD' AND b.rate_date = DATE '{BASE_DATE}' WHERE live.currency = 'NGN')
-SELECT year, round(sum(a), 1) AS usd, round(sum(b), 1) AS usd_at_base, round(sum(a) - sum(b), 1) AS gain FROM j GROUP BY 1""",
+    "a10_devaluation": f""", j AS (SELECT year(shoot_date)::INTEGER AS year, shoot_date AS day, fx.rate::DOUBLE AS rate, net::DOUBLE / fx.rate::DOUBLE AS a, net::DOUBLE / b.rate::DOUBLE AS b FROM live JOIN fx ON fx.currency = 'USD' AND rate_date = shoot_date JOIN fx b ON b.currency = 'USD' AND b.rate_date = DATE '{BASE_DATE}' WHERE live.currency = 'NGN')
+SELECT year, round(sum(a), 1) AS usd, round(sum(b), 1) AS usd_at_base, round(sum(a) - sum(b), 1) AS gain, round(arg_min(rate, day), 6) AS first_rate, round(arg_max(rate, day), 6) AS last_rate FROM j GROUP BY 1""",
     "a11_contribution": f", g AS (SELECT collection, {_Q('order_date')} AS quarter, sum({_CON}) AS c FROM line WHERE is_revenue GROUP BY ALL) SELECT collection, quarter, {_NUM('c')} AS contribution, count(*) FILTER (c < 0) OVER () AS losing_groups FROM g",
     "a11_sku_contribution": f"SELECT sku, {_NUM(f'sum({_CON})')} AS contribution, sum(quantity)::BIGINT AS units, sum({_CON}) < 0 AS is_loss FROM line WHERE is_revenue GROUP BY 1",
     "a12_below_cost": f"SELECT count(*) AS n, {_NUM('coalesce(sum(cogs - gross), 0)')} AS shortfall FROM line WHERE gross < cogs AND quantity > 0",
@@ -374,7 +379,8 @@ SELECT year, round(sum(a), 1) AS usd, round(sum(b), 1) AS usd_at_base, round(sum
     "a19_campaigns": f"SELECT CASE WHEN campaign IN ('campaign0', 'campaign1') THEN 'brand' ELSE 'other' END AS campaign_set, campaign, {_NUM('sum(spend)')} AS spend, sum(clicks)::BIGINT AS clicks FROM spend GROUP BY ALL",
     "a19_contribution_per_spend": f", s AS (SELECT sum(spend) AS s, sum(spend) FILTER (campaign IN ('campaign0', 'campaign1')) AS b FROM spend), c AS (SELECT sum({_CON}) AS c FROM line WHERE is_revenue) SELECT {_NUM('c')} AS contribution, {_NUM('s')} AS spend, {_RATIO('c', 's')} AS per_spend, {_RATIO('b', 's')} AS brand_share FROM s, c",
     "a20_repeat_chi_square": _FO + """, c AS (SELECT channel, count(*) FILTER (NOT repeated)::DOUBLE AS n, count(*) FILTER (repeated)::DOUBLE AS y FROM fo GROUP BY 1), t AS (SELECT sum(n) AS tn, sum(y) AS ty FROM c), e AS (SELECT n, y, (n + y) * tn / (tn + ty) AS en, (n + y) * ty / (tn + ty) AS ey FROM c, t)
-SELECT round(sum(pow(n - en, 2) / nullif(en, 0)) + sum(pow(y - ey, 2) / nullif(ey, 0)), 6) AS statistic, (count(*) - 1)::INTEGER AS df FROM e""",
+SELECT round(x, 6) AS statistic, df::INTEGER AS df, round(1 - (SELECT sum(exp(-x / 2 + (df / 2 + i) * ln(x / 2) - lgamma(df / 2 + i + 1))) FROM range(600) r(i)), 6) AS p
+FROM (SELECT sum(pow(n - en, 2) / nullif(en, 0)) + sum(pow(y - ey, 2) / nullif(ey, 0)) AS x, (count(*) - 1)::DOUBLE AS df FROM e)""",
     "a21_customers": _FO + """, r AS (SELECT channel, round(avg(repeated::INT), 6) AS rate FROM fo GROUP BY 1)
 SELECT first(channel ORDER BY rate, channel) AS lowest, min(rate) AS lowest_rate, first(channel ORDER BY rate DESC, channel) AS highest, max(rate) AS highest_rate, (SELECT count(DISTINCT client_id) FROM live WHERE client_id IN (SELECT client_id FROM session)) AS in_both,
   (SELECT round(avg((o_custkey IS NULL OR o_custkey NOT IN (SELECT client_id FROM session WHERE client_id IS NOT NULL))::INT), 6) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey) AS guest_line_share FROM r""",

@@ -174,7 +174,7 @@ def c12_fx(spark, sf_dir):
     """Orders in a foreign currency at the rate of their day; what has no rate is marked."""
     currency = by_key("o_custkey", F.lit("NGN"), F.lit("USD"), F.lit("XXX"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", currency.alias("currency"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast(MONEY).alias("amount"))
-    return C.convert_fx(o, fx_daily(spark), "amount", "currency", "day", "NGN").select("o_orderkey", "currency", num(F.col("local")).alias("local"), "fx_missing")
+    return C.convert_fx(o, fx_daily(spark, sf_dir), "amount", "currency", "day", "NGN").select("o_orderkey", "currency", num(F.col("local")).alias("local"), "fx_missing")
 
 
 def c13_discounts(spark, sf_dir):

@@ -17,12 +17,16 @@ __all__ = ["ad_spend", "bookings", "crew_days", "day_number", "fx_daily", "live"
 
 MONEY = "decimal(18,2)"
 CHANNELS = ("click", "view", "error", "purchase", "signup")
-FX_FROM, FX_TO, BASE_DATE = "1995-01-01", "2002-12-31", "1997-01-01"
+BASE_DATE = "1997-01-01"
 
 
-def fx_daily(spark: SparkSession) -> DataFrame:
-    """(currency, rate_date, rate): local units for one of the currency, for every day."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(FX_FROM).cast("date"), F.lit(FX_TO).cast("date"))).alias("rate_date"))
+def fx_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(currency, rate_date, rate): local units for one of the currency, for every day from the first to the last order and
+    the base date."""
+    base = F.lit(BASE_DATE).cast("date")
+    day = F.col("o_orderdate").cast("date")
+    span = table(spark, sf_dir, "orders").agg(F.least(F.min(day), base).alias("a"), F.greatest(F.max(day), base).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("rate_date"))
     rate = F.when(F.col("currency") == "USD", 700 + day_number(F.col("rate_date")) % 100).when(F.col("currency") == "GBP", 900 + day_number(F.col("rate_date")) % 120).otherwise(1)
     return days.withColumn("currency", F.explode(F.array(F.lit("NGN"), F.lit("USD"), F.lit("GBP")))).select("currency", "rate_date", rate.cast("decimal(14,6)").alias("rate"))
 
@@ -66,23 +70,25 @@ def price_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("sku", "version", (F.col("price") + F.col("version") * 10).cast(MONEY).alias("list_price"), F.when(inverted, hi).otherwise(lo).alias("valid_from"), F.when(inverted, lo).otherwise(hi).alias("valid_to"))
 
 
-def merch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with its measures; list value and cost are those of the price version in force on its day
-    (null if there is none)."""
+def merch_lines(spark: SparkSession, sf_dir: str, priced: bool = True) -> DataFrame:
+    """One row per order line with its measures. priced: with the columns cogs, list_value and version, which are those of the
+    price version in force on its day (null if there is none); without them no version is joined."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     gross, quantity = F.col("l_extendedprice").cast(MONEY), F.col("l_quantity").cast("int")
     refund = F.when(F.col("l_returnflag") == "R", F.round(gross * F.lit("0.30").cast("decimal(4,2)"), 2)).otherwise(0).cast(MONEY)
-    cost = F.round(F.col("list_price") * F.lit("0.60").cast("decimal(4,2)"), 2).cast(MONEY)
-    versions = repair_scd2(price_versions(spark, sf_dir), "sku").select(F.col("sku").alias("p_partkey"), "version", "list_price", "valid_from", "valid_to")
     sold = line.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).withColumn("__day", F.col("l_shipdate").cast("date"))
-    return join_valid(sold, versions, "p_partkey", "__day").select(
+    own = [
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("sku"), F.col("p_brand").alias("collection"),
-        F.col("l_shipdate").cast("date").alias("order_date"), quantity.alias("quantity"), gross.alias("gross"),
-        F.round(gross * F.col("l_discount").cast("decimal(5,4)"), 2).cast(MONEY).alias("discount"), (cost * quantity).cast(MONEY).alias("cogs"), (F.col("list_price") * quantity).cast(MONEY).alias("list_value"), "version",
+        F.col("__day").alias("order_date"), quantity.alias("quantity"), gross.alias("gross"), F.round(gross * F.col("l_discount").cast("decimal(5,4)"), 2).cast(MONEY).alias("discount"),
         refund.alias("refunded"), F.concat(F.lit("reason"), (F.col("l_suppkey") % 4).cast("string")).alias("reason"),
         (F.col("l_returnflag") == "R").alias("has_refund"), (F.col("l_linestatus") == "F").alias("is_revenue"),
         F.when(F.col("l_linenumber") % 5 == 0, "pending").when(F.col("l_linenumber") % 5 == 1, "cancelled").otherwise("shipped").alias("order_status"),
-    )
+    ]
+    if not priced:
+        return sold.select(*own)
+    cost = F.round(F.col("list_price") * F.lit("0.60").cast("decimal(4,2)"), 2).cast(MONEY)
+    versions = repair_scd2(price_versions(spark, sf_dir), "sku").select(F.col("sku").alias("p_partkey"), "version", "list_price", "valid_from", "valid_to")
+    return join_valid(sold, versions, "p_partkey", "__day").select(*own, (cost * quantity).cast(MONEY).alias("cogs"), (F.col("list_price") * quantity).cast(MONEY).alias("list_value"), "version")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +124,7 @@ CORE_SQL = f"""
 WITH RECURSIVE fx AS (
   SELECT c AS currency, d::DATE AS rate_date,
     (CASE c WHEN 'USD' THEN 700 + (d::DATE - DATE '1970-01-01') % 100 WHEN 'GBP' THEN 900 + (d::DATE - DATE '1970-01-01') % 120 ELSE 1 END)::DECIMAL(14,6) AS rate
-  FROM generate_series(TIMESTAMP '{FX_FROM}', TIMESTAMP '{FX_TO}', INTERVAL 1 DAY) t(d), (VALUES ('NGN'), ('USD'), ('GBP')) v(c)),
+  FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY) t(d), (VALUES ('NGN'), ('USD'), ('GBP')) v(c)),
 booking AS (
   SELECT o_orderkey AS booking_id, o_custkey AS client_id, o_orderdate::DATE AS shoot_date, o_orderpriority AS service,
     CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Confirmed' ELSE 'Cancelled' END AS status,

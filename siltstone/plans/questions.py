@@ -26,15 +26,14 @@ def q02_service_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q03_worst_margin_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 live jobs with the worst margin, with a verdict: estimated rates or double-booked crew make it doubtful.
-    Double bookings are looked for on the crew days of these 20 rows only, which are found first."""
+    Double bookings are looked for on the crew days of these 20 rows only, which carry their jobs along."""
     crew = crew_days(spark, sf_dir)
     labour = crew.groupBy("booking_id").agg(F.sum("labour_cost").alias("labour"), F.count_if("rate_is_estimated").alias("estimated"), F.count(F.lit(1)).alias("days"))
     jobs = live(bookings(spark, sf_dir, client=False)).join(labour, "booking_id").withColumn("margin", F.col("net") - F.col("labour"))
-    top = F.broadcast(spark.createDataFrame(jobs.orderBy("margin", "booking_id").limit(20).collect(), jobs.schema))
-    theirs = crew.join(top.select("booking_id"), "booking_id", "left_semi").select("booking_id", "crew_id", "work_date")
-    booked = crew.join(F.broadcast(theirs.select("crew_id", "work_date").distinct()), ["crew_id", "work_date"], "left_semi").groupBy("crew_id", "work_date").agg(F.countDistinct("booking_id").alias("n"))
-    doubled = theirs.join(F.broadcast(booked.filter("n > 1")), ["crew_id", "work_date"]).groupBy("booking_id").agg(F.count(F.lit(1)).alias("doubled"))
-    top = top.join(F.broadcast(doubled), "booking_id", "left").na.fill(0, ["doubled"])
+    top = jobs.orderBy("margin", "booking_id").limit(20).select("booking_id", F.struct("booking_id", "service", "net", "labour", "margin", "estimated", "days").alias("job"))
+    theirs = crew.join(F.broadcast(top), "booking_id").groupBy("crew_id", "work_date").agg(F.collect_list("job").alias("jobs"))
+    booked = crew.join(F.broadcast(theirs), ["crew_id", "work_date"]).groupBy("crew_id", "work_date").agg(F.countDistinct("booking_id").alias("n"), F.first("jobs").alias("jobs"))
+    top = booked.select("n", F.explode("jobs").alias("job")).groupBy("job").agg(F.count_if(F.col("n") > 1).alias("doubled")).select("job.*", "doubled")
     verdict = F.when(F.col("estimated") * 2 > F.col("days"), "estimated").when(F.col("doubled") > 0, "double booked").otherwise("genuine")
     evidence = F.concat_ws("; ", F.when(F.col("estimated") > 0, F.concat(F.col("estimated").cast("string"), F.lit(" estimated"))), F.when(F.col("doubled") > 0, F.concat(F.col("doubled").cast("string"), F.lit(" doubled"))))
     return top.select("booking_id", "service", num(F.col("net")).alias("net"), num(F.col("labour")).alias("labour"), num(F.col("margin")).alias("margin"), verdict.alias("verdict"), evidence.alias("evidence"))
@@ -58,8 +57,8 @@ def q04_weekly_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q05_fx_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by currency and year at the rate of the event and of the base date, with sub-totals."""
-    fx = F.broadcast(fx_daily(spark))
-    base = F.broadcast(fx_daily(spark).filter(F.col("rate_date") == F.lit(BASE_DATE).cast("date")).select("currency", F.col("rate").alias("base_rate")))
+    fx = F.broadcast(fx_daily(spark, sf_dir))
+    base = F.broadcast(fx_daily(spark, sf_dir).filter(F.col("rate_date") == F.lit(BASE_DATE).cast("date")).select("currency", F.col("rate").alias("base_rate")))
     jobs = live(bookings(spark, sf_dir)).withColumnRenamed("shoot_date", "rate_date").join(fx, ["currency", "rate_date"]).join(base, "currency")
     own = F.col("net").cast("double") / F.col("rate").cast("double")
     out = jobs.withColumn("year", F.year("rate_date")).rollup("currency", "year").agg(
@@ -82,17 +81,17 @@ def q07_unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q08_refunds_by_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refund rate of each SKU against the store's, and the reason with the largest refunds."""
-    lines = merch_lines(spark, sf_dir)
-    sku = lines.groupBy("sku").agg(F.sum("gross").alias("gross"), F.sum("refunded").alias("refunded"))
-    store = sku.agg(ratio(F.sum("refunded"), F.sum("gross")).alias("store_rate"))
-    reasons = lines.filter("has_refund").groupBy("sku", "reason").agg(F.sum("refunded").alias("amount"))
-    top = reasons.withColumn("r", F.row_number().over(W.partitionBy("sku").orderBy(F.desc("amount"), "reason"))).filter("r = 1").select("sku", F.col("reason").alias("top_reason"))
-    return sku.join(top, "sku", "left").crossJoin(F.broadcast(store)).select("sku", num(F.col("gross")).alias("gross"), num(F.col("refunded")).alias("refunded"), ratio(F.col("refunded"), F.col("gross")).alias("rate"), "store_rate", "top_reason")
+    lines = merch_lines(spark, sf_dir, priced=False)
+    reasons = lines.groupBy("sku", "reason").agg(F.sum("gross").alias("gross"), F.sum("refunded").alias("refunded"), F.bool_or("has_refund").alias("has_refund"))
+    most = F.min_by("reason", F.when(F.col("has_refund"), F.struct(-F.col("refunded"), "reason")))
+    sku = reasons.groupBy("sku").agg(F.sum("gross").alias("gross"), F.sum("refunded").alias("refunded"), most.alias("top_reason"))
+    store = lines.agg(ratio(F.sum("refunded"), F.sum("gross")).alias("store_rate"))
+    return sku.crossJoin(F.broadcast(store)).select("sku", num(F.col("gross")).alias("gross"), num(F.col("refunded")).alias("refunded"), ratio(F.col("refunded"), F.col("gross")).alias("rate"), "store_rate", "top_reason")
 
 
 def q08b_refunds_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refunds by reason and their share of all."""
-    per = merch_lines(spark, sf_dir).filter("has_refund").groupBy("reason").agg(F.count(F.lit(1)).alias("refunds"), F.count_if("is_revenue").alias("counted"), F.sum("refunded").alias("amount"))
+    per = merch_lines(spark, sf_dir, priced=False).filter("has_refund").groupBy("reason").agg(F.count(F.lit(1)).alias("refunds"), F.count_if("is_revenue").alias("counted"), F.sum("refunded").alias("amount"))
     everything = W.partitionBy()
     return per.select("reason", "refunds", "counted", num(F.col("amount")).alias("amount"), ratio(F.col("refunds"), F.sum("refunds").over(everything)).alias("share"))
 
@@ -123,10 +122,11 @@ def q10_attribution_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per client with a live booking: first day, lead source, whether another followed within 90 days."""
-    b = live(bookings(spark, sf_dir))
-    first = b.withColumn("r", F.row_number().over(W.partitionBy("client_id").orderBy("shoot_date", "booking_id"))).withColumn("first_day", F.min("shoot_date").over(W.partitionBy("client_id")))
-    after = (F.col("shoot_date") > F.col("first_day")) & (F.col("shoot_date") <= F.date_add("first_day", 90))
-    return first.groupBy("client_id").agg(F.min("first_day").alias("first_day"), F.min(F.when(F.col("r") == 1, F.col("lead_source"))).alias("channel"), F.max(after).alias("repeated"))
+    b = live(bookings(spark, sf_dir)).select("client_id", "shoot_date", "booking_id", "lead_source")
+    first = b.groupBy("client_id").agg(F.min(F.struct("shoot_date", "booking_id", "lead_source")).alias("first"))
+    days = b.select("client_id", "shoot_date").join(first, "client_id")
+    after = (F.col("shoot_date") > F.col("first.shoot_date")) & (F.col("shoot_date") <= F.date_add("first.shoot_date", 90))
+    return days.groupBy("client_id").agg(F.min("first.shoot_date").alias("first_day"), F.min("first.lead_source").alias("channel"), F.max(after).alias("repeated"))
 
 
 def q11_repeat_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:

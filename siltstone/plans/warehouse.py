@@ -11,7 +11,7 @@ from siltstone.operators import checks as K
 from siltstone.operators import profile as P
 from siltstone.operators.conform import NULL_SPELLINGS, convert_fx
 from siltstone.operators.split import agreement
-from siltstone.operators.temporal import check_scd2, dim_date, exact_percentiles, repair_scd2
+from siltstone.operators.temporal import calendar, check_scd2, exact_percentiles, repair_scd2
 from siltstone.plans import analysis as A
 from siltstone.plans import questions as Q
 from siltstone.plans.core import CORE_SQL, MONEY, ad_spend, bookings, crew_days, fx_daily, live, merch_lines, num, price_versions, quarter, ratio, sessions
@@ -61,7 +61,7 @@ def s10_fx_audit(spark, sf_dir):
     """Every conversion with its rule, original amount, rate and day, stored and read back."""
     currency = F.when(F.col("o_custkey") % 3 == 0, "NGN").when(F.col("o_custkey") % 3 == 1, "USD").otherwise("XXX")
     o = table(spark, sf_dir, "orders").select("o_orderkey", currency.alias("currency"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast(MONEY).alias("original"))
-    told = convert_fx(o, fx_daily(spark), "original", "currency", "day", "NGN")
+    told = convert_fx(o, fx_daily(spark, sf_dir), "original", "currency", "day", "NGN")
     rule = F.when(F.col("currency") == "NGN", "home currency").when(F.col("fx_missing"), "no rate").otherwise("rate of the day")
     audit = told.select("o_orderkey", rule.alias("rule"), "currency", num(F.col("original")).alias("original"), num(F.col("fx_rate"), 6).alias("rate"), F.when(F.col("fx_rate").isNotNull(), F.col("day")).alias("rate_day"), num(F.col("local")).alias("local"))
     folder = new_path(spark, "audit")
@@ -206,7 +206,7 @@ def w3_booking_fact(spark, sf_dir):
     union = b.filter("booking_id % 2 = 0").unionByName(b.filter("booking_id % 2 = 1"))
     shift = F.when(k % 40 == 1, F.lit("0.02")).when(k % 41 == 1, F.lit("0.01")).otherwise(F.lit("0.00")).cast(MONEY)
     second = b.filter("booking_id % 43 <> 0").select(k, (F.col("amount") + shift).alias("other"), F.explode(F.sequence(F.lit(1), F.when(k % 47 == 0, 2).otherwise(1))).alias("copy"))
-    fact = build_booking_fact(union, second, fx_daily(spark).withColumnRenamed("rate_date", "shoot_date"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), "c_name"))
+    fact = build_booking_fact(union, second, fx_daily(spark, sf_dir).withColumnRenamed("rate_date", "shoot_date"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), "c_name"))
     return fact.groupBy("currency").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("matches") == 0).alias("missing"), F.count_if(F.col("matches") > 1).alias("repeated"), *[F.count_if(c).alias(c) for c in ("differs", "no_rate", "no_client")], num(F.sum("foreign_value")).alias("foreign_value"))
 
 
@@ -340,8 +340,10 @@ def v15_tie_out(spark, sf_dir):
 
 def w1_date_dimension(spark, sf_dir):
     """The date dimension joined to bookings: jobs by peak season and weekend."""
-    d = dim_date(spark, "1995-01-01", "2001-12-31")
-    return live(bookings(spark, sf_dir, client=False)).join(F.broadcast(d), F.col("shoot_date") == F.col("day")).groupBy("is_peak", "is_weekend").agg(F.count(F.lit(1)).alias("jobs"))
+    jobs = live(bookings(spark, sf_dir, client=False))
+    span = jobs.agg(F.min("shoot_date").alias("a"), F.max("shoot_date").alias("b"))
+    d = calendar(span.select(F.explode(F.sequence("a", "b")).alias("day")))
+    return jobs.join(d, F.col("shoot_date") == F.col("day")).groupBy("is_peak", "is_weekend").agg(F.count(F.lit(1)).alias("jobs"))
 
 
 def r11_agreement(spark, sf_dir):
