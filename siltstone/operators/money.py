@@ -14,17 +14,17 @@ CURRENCY_MARKS = (("NGN", "NGN"), ("USD", "USD"), ("GBP", "GBP"), ("EUR", "EUR")
 #: Problems.
 CONFLICT, UNREADABLE, TOO_LARGE = "conflicting currencies", "not an amount", "too large"
 
-#: The shapes of a bare amount, tried in order: what is taken out before the rest is a number, and its factor.
-_NUMBER = r"\d+(\.\d+)?"
+#: The shapes of a bare amount, of which no two fit one text, and their factors.
 SHAPES = (
-    ("thousands", rf"^{_NUMBER}\s?[kK]$", r"\s?[kK]$", 1_000),
-    ("millions", rf"^{_NUMBER}\s?[mM]$", r"\s?[mM]$", 1_000_000),
-    ("billions", rf"^{_NUMBER}\s?[bB]$", r"\s?[bB]$", 1_000_000_000),
-    ("commas", r"^\d{1,3}(,\d{3})+(\.\d+)?$", ",", 1),
-    ("spaces", r"^\d{1,3}( \d{3})+(\.\d+)?$", " ", 1),
-    ("plain", rf"^{_NUMBER}$", "", 1),
+    (r"^\d+(\.\d+)?$", 1),
+    (r"^\d{1,3}(,\d{3})+(\.\d+)?$", 1),
+    (r"^\d{1,3}( \d{3})+(\.\d+)?$", 1),
+    (r"^\d+(\.\d+)?\s?[kK]$", 1_000),
+    (r"^\d+(\.\d+)?\s?[mM]$", 1_000_000),
+    (r"^\d+(\.\d+)?\s?[bB]$", 1_000_000_000),
 )
-DECIMAL_COMMA = r"^\d+,\d{1,2}$"
+#: A further shape, for files that are known to have decimal commas.
+DECIMAL_COMMA = (r"^\d+,\d{1,2}$", 1)
 AMOUNT = "decimal(24,6)"
 
 
@@ -43,11 +43,10 @@ def conform_money(df: DataFrame, column: str, decimal_comma: bool = False, out:
 
     A spelling of null has none of the three. Parentheses around all of it and a minus before or behind the currency turn
     the sign, `/-` at the end is dropped. Then the marks of one currency may stand anywhere; marks of two are a problem
-    without a currency. The rest must have one of SHAPES, the first that fits counts; `decimal_comma`, for files that are
-    known to be written so, adds digits, a comma and one or two digits as the last shape. Anything else is a problem that
-    keeps its currency. An amount has six decimals at most (rounded half up); one that AMOUNT does not hold is a problem.
+    without a currency. The rest must have one of SHAPES; `decimal_comma`, for files that are known to be written so, adds
+    digits, a comma and one or two digits. Anything else is a problem that keeps its currency. An amount has six decimals at most (rounded half up); one that AMOUNT does not hold is a problem.
     """
-    text = F.translate(F.col(column), "  ", "  ")
+    text = F.translate(F.col(column), "\u00a0\u202f", "  ")
     step = df.withColumn("__t", _stripped(text)).withColumn("__null", F.coalesce(F.lower("__t").isin(*NO_AMOUNT), F.lit(True)))
     bracketed = F.col("__t").rlike(r"(?s)^\(.*\)$")
     step = step.withColumns({"__negative": bracketed, "__t": F.when(bracketed, _stripped(F.regexp_replace("__t", r"^\(|\)$", ""))).otherwise(F.col("__t"))})
@@ -57,21 +56,21 @@ def conform_money(df: DataFrame, column: str, decimal_comma: bool = False, out:
     step = step.withColumns({"__named": named, "__t": _stripped(F.regexp_replace(F.regexp_replace("__t", marks, " "), r"\s+", " "))})
     step = _minus(step)
     t = F.col("__t")
-    number = lambda text, factor: F.round(text.try_cast("decimal(38,8)") * factor, 6).try_cast(AMOUNT)
-    shapes = [(t.rlike(fits), F.regexp_replace(t, away, "") if away else t, factor) for _, fits, away, factor in SHAPES]
-    if decimal_comma:
-        shapes.append((t.rlike(DECIMAL_COMMA), F.translate(t, ",", "."), 1))
-    readable = reduce(lambda a, b: a | b, [fits for fits, _, _ in shapes])
-    amount = F.coalesce(*[F.when(fits, number(text, factor)) for fits, text, factor in shapes])
+    shapes = [*SHAPES, DECIMAL_COMMA] if decimal_comma else SHAPES
+    fits = reduce(lambda w, i: w.when(t.rlike(shapes[i][0]), i), range(1, len(shapes)), F.when(t.rlike(shapes[0][0]), 0))
+    step = step.withColumn("__shape", F.when(~F.col("__null"), fits))
+    bare = F.when(F.col("__shape") == len(SHAPES), F.translate(t, ",", ".")).otherwise(F.translate(t, " ,kKmMbB", ""))
+    factor = F.get(F.array(*[F.lit(f) for _, f in shapes]), F.col("__shape"))
+    amount = F.when(F.col("__shape").isNotNull(), F.round(bare.try_cast("decimal(38,8)") * factor.cast("decimal(10,0)"), 6).try_cast(AMOUNT))
     conflict = F.size("__named") > 1
     step = step.withColumn("__amount", F.when(~F.col("__null") & ~conflict, amount))
-    problem = F.when(F.col("__null"), None).when(conflict, CONFLICT).when(~readable, UNREADABLE).when(F.col("__amount").isNull(), TOO_LARGE)
+    problem = F.when(F.col("__null"), None).when(conflict, CONFLICT).when(F.col("__shape").isNull(), UNREADABLE).when(F.col("__amount").isNull(), TOO_LARGE)
     money = F.struct(
         F.when(F.col("__negative"), -F.col("__amount")).otherwise(F.col("__amount")).cast(AMOUNT).alias("amount"),
         F.when(~F.col("__null") & ~conflict, F.get("__named", F.lit(0))).alias("currency"),
         problem.alias("problem"),
     )
-    return step.withColumn(out, money).drop("__t", "__null", "__negative", "__named", "__amount")
+    return step.withColumn(out, money).drop("__t", "__null", "__negative", "__named", "__shape", "__amount")
 
 
 def money_problems(df: DataFrame, money: str = "money") -> DataFrame:
