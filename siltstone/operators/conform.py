@@ -191,6 +191,27 @@ def classify_traffic(df: DataFrame, agent: str, source: str, spam_sources: tuple
     return out, out.agg(F.count_if("is_bot").alias("bots"), F.count_if("is_spam").alias("spam"), F.count_if(F.col("is_spam") & ~F.col("is_bot")).alias("violations"))
 
 
+def traffic_bursts(df: DataFrame, source: str, at: str, duration: str, pages: str, gap_seconds: int = 300, least: int = 20, zero: float = 0.9, heavy_pages: int = 40, heavy: float = 0.5) -> DataFrame:
+    """Bursts: runs of sessions of a source on a day without a gap of more than gap_seconds (60 at least), of `least` sessions
+    or more, of which a share of `zero` has no duration or a share of `heavy` at least heavy_pages pages. (source, day,
+    started, ended, sessions, zero_share, heavy).
+
+    Sessions are added up by source and minute first, so a source and day is 1440 rows at most, whatever its traffic; a gap
+    inside a minute is no gap. Null instants are left out, null durations and page counts are no evidence.
+    """
+    if gap_seconds < 60:
+        raise ValueError("gaps under a minute are not told apart")
+    known = df.filter(F.col(at).isNotNull())
+    per = known.groupBy(F.col(source).alias("source"), F.to_date(at).alias("day"), F.date_trunc("minute", at).alias("minute")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(duration) == 0).alias("z"), F.count_if(F.col(pages) >= heavy_pages).alias("h"),
+    )
+    order = Window.partitionBy("source", "day").orderBy("minute")
+    apart = F.unix_timestamp("first") - F.unix_timestamp(F.lag("last").over(order)) > gap_seconds
+    runs = per.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    told = runs.groupBy("source", "day", "run").agg(F.min("first").alias("started"), F.max("last").alias("ended"), F.sum("n").alias("sessions"), (F.sum("z") / F.sum("n")).alias("zero_share"), F.sum("h").alias("heavy"))
+    return told.filter((F.col("sessions") >= least) & ((F.col("zero_share") >= zero) | (F.col("heavy") >= heavy * F.col("sessions")))).drop("run")
+
+
 def zero_fill_if_proven(df: DataFrame, column: str, condition: Column) -> DataFrame:
     """Blanks become 0 if no row that meets the condition is blank and no other row has a value."""
     v = df.agg(F.count_if(condition & F.col(column).isNull()).alias("blank_wrong"), F.count_if(~condition & F.coalesce(F.col(column) != 0, F.lit(False))).alias("value_wrong"))

@@ -129,18 +129,26 @@ def two_readings(c: Column) -> tuple[Column, Column]:
     return read("d/M/yyyy"), read("M/d/yyyy")
 
 
-def resolve_ambiguous_dates(df: DataFrame, raw: str, base: str) -> tuple[DataFrame, DataFrame]:
-    """`resolved`: the reading whose lag to `base` fits the window that unambiguous rows span; null where both or none do.
-    And that window."""
+def resolve_ambiguous_dates(df: DataFrame, raw: str, bases: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`resolved`: the reading whose lag to the chosen day basis fits the window that unambiguous rows span; null where both
+    or none do. And the windows: (basis, lag_min, lag_max, sure, is_chosen).
+
+    bases: columns of days that the lag may count from, of which the one with the tightest window is chosen, the first of
+    equal ones; all windows are learned in one pass. A basis without an unambiguous row is never chosen before one with."""
     d, m = two_readings(F.col(raw))
     rows = df.withColumns({"__d": d, "__m": m})
     sure = F.when(F.col("__d").isNull() | (F.col("__d") == F.col("__m")), F.col("__m")).when(F.col("__m").isNull(), F.col("__d"))
-    lag = F.datediff(sure, F.col(base))
-    window = rows.agg(F.min(lag).alias("lag_min"), F.max(lag).alias("lag_max"), F.count(sure).alias("sure"))
+    lag = lambda c: F.datediff(sure, F.col(c))
+    learned = rows.agg(*[f(lag(c)).alias(f"__{n}{i}") for i, c in enumerate(bases) for n, f in (("a", F.min), ("b", F.max))], F.count(sure).alias("sure"))
+    each = [F.struct(F.lit(c).alias("basis"), F.lit(i).alias("i"), F.col(f"__a{i}").alias("lag_min"), F.col(f"__b{i}").alias("lag_max")) for i, c in enumerate(bases)]
+    width = [F.struct((F.col(f"__b{i}") - F.col(f"__a{i}")).isNull(), F.col(f"__b{i}") - F.col(f"__a{i}"), F.lit(i), e) for i, e in enumerate(each)]
+    window = learned.select("sure", F.array(*each).alias("windows"), F.array_min(F.array(*width))["col4"].alias("best"))
     out = rows.withColumn("__sure", sure).crossJoin(F.broadcast(window))
-    fits = lambda c: F.coalesce(F.datediff(F.col(c), F.col(base)).between(F.col("lag_min"), F.col("lag_max")), F.lit(False))
+    base = F.get(F.array(*[F.col(c) for c in bases]), F.col("best.i"))
+    fits = lambda c: F.coalesce(F.datediff(F.col(c), base).between(F.col("best.lag_min"), F.col("best.lag_max")), F.lit(False))
     resolved = F.when(F.col("__sure").isNotNull(), F.col("__sure")).when(fits("__d") & ~fits("__m"), F.col("__d")).when(fits("__m") & ~fits("__d"), F.col("__m"))
-    return out.withColumn("resolved", resolved).drop("__d", "__m", "__sure", "lag_min", "lag_max", "sure"), window
+    told = window.select("sure", "best", F.explode("windows").alias("w")).select("w.basis", "w.lag_min", "w.lag_max", "sure", (F.col("w.i") == F.col("best.i")).alias("is_chosen"))
+    return out.withColumn("resolved", resolved).select(*df.columns, "resolved"), told
 
 
 def calendar(days: DataFrame) -> DataFrame:

@@ -189,14 +189,14 @@ def _refund_days(spark, sf_dir):
 
 def t10_ambiguous_dates(spark, sf_dir):
     """Refund dates in two orders, resolved where one reading fits the learned window; right and wrong ones."""
-    out = T.resolve_ambiguous_dates(_refund_days(spark, sf_dir), "raw", "day")[0]
+    out = T.resolve_ambiguous_dates(_refund_days(spark, sf_dir), "raw", ["day"])[0]
     d, m = T.two_readings(F.col("raw"))
     return out.select((d.isNotNull() & m.isNotNull() & (d != m)).alias("ambiguous"), F.col("resolved").isNotNull().alias("is_resolved"), (F.col("resolved") == F.col("true_day")).alias("is_right")).groupBy("ambiguous", "is_resolved", "is_right").agg(F.count(F.lit(1)).alias("n"))
 
 
 def t10_learned_window(spark, sf_dir):
     """The window itself."""
-    return T.resolve_ambiguous_dates(_refund_days(spark, sf_dir), "raw", "day")[1]
+    return T.resolve_ambiguous_dates(_refund_days(spark, sf_dir), "raw", ["day"])[1]
 
 
 def t11_calendar(spark, sf_dir):
@@ -279,7 +279,7 @@ SELECT o_orderkey, round(raw, 6) AS rate, p.d AS published FROM q2 ASOF LEFT JOI
 SELECT l_returnflag, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.95), 6) AS p95, round(avg((r BETWEEN 0.75 AND 1.25)::INT), 6) AS within_quarter FROM r GROUP BY 1""",
     "t10_ambiguous_dates": _RD + """, x AS (SELECT NOT sure AS ambiguous, sure OR NOT (o - day BETWEEN a AND b) AS is_resolved FROM u, w)
 SELECT ambiguous, is_resolved, CASE WHEN is_resolved THEN true END AS is_right, count(*) AS n FROM x GROUP BY ALL""",
-    "t10_learned_window": _RD + " SELECT a::INTEGER AS lag_min, b::INTEGER AS lag_max, n AS sure FROM w",
+    "t10_learned_window": _RD + " SELECT 'day' AS basis, a::INTEGER AS lag_min, b::INTEGER AS lag_max, n AS sure, true AS is_chosen FROM w",
     "t11_calendar": """WITH o AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1)
 SELECT t.d::DATE AS day, year(t.d)::INTEGER AS year, quarter(t.d)::INTEGER AS quarter, year(t.d)::VARCHAR || 'Q' || quarter(t.d)::VARCHAR AS year_quarter, isoyear(t.d)::INTEGER AS iso_year, weekofyear(t.d)::INTEGER AS iso_week, date_trunc('week', t.d)::DATE AS week_start,
   isodow(t.d) > 5 AS is_weekend, month(t.d) IN (11, 12) AS is_peak, coalesce(n, 0) AS orders FROM generate_series((SELECT min(d)::TIMESTAMP FROM o), (SELECT max(d)::TIMESTAMP FROM o), INTERVAL 1 DAY) t(d) LEFT JOIN o ON o.d = t.d::DATE""",

@@ -10,8 +10,10 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions.columns import chi_square_tail
 from siltstone.operators import checks as K
 from siltstone.operators import conform as C
+from siltstone.operators import fills as L
 from siltstone.operators import gates as G
 from siltstone.operators import intervals as I
 from siltstone.operators import resolve as R
@@ -340,3 +342,39 @@ def test_duplicates_of_one_hot_group_with_null_keys(spark):
     kept, gone = S.split_content_duplicates(df, ["k"], "soft", "_row")
     assert [(r["_row"], r.soft, r.soft_conflict) for r in kept.collect()] == [(0, None, True)] and {r["_reason"] for r in gone.collect()} == {"duplicate but for soft"}
     assert sorted(r.u for r in S.disambiguate_key(df.withColumn("k", F.lit("k")), "k", ["_row"], "u").collect()) == sorted(f"k-{i}" for i in range(1, 2001))
+
+
+def test_fill_chains_go_on_until_nothing_changes(spark):
+    a = spark.createDataFrame([(1, None, None), (2, "x", None), (3, None, "old"), (None, None, None)], "k int, city string, country string")
+    b = spark.createDataFrame([(1, "y"), (1, "y"), (3, "p"), (3, "q"), (None, "z")], "k int, city string")
+    c = spark.createDataFrame([("x", "X"), ("y", "Y")], "city string, country string")
+    rules = [L.FillRule("country", "a", "country", "city", lambda t: t["c"]), L.FillRule("city", "a", "city", "k", lambda t: t["b"])]
+    out = L.fill_chain({"a": a, "b": b, "c": c}, rules)["a"].collect()
+    assert sorted((r.k or 0, r.city, r.city_rule, r.country, r.country_rule) for r in out) == [(0, None, None, None, None), (1, "y", "city", "Y", "country"), (2, "x", None, "X", "country"), (3, None, None, "old", None)]
+    assert {tuple(r) for r in L.rule_agreement({"a": a, "b": b, "c": c}, rules).collect()} == {("country", 0, 0), ("city", 0, 0)}
+    assert L.fill_report(L.fill_chain({"a": a.limit(0), "b": b, "c": c}, rules), rules).count() == 0
+
+
+def test_the_tighter_day_basis_is_chosen(spark):
+    rows = [("13/1/2024", day(2024, 1, 10), day(2024, 1, 11)), ("25/1/2024", day(2024, 1, 21), day(2024, 1, 23)), ("2/1/2024", day(2024, 1, 1), day(2023, 12, 31)), (None, None, None)]
+    out, windows = T.resolve_ambiguous_dates(spark.createDataFrame(rows, "raw string, a date, b date"), "raw", ["a", "b"])
+    assert {tuple(r) for r in windows.collect()} == {("a", 3, 4, 2, False), ("b", 2, 2, 2, True)}
+    assert [r.resolved for r in out.collect()] == [day(2024, 1, 13), day(2024, 1, 25), day(2024, 1, 2), None]
+    _, tied = T.resolve_ambiguous_dates(spark.createDataFrame(rows, "raw string, a date, b date"), "raw", ["a", "a"])
+    assert [r.is_chosen for r in tied.collect()] == [True, False]
+
+
+def test_bursts_of_traffic(spark):
+    start = dt.datetime(2024, 5, 1, 3, 0, 0)
+    rows = [("s", start + dt.timedelta(seconds=40 * i), 0, 1) for i in range(10)] + [("s", start + dt.timedelta(hours=2, seconds=30 * i), 9, 50) for i in range(6)]
+    rows += [("t", start + dt.timedelta(seconds=40 * i), 9, 1) for i in range(10)] + [("s", start + dt.timedelta(hours=5, minutes=10 * i), 0, 1) for i in range(9)] + [(None, None, 0, 90)]
+    got = C.traffic_bursts(spark.createDataFrame(rows, "src string, at timestamp, d int, p int"), "src", "at", "d", "p", 60, 5).orderBy("started").collect()
+    assert [(r.source, r.sessions, r.zero_share, r.heavy) for r in got] == [("s", 10, 1.0, 0), ("s", 6, 0.0, 6)]
+    with pytest.raises(ValueError):
+        C.traffic_bursts(spark.createDataFrame(rows, "src string, at timestamp, d int, p int"), "src", "at", "d", "p", 59)
+
+
+@pytest.mark.parametrize("x, df, p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (11.344867, 3, 0.01), (0.0, 4, 1.0), (0.710723, 4, 0.95), (124.342113, 100, 0.05), (18.307038, 10, 0.05), (700.0, 3, 0.0)])
+def test_chi_square_tails_of_a_table(spark, x, df, p):
+    got = spark.createDataFrame([(x, df)], "x double, df int").select(chi_square_tail(F.col("x"), F.col("df")).alias("p")).first().p
+    assert got == pytest.approx(p, abs=2e-6)
