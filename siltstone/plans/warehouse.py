@@ -14,14 +14,20 @@ from siltstone.operators.split import agreement
 from siltstone.operators.temporal import calendar, check_scd2, exact_percentiles, repair_scd2
 from siltstone.plans import analysis as A
 from siltstone.plans import questions as Q
+from siltstone.plans import revenue, splitting, timevalid
 from siltstone.plans.core import CORE_SQL, MONEY, ad_spend, bookings, crew_days, fx_daily, live, merch_lines, num, price_versions, quarter, ratio, sessions
-from siltstone.plans.revenue import q01_quarterly_revenue
 from siltstone.sources import text as X
+from siltstone.sources.manifest import check_manifest, save_with_manifest
 from siltstone.sources.scratch import new_path
 from siltstone.sources.tables import save_tables, table, tables_of
 
 TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 W = Window
+#: The fifteen questions and their SQL.
+QUESTIONS = ("q01", "q02", "q03", "q04", "q05", "q06", "q07", "q08", "q08b", "q09", "q10", "q11", "q12", "q13", "q14")
+_MODULES = (revenue, Q, timevalid, splitting)
+CATALOGUE = {n: f for q in QUESTIONS for m in _MODULES for n, f in m.QUERIES.items() if n.startswith(f"{q}_")}
+CATALOGUE_SQL = {n: m.ORACLES[n] for m in _MODULES for n in m.QUERIES if n in CATALOGUE}
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -121,11 +127,30 @@ def _extracts(spark, sf_dir):
     }
 
 
+MEASURES = {"bookings": "net", "cancelled": "net", "crew_days": "labour_cost", "lines": "gross", "refunds": "refunded", "sessions": "revenue", "ad_spend": "spend", "prices": "list_price"}
+
+
 def s12_extracts(spark, sf_dir):
-    """Eight denormalised extracts, stored and found again by scanning their folder."""
+    """Eight denormalised extracts, stored and found again by scanning their folder; rows and sums."""
     folder = new_path(spark, "extracts")
     save_tables(_extracts(spark, sf_dir), folder)
-    return _all([df.groupBy(F.lit(n).alias("extract"), "quarter").agg(F.count(F.lit(1)).alias("n")) for n, df in tables_of(spark, folder).items()])
+    return _all([df.groupBy(F.lit(n).alias("extract"), "quarter").agg(F.count(F.lit(1)).alias("n"), num(F.sum(MEASURES[n])).alias("total")) for n, df in tables_of(spark, folder).items()])
+
+
+def s16_manifest(spark, sf_dir):
+    """The extracts stored with a manifest and read again (loaded is built); and copies of three of them in
+    which a cell is changed, a row lost, a row repeated."""
+    folder, other = new_path(spark, "manifest"), new_path(spark, "changed")
+    save_with_manifest(_extracts(spark, sf_dir), folder)
+    stored = tables_of(spark, folder)
+    some = lambda key: (F.col(key) == F.lit(stored["prices" if key == "sku" else "bookings"].agg(F.min(key)).first()[0]))
+    first = some("booking_id")
+    changed = {"prices": stored["prices"].withColumn("list_price", F.when(some("sku") & (F.col("version") == 1), F.col("list_price") + 1).otherwise(F.col("list_price"))), "bookings": stored["bookings"].filter(~first), "cancelled": stored["cancelled"]}
+    lines = stored["ad_spend"]
+    changed["ad_spend"] = lines.unionByName(lines.orderBy("spend_date", "channel", "campaign").limit(1))
+    save_tables(stored | changed, other)
+    a, b = (check_manifest(spark, f, folder).withColumn("copy", F.lit(n)) for n, f in (("as stored", folder), ("changed", other)))
+    return a.unionByName(b)
 
 
 def s13_row_counts(spark, sf_dir):
@@ -134,17 +159,16 @@ def s13_row_counts(spark, sf_dir):
 
 
 def run_catalogue(spark, sf_dir, named, folder):
-    """Runs named queries one by one, each with a result of its own in the folder."""
-    for name, query in named.items():
-        save_tables({name: query(spark, sf_dir)}, folder)
+    """Runs named queries one by one, each with a result of its own in the folder, and a manifest of all of them."""
+    save_with_manifest({name: query(spark, sf_dir) for name, query in named.items()}, folder)
 
 
 def s14_catalogue(spark, sf_dir):
-    """The questions run as a catalogue, and the rows of each result as read back."""
+    """All fifteen questions run as a catalogue; the rows of each result as read back, and whether they are what was
+    written."""
     folder = new_path(spark, "results")
-    asked = (q01_quarterly_revenue, Q.q02_service_by_year, Q.q04_weekly_utilisation, Q.q07_unit_economics, Q.q08_refunds_by_sku, Q.q08b_refunds_by_reason, Q.q11_repeat_purchase)
-    run_catalogue(spark, sf_dir, {f.__name__: f for f in asked}, folder)
-    return _all([df.agg(F.lit(n).alias("result"), F.count(F.lit(1)).alias("n")) for n, df in tables_of(spark, folder).items()])
+    run_catalogue(spark, sf_dir, CATALOGUE, folder)
+    return check_manifest(spark, folder).withColumnRenamed("table", "result")
 
 
 def s15_findings(spark, sf_dir):
@@ -267,21 +291,34 @@ def w11_constraints(spark, sf_dir):
     ])
 
 
-def _profiled(spark, sf_dir):
-    """Every given table, and a table of misspelt money and booleans."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.format_number(F.col("o_totalprice").cast(MONEY), 2).alias("price"),
+def _tables_to_profile(spark, sf_dir):
+    """Every given table, its vectors as whole millionths, and a table of misspelt money, dates and booleans."""
+    d = F.col("o_orderdate").cast("date")
+    spelt = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "dd-MMM-yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format(d, "MMMM d, yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), spelt.alias("spelt_day"), F.format_number(F.col("o_totalprice").cast(MONEY), 2).alias("price"),
         F.concat(F.lit("NGN "), F.col("o_custkey").cast("string")).alias("coded"), F.when(F.col("o_orderkey") % 4 != 0, F.when(F.col("o_orderkey") % 2 == 0, "t").otherwise("F")).alias("flag"), F.when(F.col("o_custkey") % 3 == 0, " N/A ").when(F.col("o_custkey") % 3 == 1, F.col("o_orderstatus")).alias("state"))
-    return P.profile({n: table(spark, sf_dir, n) for n in TABLES} | {"misspelt": o}, NULL_SPELLINGS)
+    found = {n: table(spark, sf_dir, n) for n in TABLES}
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long"))
+    return found | {"embeddings": found["embeddings"].withColumn("embedding", whole), "misspelt": o}
 
 
 def p1_profile(spark, sf_dir):
-    """Profile of every column of every table, and of misspelt money and booleans."""
-    return _profiled(spark, sf_dir)
+    """Profile of every column of every table, and of misspelt money, dates and booleans."""
+    return P.profile(_tables_to_profile(spark, sf_dir), NULL_SPELLINGS)
+
+
+def p1_sketch_profile(spark, sf_dir):
+    """The same in one pass by sketches, whose estimates must be within five hundredths of what is counted."""
+    tables = _tables_to_profile(spark, sf_dir)
+    exact = P.profile(tables, NULL_SPELLINGS).select("table", "column", F.col("distinct_values").alias("values"), F.col("distinct_shapes").alias("shapes"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    told = P.sketch_profile(tables, NULL_SPELLINGS).join(exact, ["table", "column"])
+    return told.select("table", "column", "n_rows", "nulls", "null_rate", "least", "greatest", "type", near("distinct_values", "values").alias("values_near"), near("distinct_shapes", "shapes").alias("shapes_near"))
 
 
 def p5_summary(spark, sf_dir):
     """P5: per table, columns with nulls and the worst one."""
-    return P.summarise(_profiled(spark, sf_dir))
+    return P.summarise(P.profile(_tables_to_profile(spark, sf_dir), NULL_SPELLINGS))
 
 
 def v_checks(spark, sf_dir):
@@ -352,13 +389,13 @@ def r11_agreement(spark, sf_dir):
     return agreement(p, "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (s1_text_table, s1_row_numbers, s2_separators, s8_loaded_clean, s10_fx_audit, s11_products, s5_structural_rows, s6_block_check, s12_extracts, s13_row_counts, s14_catalogue, s15_findings, w1_dimension, w1_dimensions, w2_channel_bridge, w3_booking_fact, w4_labour_fact, w5_rate_multipliers, w6_merch_fact, w8_linked_sessions, w9_ad_spend, w10_discount_evidence, w11_constraints, p1_profile, p5_summary, v_checks, v15_tie_out, w1_date_dimension, r11_agreement)}
+QUERIES = {f.__name__: f for f in (s1_text_table, s1_row_numbers, s2_separators, s8_loaded_clean, s10_fx_audit, s11_products, s5_structural_rows, s6_block_check, s12_extracts, s16_manifest, s13_row_counts, s14_catalogue, s15_findings, w1_dimension, w1_dimensions, w2_channel_bridge, w3_booking_fact, w4_labour_fact, w5_rate_multipliers, w6_merch_fact, w8_linked_sessions, w9_ad_spend, w10_discount_evidence, w11_constraints, p1_profile, p1_sketch_profile, p5_summary, v_checks, v15_tie_out, w1_date_dimension, r11_agreement)}
 
 _NULLS = ", ".join(f"'{x}'" for x in ("", *NULL_SPELLINGS))
 _FITS = {k: f"coalesce(sum(n) FILTER (regexp_matches(v, '{p}')), 0)" for k, p in P.CLASSES.items()}
 _LONG = " UNION ALL ".join(
-    [f"""SELECT '{t}' AS "table", col AS "column", v FROM (SELECT COLUMNS(* {"EXCLUDE (embedding)" if t == "embeddings" else ""})::VARCHAR FROM {t}) UNPIVOT INCLUDE NULLS (v FOR col IN (*))""" for t in TABLES]
-    + ["""SELECT 'misspelt', col, v FROM (SELECT o_orderkey::VARCHAR AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, format('{:,.2f}', o_totalprice::DECIMAL(18,2)) AS price, 'NGN ' || o_custkey::VARCHAR AS coded, CASE WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 't' ELSE 'F' END END AS flag,
+    [f"""SELECT '{t}' AS "table", col AS "column", v FROM (SELECT COLUMNS(*)::VARCHAR FROM (SELECT * {"REPLACE (to_json(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT)) AS embedding)" if t == "embeddings" else ""} FROM {t})) UNPIVOT INCLUDE NULLS (v FOR col IN (*))""" for t in TABLES]
+    + ["""SELECT 'misspelt', col, v FROM (SELECT o_orderkey::VARCHAR AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d-%b-%Y') WHEN 1 THEN strftime(o_orderdate, '%B %-d, %Y') ELSE strftime(o_orderdate, '%d.%m.%Y') END AS spelt_day, format('{:,.2f}', o_totalprice::DECIMAL(18,2)) AS price, 'NGN ' || o_custkey::VARCHAR AS coded, CASE WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 't' ELSE 'F' END END AS flag,
   CASE o_custkey % 3 WHEN 0 THEN ' N/A ' WHEN 1 THEN o_orderstatus END AS state FROM orders) UNPIVOT INCLUDE NULLS (v FOR col IN (*))"""])
 _SIZES = " UNION ALL ".join([f"""SELECT '{t}' AS "table", count(*) AS n_rows FROM {t}""" for t in TABLES] + ["SELECT 'misspelt', count(*) FROM orders"])
 _PROF = f"""WITH l AS ({_LONG}), z AS ({_SIZES}), a AS (SELECT "table", "column", CASE WHEN lower(trim(v)) NOT IN ({_NULLS}) THEN v END AS v FROM l), g AS (SELECT "table", "column", v, count(*) AS n FROM a WHERE v IS NOT NULL GROUP BY ALL),
@@ -368,6 +405,10 @@ p AS (SELECT names."table", names."column", z.n_rows, z.n_rows - coalesce(known,
   CASE WHEN known IS NULL OR greatest(b, i + d, s, e, m) * 2 < known THEN 'text' WHEN b >= greatest(i + d, s, e, m) THEN 'boolean' WHEN i >= greatest(i + d, s, e, m) THEN 'integer' WHEN i + d >= greatest(s, e, m) THEN 'decimal' WHEN s >= greatest(e, m) THEN 'timestamp' WHEN e >= m THEN 'date' ELSE 'money' END AS type
 FROM names JOIN z USING ("table") LEFT JOIN t USING ("table", "column"))
 """
+_EXTRACTED = (
+    ("bookings", "live", "shoot_date"), ("cancelled", "(SELECT * FROM booking WHERE is_cancelled)", "shoot_date"), ("crew_days", "crew_day", "work_date"), ("lines", "(SELECT * FROM line WHERE is_revenue)", "order_date"), ("refunds", "(SELECT * FROM line WHERE has_refund)", "order_date"),
+    ("sessions", "session", "session_date"), ("ad_spend", "spend", "spend_date"), ("prices", "version", "valid_from"),
+)
 _SHEET = "WITH o AS (SELECT year(o_orderdate)::INTEGER AS src, month(o_orderdate) AS m, o_orderkey, o_totalprice::DECIMAL(18,2) AS a FROM orders)"
 ORACLES = {
     "s1_text_table": """SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority ELSE 'Unknown' END AS o_orderpriority, CASE WHEN o_orderkey % 11 = 0 THEN 'say "hi",' || chr(10) || 'then; go' || chr(9) ELSE '' END AS note FROM orders""",
@@ -381,14 +422,10 @@ UNION ALL SELECT src, 'spacer', count(DISTINCT m), NULL FROM o GROUP BY 1 UNION
   round(rate::DOUBLE, 6) AS rate, rate_date AS rate_day, round(CASE WHEN o_custkey % 3 = 0 THEN o_totalprice::DECIMAL(18,2) ELSE round(o_totalprice::DECIMAL(18,2) * rate, 2) END::DOUBLE, 2) AS local
 FROM orders LEFT JOIN fx ON rate_date = o_orderdate::DATE AND fx.currency = CASE o_custkey % 3 WHEN 0 THEN 'NGN' WHEN 1 THEN 'USD' ELSE 'XXX' END""",
     "s11_products": "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_type, p_size::VARCHAR AS p_size, row_number() OVER (ORDER BY p_partkey) + 1 AS _row FROM part",
-    "s12_extracts": CORE_SQL + "".join(f"{' UNION ALL' if i else ''} SELECT '{n}' AS extract, year({d})::VARCHAR || 'Q' || quarter({d})::VARCHAR AS quarter, count(*) AS n FROM {t} GROUP BY ALL" for i, (n, t, d) in enumerate((
-        ("bookings", "live", "shoot_date"), ("cancelled", "(SELECT * FROM booking WHERE is_cancelled)", "shoot_date"), ("crew_days", "crew_day", "work_date"), ("lines", "(SELECT * FROM line WHERE is_revenue)", "order_date"), ("refunds", "(SELECT * FROM line WHERE has_refund)", "order_date"),
-        ("sessions", "session", "session_date"), ("ad_spend", "spend", "spend_date"), ("prices", "version", "valid_from")))),
+    "s12_extracts": CORE_SQL + "".join(f"{' UNION ALL' if i else ''} SELECT '{n}' AS extract, year({d})::VARCHAR || 'Q' || quarter({d})::VARCHAR AS quarter, count(*) AS n, round(sum({MEASURES[n]})::DOUBLE, 2) AS total FROM {t} GROUP BY ALL" for i, (n, t, d) in enumerate(_EXTRACTED)),
+    "s16_manifest": CORE_SQL + "".join(f"{' UNION ALL' if i else ''} SELECT '{n}' AS \"table\", '{c}' AS copy, count(*){({'bookings': ' - 1', 'ad_spend': ' + 1'}.get(n, '') if c == 'changed' else '')} AS n_rows, {c == 'as stored' or n not in ('bookings', 'ad_spend', 'prices')} AS is_intact FROM {t}" for i, (c, (n, t, _)) in enumerate((c, x) for c in ("as stored", "changed") for x in _EXTRACTED)),
     "s13_row_counts": " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS n FROM {t}""" for t in TABLES),
-    "s14_catalogue": CORE_SQL + """ SELECT 'q01_quarterly_revenue' AS result, count(*) AS n FROM (SELECT year(o_orderdate) * 10 + quarter(o_orderdate) AS q FROM orders UNION SELECT year(l_shipdate) * 10 + quarter(l_shipdate) FROM lineitem)
-UNION ALL SELECT 'q02_service_by_year', count(*) FROM (SELECT DISTINCT service, year(shoot_date) FROM live) UNION ALL SELECT 'q04_weekly_utilisation', max(w) - min(w) + 1 FROM (SELECT (date_trunc('week', work_date)::DATE - DATE '1970-01-01') // 7 AS w FROM crew_day)
-UNION ALL SELECT 'q07_unit_economics', count(DISTINCT collection) FROM line WHERE is_revenue UNION ALL SELECT 'q08_refunds_by_sku', count(DISTINCT sku) FROM line UNION ALL SELECT 'q08b_refunds_by_reason', count(DISTINCT reason) FROM line WHERE has_refund
-UNION ALL SELECT 'q11_repeat_purchase', count(DISTINCT strftime(f, '%Y-%m')) + (SELECT count(DISTINCT lead_source) FROM (SELECT DISTINCT ON (client_id) client_id, lead_source FROM live ORDER BY client_id, shoot_date, booking_id)) + 1 FROM (SELECT min(shoot_date) AS f FROM live GROUP BY client_id)""",
+    "s14_catalogue": " UNION ALL ".join(f"SELECT '{n}' AS result, count(*) AS n_rows, true AS is_intact FROM ({CATALOGUE_SQL[n]})" for n in CATALOGUE),
     "s15_findings": CORE_SQL + """ SELECT 'bookings' AS section, 'jobs' AS metric, count(*)::DOUBLE AS value FROM live UNION ALL SELECT 'bookings', 'revenue', round(sum(net)::DOUBLE, 2) FROM live UNION ALL SELECT 'bookings', 'largest', round(max(net)::DOUBLE, 2) FROM live
 UNION ALL SELECT 'merch', 'lines', count(*)::DOUBLE FROM line WHERE is_revenue UNION ALL SELECT 'merch', 'gross', round(sum(gross)::DOUBLE, 2) FROM line WHERE is_revenue UNION ALL SELECT 'merch', 'refunded', round(sum(refunded)::DOUBLE, 2) FROM line WHERE is_revenue""",
     "w1_dimension": "SELECT (row_number() OVER (ORDER BY n_name))::INTEGER AS nation_sk, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
@@ -411,6 +448,7 @@ k AS (SELECT 'booking key' AS "check", count(*)::DOUBLE AS got FROM orders WHERE
   UNION ALL SELECT 'booking complete', count(*) FROM b WHERE k % 311 = 3 UNION ALL SELECT 'net not negative', count(*) FROM b WHERE k % 313 = 4 UNION ALL SELECT 'quantity range', count(*)::DOUBLE FROM lineitem WHERE NOT l_quantity BETWEEN 1 AND 45)
 SELECT "check", CASE WHEN got = 0 THEN 'PASS' ELSE 'FAIL' END AS status, got, 0::DOUBLE AS target FROM k""",
     "p1_profile": _PROF + "SELECT * FROM p",
+    "p1_sketch_profile": _PROF + 'SELECT "table", "column", n_rows, nulls, null_rate, least, greatest, type, true AS values_near, true AS shapes_near FROM p',
     "p5_summary": _PROF + """SELECT "table", count(*) AS n_columns, count(*) FILTER (nulls > 0) AS with_nulls, first("column" ORDER BY null_rate DESC, "column") AS worst_column FROM p GROUP BY 1""",
     "v_checks": """WITH r AS (SELECT c_mktsegment AS v, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY 1), vw AS (SELECT sku, lo, hi, lag(hi) OVER (PARTITION BY sku ORDER BY lo, hi NULLS FIRST) AS before FROM (
   SELECT p_partkey AS sku, CASE WHEN inv THEN hi ELSE lo END AS lo, CASE WHEN inv THEN lo ELSE hi END AS hi FROM (SELECT p_partkey, p_partkey % 7 = 0 AND r = 0 AS inv, DATE '1995-01-01' + (r * 900)::INT AS lo,

@@ -11,11 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tables_of(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Every Parquet table of a folder by name, on any file system that Spark reads."""
+    """Every Parquet table of a folder by name (but for those that begin with _), on any file system that Spark reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
     names = sorted(x.getPath().getName() for x in found)
-    return {n.removesuffix(".parquet"): table(spark, folder, n.removesuffix(".parquet")) for n in names if n.endswith(".parquet")}
+    return {n.removesuffix(".parquet"): table(spark, folder, n.removesuffix(".parquet")) for n in names if n.endswith(".parquet") and not n.startswith("_")}
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str) -> None:

@@ -16,12 +16,15 @@ from siltstone.operators import conform as C
 from siltstone.operators import fills as L
 from siltstone.operators import gates as G
 from siltstone.operators import intervals as I
+from siltstone.operators import profile as P
 from siltstone.operators import resolve as R
 from siltstone.operators import split as S
 from siltstone.operators import temporal as T
 from siltstone.operators.money import conform_money, money_problems
 from siltstone.plans.warehouse import build_booking_fact, build_dim
+from siltstone.sources.manifest import check_manifest, save_with_manifest
 from siltstone.sources.scratch import shared_folder
+from siltstone.sources.tables import save_tables
 from siltstone.sources.text import check_blocks, read_text_table, split_structural_rows
 
 day = dt.date
@@ -378,3 +381,30 @@ def test_bursts_of_traffic(spark):
 def test_chi_square_tails_of_a_table(spark, x, df, p):
     got = spark.createDataFrame([(x, df)], "x double, df int").select(chi_square_tail(F.col("x"), F.col("df")).alias("p")).first().p
     assert got == pytest.approx(p, abs=2e-6)
+
+
+def test_profiles_of_nested_columns(spark):
+    rows = [([1, 2], {"a": 1}, (1, "x"), "31.12.2023"), (None, None, None, "5-Jan-24"), ([], {}, (2, None), "January 5, 2024"), ([1, 2], {"a": 1}, (1, "x"), " n/a ")]
+    df = spark.createDataFrame(rows, "a array<int>, m map<string,int>, s struct<i:int,t:string>, d string")
+    exact = {r.column: r for r in P.profile({"t": df}, C.NULL_SPELLINGS).collect()}
+    assert (exact["a"].distinct_values, exact["m"].distinct_values, exact["s"].distinct_values, exact["d"].type, exact["d"].nulls) == (2, 2, 2, "date", 1)
+    assert exact["a"].least == "[1,2]" and exact["m"].greatest == '{}' and exact["s"].least == '{"i":1,"t":"x"}'
+    sketched = {r.column: r for r in P.sketch_profile({"t": df}, C.NULL_SPELLINGS).collect()}
+    for c, r in exact.items():
+        assert all(sketched[c][k] == r[k] for k in ("n_rows", "nulls", "null_rate", "distinct_values", "distinct_shapes", "least", "greatest", "type"))
+    assert P.profile({"t": df.limit(0)}, C.NULL_SPELLINGS).count() == P.sketch_profile({"t": df.limit(0)}, C.NULL_SPELLINGS).count() == 0
+
+
+def test_values_that_differ_after_the_shown_part(spark):
+    df = spark.createDataFrame([("x" * 50 + str(i % 5),) for i in range(20)] + [("é" * 200_000,)], "t string")
+    (r,) = P.profile({"t": df}, C.NULL_SPELLINGS).collect()
+    assert r.distinct_values == 6 and r.examples == " | ".join(["x" * 40] * 3) and r.greatest == "é" * 40
+
+
+def test_manifests_find_what_changed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", {"k": 1}), (2, None, None), (2, None, None)], "i int, t string, m map<string,int>")
+    save_with_manifest({"t": df, "none": df.limit(0)}, str(tmp_path / "a"))
+    assert {tuple(r) for r in check_manifest(spark, str(tmp_path / "a")).collect()} == {("t", 3, True), ("none", 0, True)}
+    for i, other in enumerate((df.limit(2), df.union(df), df.withColumn("t", F.coalesce("t", F.lit(""))), spark.createDataFrame([(1, None, {"k": 1}), (2, "a", None), (2, None, None)], df.schema))):
+        save_tables({"t": other, "none": df.limit(0)}, str(tmp_path / f"b{i}"))
+        assert {r["table"]: r.is_intact for r in check_manifest(spark, str(tmp_path / f"b{i}"), str(tmp_path / "a")).collect()} == {"t": False, "none": True}
