@@ -46,6 +46,22 @@ def domain(df: DataFrame, name: str, column: str, allowed: list[str]) -> DataFra
     return violations(df, name, F.col(column).isNotNull() & ~F.col(column).isin(*allowed))
 
 
+def cardinality(df: DataFrame, name: str, column: str, target: int) -> DataFrame:
+    """Different values of a column; there must be so many."""
+    return result(df, name, F.countDistinct(column), target)
+
+
+def plain_numbers(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Cells of money that are no plain number: digits with at most one point and a minus."""
+    bad = [F.count_if(F.coalesce(~F.col(c).cast("string").rlike(r"^-?\d+(\.\d+)?$"), F.lit(False))) for c in columns]
+    return result(df, name, reduce(lambda a, b: a + b, bad), 0)
+
+
+def one_instant(df: DataFrame, name: str, key: str, instant: str) -> DataFrame:
+    """Keys whose rows have several instants."""
+    return result(df.groupBy(key).agg(F.countDistinct(instant).alias("n")), name, F.count_if(F.col("n") > 1), 0)
+
+
 def ranking(df: DataFrame, name: str, column: str, expected: list[str]) -> DataFrame:
     """Places at which the values, by falling count and then name, are not the expected ones."""
     from pyspark.sql import Window

@@ -219,10 +219,34 @@ def zero_fill_if_proven(df: DataFrame, column: str, condition: Column) -> DataFr
     return df.crossJoin(F.broadcast(v)).withColumn(column, F.when(proven, F.coalesce(F.col(column), F.lit(0))).otherwise(F.col(column)))
 
 
-def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: rows, missing, share of them; one pass over the table."""
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    return counts.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in columns])).alias("x")).select("x.column", F.col("n").alias("n_rows"), "x.missing", F.round(F.col("x.missing") / F.col("n"), 6).alias("share"))
+def missing_report(df: DataFrame, columns: list[str], expected: dict[str, Column] | None = None) -> DataFrame:
+    """Per column: rows, missing, share of them, and what they mean: `expected` ones, where the column's condition says that
+    there is nothing to record, and `unrecorded` ones; one pass over the table."""
+    known = expected or {}
+    blank = lambda c: F.col(c).isNull()
+    due = {c: F.coalesce(known.get(c, F.lit(False)), F.lit(False)) for c in columns}
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.count_if(blank(c)).alias("missing"), F.count_if(blank(c) & due[c]).alias("expected")).alias(c) for c in columns])
+    told = counts.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.missing").alias("missing"), F.col(f"{c}.expected").alias("expected")) for c in columns])).alias("x"))
+    return told.select("x.column", F.col("n").alias("n_rows"), "x.missing", F.round(F.col("x.missing") / F.col("n"), 6).alias("share"), "x.expected", (F.col("x.missing") - F.col("x.expected")).alias("unrecorded"))
+
+
+def conform_campaign(c: Column) -> Column:
+    """A campaign's name in one format: lower case, anything but letters and digits as one underscore, none at the ends; the
+    name itself is not mapped. Null if nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]+", "_"), r"^_|_$", "")
+    return F.when(name != "", name)
+
+
+def discount_problem(c: Column, allowed: list[str]) -> Column:
+    """Why a conformed discount is rejected: `unreadable` for a null, `off the list` for one that is not allowed."""
+    return F.when(c.isNull(), "unreadable").when(~c.isin(*[F.lit(x).cast("decimal(6,4)") for x in allowed]), "off the list")
+
+
+def source_agreement(df: DataFrame, sources: list[str]) -> DataFrame:
+    """(first, second, same, different) for each two columns that say the same thing, on rows that have both; one pass."""
+    pairs = [(a, b) for i, a in enumerate(sources) for b in sources[i + 1 :]]
+    counts = df.agg(*[x for i, (a, b) in enumerate(pairs) for x in (F.count_if(F.col(a) == F.col(b)).alias(f"s{i}"), F.count_if(F.col(a) != F.col(b)).alias(f"d{i}"))])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"s{i}").alias("same"), F.col(f"d{i}").alias("different")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
 #: The characters that Windows-1252 has at 0x80 to 0x9F, in order; five of those bytes stand for themselves.
@@ -277,3 +301,13 @@ def convert_fx(df: DataFrame, fx: DataFrame, amount: str, currency: str, day: st
     out = df.join(rates, (F.col(currency) == F.col("__c")) & (F.col(day) == F.col("__d")), "left").drop("__c", "__d")
     at = F.when(F.col(currency) == home, F.lit(1).cast("decimal(14,6)")).otherwise(F.col("fx_rate"))
     return out.withColumn("local", F.round(F.col(amount) * at, 2).cast("decimal(18,2)")).withColumn("fx_missing", at.isNull())
+
+
+def convert_net(df: DataFrame, fx: DataFrame, gross: str, discount: str, currency: str, day: str, home: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with `net` (gross less its discount, null discounts being 0) and `local` at the rate of the day; and the rejected
+    rows: foreign amounts without a day, and those whose day has no rate."""
+    net = df.withColumn("net", F.round(F.col(gross) * (1 - F.coalesce(F.col(discount), F.lit(0).cast("decimal(6,4)"))), 2).cast("decimal(18,2)"))
+    told = convert_fx(net, fx, "net", currency, day, home)
+    reason = F.when(F.col("fx_missing") & F.col(day).isNull(), "foreign without a day").when(F.col("fx_missing"), "no rate")
+    marked = told.withColumns({"_reason": reason, "_detail": F.concat_ws(" ", currency, F.col(day).cast("string"))})
+    return marked.filter("_reason IS NULL").drop("_reason", "_detail", "fx_missing"), marked.filter("_reason IS NOT NULL").drop("fx_missing")

@@ -79,9 +79,10 @@ def best_match_evidence(df: DataFrame, pairs: DataFrame, key: str, name: str, ed
 
 
 def apply_merges(df: DataFrame, pairs: DataFrame, key: str, fill: list[str], earliest: list[str]) -> DataFrame:
-    """Survivors (low) with their gaps filled from the merged rows, earliest dates, and `merged_from`."""
-    high = df.join(pairs.select(F.col("high").alias(key), "low"), key).groupBy("low").agg(
-        F.array_sort(F.collect_list(key)).alias("merged_from"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(key))).alias(f"__{c}") for c in fill], *[F.min(c).alias(f"__{c}") for c in earliest]
+    """Survivors (low) with their gaps filled from the merged rows, earliest dates, `merged_from`, and the least similarity of
+    their pairs as `merge_confidence`."""
+    high = df.join(pairs.select(F.col("high").alias(key), "low", F.col("similarity").alias("__similarity")), key).groupBy("low").agg(
+        F.array_sort(F.collect_list(key)).alias("merged_from"), F.min("__similarity").alias("merge_confidence"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(key))).alias(f"__{c}") for c in fill], *[F.min(c).alias(f"__{c}") for c in earliest]
     )
     stay = df.join(pairs.select(F.col("high").alias(key)), key, "left_anti").join(high.withColumnRenamed("low", key), key, "left")
     stay = stay.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in fill} | {c: F.least(F.col(c), F.col(f"__{c}")) for c in earliest})

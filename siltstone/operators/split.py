@@ -199,17 +199,34 @@ def flag_exceeds_parent(child: DataFrame, parent: DataFrame, on: str, amount: st
     return child.join(sums, on, "left").withColumn("exceeds_parent", F.coalesce(F.abs(amount) > F.col("__value") + F.lit(slack).cast("decimal(6,3)"), F.lit(False))).drop("__value")
 
 
+def flag_outside_window(child: DataFrame, parent: DataFrame, on: str, day: str, parent_day: str, least: int, most: int) -> DataFrame:
+    """`outside_window`: the day is not `least` to `most` days after the parent's first one; null if either day is missing."""
+    first = parent.groupBy(on).agg(F.min(parent_day).alias("__first"))
+    return child.join(first, on, "left").withColumn("outside_window", ~F.datediff(day, "__first").between(least, most)).drop("__first")
+
+
 def repeat_count(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key another row has too, and all rows."""
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated_rows"), F.sum("n").alias("all_rows"))
 
 
-def orphan_evidence(gone: DataFrame, parent: DataFrame, key: str, day: str) -> DataFrame:
-    """Of rejected rows: rows, distinct ids, their range beside the real one's, months touched."""
+def orphan_evidence(gone: DataFrame, parent: DataFrame, key: str, day: str, guests: DataFrame | None = None) -> DataFrame:
+    """Of rejected rows: rows, distinct ids, their range beside the real one's, months touched, and how many of their ids are
+    among those of guests (rows of the same key), if these are given."""
     real = parent.agg(F.min(key).alias("real_min"), F.max(key).alias("real_max"))
     found = gone.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("ids"), F.min(key).alias("orphan_min"), F.max(key).alias("orphan_max"), F.countDistinct(F.date_format(day, "yyyy-MM")).alias("months"))
-    return found.crossJoin(F.broadcast(real))
+    told = found.crossJoin(F.broadcast(real))
+    if guests is None:
+        return told
+    met = gone.select(key).distinct().join(guests.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("guest_ids"))
+    return told.crossJoin(F.broadcast(met))
+
+
+def name_suffix(name: Column, known: list[str]) -> Column:
+    """The value from a list that the name ends with, after a space, whatever the case; the longest of several."""
+    lower = F.lower(F.trim(name))
+    return F.coalesce(*[F.when(lower.endswith(" " + k.lower()), k) for k in sorted(known, key=len, reverse=True)])
 
 
 def negative_line_evidence(df: DataFrame, order: str, sku: str, quantity: str, value: str) -> DataFrame:

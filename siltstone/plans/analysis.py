@@ -34,11 +34,11 @@ def _at_rates(spark, sf_dir):
 
 
 def a01_constant_currency(spark, sf_dir):
-    """A1: quarterly revenue at the rate of the event and of the base date, index with the mean quarter of 1997 as 100."""
+    """A1: quarterly revenue at the rate of the event and of the base date, its equivalent in the bookings' currencies, index with the mean quarter of 1997 as 100."""
     at_base = F.when(F.col("currency") == "NGN", F.col("net").cast("double")).otherwise(F.col("net").cast("double") / F.col("rate").cast("double") * F.col("base_rate").cast("double"))
-    q = _at_rates(spark, sf_dir).groupBy(quarter("shoot_date").alias("quarter")).agg(F.sum("net").alias("revenue"), F.sum(F.round(at_base, 2).cast("decimal(18,2)")).alias("constant"), F.avg(F.col("rate").cast("double")).alias("rate"))
+    q = _at_rates(spark, sf_dir).groupBy(quarter("shoot_date").alias("quarter")).agg(F.sum("net").alias("revenue"), F.sum(F.round(at_base, 2).cast("decimal(18,2)")).alias("constant"), F.avg(F.col("rate").cast("double")).alias("rate"), F.sum(F.round(F.col("net").cast("double") / F.col("rate").cast("double"), 2).cast("decimal(18,2)")).alias("foreign"))
     mean = q.filter("quarter LIKE '1997%'").agg(F.avg(F.col("revenue").cast("double")).alias("mean"))
-    return q.crossJoin(_one(mean)).select("quarter", num(F.col("revenue")).alias("revenue"), num(F.col("constant")).alias("constant"), F.round("rate", 6).alias("avg_rate"), F.round(F.col("revenue").cast("double") / F.col("mean") * 100, 4).alias("index"))
+    return q.crossJoin(_one(mean)).select("quarter", num(F.col("revenue")).alias("revenue"), num(F.col("constant")).alias("constant"), num(F.col("foreign")).alias("foreign_equivalent"), F.round("rate", 6).alias("avg_rate"), F.round(F.col("revenue").cast("double") / F.col("mean") * 100, 4).alias("index"))
 
 
 def a02_yearly_growth(spark, sf_dir):
@@ -348,8 +348,8 @@ l AS (SELECT date_trunc('month', work_date)::DATE AS month, sum(labour_cost) AS
 mf AS (SELECT z.month, coalesce(b.x, 0) + coalesce(m.x, 0) AS revenue, coalesce(m.c, 0) + coalesce(l.c, 0) AS cost FROM z LEFT JOIN b USING (month) LEFT JOIN m USING (month) LEFT JOIN l USING (month))"""
 ORACLES = {k: CORE_SQL + v for k, v in {
     "a01_constant_currency": f""", j AS (SELECT live.*, fx.rate, b.rate AS base_rate FROM live JOIN fx ON fx.currency = live.currency AND rate_date = shoot_date JOIN fx b ON b.currency = live.currency AND b.rate_date = DATE '{BASE_DATE}'),
-q AS (SELECT {_Q('shoot_date')} AS quarter, sum(net) AS r, sum(round(CASE WHEN currency = 'NGN' THEN net::DOUBLE ELSE net::DOUBLE / rate::DOUBLE * base_rate::DOUBLE END, 2)::DECIMAL(18,2)) AS c, avg(rate::DOUBLE) AS a FROM j GROUP BY 1)
-SELECT quarter, {_NUM('r')} AS revenue, {_NUM('c')} AS constant, round(a, 6) AS avg_rate, round(r::DOUBLE / (SELECT avg(r::DOUBLE) FROM q WHERE quarter LIKE '1997%') * 100, 4) AS index FROM q""",
+q AS (SELECT {_Q('shoot_date')} AS quarter, sum(net) AS r, sum(round(CASE WHEN currency = 'NGN' THEN net::DOUBLE ELSE net::DOUBLE / rate::DOUBLE * base_rate::DOUBLE END, 2)::DECIMAL(18,2)) AS c, sum(round(net::DOUBLE / rate::DOUBLE, 2)::DECIMAL(18,2)) AS f, avg(rate::DOUBLE) AS a FROM j GROUP BY 1)
+SELECT quarter, {_NUM('r')} AS revenue, {_NUM('c')} AS constant, {_NUM('f')} AS foreign_equivalent, round(a, 6) AS avg_rate, round(r::DOUBLE / (SELECT avg(r::DOUBLE) FROM q WHERE quarter LIKE '1997%') * 100, 4) AS index FROM q""",
     "a02_yearly_growth": f""", y AS (SELECT year(shoot_date)::INTEGER AS year, sum(net) AS r, sum(net) FILTER (month(shoot_date) <= 6) AS h FROM live GROUP BY 1)
 SELECT year, {_NUM('r')} AS revenue, {_NUM('h')} AS h1, {_RATIO('r - lag(r) OVER w', 'lag(r) OVER w')} AS yoy, {_RATIO('h - lag(h) OVER w', 'lag(h) OVER w')} AS h1_yoy FROM y WINDOW w AS (ORDER BY year)""",
     "a03_service_mix": f", s AS (SELECT service, count(*) AS jobs, sum(net) AS r FROM live GROUP BY 1) SELECT service, jobs, {_NUM('r')} AS revenue, {_RATIO('r', 'jobs', 2)} AS mean_job, {_RATIO('r', 'sum(r) OVER ()')} AS revenue_share, {_RATIO('jobs', 'sum(jobs) OVER ()')} AS job_share FROM s",

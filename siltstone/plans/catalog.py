@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import analysis, conforming, evidence, gates, questions, revenue, splitting, timevalid, warehouse
+from siltstone.plans import analysis, conforming, details, evidence, gates, questions, revenue, splitting, timevalid, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (revenue, questions, splitting, conforming, timevalid, warehouse, analysis, gates, evidence)
+MODULES = (revenue, questions, splitting, conforming, timevalid, warehouse, analysis, gates, evidence, details)
 
 
 def queries() -> dict[str, Query]:

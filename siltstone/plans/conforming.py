@@ -233,8 +233,8 @@ def c20_zero_fill(spark, sf_dir):
 
 
 def c22_missing(spark, sf_dir):
-    """Missing values per column."""
-    return C.missing_report(C.conform_nulls(_nulled(spark, sf_dir), ["segment", "c_name"])[0], ["c_custkey", "c_name", "segment"])
+    """Missing values per column and what they mean; every second customer has no segment to record."""
+    return C.missing_report(C.conform_nulls(_nulled(spark, sf_dir), ["segment", "c_name"])[0], ["c_custkey", "c_name", "segment"], {"segment": F.col("c_custkey") % 20 < 10})
 
 
 def _mangled(spark, sf_dir):
@@ -293,7 +293,7 @@ SELECT c_custkey, CASE k WHEN 0 THEN t || ' O''Neil LTD' WHEN 1 THEN t || '-Cré
 SELECT page_id, CASE WHEN regexp_replace(u, '/+$', '') = '' THEN '/' ELSE regexp_replace(u, '/+$', '') END AS url FROM t""",
     "c19_traffic": "SELECT count(*) FILTER (event_id % 17 = 0) AS bots, count(*) FILTER (event_id % 34 = 0 OR event_id % 101 = 0) AS spam, count(*) FILTER (event_id % 101 = 0 AND event_id % 17 <> 0) AS violations FROM events",
     "c20_zero_fill": "SELECT event_id, CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS revenue, 0::BIGINT AS blank_wrong, 0::BIGINT AS value_wrong FROM events",
-    "c22_missing": """WITH m AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 10 IN (3, 7)) AS s FROM customer)
-SELECT v.c AS "column", n AS n_rows, CASE WHEN v.c = 'segment' THEN s ELSE 0 END AS missing, round(CASE WHEN v.c = 'segment' THEN s ELSE 0 END / n, 6) AS share FROM m, (VALUES ('c_custkey'), ('c_name'), ('segment')) v(c)""",
+    "c22_missing": """WITH m AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 10 IN (3, 7)) AS s, count(*) FILTER (c_custkey % 20 IN (3, 7)) AS e FROM customer)
+SELECT CASE WHEN v.c = 'segment' THEN e ELSE 0 END AS expected, CASE WHEN v.c = 'segment' THEN s - e ELSE 0 END AS unrecorded, v.c AS "column", n AS n_rows, CASE WHEN v.c = 'segment' THEN s ELSE 0 END AS missing, round(CASE WHEN v.c = 'segment' THEN s ELSE 0 END / n, 6) AS share FROM m, (VALUES ('c_custkey'), ('c_name'), ('segment')) v(c)""",
     "s4_repaired_text": "SELECT doc_id, md5(text) AS digest FROM documents",
 }

@@ -90,7 +90,7 @@ def r4_cascade(spark, sf_dir):
     return go.select("l_orderkey", F.col("_reason").alias("reason"), num(F.col("price")).alias("price"))
 
 
-def _quarantined(spark, sf_dir):
+def quarantined(spark, sf_dir):
     """Rejected rows of two tables in the shape of the quarantine."""
     lines = _lines(spark, sf_dir)
     a = S.quarantine(S.rejected(lines.filter("l_partkey % 37 = 0"), "orphan"), "lineitem", ["l_orderkey", "price"])
@@ -101,13 +101,13 @@ def _quarantined(spark, sf_dir):
 
 def r6_value_at_risk(spark, sf_dir):
     """Quarantined rows of two tables by table and reason, with the value at risk and sub-totals."""
-    out = S.value_rejected(_quarantined(spark, sf_dir), "price", ["orphan", "sentinel quantity"])
+    out = S.value_rejected(quarantined(spark, sf_dir), "price", ["orphan", "sentinel quantity"])
     return out.withColumn("at_risk", num(F.col("at_risk")))
 
 
 def q13_rejected_rows(spark, sf_dir):
     """Q13: rejected rows by table and reason with the value at risk, their share of all rejected rows, and the grand total."""
-    out = S.value_rejected(_quarantined(spark, sf_dir), "price", ["orphan", "sentinel quantity"]).filter("level <> 1")
+    out = S.value_rejected(quarantined(spark, sf_dir), "price", ["orphan", "sentinel quantity"]).filter("level <> 1")
     everything = F.max(F.when(F.col("level") == 3, F.col("n_rows"))).over(Window.partitionBy())
     return out.select(F.coalesce("src_table", F.lit("all")).alias("src_table"), "reason", "n_rows", num(F.coalesce("at_risk", F.lit(0))).alias("at_risk"), "affects_revenue", F.round(F.col("n_rows") / everything, 6).alias("share"))
 

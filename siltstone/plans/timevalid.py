@@ -52,7 +52,7 @@ def d6_applied_merges(spark, sf_dir):
     out = R.apply_merges(c, pairs, "c_custkey", ["email"], ["c_nationkey"])
     refs = table(spark, sf_dir, "orders").select(F.when((F.col("o_custkey") % 10 == 0) & (F.col("o_orderkey") % 2 == 0), F.col("o_custkey") + OFFSET).otherwise(F.col("o_custkey")).alias("c_custkey"))
     n = R.remap(refs, "c_custkey", pairs).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("orders"))
-    return out.join(n, "c_custkey", "left").select("c_custkey", "email", F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ",").alias("merged_from"), F.coalesce("orders", F.lit(0)).alias("orders"))
+    return out.join(n, "c_custkey", "left").select("c_custkey", "email", F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ",").alias("merged_from"), F.round("merge_confidence", 6).alias("merge_confidence"), F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 def d7_shared_attributes(spark, sf_dir):
@@ -248,7 +248,9 @@ SELECT o.o_custkey, first(status ORDER BY o_orderkey) FILTER (status IS NOT NULL
 FROM customer WHERE c_custkey % 10 = 0""",
     "d5_best_match": "SELECT c_custkey % 60 <> 0 AS is_best, count(*) AS n FROM customer WHERE c_custkey % 10 = 0 AND (c_custkey % 60 <> 0 OR c_custkey + 1 IN (SELECT c_custkey FROM customer)) GROUP BY 1",
     "d6_applied_merges": f"""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 20 = 0 THEN 'u' || (CASE WHEN c_custkey % 3 <> 0 THEN c_custkey ELSE c_custkey END)::VARCHAR || '@x.org' END AS email,
-  CASE WHEN c_custkey % 10 = 0 THEN (c_custkey + {OFFSET})::VARCHAR END AS merged_from, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders FROM customer""",
+  CASE WHEN c_custkey % 10 = 0 THEN (c_custkey + {OFFSET})::VARCHAR END AS merged_from,
+  CASE WHEN c_custkey % 10 = 0 THEN round(2 * l / (2 * l + 1)::DOUBLE, 6) END AS merge_confidence, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders
+FROM (SELECT *, 6 + length(regexp_replace(translate(md5(c_custkey::VARCHAR)[:12], '0123456789', 'ghijklmnop'), '[^a-z]', '', 'g')) AS l FROM customer)""",
     "d7_shared_attributes": "SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_nationkey) FILTER (c_nationkey > 2) + max((c_nationkey <= 2)::INT) AS n_nation FROM customer GROUP BY 1 HAVING count(*) > 1",
     "d9_id_block": """WITH l AS (SELECT min(c_custkey) AS low_min, max(c_custkey) AS low_max, count(*) AS low_ids FROM customer WHERE c_custkey % 90 <> 10)
 SELECT l.*, low_max - low_min + 1 - low_ids AS gaps, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0) AS high_ids, (SELECT count(*) FROM customer WHERE c_custkey % 90 = 10) AS without_twin FROM l""",
