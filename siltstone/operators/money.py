@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,49 +29,70 @@ DECIMAL_COMMA = (r"^\d+,\d{1,2}$", 1)
 AMOUNT = "decimal(24,6)"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, so that steps on top of each other do not multiply the expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _minus(df: DataFrame) -> DataFrame:
-    """A leading minus of __t turns __negative."""
-    found = F.col("__t").startswith("-")
-    return df.withColumns({"__negative": F.col("__negative") != found, "__t": F.when(found, _stripped(F.expr("substring(__t, 2)"))).otherwise(F.col("__t"))})
+def _minus(s: Column) -> Column:
+    """(negative, t): a leading minus of the text turns the sign."""
+    found = s["t"].startswith("-")
+    return F.struct((s["negative"] != found).alias("negative"), F.when(found, _stripped(F.regexp_replace(s["t"], "^-", ""))).otherwise(s["t"]).alias("t"))
 
 
-def conform_money(df: DataFrame, column: str, decimal_comma: bool = False, out: str = "money") -> DataFrame:
-    """`df` with `out`, a struct (amount, currency, problem) read from the text `column`.
+def read_money(c: Column, decimal_comma: bool = False) -> Column:
+    """A struct (amount, currency, problem) read from a text.
 
     A spelling of null has none of the three. Parentheses around all of it and a minus before or behind the currency turn
     the sign, `/-` at the end is dropped. Then the marks of one currency may stand anywhere; marks of two are a problem
     without a currency. The rest must have one of SHAPES; `decimal_comma`, for files that are known to be written so, adds
-    digits, a comma and one or two digits. Anything else is a problem that keeps its currency. An amount has six decimals at most (rounded half up); one that AMOUNT does not hold is a problem.
+    digits, a comma and one or two digits. Anything else is a problem that keeps its currency. An amount has six decimals at
+    most (rounded half up); one that AMOUNT does not hold is a problem.
     """
-    text = F.translate(F.col(column), "\u00a0\u202f", "  ")
-    step = df.withColumn("__t", _stripped(text)).withColumn("__null", F.coalesce(F.lower("__t").isin(*NO_AMOUNT), F.lit(True)))
-    bracketed = F.col("__t").rlike(r"(?s)^\(.*\)$")
-    step = step.withColumns({"__negative": bracketed, "__t": F.when(bracketed, _stripped(F.regexp_replace("__t", r"^\(|\)$", ""))).otherwise(F.col("__t"))})
-    step = _minus(step).withColumn("__t", _stripped(F.regexp_replace("__t", r"/-$", "")))
-    named = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(F.col("__t"), F.lit(mark)), code) for mark, code in CURRENCY_MARKS])))
-    marks = "|".join(rf"\{m}" if m == "$" else m for m, _ in CURRENCY_MARKS)
-    step = step.withColumns({"__named": named, "__t": _stripped(F.regexp_replace(F.regexp_replace("__t", marks, " "), r"\s+", " "))})
-    step = _minus(step)
-    t = F.col("__t")
     shapes = [*SHAPES, DECIMAL_COMMA] if decimal_comma else SHAPES
-    fits = reduce(lambda w, i: w.when(t.rlike(shapes[i][0]), i), range(1, len(shapes)), F.when(t.rlike(shapes[0][0]), 0))
-    step = step.withColumn("__shape", F.when(~F.col("__null"), fits))
-    bare = F.when(F.col("__shape") == len(SHAPES), F.translate(t, ",", ".")).otherwise(F.translate(t, " ,kKmMbB", ""))
-    factor = F.get(F.array(*[F.lit(f) for _, f in shapes]), F.col("__shape"))
-    amount = F.when(F.col("__shape").isNotNull(), F.round(bare.try_cast("decimal(38,8)") * factor.cast("decimal(10,0)"), 6).try_cast(AMOUNT))
-    conflict = F.size("__named") > 1
-    step = step.withColumn("__amount", F.when(~F.col("__null") & ~conflict, amount))
-    problem = F.when(F.col("__null"), None).when(conflict, CONFLICT).when(F.col("__shape").isNull(), UNREADABLE).when(F.col("__amount").isNull(), TOO_LARGE)
-    money = F.struct(
-        F.when(F.col("__negative"), -F.col("__amount")).otherwise(F.col("__amount")).cast(AMOUNT).alias("amount"),
-        F.when(~F.col("__null") & ~conflict, F.get("__named", F.lit(0))).alias("currency"),
-        problem.alias("problem"),
-    )
-    return step.withColumn(out, money).drop("__t", "__null", "__negative", "__named", "__shape", "__amount")
+    marks = "|".join(rf"\{m}" if m == "$" else m for m, _ in CURRENCY_MARKS)
+    sign = lambda negative, t: F.struct(negative.alias("negative"), t.alias("t"))
+    none = lambda kind: F.lit(None).cast(kind)
+    money = lambda amount, currency, problem: F.struct(amount.cast(AMOUNT).alias("amount"), currency.alias("currency"), problem.alias("problem"))
+
+    def bracketed(t: Column) -> Column:
+        found = t.rlike(r"(?s)^\(.*\)$")
+        return sign(found, F.when(found, _stripped(F.regexp_replace(t, r"^\(|\)$", ""))).otherwise(t))
+
+    def currencies(t: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(t, F.lit(mark)), code) for mark, code in CURRENCY_MARKS])))
+
+    def told(s: Column, currency: Column) -> Column:
+        """What is left when sign and currency are known."""
+        t = s["t"]
+        fits = reduce(lambda w, i: w.when(t.rlike(shapes[i][0]), i), range(1, len(shapes)), F.when(t.rlike(shapes[0][0]), 0))
+        return _let(fits, lambda shape: _amount(s, shape, currency))
+
+    def _amount(s: Column, shape: Column, currency: Column) -> Column:
+        bare = F.when(shape == len(SHAPES), F.translate(s["t"], ",", ".")).otherwise(F.translate(s["t"], " ,kKmMbB", ""))
+        factor = F.get(F.array(*[F.lit(f) for _, f in shapes]), shape).cast("decimal(10,0)")
+        value = F.when(shape.isNotNull(), F.round(bare.try_cast("decimal(38,8)") * factor, 6).try_cast(AMOUNT))
+        return _let(value, lambda x: money(F.when(s["negative"], -x).otherwise(x), currency, F.when(shape.isNull(), UNREADABLE).when(x.isNull(), TOO_LARGE)))
+
+    def without_marks(s: Column) -> Column:
+        bare = sign(s["negative"], _stripped(F.regexp_replace(F.regexp_replace(s["t"], marks, " "), r"\s+", " ")))
+        return _let(currencies(s["t"]), lambda named: F.when(F.size(named) > 1, money(none(AMOUNT), none("string"), F.lit(CONFLICT))).otherwise(_let(bare, lambda b: _let(_minus(b), lambda m: told(m, F.get(named, F.lit(0)))))))
+
+    def signed(t: Column) -> Column:
+        return _let(bracketed(t), lambda b: _let(_minus(b), lambda m: _let(sign(m["negative"], _stripped(F.regexp_replace(m["t"], r"/-$", ""))), without_marks)))
+
+    text = _stripped(F.translate(c, "\u00a0\u202f", "  "))
+    blank = lambda t: F.coalesce(F.lower(t).isin(*NO_AMOUNT), F.lit(True))
+    return _let(text, lambda t: F.when(blank(t), money(none(AMOUNT), none("string"), none("string"))).otherwise(signed(t)))
+
+
+def conform_money(df: DataFrame, column: str, decimal_comma: bool = False, out: str = "money") -> DataFrame:
+    """`df` with `out`, what `read_money` says of the text `column`."""
+    return df.withColumn(out, read_money(F.col(column), decimal_comma))
 
 
 def money_problems(df: DataFrame, money: str = "money") -> DataFrame:
