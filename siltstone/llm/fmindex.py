@@ -1,7 +1,8 @@
 """A compressed FM-index over word numbers, searched for many texts side by side.
 
 The Burrows-Wheeler transform of the indexed texts is kept as a wavelet matrix of packed bits with a count every 64 of
-them; a backward step asks it for ranks of one word at both ends of an interval. Matching statistics go through a text
+them, common prefixes and document numbers in the narrowest whole numbers with tables over blocks of them, so an index of n
+words weighs some 5 bytes a word beside the bits; a backward step asks it for ranks of one word at both ends of an interval. Matching statistics go through a text
 from right to left and shorten the match at its right end, by the longest common prefixes at the interval's ends, when
 it cannot be made longer on the left. Only matches with a text of a smaller document number count.
 """
@@ -52,33 +53,77 @@ class WaveletMatrix:
 
 
 class RangeMin:
-    """Least value of any range, from tables of ranges of powers of two."""
+    """Least value of any range: the values in blocks of BLOCK, and tables of ranges of powers of two over the blocks' least
+    values alone, which together weigh little more than the values."""
+
+    BLOCK = 32
 
     def __init__(self, values: np.ndarray):
-        self.tables = [values]
-        while (step := 1 << (len(self.tables) - 1)) * 2 <= len(values):
+        low, high = int(values.min()), int(values.max())
+        self.values = values.astype(np.int8 if -128 <= low and high < 128 else np.int16 if -(1 << 15) <= low and high < 1 << 15 else np.int32)
+        starts = np.arange(0, len(values), self.BLOCK)
+        self.tables = [np.minimum.reduceat(self.values, starts)]
+        while (step := 1 << (len(self.tables) - 1)) * 2 <= len(starts):
             last = self.tables[-1]
             self.tables.append(np.minimum(last[:-step], last[step:]))
+        self.greatest = np.iinfo(self.values.dtype).max
         self.flat = np.concatenate(self.tables)
-        self.starts = np.cumsum([0, *map(len, self.tables)])[:-1]
+        sizes = [len(t) for t in self.tables]
+        self.starts = np.cumsum([0, *sizes])[:-1]
+        self.tables = np.split(self.flat, self.starts[1:])
+        self.inside = np.arange(self.BLOCK)
+
+    def _part(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least of [lo, hi), which lies in one block; the greatest number if it is empty."""
+        at = lo[:, None] + self.inside
+        part = self.values[np.minimum(at, len(self.values) - 1)]
+        return np.where(at < hi[:, None], part, self.greatest).min(axis=1)
 
     def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Least of [lo, hi), which must not be empty."""
-        k = np.frexp(hi - lo)[1] - 1
-        start = self.starts[k]
-        return np.minimum(self.flat[start + lo], self.flat[start + hi - (1 << k)])
+        first, last = -(-lo // self.BLOCK), hi // self.BLOCK
+        out = self._part(lo, np.minimum(hi, first * self.BLOCK))
+        wide = np.flatnonzero(last >= first)
+        if len(wide):
+            begin = last[wide] * self.BLOCK
+            out[wide] = np.minimum(out[wide], self._part(begin, hi[wide]))
+        wide = np.flatnonzero(last > first)
+        if len(wide):
+            k = np.frexp(last[wide] - first[wide])[1] - 1
+            start = self.starts[k]
+            whole = np.minimum(self.flat[start + first[wide]], self.flat[start + last[wide] - (1 << k)])
+            out[wide] = np.minimum(out[wide], whole)
+        return out
 
     def reach(self, at: np.ndarray, least: np.ndarray, right: bool) -> np.ndarray:
         """How far a range that starts (right) or ends (left) at `at` goes while all its values are >= least."""
         at = at.copy()
-        for k in range(len(self.tables) - 1, -1, -1):
-            step, n = 1 << k, len(self.tables[k])
-            lo = at if right else at - step
-            can = (lo >= 0) & (lo < n)
-            can &= self.tables[k][np.clip(lo, 0, n - 1)] >= least
-            at = np.where(can, at + step if right else at - step, at)
+        go = self._step(at, least, right, np.arange(len(at)))
+        if len(go):
+            # at the border of a block: whole blocks, then into the one that stops
+            block = at[go] // self.BLOCK
+            for k in range(len(self.tables) - 1, -1, -1):
+                step, n = 1 << k, len(self.tables[k])
+                lo = block if right else block - step
+                can = (lo >= 0) & (lo < n)
+                can &= self.tables[k][np.clip(lo, 0, n - 1)] >= least[go]
+                block = np.where(can, block + step if right else block - step, block)
+            at[go] = np.minimum(block * self.BLOCK, len(self.values))
+            self._step(at, least, right, go)
         return at
 
+    def _step(self, at: np.ndarray, least: np.ndarray, right: bool, which: np.ndarray) -> np.ndarray:
+        """Moves `at`, where `which` says, to where its block stops it or ends; which of them have come to the block's end."""
+        here = at[which]
+        places = here[:, None] + self.inside if right else here[:, None] - 1 - self.inside
+        edge = (here // self.BLOCK + 1) * self.BLOCK if right else (here - 1) // self.BLOCK * self.BLOCK
+        inside = (places < np.minimum(edge, len(self.values))[:, None]) if right else (places >= np.maximum(edge, 0)[:, None])
+        good = inside & (self.values[np.clip(places, 0, len(self.values) - 1)] >= least[which][:, None])
+        run = np.where(good.all(axis=1), self.BLOCK, good.argmin(axis=1))
+        at[which] = here + run if right else here - run
+        whole = (run == inside.sum(axis=1)) & (at[which] % self.BLOCK == 0) & ((at[which] < len(self.values)) if right else (at[which] > 0))
+        return which[whole]
+
 
 class FMIndex:
     """Index of texts (arrays of word numbers from 1), each of a document number; depth: longest pattern, at least."""
@@ -114,7 +159,7 @@ class FMIndex:
 
     def shorten(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The parent intervals and their lengths: as little as possible is cut off at the right end."""
-        length = np.maximum(np.maximum(self.common.flat[lo], self.common.flat[hi]), 0)
+        length = np.maximum(np.maximum(self.common.values[lo], self.common.values[hi]), 0).astype(np.int64)
         whole = length == 0
         # row x joins the interval on its left while the common prefix of rows x and x - 1 is long enough
         left = self.common.reach(lo + 1, length, right=False) - 1

@@ -9,9 +9,9 @@ blocks that make up the 64 bits: two fingerprints within the radius agree in one
 Hamming distance to the parent, and a search follows only the edges whose key is within the radius of the query's
 distance. A search reports links of a spanning forest, never all pairs.
 
-Trees are sent to the tasks that ask them. A shard of up to MAX_TREE nodes is asked where it is built. In a larger shard
-about MAX_TREE of its nodes, drawn by hash, make a tree that is broadcast to every chunk of the shard, whose other nodes
-ask it (stars). Only nodes that this has not connected with the largest class of their shard then ask the trees of all
+Trees are built where the nodes of their shard meet, not on the driver: all trees together are as large as all distinct
+fingerprints. A shard of up to MAX_TREE nodes is asked where it is built. In a larger shard about MAX_TREE of its nodes,
+drawn by hash, make a tree that goes to every chunk of the shard, whose other nodes ask it (stars). Only nodes that this has not connected with the largest class of their shard then ask the trees of all
 pieces of the shard (rest), so a large group of copies costs work in proportion to its size.
 
 Classes: random contraction. In each round every node moves to the neighbour, or itself, with the least hash for that

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from siltstone.llm.fmindex import FMIndex
+from siltstone.llm.fmindex import FMIndex, RangeMin
 from siltstone.llm.substring import op5_repeated_passages, remove_repeats
 from siltstone.sources.tables import table
 
@@ -114,3 +114,25 @@ def test_matching_statistics_against_plain():
                             k += 1
                         best = max(best, k)
                 assert m[i] == best
+
+
+def test_range_minima_against_slices():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 31, 32, 33, 64, 100, 1000, 5000):
+        for top in (6, 300, 100_000):
+            v = rng.integers(-1, top, n)
+            made = RangeMin(v)
+            lo = rng.integers(0, n, 100)
+            hi = np.array([rng.integers(x + 1, n + 1) for x in lo])
+            assert made.least(lo, hi).tolist() == [v[a:b].min() for a, b in zip(lo, hi)]
+            at, least = rng.integers(0, n + 1, 100), rng.integers(-1, max(2, top // 4), 100)
+            right, left = made.reach(at, least, True), made.reach(at, least, False)
+            for a, x, r, q in zip(at, least, right, left):
+                assert r == next((i for i in range(a, n) if v[i] < x), n) and q == next((i for i in range(a, 0, -1) if v[i - 1] < x), 0)
+
+
+def test_an_index_weighs_a_few_bytes_a_word():
+    rng = np.random.default_rng(2)
+    index = FMIndex([rng.integers(1, 3000, 300) for _ in range(200)], np.arange(200), 50)
+    weight = sum(x.nbytes for r in (index.docs, index.common) for x in (r.values, r.flat))
+    assert weight < 6 * index.n
