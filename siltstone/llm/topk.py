@@ -3,7 +3,7 @@
 The components of a vector are cut into `lists` runs; a run's partial inner product with a query is a local score, and
 for each query the rows ordered by a local score are one list. A row's score is the sum of its local scores. Rows stay
 where they are, in blocks of about ROW_BLOCK rows that are one Parquet row each; queries come round by round in
-broadcasts of at most QUERY_BLOCK.
+broadcasts of about QUERY_BLOCK, each read from a folder of its own.
 
 Phase 1 (gather): every block keeps, for each query and list, its DEPTH highest local scores in order, with the floor
 below which it has kept none. The rows at the head of a block's lists (k of each) are scored in full; the k-th highest
@@ -36,8 +36,9 @@ from siltstone.llm.shared import removed, stored
 from siltstone.sources.scratch import new_path
 from siltstone.sources.tables import table
 
-#: Rows of a block, about, queries of a round at most, and entries that a block keeps of a list.
-ROW_BLOCK, QUERY_BLOCK, DEPTH = 4096, 512, 64
+#: Rows of a block and queries of a round, about, and entries that a block keeps of a list. A round writes the rows once more
+#: beside their lists, which are three times as large for so many queries, so rounds should not be small.
+ROW_BLOCK, QUERY_BLOCK, DEPTH = 4096, 4096, 64
 #: Files of blocks at most.
 MOST_FILES = 20_000
 #: Queries whose products with a block are held at a time.
@@ -171,9 +172,9 @@ def _resolve(queries, told, lists: int, k: int, counted=None):
                 continue
             qid, codes = asked[block.codes.shape[1]]
             m, n = len(block.parts), len(block.first)
-            known_scores = batch.column("locals")[i].as_py()
-            known_scores = np.array(known_scores, np.int64) if known_scores is not None else np.array([int(x) for x in batch.column("scores")[i].as_py()], object)
-            places = np.array(batch.column("places")[i].as_py(), np.int32).reshape(len(qid), m, -1)
+            known_scores = batch.column("locals")[i]
+            known_scores = known_scores.values.to_numpy() if known_scores.is_valid else np.array([int(x) for x in batch.column("scores")[i].as_py()], object)
+            places = batch.column("places")[i].values.to_numpy().reshape(len(qid), m, -1)
             known_scores = known_scores.reshape(places.shape)
             out_q, out_id, out_score = [], [], []
             for j, me in enumerate(qid.tolist()):
@@ -227,10 +228,13 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int
     each of queries (query_id, codes), ties to smaller ids, without the row whose id is the query's. counted: an
     accumulator that takes the number of scores resolved in phase 3."""
     spark = vectors.sparkSession
-    rounds = stored(queries.filter("query_id IS NOT NULL AND codes IS NOT NULL").groupBy("query_id").agg(F.min("codes").alias("codes")), "topk-queries")
+    each = stored(queries.filter("query_id IS NOT NULL AND codes IS NOT NULL").groupBy("query_id").agg(F.min("codes").alias("codes")), "topk-queries")
     # a hash deals queries to rounds, with room for chance; each round is broadcast by itself
-    n_rounds = max(1, math.ceil(rounds.count() / (0.8 * query_block))) if rounds.count() > query_block else 1
-    round_of = F.pmod(F.xxhash64("query_id"), F.lit(n_rounds))
+    n_queries = each.count()
+    n_rounds = max(1, math.ceil(n_queries / (0.8 * query_block))) if n_queries > query_block else 1
+    rounds_path = new_path(spark, "topk-rounds")
+    each.withColumn("round", F.pmod(F.xxhash64("query_id"), F.lit(n_rounds))).repartition("round").write.partitionBy("round").parquet(rounds_path)
+    rounds = spark.read.schema("query_id long, codes array<long>, round long").parquet(rounds_path)
     # equal vectors: of each, the k + 1 smallest ids; the rank limit is applied before the shuffle as well
     rank = F.row_number().over(Window.partitionBy("codes").orderBy("vec_id"))
     ids = vectors.filter("vec_id IS NOT NULL AND codes IS NOT NULL").dropDuplicates(["vec_id", "codes"]).withColumn("r", rank).filter(F.col("r") <= k + 1)
@@ -244,7 +248,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int
 
     path = new_path(spark, "topk-best")
     for number in range(n_rounds):
-        asked = spark.sparkContext.broadcast(_queries(rounds.filter(round_of == number).collect()))
+        asked = spark.sparkContext.broadcast(_queries(rounds.filter(F.col("round") == number).collect()))
         run, schema = _gather(asked, lists, k, depth)
         lists_path = new_path(spark, "topk-lists")
         blocks.mapInArrow(run, schema).write.parquet(lists_path)
