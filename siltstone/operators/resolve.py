@@ -70,7 +70,8 @@ def best_match_evidence(df: DataFrame, pairs: DataFrame, key: str, name: str, ed
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
     named = df.select(F.col(key).alias("k"), folded(F.col(name)).alias("n")).select("k", "n", F.explode(runs).alias("run"))
     often = named.groupBy("run").agg(F.count(F.lit(1)).alias("c"))
-    rarest = named.join(often, "run").groupBy("k", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "run"))), 1, 3 * edits + 1).alias("x")).select("k", "n", F.explode("x.run").alias("run"))
+    # letters are a to z and two marks, so there are 28 ** 3 runs at most, and the run that most names begin with stays where it is
+    rarest = named.join(F.broadcast(often), "run").groupBy("k", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "run"))), 1, 3 * edits + 1).alias("x")).select("k", "n", F.explode("x.run").alias("run"))
     high = rarest.join(pairs.select(F.col("high").alias("k"), "low"), "k").select(F.col("k").alias("high"), "low", F.col("n").alias("hn"), "run")
     near = F.levenshtein("hn", "n", edits)
     other = high.join(rarest, "run").filter(F.col("k") != F.col("high")).select("high", "low", "k", near.alias("d")).filter("d >= 0").distinct()

@@ -181,7 +181,7 @@ def s15_findings(spark, sf_dir):
 
 def w1_dimension(spark, sf_dir):
     """Surrogate keys of a small dimension in natural order."""
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.select(F.row_number().over(W.orderBy("n_name")).alias("nation_sk"), "n_name", "r_name")
 
 
