@@ -15,7 +15,7 @@ CURRENCY_MARKS = (("NGN", "NGN"), ("USD", "USD"), ("GBP", "GBP"), ("EUR", "EUR")
 #: Problems.
 CONFLICT, UNREADABLE, TOO_LARGE = "conflicting currencies", "not an amount", "too large"
 
-#: The shapes of a bare amount, of which no two fit one text, and their factors.
+#: The shapes of a bare amount (fixed patterns), of which no two fit one text, and their factors.
 SHAPES = (
     (r"^\d+(\.\d+)?$", 1),
     (r"^\d{1,3}(,\d{3})+(\.\d+)?$", 1),
@@ -24,7 +24,7 @@ SHAPES = (
     (r"^\d+(\.\d+)?\s?[mM]$", 1_000_000),
     (r"^\d+(\.\d+)?\s?[bB]$", 1_000_000_000),
 )
-#: A further shape, for files that are known to have decimal commas.
+#: A further shape (fixed pattern), for files that are known to have decimal commas.
 DECIMAL_COMMA = (r"^\d+,\d{1,2}$", 1)
 AMOUNT = "decimal(24,6)"
 

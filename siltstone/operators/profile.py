@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Type classes, the first that fits most values wins.
+#: Type classes and their patterns (fixed values); the first that fits most values wins.
 CLASSES = {
     "boolean": r"(?i)^(true|false|yes|no|t|f|y|n|1|0)$",
     "integer": r"^-?\d{1,18}$",
