@@ -11,7 +11,7 @@ from siltstone.operators import checks as K
 from siltstone.operators import profile as P
 from siltstone.operators.conform import NULL_SPELLINGS, convert_fx
 from siltstone.operators.split import agreement
-from siltstone.operators.temporal import calendar, check_scd2, exact_percentiles, repair_scd2
+from siltstone.operators.temporal import FOREVER, calendar, check_scd2, exact_percentiles, join_valid, repair_scd2
 from siltstone.plans import analysis as A
 from siltstone.plans import questions as Q
 from siltstone.plans import revenue, splitting, timevalid
@@ -248,11 +248,14 @@ def w5_rate_multipliers(spark, sf_dir):
 
 
 def w6_merch_fact(spark, sf_dir):
-    """Measures of the lines by state, at the price version in force; lines that have none or several."""
+    """Measures of the lines by state, at the repaired price version in force; lines without one, and lines for which the
+    raw versions would give several."""
     m = merch_lines(spark, sf_dir)
     sold = m.groupBy("order_status", "is_revenue").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("version").isNull()).alias("without_version"), *[num(F.sum(c)).alias(c) for c in ("list_value", "gross", "discount", "cogs", "refunded")])
-    per = m.groupBy("order_status", "is_revenue", "order_id", "line_no", "sku", "order_date", "gross").agg(F.countDistinct("version").alias("v")).groupBy("order_status", "is_revenue").agg(F.count_if(F.col("v") > 1).alias("several_versions"))
-    return sold.join(per, ["order_status", "is_revenue"])
+    raw = price_versions(spark, sf_dir).select("sku", "version", "valid_from", F.coalesce("valid_to", F.lit(FOREVER).cast("date")).alias("valid_to"))
+    told = join_valid(merch_lines(spark, sf_dir, priced=False), raw, "sku", "order_date")
+    per = told.groupBy("order_status", "is_revenue", "order_id", "line_no", "sku", "order_date", "gross").agg(F.countDistinct("version").alias("v"))
+    return sold.join(per.groupBy("order_status", "is_revenue").agg(F.count_if(F.col("v") > 1).alias("several_versions")), ["order_status", "is_revenue"])
 
 
 def w8_linked_sessions(spark, sf_dir):
@@ -438,7 +441,11 @@ SELECT x.currency, count(*) AS n, count(*) FILTER (lacks) AS missing, count(*) F
     "w4_labour_fact": CORE_SQL + " SELECT role, rate_is_estimated, count(*) AS n, round(sum(labour_cost)::DOUBLE, 2) AS cost, count(*) FILTER (hours > 12) AS long_days FROM crew_day GROUP BY ALL",
     "w5_rate_multipliers": CORE_SQL + """, p AS (SELECT round(charged_rate::DOUBLE / standard_rate, 2) AS multiplier, count(*) FILTER (NOT overtime) AS normal, count(*) FILTER (overtime) AS overtime FROM crew_day WHERE charged_rate IS NOT NULL GROUP BY 1)
 SELECT *, round(normal::DOUBLE / nullif(sum(normal) OVER (), 0)::DOUBLE, 6) AS normal_share, round(overtime::DOUBLE / nullif(sum(overtime) OVER (), 0)::DOUBLE, 6) AS overtime_share FROM p""",
-    "w6_merch_fact": CORE_SQL + " SELECT order_status, is_revenue, count(*) AS n, count(*) FILTER (version IS NULL) AS without_version, 0::BIGINT AS several_versions, round(sum(list_value)::DOUBLE, 2) AS list_value, round(sum(gross)::DOUBLE, 2) AS gross, round(sum(discount)::DOUBLE, 2) AS discount, round(sum(cogs)::DOUBLE, 2) AS cogs, round(sum(refunded)::DOUBLE, 2) AS refunded FROM line GROUP BY ALL",
+    "w6_merch_fact": CORE_SQL + f""", lv AS (SELECT order_status, is_revenue, order_id, line_no, line.sku, order_date, gross, count(DISTINCT r.version) AS v FROM line LEFT JOIN version_raw r
+  ON r.sku = line.sku AND order_date BETWEEN CASE WHEN inv THEN hi ELSE lo END AND coalesce(CASE WHEN inv THEN lo ELSE hi END, DATE '{FOREVER}') GROUP BY ALL),
+s AS (SELECT order_status, is_revenue, count(*) FILTER (v > 1) AS several_versions FROM lv GROUP BY ALL)
+SELECT order_status, is_revenue, count(*) AS n, count(*) FILTER (version IS NULL) AS without_version, any_value(several_versions) AS several_versions, round(sum(list_value)::DOUBLE, 2) AS list_value, round(sum(gross)::DOUBLE, 2) AS gross, round(sum(discount)::DOUBLE, 2) AS discount,
+  round(sum(cogs)::DOUBLE, 2) AS cogs, round(sum(refunded)::DOUBLE, 2) AS refunded FROM line JOIN s USING (order_status, is_revenue) GROUP BY ALL""",
     "w8_linked_sessions": CORE_SQL + " SELECT channel, count(order_id) AS transactions, count(o_orderkey) AS orders FROM session LEFT JOIN orders ON order_id = o_orderkey GROUP BY 1",
     "w9_ad_spend": CORE_SQL + """, s AS (SELECT campaign, round(sum(spend)::DOUBLE, 2) AS spend FROM spend GROUP BY 1), k AS (SELECT DISTINCT 'campaign' || (event_id % 3 + 2)::VARCHAR AS campaign FROM events)
 SELECT coalesce(s.campaign, k.campaign) AS campaign, spend, CASE WHEN k.campaign IS NULL THEN 'spend' WHEN s.campaign IS NULL THEN 'sessions' END AS only_in FROM s FULL JOIN k ON s.campaign = k.campaign""",
