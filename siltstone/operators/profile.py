@@ -39,7 +39,9 @@ def shape(c: Column) -> Column:
 
 def _known(c: Column, null_spellings: tuple[str, ...]) -> Column:
     """The cell, null where it is blank or spells a null."""
-    return F.when(~F.lower(F.trim(c)).isin("", *null_spellings), c)
+    bare = F.trim(c)
+    # a long text is not looked at letter by letter
+    return F.when((F.length(bare) > max(map(len, null_spellings))) | ~F.lower(bare).isin("", *null_spellings), c)
 
 
 def _classified(known: Column, counts: dict[str, Column]) -> Column:
