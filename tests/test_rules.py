@@ -116,7 +116,7 @@ def test_price_windows(spark):
 
 def test_ambiguous_dates_are_resolved_only_if_one_reading_fits(spark):
     rows = [("25/3/2024", day(2024, 3, 20)), ("3/27/2024", day(2024, 3, 20)), ("2/3/2024", day(2024, 2, 25)), ("4/5/2024", day(2024, 1, 1)), ("5/6/2024", day(2024, 5, 30))]
-    out, window = T.resolve_ambiguous_dates(spark.createDataFrame(rows, "raw string, base date"), "raw", "base")
+    out, window = T.resolve_ambiguous_dates(spark.createDataFrame(rows, "raw string, base date"), "raw", ["base"])
     assert (window.first().lag_min, window.first().lag_max) == (5, 7)
     assert {r.raw: r.resolved for r in out.collect()} == {"25/3/2024": day(2024, 3, 25), "3/27/2024": day(2024, 3, 27), "2/3/2024": day(2024, 3, 2), "4/5/2024": None, "5/6/2024": day(2024, 6, 5)}
 
