@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import new_path
+
 #: Type classes and their patterns (fixed values); the first that fits most values wins.
 CLASSES = {
     "boolean": r"(?i)^(true|false|yes|no|t|f|y|n|1|0)$",
@@ -18,6 +20,8 @@ CLASSES = {
 }
 #: Least values of a column that are given as examples, and the characters of a value that are shown.
 EXAMPLES, SHOWN = 3, 40
+#: Pieces of a column of which each has a least value.
+PIECES = 64
 
 
 def cell(df: DataFrame, column: str) -> Column:
@@ -26,10 +30,10 @@ def cell(df: DataFrame, column: str) -> Column:
     return F.to_json(c) if dict(df.dtypes)[column].startswith(("array", "map", "struct")) else c.cast("string")
 
 
-def long_form(df: DataFrame, name: str) -> DataFrame:
-    """(table, column, value) for every cell as text."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), cell(df, c).alias("value")) for c in df.columns])
-    return df.select(F.lit(name).alias("table"), F.explode(cells).alias("x")).select("table", "x.column", "x.value")
+def _kept(text: Column) -> Column:
+    """A text of up to SHOWN characters as it is, a longer one as its first SHOWN characters and a digest of 128 bits; these are
+    longer than any of the former, so no two texts are taken for one."""
+    return F.when(F.length(text) <= SHOWN, text).otherwise(F.concat(F.substring(text, 1, SHOWN), F.md5(text.cast("binary"))))
 
 
 def shape(c: Column) -> Column:
@@ -37,6 +41,17 @@ def shape(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\d+", "9"), r"\p{L}+", "A")
 
 
+def _bits(c: Column) -> Column:
+    """The classes that a text fits, a bit for each in their order. All but boolean have a digit, and that is short."""
+    fit = {k: F.when(c.rlike(p), 1 << i).otherwise(0) for i, (k, p) in enumerate(CLASSES.items())}
+    short = F.when(F.length(c) <= 7, fit.pop("boolean")).otherwise(0)
+    return short + F.when(c.rlike("[0-9]"), reduce(lambda a, b: a + b, fit.values())).otherwise(0)
+
+
+def _has(bits: Column, name: str) -> Column:
+    return bits.bitwiseAND(F.lit(1 << list(CLASSES).index(name))) > 0
+
+
 def _known(c: Column, null_spellings: tuple[str, ...]) -> Column:
     """The cell, null where it is blank or spells a null."""
     bare = F.trim(c)
@@ -51,32 +66,79 @@ def _classified(known: Column, counts: dict[str, Column]) -> Column:
     return F.when((known == 0) | (best["r"] * 2 < known), "text").when((best["k"] == "decimal") & (counts["decimal"] == 0), "integer").otherwise(best["k"])
 
 
+def _cells(df: DataFrame, first: int, null_spellings: tuple[str, ...]) -> DataFrame:
+    """(c, d, s, m) for every cell: the number of its column, from `first` on, and its text as kept. Of longer texts also their
+    shape as kept and the classes that they fit, which a kept text does not tell; texts of null are null."""
+    free = [i for i, (_, kind) in enumerate(df.dtypes) if kind.startswith(("string", "char", "varchar", "binary", "array", "map", "struct", "variant"))]
+    # one step after another, so no cell is written as text twice
+    rows = df.select(*[cell(df, c).alias(f"t{i}") for i, c in enumerate(df.columns)])
+    rows = rows.select("*", *[F.when(F.length(f"t{i}") > SHOWN, _known(F.col(f"t{i}"), null_spellings)).alias(f"k{i}") for i in free])
+    rows = rows.select("*", *[x for i in free for x in (F.when(F.length(f"t{i}") <= SHOWN, F.col(f"t{i}")).otherwise(_kept(F.col(f"k{i}"))).alias(f"d{i}"), shape(F.col(f"k{i}")).alias(f"s{i}"), _bits(F.col(f"k{i}")).alias(f"m{i}"))])
+    rows = rows.select("*", *[_kept(F.col(f"s{i}")).alias(f"z{i}") for i in free])
+    cells = []
+    for i in range(len(df.columns)):
+        told = [F.col(f"d{i}"), F.col(f"z{i}"), F.col(f"m{i}")] if i in free else [F.col(f"t{i}"), F.lit(None).cast("string"), F.lit(None).cast("int")]
+        cells.append(F.struct(F.lit(first + i).alias("c"), *[x.alias(n) for x, n in zip(told, "dsm")]))
+    return rows.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = new_path(df.sparkSession, "profile")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...]) -> DataFrame:
     """Per column: rows, nulls, null rate, distinct values and shapes, inferred type, least and greatest value, examples.
 
-    What is shuffled of a cell are a digest of 128 bits of its value and of its shape, the classes that it fits and its first
-    characters, never the value; equal cells are added up before that, and no task holds a column. Blank cells and spellings
-    of null are nulls; a column of nulls only is text.
+    Tables are read once. Equal cells are counted before anything else is done with them, and these counts are stored in the
+    shared folder; of a cell of more than SHOWN characters its first ones and digests are moved, never the value, and no task
+    holds a column. Blank cells and spellings of null are nulls; a column of nulls only is text.
     """
-    cells = reduce(lambda a, b: a.unionByName(b), [long_form(df, name) for name, df in tables.items()])
-    v = F.col("v")
-    told = cells.select("table", "column", _known(F.col("value"), null_spellings).alias("v")).select(
-        "table", "column", F.unhex(F.md5(v.cast("binary"))).alias("d"), F.unhex(F.md5(shape(v).cast("binary"))).alias("s"), F.substring(v, 1, SHOWN).alias("p"),
-        *[v.rlike(p).alias(f"is_{k}") for k, p in CLASSES.items()],
-    )
-    alike = [F.min(c).alias(c) for c in ("s", "p", *[f"is_{k}" for k in CLASSES])]
-    values = told.groupBy("table", "column", "d").agg(F.count(F.lit(1)).alias("n"), *alike)
-    fits = [F.coalesce(F.sum(F.when(F.col(f"is_{k}"), F.col("n"))), F.lit(0)).alias(f"r_{k}") for k in CLASSES]
-    stats = values.groupBy("table", "column").agg(
-        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("d").alias("distinct_values"), F.min("p").alias("least"), F.max("p").alias("greatest"), *fits,
+    names, cells = [(name, c) for name, df in tables.items() for c in df.columns], []
+    for name, df in tables.items():
+        cells.append(_cells(df, names.index((name, df.columns[0])), null_spellings))
+    counted = reduce(lambda a, b: a.unionByName(b), cells).groupBy("c", "d", "s", "m").agg(F.count(F.lit(1)).alias("n"))
+    long = F.length("d") > SHOWN
+    known = counted.withColumn("d", F.when(long, F.col("d")).otherwise(_known(F.col("d"), null_spellings)))
+    shaped = known.withColumn("s", F.when(long, F.col("s")).otherwise(shape(F.col("d"))))
+    values = _stored(shaped.select("c", "d", "n", F.when(long, F.col("s")).otherwise(_kept(F.col("s"))).alias("s"), F.when(long, F.col("m")).otherwise(_bits(F.col("d"))).alias("m")))
+    values = values.withColumn("p", F.substring("d", 1, SHOWN))
+    some = F.col("d").isNotNull()
+    # each column in pieces by the hash of the value: the third least of their least values is no less than the third least value
+    rows = [F.coalesce(F.sum(F.when(_has(F.col("m"), k), F.col("n"))), F.lit(0)).alias(f"r_{k}") for k in CLASSES]
+    pieces = values.groupBy((F.col("c") * PIECES + F.pmod(F.hash("d"), F.lit(PIECES))).alias("piece")).agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(~some, F.col("n"))), F.lit(0)).alias("nulls"), F.count("d").alias("distinct_values"), F.min("p").alias("least"), F.max("p").alias("greatest"), *rows,
     )
-    shapes = values.filter("d IS NOT NULL").groupBy("table", "column", "s").agg(F.lit(1).alias("one")).groupBy("table", "column").agg(F.count(F.lit(1)).alias("distinct_shapes"))
-    first = Window.partitionBy("table", "column").orderBy("p", "d")
-    few = values.filter("d IS NOT NULL").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= EXAMPLES)
-    examples = few.groupBy("table", "column").agg(F.array_join(F.array_sort(F.collect_list("p")), " | ").alias("examples"))
+    sums = [F.sum(x).alias(x) for x in ("n_rows", "nulls", "distinct_values", *[f"r_{k}" for k in CLASSES])]
+    stats = _stored(pieces.groupBy(F.floor(F.col("piece") / PIECES).cast("int").alias("c")).agg(*sums, F.get(F.array_sort(F.collect_list("least")), F.lit(EXAMPLES - 1)).alias("bound"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
+    shapes = values.filter(some).groupBy("c", "s").agg(F.lit(1).alias("one")).groupBy("c").agg(F.count(F.lit(1)).alias("distinct_shapes"))
+    near = values.filter(some).select("c", "p", "d").join(F.broadcast(stats.select("c", "bound")), "c").filter(F.col("bound").isNull() | (F.col("p") <= F.col("bound")))
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("p", "d"))).filter(F.col("r") <= EXAMPLES)
+    examples = few.groupBy("c").agg(F.array_join(F.array_sort(F.collect_list("p")), " | ").alias("examples"))
     kind = _classified(F.col("n_rows") - F.col("nulls"), {k: F.col(f"r_{k}") for k in CLASSES})
-    joined = stats.join(shapes, ["table", "column"], "left").join(examples, ["table", "column"], "left")
-    return joined.select("table", "column", "n_rows", "nulls", F.round(F.col("nulls") / F.col("n_rows"), 6).alias("null_rate"), "distinct_values", F.coalesce("distinct_shapes", F.lit(0)).alias("distinct_shapes"), "least", "greatest", kind.alias("type"), F.coalesce("examples", F.lit("")).alias("examples"))
+    named = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in names]), F.col("c") + 1)
+    joined = stats.join(shapes, "c", "left").join(examples, "c", "left")
+    return joined.select(named(0).alias("table"), named(1).alias("column"), "n_rows", "nulls", F.round(F.col("nulls") / F.col("n_rows"), 6).alias("null_rate"), "distinct_values", F.coalesce("distinct_shapes", F.lit(0)).alias("distinct_shapes"), "least", "greatest", kind.alias("type"), F.coalesce("examples", F.lit("")).alias("examples"))
+
+
+def _typed_cell(df: DataFrame, column: str, text: Column) -> tuple[Column, Column]:
+    """Shape and classes of a cell by its number or time where its text can have one form only, else by its text. text: the
+    cell as text, null if it spells a null."""
+    c, kind, bit = F.col(f"`{column}`"), dict(df.dtypes)[column], {k: 1 << i for i, k in enumerate(CLASSES)}
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        usual, told = c.isNotNull(), F.when(c < 0, "-9").otherwise("9")
+        bits = F.when(c.isin(0, 1), bit["boolean"]).otherwise(0) + F.when(c.cast("bigint").between(1 - 10**18, 10**18 - 1), bit["integer"]).otherwise(0)
+    elif kind in ("float", "double"):
+        # outside of this the text has an exponent or is no number
+        usual, told, bits = F.abs(c).between(0.001, 9_999_999.0), F.when(c < 0, "-9.9").otherwise("9.9"), F.lit(bit["decimal"])
+    elif kind.startswith("timestamp"):
+        # years of four digits
+        usual, told, bits = F.substring(text, 5, 1) == "-", F.when(F.length(text) > 19, "9-9-9 9:9:9.9").otherwise("9-9-9 9:9:9"), F.lit(bit["timestamp"])
+    else:
+        return shape(text), _bits(text)
+    usual = usual & text.isNotNull()
+    return F.when(usual, told).otherwise(shape(text)), F.when(usual, bits).otherwise(_bits(text))
 
 
 def sketch_profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...], accuracy: int = 14) -> DataFrame:
@@ -85,18 +147,20 @@ def sketch_profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...]
     by about 1.3 / sqrt(2 ** accuracy) of the number; small numbers are exact."""
     parts = []
     for name, df in tables.items():
-        known = df.select(*[_known(cell(df, c), null_spellings).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        told = df.select("*", *[_known(cell(df, c), null_spellings).alias(f"__{i}") for i, c in enumerate(df.columns)])
+        typed = [_typed_cell(df, c, F.col(f"__{i}")) for i, c in enumerate(df.columns)]
+        known = told.select(*[x.alias(f"{n}{i}") for i, (s, m) in enumerate(typed) for n, x in (("c", F.col(f"__{i}")), ("s", s), ("m", m))])
         aggregates, rows = [F.count(F.lit(1)).alias("n_rows")], []
         for i, c in enumerate(df.columns):
             v = F.col(f"c{i}")
-            counted = {"known": F.count(v), "least": F.min(F.substring(v, 1, SHOWN)), "greatest": F.max(F.substring(v, 1, SHOWN)), "values": F.hll_sketch_agg(v, accuracy), "shapes": F.hll_sketch_agg(shape(v), accuracy)}
-            counted |= {k: F.count_if(v.rlike(p)) for k, p in CLASSES.items()}
+            counted = {"known": F.count(v), "least": F.min(F.substring(v, 1, SHOWN)), "greatest": F.max(F.substring(v, 1, SHOWN)), "values": F.hll_sketch_agg(v, accuracy), "shapes": F.hll_sketch_agg(f"s{i}", accuracy)}
+            counted |= {k: F.count_if(_has(F.col(f"m{i}"), k)) for k in CLASSES}
             aggregates += [x.alias(f"{k}{i}") for k, x in counted.items()]
             of = lambda k, i=i: F.col(f"{k}{i}")
             estimate = lambda k, i=i: F.when(F.col(f"known{i}") > 0, F.hll_sketch_estimate(f"{k}{i}")).otherwise(0)
             rows.append(F.struct(F.lit(c).alias("column"), (F.col("n_rows") - of("known")).alias("nulls"), estimate("values").alias("distinct_values"), estimate("shapes").alias("distinct_shapes"), of("least").alias("least"), of("greatest").alias("greatest"), _classified(of("known"), {k: of(k) for k in CLASSES}).alias("type")))
-        told = known.agg(*aggregates).select(F.lit(name).alias("table"), "n_rows", F.explode(F.array(*rows)).alias("x"))
-        parts.append(told.filter("n_rows > 0").select("table", "x.column", "n_rows", "x.nulls", F.round(F.col("x.nulls") / F.col("n_rows"), 6).alias("null_rate"), "x.distinct_values", "x.distinct_shapes", "x.least", "x.greatest", "x.type"))
+        found = known.agg(*aggregates).select(F.lit(name).alias("table"), "n_rows", F.explode(F.array(*rows)).alias("x"))
+        parts.append(found.filter("n_rows > 0").select("table", "x.column", "n_rows", "x.nulls", F.round(F.col("x.nulls") / F.col("n_rows"), 6).alias("null_rate"), "x.distinct_values", "x.distinct_shapes", "x.least", "x.greatest", "x.type"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -401,6 +401,34 @@ def test_values_that_differ_after_the_shown_part(spark):
     assert r.distinct_values == 6 and r.examples == " | ".join(["x" * 40] * 3) and r.greatest == "é" * 40
 
 
+def test_a_profile_reads_its_tables_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x: int) -> str:
+        read.add(1)
+        return f"{x % 7}.5"
+
+    df = spark.range(0, 40, 1, 2).select(F.udf(seen, "string")("id").alias("t"))
+    (r,) = P.profile({"t": df}, C.NULL_SPELLINGS).collect()
+    assert (r.n_rows, r.distinct_values, r.distinct_shapes, r.type, r.examples, r.greatest) == (40, 7, 1, "decimal", "0.5 | 1.5 | 2.5", "6.5") and read.value == 40
+
+
+def test_profiles_of_numbers_and_times_are_those_of_their_texts(spark):
+    numbers = [0.0, -0.0, 1e7, 9_999_999.0, 0.001, 0.0009, -5.25, float("nan"), float("inf"), None]
+    ints = [0, 1, -1, 10**18, 10**18 - 1, -(2**63), 2**63 - 1, None, 7, -7]
+    times = [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(1, 1, 1), dt.datetime(2024, 1, 2, 3, 4, 5, 6), None] + [dt.datetime(9999, 12, 31)] * 6
+    df = spark.createDataFrame(list(zip(numbers, ints, times)), "d double, i bigint, t timestamp_ntz")
+    typed = {r.column: r for r in P.sketch_profile({"t": df}, C.NULL_SPELLINGS).collect()}
+    texts = {r.column: r for r in P.sketch_profile({"t": df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])}, C.NULL_SPELLINGS).collect()}
+    assert typed == texts and (typed["d"].distinct_shapes, typed["i"].distinct_shapes, typed["t"].type) == (5, 2, "timestamp")
+
+
+def test_long_texts_keep_their_shapes_and_classes(spark):
+    rows = ["1" * 45 + ".5", "1" * 44 + ".5", "1" * 39 + ".5", "2024-01-02 03:04:05 " + "x" * 40, "N/A" + " " * 60, "a" * 50, "a" * 40]
+    (r,) = P.profile({"t": spark.createDataFrame([(x,) for x in rows], "t string")}, C.NULL_SPELLINGS).collect()
+    assert (r.n_rows, r.nulls, r.distinct_values, r.distinct_shapes, r.type) == (7, 1, 6, 3, "decimal")
+
+
 def test_manifests_find_what_changed(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", {"k": 1}), (2, None, None), (2, None, None)], "i int, t string, m map<string,int>")
     save_with_manifest({"t": df, "none": df.limit(0)}, str(tmp_path / "a"))
