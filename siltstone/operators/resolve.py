@@ -58,25 +58,41 @@ def match_rekeyed(df: DataFrame, key: str, offset: int, name: str, email: str, t
     return pairs.withColumn("similarity", score).withColumn("email_conflict", conflict).select("high", "low", "similarity", "email_conflict", ((F.col("similarity") >= threshold) & ~conflict).alias("holds"))
 
 
+def shortened(text: Column, deletions: int) -> Column:
+    """Every text that up to `deletions` deletions of a letter leave of a text, itself first."""
+    # the letters of a text before `to` may still be deleted, so each choice of places is made once
+    start = F.array(F.struct(text.alias("t"), (F.length(text) + 1).alias("to")))
+    places = lambda x: F.when(x["to"] > 1, F.sequence(F.lit(1), x["to"] - 1)).otherwise(F.array().cast("array<int>"))
+    less = lambda x: F.transform(places(x), lambda i: F.struct(F.concat(F.substring(x["t"], F.lit(1), i - 1), F.substring(x["t"], i + 1, F.length(x["t"]))).alias("t"), i.alias("to")))
+    level, found = start, [start]
+    for _ in range(deletions):
+        level = F.flatten(F.transform(level, less))
+        found.append(level)
+    return F.when(text.isNotNull(), F.array_distinct(F.transform(F.concat(*found), lambda x: x["t"])))
+
+
 def best_match_evidence(df: DataFrame, pairs: DataFrame, key: str, name: str, edits: int = 2) -> DataFrame:
     """Whether each pair's low key is the one best match of the high key's name among all other names within `edits`.
 
-    Names meet in blocks of runs of three letters. An edit changes three runs at most, so two names that are `edits` apart
-    share one of the 3 * edits + 1 rarest runs of each, in one order of all runs by how many names have them: no match
-    within `edits` is lost, and frequent runs make blocks only for names that have nothing rarer. Names of fewer than
-    three letters are one run. Null names match nothing; pairs without a match are not in the result.
+    Two names within `edits` have a text in common that at most so many deletions leave of each. Names meet by hashes of
+    these texts, and only names that meet are compared: no match is lost, and a name meets few others, however many share
+    a beginning. Names that several keys have are compared once. Null names match nothing; pairs without a match are not in
+    the result.
     """
-    padded = F.concat(F.lit("^^"), F.col("n"), F.lit("$"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
-    named = df.select(F.col(key).alias("k"), folded(F.col(name)).alias("n")).select("k", "n", F.explode(runs).alias("run"))
-    often = named.groupBy("run").agg(F.count(F.lit(1)).alias("c"))
-    # letters are a to z and two marks, so there are 28 ** 3 runs at most, and the run that most names begin with stays where it is
-    rarest = named.join(F.broadcast(often), "run").groupBy("k", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "run"))), 1, 3 * edits + 1).alias("x")).select("k", "n", F.explode("x.run").alias("run"))
-    high = rarest.join(pairs.select(F.col("high").alias("k"), "low"), "k").select(F.col("k").alias("high"), "low", F.col("n").alias("hn"), "run")
-    near = F.levenshtein("hn", "n", edits)
-    other = high.join(rarest, "run").filter(F.col("k") != F.col("high")).select("high", "low", "k", near.alias("d")).filter("d >= 0").distinct()
-    best = other.withColumn("r", F.rank().over(Window.partitionBy("high").orderBy("d"))).filter("r = 1")
-    return best.groupBy("high", "low").agg(F.count(F.lit(1)).alias("ties"), F.bool_or(F.col("k") == F.col("low")).alias("is_best"))
+    named = df.select(F.col(key).alias("k"), folded(F.col(name)).alias("n")).filter("n IS NOT NULL")
+    # names are small and what is made of them is not: a set number of parts is not put together by their size
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = named.repartition(parts, "n").groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    wanted = pairs.select("high", "low").join(named.withColumnsRenamed({"k": "high", "n": "hn"}), "high")
+    met = lambda df, n, *more: df.select(n, *more, F.explode(F.transform(shortened(F.col(n), edits), lambda x: F.xxhash64(x))).alias("h"))
+    # the texts that are left are many times the names, which a broadcast by the size of the names does not see
+    near = met(wanted.select("hn").repartition(parts, "hn").distinct(), "hn").hint("merge").join(met(names, "n", "c"), "h").filter("n <> hn").select("hn", "n", "c", F.levenshtein("hn", "n", edits).alias("d")).filter("d >= 0").distinct()
+    others = near.groupBy("hn").agg(*[F.sum(F.when(F.col("d") == i, F.col("c")).otherwise(0)).alias(f"d{i}") for i in range(1, edits + 1)])
+    same = names.select(F.col("n").alias("hn"), (F.col("c") - 1).alias("d0"))
+    told = wanted.join(same, "hn").join(others, "hn", "left").join(named.select(F.col("k").alias("low"), F.col("n").alias("ln")), "low", "left")
+    best = F.coalesce(*[F.when(F.col(f"d{i}") > 0, F.struct(F.lit(i).alias("d"), F.col(f"d{i}").alias("ties"))) for i in range(edits + 1)])
+    found = told.withColumn("best", best).filter("best IS NOT NULL")
+    return found.groupBy("high", "low").agg(F.max("best.ties").alias("ties"), F.bool_or(F.coalesce(F.levenshtein("hn", "ln", edits) == F.col("best.d"), F.lit(False))).alias("is_best"))
 
 
 def apply_merges(df: DataFrame, pairs: DataFrame, key: str, fill: list[str], earliest: list[str]) -> DataFrame:

@@ -205,6 +205,15 @@ def test_best_match_finds_typos_in_frequent_names(spark):
     assert {r.high: (r.is_best, r.ties) for r in R.best_match_evidence(df, pairs, "k", "n").collect()} == {1100: (True, 1), 1005: (True, 1)}
 
 
+def test_best_match_of_short_names_and_of_names_of_many_keys(spark):
+    assert one(spark, "abc", lambda c: R.shortened(c, 2)) == ["abc", "bc", "ac", "ab", "c", "b", "a"] and one(spark, "", lambda c: R.shortened(c, 2)) == [""] and one(spark, None, lambda c: R.shortened(c, 2)) is None
+    names = [(1, "ab"), (1001, "cd"), (2, "long name"), (1002, "long name"), (3, "long name"), (4, "other words"), (1004, "order words"), (1003, "lonk nane")]
+    df = spark.createDataFrame(names, "k long, n string")
+    pairs = spark.createDataFrame([(1001, 1), (1002, 2), (1003, 3), (1004, 4), (1004, 2)], "high long, low long")
+    got = {(r.high, r.low): (r.is_best, r.ties) for r in R.best_match_evidence(df, pairs, "k", "n").collect()}
+    assert got == {(1001, 1): (True, 1), (1002, 2): (True, 2), (1003, 3): (True, 3), (1004, 4): (True, 1), (1004, 2): (False, 1)}
+
+
 def test_dimension_keys_are_gapless_over_pieces(spark):
     df = spark.createDataFrame([(i * 3 % 1000,) for i in range(1500)] + [(None,)], "k long")
     got = sorted((r.k, r.sk) for r in build_dim(df, "k", "sk", F.floor(F.col("k") / 64)).collect())
