@@ -22,6 +22,7 @@ from siltstone.operators import split as S
 from siltstone.operators import temporal as T
 from siltstone.operators.money import conform_money, money_problems
 from siltstone.plans.warehouse import build_booking_fact, build_dim
+from siltstone.sources import manifest as M
 from siltstone.sources.manifest import check_manifest, save_with_manifest
 from siltstone.sources.scratch import shared_folder
 from siltstone.sources.tables import save_tables
@@ -445,3 +446,12 @@ def test_manifests_find_what_changed(spark, tmp_path):
     for i, other in enumerate((df.limit(2), df.union(df), df.withColumn("t", F.coalesce("t", F.lit(""))), spark.createDataFrame([(1, None, {"k": 1}), (2, "a", None), (2, None, None)], df.schema))):
         save_tables({"t": other, "none": df.limit(0)}, str(tmp_path / f"b{i}"))
         assert {r["table"]: r.is_intact for r in check_manifest(spark, str(tmp_path / f"b{i}"), str(tmp_path / "a")).collect()} == {"t": False, "none": True}
+
+
+def test_manifests_add_hashes_up_as_longs(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("t"))
+    got = df.agg(*M.digest(df)).first()
+    hashes = [r.h for r in df.select(F.xxhash64("id", "t", F.col("id").isNull(), F.col("t").isNull()).alias("h")).collect()]
+    assert (got.n_rows, int(got.hash_sum)) == (1000, sum(hashes))
+    save_with_manifest({"a": df, "b": df}, str(tmp_path / "m"))
+    assert [tuple(r) for r in check_manifest(spark, str(tmp_path / "m"), names={"b"}).collect()] == [("b", 1000, True)]
