@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import UserDict
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.operators.split import only_values
@@ -18,13 +19,15 @@ Tables = dict[str, DataFrame]
 @dataclass(frozen=True)
 class FillRule:
     """Blanks of `column` in `table` take the value that `source` gives their `key`. source: from all tables as they stand to
-    rows of (key, column); a key with several values determines nothing, null keys and null values count for nothing."""
+    rows of (key, column); a key with several values determines nothing, null keys and null values count for nothing. reads:
+    the columns that a source which does more than hand on a table takes from its tables; by default all of them."""
 
     name: str
     table: str
     column: str
     key: str
     source: Callable[[Tables], DataFrame]
+    reads: tuple[str, ...] | None = None
 
     def values(self, tables: Tables) -> DataFrame:
         """(__key, __value): the one value of each key that has exactly one."""
@@ -32,6 +35,28 @@ class FillRule:
         return only_values(found, self.key, [self.column]).filter(F.col(self.column).isNotNull()).select(F.col(self.key).alias("__key"), F.col(self.column).alias("__value"))
 
 
+    def inputs(self, tables: Tables) -> set[tuple[str, str | None]]:
+        """(table, column) of all that may let the rule fill more once it changes; column None: any of the table."""
+        asked = _Asked(tables)
+        found = self.source(asked)
+        names = asked.names or set(tables)
+        handed_on = len(names) == 1 and all(found is tables[t] for t in names)
+        columns = (self.key, self.column) if handed_on else self.reads or (None,)
+        return {(self.table, self.key)} | {(t, c) for t in names for c in columns}
+
+
+class _Asked(UserDict):
+    """Tables that remember which of them were asked for."""
+
+    def __init__(self, tables: Tables):
+        super().__init__(tables)
+        self.names: set[str] = set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        self.names.add(name)
+        return super().__getitem__(name)
+
+
 def rule_column(column: str) -> str:
     """Where the name of the rule that filled a cell stands."""
     return f"{column}_rule"
@@ -46,10 +71,11 @@ def _filled(tables: Tables, rule: FillRule) -> DataFrame:
     return df.filter(~blank).unionByName(told.select(df.columns))
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = new_path(df.sparkSession, "fills")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _stored(df: DataFrame, rule: FillRule) -> tuple[DataFrame, int]:
+    """The table, stored, and the cells that the rule has filled in it so far, which are counted while it is written."""
+    path, seen = new_path(df.sparkSession, "fills"), Observation()
+    df.observe(seen, F.count_if(F.col(rule_column(rule.column)) == rule.name).alias("filled")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["filled"]
 
 
 def fill_chain(tables: Tables, rules: list[FillRule]) -> Tables:
@@ -58,24 +84,33 @@ def fill_chain(tables: Tables, rules: list[FillRule]) -> Tables:
 
     After every rule its table is stored in the shared folder, as later rules and rounds read it several times. A round fills
     at least one cell, so there are at most as many as the longest chain of rules; cells never change once they have a value.
+    A rule runs again only if something that it reads was filled since it ran, as it would fill nothing otherwise.
     """
     out = dict(tables)
     for rule in rules:
         if rule_column(rule.column) not in out[rule.table].columns:
             out[rule.table] = out[rule.table].withColumn(rule_column(rule.column), F.lit(None).cast("string"))
 
-    def blanks(table: str) -> int:
-        columns = {r.column for r in rules if r.table == table}
-        return out[table].agg(reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in sorted(columns)])).first()[0]
-
-    left = {t: -1 for t in {r.table for r in rules}}
+    changed, ran, filled = {}, {}, {}
+    now = 0
     while True:
-        for rule in rules:
-            out[rule.table] = _stored(_filled(out, rule))
-        now = {t: blanks(t) for t in left}
-        if now == left:
+        began = now
+        for i, rule in enumerate(rules):
+            inputs = rule.inputs(out)
+            if i in ran and not any(at > ran[i] and ((t, c) in inputs or (t, None) in inputs) for (t, c), at in changed.items()):
+                continue
+            stored, n = _stored(_filled(out, rule), rule)
+            first, cells = i not in ran, (rule.table, rule.column, rule.name)
+            ran[i] = now
+            if n != filled.get(cells, 0):
+                now += 1
+                filled[cells] = n
+                # its name of the rule changes with the cell
+                changed |= {(rule.table, c): now for c in (rule.column, rule_column(rule.column))}
+            if first or changed.get((rule.table, rule.column), 0) == now > ran[i]:
+                out[rule.table] = stored
+        if now == began:
             return out
-        left = now
 
 
 def fill_report(filled: Tables, rules: list[FillRule]) -> DataFrame:

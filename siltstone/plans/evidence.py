@@ -33,7 +33,7 @@ FILLS = [
     FillRule("country from city", "clients", "country", "city", lambda t: t["cities"]),
     FillRule("city from bookings", "clients", "city", "client", lambda t: t["bookings"]),
     FillRule("city from client", "bookings", "city", "client", lambda t: t["clients"]),
-    FillRule("days from work dates", "bookings", "days", "booking", lambda t: t["crew_lines"].groupBy("booking").agg(F.countDistinct("day").alias("days"))),
+    FillRule("days from work dates", "bookings", "days", "booking", lambda t: t["crew_lines"].groupBy("booking").agg(F.countDistinct("day").alias("days")), reads=("booking", "day")),
     FillRule("rate from lines", "roster", "rate", "crew", lambda t: t["crew_lines"]),
     FillRule("role from lines", "roster", "role", "crew", lambda t: t["crew_lines"]),
     FillRule("role from roster", "crew_lines", "role", "crew", lambda t: t["roster"]),

@@ -455,3 +455,17 @@ def test_manifests_add_hashes_up_as_longs(spark, tmp_path):
     assert (got.n_rows, int(got.hash_sum)) == (1000, sum(hashes))
     save_with_manifest({"a": df, "b": df}, str(tmp_path / "m"))
     assert [tuple(r) for r in check_manifest(spark, str(tmp_path / "m"), names={"b"}).collect()] == [("b", 1000, True)]
+
+
+def test_a_rule_runs_again_only_if_what_it_reads_was_filled(spark, monkeypatch):
+    ran, plain = [], L._filled
+    monkeypatch.setattr(L, "_filled", lambda tables, rule: (ran.append(rule.name), plain(tables, rule))[1])
+    a = spark.createDataFrame([(1, None, None), (2, "x", None)], "k int, city string, country string")
+    b = spark.createDataFrame([(1, "y", None), (3, "x", 5)], "k int, city string, n long")
+    c = spark.createDataFrame([("x", "X"), ("y", "Y")], "city string, country string")
+    counts = lambda t: t["b"].groupBy("k").agg(F.count("city").alias("n"))
+    rules = [L.FillRule("country", "a", "country", "city", lambda t: t["c"]), L.FillRule("city", "a", "city", "k", lambda t: t["b"]), L.FillRule("n", "b", "n", "k", counts, ("k", "city"))]
+    out = L.fill_chain({"a": a, "b": b, "c": c}, rules)
+    assert ran == ["country", "city", "n", "country"]
+    assert sorted((r.k, r.city, r.country) for r in out["a"].collect()) == [(1, "y", "Y"), (2, "x", "X")]
+    assert sorted((r.k, r.n, r.n_rule) for r in out["b"].collect()) == [(1, 1, "n"), (3, 5, None)]
