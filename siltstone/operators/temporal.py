@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +79,9 @@ def check_scd2(df: DataFrame, key: str, lo: str = "valid_from", hi: str = "valid
 
 def join_valid(df: DataFrame, scd: DataFrame, key: str, day: str, lo: str = "valid_from", hi: str = "valid_to") -> DataFrame:
     """Each event with the version in force on its day, for keys with a few versions: an equi-join on the key with the window
-    as residual condition. `intervals.join_intervals` and `join_as_of` are for keys with many."""
-    versions = scd.withColumnsRenamed({key: "__key"})
+    as residual condition. Versions are dealt by key, never broadcast: their size is guessed from that of the files below them,
+    which may be a small part of it. `intervals.join_intervals` and `join_as_of` are for keys with many."""
+    versions = scd.withColumnsRenamed({key: "__key"}).hint("shuffle_hash")
     return df.join(versions, (F.col(key) == F.col("__key")) & F.col(day).between(F.col(lo), F.col(hi)), "left").drop("__key")
 
 
@@ -96,17 +99,23 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, wanted: dict[s
 
     A first pass brackets each percentile between two approximate ones, whose ranks are off by at most a part in ACCURACY. A
     second one counts what is below a bracket (with its greatest value), above it (with its least) and, by value, inside it;
-    only the insides, a few parts in ACCURACY of the group, are put in order. Nulls are left out; groups of nulls only are
-    missing from the result.
+    only the insides, a few parts in ACCURACY of the group, are put in order. Rows stay where they are: the brackets, a few
+    numbers a group, go to them. So groups are labels, whose sketches and brackets a task can hold. Nulls are left out;
+    groups of nulls only are missing from the result.
     """
     known = rows.filter(F.col(value).isNotNull()).select(F.col(by[0]).alias("__by"), F.col(value).alias("__v"))
     near = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in wanted.values() for side in (-1, 1)]
     brackets = known.groupBy(F.col("__by").alias("__g")).agg(F.count(F.lit(1)).alias("__all"), F.percentile_approx("__v", F.array(*[F.lit(x) for x in near]), F.lit(ACCURACY)).alias("__at"))
-    beside = known.join(brackets, F.col("__by").eqNullSafe(F.col("__g")))
+    beside = known.join(F.broadcast(brackets), F.col("__by").eqNullSafe(F.col("__g")))
     side = lambda i: F.when(F.col("__v") < F.get("__at", F.lit(2 * i)), -1).when(F.col("__v") > F.get("__at", F.lit(2 * i + 1)), 1).otherwise(0)
-    laid = beside.select("__g", "__all", "__v", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), side(i).alias("side")) for i in range(len(wanted))])).alias("x"))
-    key = F.when(F.col("x.side") == 0, F.col("__v"))
-    counts = laid.groupBy("__g", "__all", F.col("x.i").alias("__i"), F.col("x.side").alias("__side"), key.alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    # rows are counted by their sides of all brackets at once, and told apart by percentile when they are few
+    sides = [f"__side{i}" for i in range(len(wanted))]
+    told = beside.select("__g", "__all", "__v", *[side(i).alias(s) for i, s in enumerate(sides)])
+    within = reduce(lambda a, b: a | b, [F.col(s) == 0 for s in sides])
+    few = told.groupBy("__g", "__all", *sides, F.when(within, F.col("__v")).alias("__inner")).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    laid = few.select("__g", "__all", "__inner", "__n", "__least", "__most", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(s).alias("side")) for i, s in enumerate(sides)])).alias("x"))
+    key = F.when(F.col("x.side") == 0, F.col("__inner"))
+    counts = laid.groupBy("__g", "__all", F.col("x.i").alias("__i"), F.col("x.side").alias("__side"), key.alias("__key")).agg(F.sum("__n").alias("__n"), F.min("__least").alias("__least"), F.max("__most").alias("__most"))
     up = Window.partitionBy("__g", "__i").orderBy("__side", "__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counts.withColumn("__to", F.sum("__n").over(up)).withColumn("__from", F.col("__to") - F.col("__n"))
     found = placed.groupBy(F.col("__g").alias("__by")).agg(*[_at_rank(name, i, p) for i, (name, p) in enumerate(wanted.items())])

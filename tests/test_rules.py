@@ -469,3 +469,15 @@ def test_a_rule_runs_again_only_if_what_it_reads_was_filled(spark, monkeypatch):
     assert ran == ["country", "city", "n", "country"]
     assert sorted((r.k, r.city, r.country) for r in out["a"].collect()) == [(1, "y", "Y"), (2, "x", "X")]
     assert sorted((r.k, r.n, r.n_rule) for r in out["b"].collect()) == [(1, 1, "n"), (3, 5, None)]
+
+
+def test_rows_of_percentiles_and_versions_of_prices_do_not_gather(spark):
+    lines = spark.range(100).select((F.col("id") % 7).alias("sku"), F.lit("1996-01-01").cast("date").alias("day"), (F.col("id") + 1).cast("double").alias("paid"), (F.col("id") % 3).alias("flag"))
+    versions = spark.range(7).select(F.col("id").alias("sku"), F.lit("1995-01-01").cast("date").alias("valid_from"), F.lit("1997-01-01").cast("date").alias("valid_to"), F.lit(2.0).alias("list_price"))
+    plan_of = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    joined = T.join_valid(lines, versions, "sku", "day")
+    assert "BroadcastHashJoin" not in plan_of(joined) and joined.filter("list_price = 2").count() == 100
+    rows = lines.withColumn("x", F.col("paid"))
+    found = T.exact_percentiles(rows, ["flag"], "x", {"low": 0.1, "mid": 0.5})
+    assert "SortMergeJoin" not in plan_of(found)
+    assert {r["__by"]: r.mid for r in found.collect()} == {0: 50.5, 1: 50.0, 2: 51.0}
