@@ -70,13 +70,16 @@ def price_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("sku", "version", (F.col("price") + F.col("version") * 10).cast(MONEY).alias("list_price"), F.when(inverted, hi).otherwise(lo).alias("valid_from"), F.when(inverted, lo).otherwise(hi).alias("valid_to"))
 
 
-def merch_lines(spark: SparkSession, sf_dir: str, priced: bool = True) -> DataFrame:
+def merch_lines(spark: SparkSession, sf_dir: str, priced: bool = True, by_sku: bool = False) -> DataFrame:
     """One row per order line with its measures. priced: with the columns cogs, list_value and version, which are those of the
-    price version in force on its day (null if there is none); without them no version is joined."""
+    price version in force on its day (null if there is none); without them no version is joined. by_sku: dealt by sku, for what
+    groups the lines by it."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     gross, quantity = F.col("l_extendedprice").cast(MONEY), F.col("l_quantity").cast("int")
     refund = F.when(F.col("l_returnflag") == "R", F.round(gross * F.lit("0.30").cast("decimal(4,2)"), 2)).otherwise(0).cast(MONEY)
-    sold = line.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).withColumn("__day", F.col("l_shipdate").cast("date"))
+    known = part.select("p_partkey", "p_brand")
+    # versions are met by part as well, so one shuffle of the lines serves both joins
+    sold = line.join(known.hint("shuffle_hash") if priced or by_sku else known, F.col("l_partkey") == F.col("p_partkey")).withColumn("__day", F.col("l_shipdate").cast("date"))
     own = [
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("sku"), F.col("p_brand").alias("collection"),
         F.col("__day").alias("order_date"), quantity.alias("quantity"), gross.alias("gross"), F.round(gross * F.col("l_discount").cast("decimal(5,4)"), 2).cast(MONEY).alias("discount"),
@@ -87,8 +90,8 @@ def merch_lines(spark: SparkSession, sf_dir: str, priced: bool = True) -> DataFr
     if not priced:
         return sold.select(*own)
     cost = F.round(F.col("list_price") * F.lit("0.60").cast("decimal(4,2)"), 2).cast(MONEY)
-    versions = repair_scd2(price_versions(spark, sf_dir), "sku").select(F.col("sku").alias("p_partkey"), "version", "list_price", "valid_from", "valid_to")
-    return join_valid(sold, versions, "p_partkey", "__day").select(*own, (cost * quantity).cast(MONEY).alias("cogs"), (F.col("list_price") * quantity).cast(MONEY).alias("list_value"), "version")
+    versions = repair_scd2(price_versions(spark, sf_dir), "sku").select(F.col("sku").alias("p_partkey"), "version", "list_price", cost.alias("__cost"), "valid_from", "valid_to")
+    return join_valid(sold, versions, "p_partkey", "__day").select(*own, (F.col("__cost") * quantity).cast(MONEY).alias("cogs"), (F.col("list_price") * quantity).cast(MONEY).alias("list_value"), "version")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
