@@ -82,7 +82,7 @@ def q07_unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q08_refunds_by_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refund rate of each SKU against the store's, and the reason with the largest refunds."""
     lines = merch_lines(spark, sf_dir, priced=False)
-    reasons = lines.groupBy("sku", "reason").agg(F.sum("gross").alias("gross"), F.sum("refunded").alias("refunded"), F.bool_or("has_refund").alias("has_refund"))
+    reasons = merch_lines(spark, sf_dir, priced=False, by_sku=True).groupBy("sku", "reason").agg(F.sum("gross").alias("gross"), F.sum("refunded").alias("refunded"), F.bool_or("has_refund").alias("has_refund"))
     most = F.min_by("reason", F.when(F.col("has_refund"), F.struct(-F.col("refunded"), "reason")))
     sku = reasons.groupBy("sku").agg(F.sum("gross").alias("gross"), F.sum("refunded").alias("refunded"), most.alias("top_reason"))
     store = lines.agg(ratio(F.sum("refunded"), F.sum("gross")).alias("store_rate"))

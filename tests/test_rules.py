@@ -21,6 +21,7 @@ from siltstone.operators import resolve as R
 from siltstone.operators import split as S
 from siltstone.operators import temporal as T
 from siltstone.operators.money import conform_money, money_problems
+from siltstone.plans.revenue import q01_quarterly_revenue
 from siltstone.plans.warehouse import build_booking_fact, build_dim
 from siltstone.sources import manifest as M
 from siltstone.sources.manifest import check_manifest, save_with_manifest
@@ -481,3 +482,13 @@ def test_rows_of_percentiles_and_versions_of_prices_do_not_gather(spark):
     found = T.exact_percentiles(rows, ["flag"], "x", {"low": 0.1, "mid": 0.5})
     assert "SortMergeJoin" not in plan_of(found)
     assert {r["__by"]: r.mid for r in found.collect()} == {0: 50.5, 1: 50.0, 2: 51.0}
+
+
+def test_revenue_reads_both_tables_once_and_keeps_rows_without_a_day(spark, tmp_path):
+    day = F.to_timestamp(F.col("d"))
+    o = spark.createDataFrame([("2024-01-02", 1.1), ("2024-05-02", 2.0), (None, 9.0)], "d string, o_totalprice double").withColumn("o_orderdate", day)
+    l = spark.createDataFrame([("2024-01-02", 10.0, 0.05), ("2024-03-31", 0.1, 0.05), ("2024-01-02", 10.0, None), ("2024-07-01", None, 0.1)], "d string, l_extendedprice double, l_discount double").withColumn("l_shipdate", day)
+    save_tables({"orders": o, "lineitem": l}, str(tmp_path))
+    found = q01_quarterly_revenue(spark, str(tmp_path))
+    assert found._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
+    assert {tuple(r) for r in found.collect()} == {("2024Q1", 1.1, 9.6), ("2024Q2", 2.0, 0.0), ("2024Q3", 0.0, 0.0), (None, 0.0, 0.0)}
