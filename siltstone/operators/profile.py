@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,15 +40,20 @@ def _kept(text: Column) -> Column:
 
 
 def shape(c: Column) -> Column:
-    """Runs of digits as 9, runs of letters as A."""
-    return F.regexp_replace(F.regexp_replace(c, r"\d+", "9"), r"\p{L}+", "A")
+    """Runs of digits as 9, runs of letters as A. Letters first, as that leaves less to look at."""
+    return F.regexp_replace(F.regexp_replace(c, r"\p{L}+", "A"), r"\d+", "9")
 
 
-def _bits(c: Column) -> Column:
-    """The classes that a text fits, a bit for each in their order. All but boolean have a digit, and that is short."""
-    fit = {k: F.when(c.rlike(p), 1 << i).otherwise(0) for i, (k, p) in enumerate(CLASSES.items())}
-    short = F.when(F.length(c) <= 7, fit.pop("boolean")).otherwise(0)
-    return short + F.when(c.rlike("[0-9]"), reduce(lambda a, b: a + b, fit.values())).otherwise(0)
+def _bits(c: Column, s: Column) -> Column:
+    """The classes that a text of shape s fits, a bit for each in their order. A pattern is tried only where the shape, which
+    may end in a line break of two characters, allows it."""
+    n, starts = F.length(s), lambda *xs: reduce(lambda a, b: a | b, [s.startswith(x) for x in xs])
+    may = {
+        "boolean": (n <= 3) & (F.length(c) <= 7), "integer": (n <= 4) & starts("9", "-9"), "decimal": (n <= 6) & starts("9.9", ".9", "-9.9", "-.9"),
+        "timestamp": starts("9-9-9 9:9", "9-9-9A9:9"), "date": n.between(5, 8) & starts("9-9-9", "9/9/9", "9-A-9", "A 9, 9", "9.9.9"),
+        "money": (~s.startswith("9") | s.startswith("9,9")) & s.contains("9") & F.substring(s, 1, 4).rlike(r"^[(-]?([$₦£€A] ?9|9,9)"),
+    }
+    return reduce(lambda a, b: a + b, [F.when(may[k] & c.rlike(p), 1 << i).otherwise(0) for i, (k, p) in enumerate(CLASSES.items())])
 
 
 def _has(bits: Column, name: str) -> Column:
@@ -73,8 +81,8 @@ def _cells(df: DataFrame, first: int, null_spellings: tuple[str, ...]) -> DataFr
     # one step after another, so no cell is written as text twice
     rows = df.select(*[cell(df, c).alias(f"t{i}") for i, c in enumerate(df.columns)])
     rows = rows.select("*", *[F.when(F.length(f"t{i}") > SHOWN, _known(F.col(f"t{i}"), null_spellings)).alias(f"k{i}") for i in free])
-    rows = rows.select("*", *[x for i in free for x in (F.when(F.length(f"t{i}") <= SHOWN, F.col(f"t{i}")).otherwise(_kept(F.col(f"k{i}"))).alias(f"d{i}"), shape(F.col(f"k{i}")).alias(f"s{i}"), _bits(F.col(f"k{i}")).alias(f"m{i}"))])
-    rows = rows.select("*", *[_kept(F.col(f"s{i}")).alias(f"z{i}") for i in free])
+    rows = rows.select("*", *[x for i in free for x in (F.when(F.length(f"t{i}") <= SHOWN, F.col(f"t{i}")).otherwise(_kept(F.col(f"k{i}"))).alias(f"d{i}"), shape(F.col(f"k{i}")).alias(f"s{i}"))])
+    rows = rows.select("*", *[x for i in free for x in (_kept(F.col(f"s{i}")).alias(f"z{i}"), _bits(F.col(f"k{i}"), F.col(f"s{i}")).alias(f"m{i}"))])
     cells = []
     for i in range(len(df.columns)):
         told = [F.col(f"d{i}"), F.col(f"z{i}"), F.col(f"m{i}")] if i in free else [F.col(f"t{i}"), F.lit(None).cast("string"), F.lit(None).cast("int")]
@@ -102,7 +110,7 @@ def profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...]) -> Da
     long = F.length("d") > SHOWN
     known = counted.withColumn("d", F.when(long, F.col("d")).otherwise(_known(F.col("d"), null_spellings)))
     shaped = known.withColumn("s", F.when(long, F.col("s")).otherwise(shape(F.col("d"))))
-    values = _stored(shaped.select("c", "d", "n", F.when(long, F.col("s")).otherwise(_kept(F.col("s"))).alias("s"), F.when(long, F.col("m")).otherwise(_bits(F.col("d"))).alias("m")))
+    values = _stored(shaped.select("c", "d", "n", F.when(long, F.col("s")).otherwise(_kept(F.col("s"))).alias("s"), F.when(long, F.col("m")).otherwise(_bits(F.col("d"), F.col("s"))).alias("m")))
     values = values.withColumn("p", F.substring("d", 1, SHOWN))
     some = F.col("d").isNotNull()
     # each column in pieces by the hash of the value: the third least of their least values is no less than the third least value
@@ -122,46 +130,110 @@ def profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...]) -> Da
     return joined.select(named(0).alias("table"), named(1).alias("column"), "n_rows", "nulls", F.round(F.col("nulls") / F.col("n_rows"), 6).alias("null_rate"), "distinct_values", F.coalesce("distinct_shapes", F.lit(0)).alias("distinct_shapes"), "least", "greatest", kind.alias("type"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
-def _typed_cell(df: DataFrame, column: str, text: Column) -> tuple[Column, Column]:
-    """Shape and classes of a cell by its number or time where its text can have one form only, else by its text. text: the
-    cell as text, null if it spells a null."""
-    c, kind, bit = F.col(f"`{column}`"), dict(df.dtypes)[column], {k: 1 << i for i, k in enumerate(CLASSES)}
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        usual, told = c.isNotNull(), F.when(c < 0, "-9").otherwise("9")
-        bits = F.when(c.isin(0, 1), bit["boolean"]).otherwise(0) + F.when(c.cast("bigint").between(1 - 10**18, 10**18 - 1), bit["integer"]).otherwise(0)
-    elif kind in ("float", "double"):
-        # outside of this the text has an exponent or is no number
-        usual, told, bits = F.abs(c).between(0.001, 9_999_999.0), F.when(c < 0, "-9.9").otherwise("9.9"), F.lit(bit["decimal"])
-    elif kind.startswith("timestamp"):
-        # years of four digits
-        usual, told, bits = F.substring(text, 5, 1) == "-", F.when(F.length(text) > 19, "9-9-9 9:9:9.9").otherwise("9-9-9 9:9:9"), F.lit(bit["timestamp"])
-    else:
-        return shape(text), _bits(text)
-    usual = usual & text.isNotNull()
-    return F.when(usual, told).otherwise(shape(text)), F.when(usual, bits).otherwise(_bits(text))
+class _Cells(NamedTuple):
+    """Rows (c, l, x, t, s, z, m, n), n equal cells: the number of a column and a whole number, double or time as it is, where
+    its text can have one form only, else its text, shape and classes, texts as kept; all null where the cells are null or spell
+    a null. Also the table and name of each column."""
 
+    rows: DataFrame
+    names: list[tuple[str, str]]
 
-def sketch_profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...], accuracy: int = 14) -> DataFrame:
-    """As `profile`, with estimates of the distinct values and shapes and without examples, in one pass over each table:
-    every task keeps two mergeable sketches of 2 ** accuracy registers a column, and only these are sent. Estimates are off
-    by about 1.3 / sqrt(2 ** accuracy) of the number; small numbers are exact."""
-    parts = []
+    def named(self, i: int) -> Column:
+        return F.element_at(F.array(*[F.lit(x[i]) for x in self.names]), F.col("c") + 1)
+
+
+def _typed_cells(tables: dict[str, DataFrame], null_spellings: tuple[str, ...], shaped: Callable[[Column], Column]) -> _Cells:
+    """Every cell of every table, with shape and classes of those texts for which `shaped` holds. Cells stand below each other,
+    so what is compiled to look at them is as short for wide tables as for narrow ones, short enough to be optimised."""
+    names, parts = [(name, c) for name, df in tables.items() for c in df.columns], []
+    # a spelling of null that holds a digit may be a number
+    typed, fields = not any(re.search(r"\d", x) for x in null_spellings), {"l": "bigint", "x": "double", "t": "timestamp_ntz", "s": "string"}
     for name, df in tables.items():
-        told = df.select("*", *[_known(cell(df, c), null_spellings).alias(f"__{i}") for i, c in enumerate(df.columns)])
-        typed = [_typed_cell(df, c, F.col(f"__{i}")) for i, c in enumerate(df.columns)]
-        known = told.select(*[x.alias(f"{n}{i}") for i, (s, m) in enumerate(typed) for n, x in (("c", F.col(f"__{i}")), ("s", s), ("m", m))])
-        aggregates, rows = [F.count(F.lit(1)).alias("n_rows")], []
-        for i, c in enumerate(df.columns):
-            v = F.col(f"c{i}")
-            counted = {"known": F.count(v), "least": F.min(F.substring(v, 1, SHOWN)), "greatest": F.max(F.substring(v, 1, SHOWN)), "values": F.hll_sketch_agg(v, accuracy), "shapes": F.hll_sketch_agg(f"s{i}", accuracy)}
-            counted |= {k: F.count_if(_has(F.col(f"m{i}"), k)) for k in CLASSES}
-            aggregates += [x.alias(f"{k}{i}") for k, x in counted.items()]
-            of = lambda k, i=i: F.col(f"{k}{i}")
-            estimate = lambda k, i=i: F.when(F.col(f"known{i}") > 0, F.hll_sketch_estimate(f"{k}{i}")).otherwise(0)
-            rows.append(F.struct(F.lit(c).alias("column"), (F.col("n_rows") - of("known")).alias("nulls"), estimate("values").alias("distinct_values"), estimate("shapes").alias("distinct_shapes"), of("least").alias("least"), of("greatest").alias("greatest"), _classified(of("known"), {k: of(k) for k in CLASSES}).alias("type")))
-        found = known.agg(*aggregates).select(F.lit(name).alias("table"), "n_rows", F.explode(F.array(*rows)).alias("x"))
-        parts.append(found.filter("n_rows > 0").select("table", "x.column", "n_rows", "x.nulls", F.round(F.col("x.nulls") / F.col("n_rows"), 6).alias("null_rate"), "x.distinct_values", "x.distinct_shapes", "x.least", "x.greatest", "x.type"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        cells = []
+        for c, kind in df.dtypes:
+            of = "s" if not typed else "l" if kind in ("tinyint", "smallint", "int", "bigint") else "x" if kind == "double" else "t" if kind.startswith("timestamp") else "s"
+            told = cell(df, c) if of == "s" else F.col(f"`{c}`").cast(fields[of])
+            cells.append(F.struct(F.lit(names.index((name, c))).alias("c"), *[(told if k == of else F.lit(None).cast(v)).alias(k) for k, v in fields.items()]))
+        parts.append(df.select(F.inline(F.array(*cells))))
+    s, t, x, z = F.col("s"), F.col("t"), F.col("x"), F.col("z")
+    # outside of these the text of a double has an exponent or is no number, and years have a sign
+    usual_x, usual_t = F.abs(x).between(0.001, 9_999_999.0), t.between(F.expr("timestamp_ntz'0001-01-01 00:00:00'"), F.expr("timestamp_ntz'9999-12-31 23:59:59.999999'"))
+    text = F.when(~usual_x, x.cast("string")).when(~usual_t, t.cast("string")).otherwise(s)
+    rows = reduce(lambda a, b: a.unionByName(b), parts).select("c", "l", F.when(usual_x, x).alias("x"), F.when(usual_t, t).alias("t"), text.alias("s"))
+    # one step after another, so no text is looked at twice
+    rows = rows.withColumn("s", _known(s, null_spellings)).withColumn("z", F.when(shaped(s), shape(s)))
+    return _Cells(rows.select("c", "l", "x", "t", _kept(s).alias("s"), _kept(z).alias("z"), F.when(z.isNotNull(), _bits(s, z)).alias("m"), F.lit(1).cast("bigint").alias("n")), names)
+
+
+def _counted(tables: dict[str, DataFrame], null_spellings: tuple[str, ...]) -> _Cells:
+    """Equal cells once, in the shared folder. They meet by numbers, times and kept texts, before the shape of a short text is
+    looked for."""
+    cells = _typed_cells(tables, null_spellings, lambda s: F.length(s) > SHOWN)
+    s, z = F.col("s"), F.col("z")
+    rows = cells.rows.groupBy("c", "l", "x", "t", "s", "z", "m").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("w", F.when(z.isNull(), shape(s)))
+    return cells._replace(rows=_stored(rows.select("c", "l", "x", "t", "s", F.coalesce(z, _kept(F.col("w"))).alias("z"), F.coalesce("m", _bits(s, F.col("w"))).alias("m"), "n")))
+
+
+def _by_kind(l: Callable, x: Callable, t: Callable, s: Callable) -> Column:
+    """What is told of a typed cell by what it holds; null where it holds nothing."""
+    return reduce(lambda a, k: a.when(F.col(k[0]).isNotNull(), k[1](F.col(k[0]))), (("x", x), ("t", t), ("s", s)), F.when(F.col("l").isNotNull(), l(F.col("l"))))
+
+
+def _typed_shape(told: Callable[[Column], Column]) -> Column:
+    """`told` of the shape of a cell."""
+    parted = lambda t: F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(1_000_000)) != 0
+    either = lambda b, yes, no: F.when(b, told(F.lit(yes))).otherwise(told(F.lit(no)))
+    return _by_kind(lambda l: either(l < 0, "-9", "9"), lambda x: either(x < 0, "-9.9", "9.9"), lambda t: either(parted(t), "9-9-9 9:9:9.9", "9-9-9 9:9:9"), lambda _: told(F.col("z")))
+
+
+def _distinct(cells: _Cells) -> DataFrame:
+    """Per column: the exact number of distinct values and shapes, as `profile` has them, of cells that are counted."""
+    shapes = cells.rows.select("c", _typed_shape(lambda z: z).alias("z")).groupBy("c", "z").agg(F.count("z").alias("n"))
+    counts = shapes.groupBy("c").agg(F.sum("n").alias("distinct_values"), F.count("z").alias("distinct_shapes"))
+    return counts.select(cells.named(0).alias("table"), cells.named(1).alias("column"), "distinct_values", "distinct_shapes")
+
+
+def _sketched(cells: _Cells, accuracy: int) -> DataFrame:
+    bit = {k: 1 << i for i, k in enumerate(CLASSES)}
+    some = lambda b, k: F.when(b, bit[k]).otherwise(0)
+    whole = lambda l: some(l.isin(0, 1), "boolean") + some(l.between(1 - 10**18, 10**18 - 1), "integer")
+    told = cells.rows.select(
+        "c", "t", "n", F.coalesce(F.col("l").cast("string"), F.col("x").cast("string"), F.substring("s", 1, SHOWN)).alias("p"),
+        _by_kind(lambda l: l, F.xxhash64, F.xxhash64, F.xxhash64).alias("value"), _typed_shape(F.xxhash64).alias("shape"),
+        _by_kind(whole, lambda _: F.lit(bit["decimal"]), lambda _: F.lit(bit["timestamp"]), lambda _: F.col("m")).alias("m"),
+    )
+    # a column fits few sets of classes, so these are counted by their rows; unknown cells have none
+    sets = told.groupBy("c", "m").agg(
+        F.sum("n").alias("n"), F.min("t").cast("string").alias("t0"), F.max("t").cast("string").alias("t1"), F.min("p").alias("p0"), F.max("p").alias("p1"),
+        F.hll_sketch_agg("value", accuracy).alias("values"), F.hll_sketch_agg("shape", accuracy).alias("shapes"),
+    )
+    counts = {"known": F.col("m").isNotNull(), **{f"r_{k}": _has(F.col("m"), k) for k in CLASSES}}
+    # the text of times is in their order
+    found = sets.groupBy("c").agg(
+        F.sum("n").alias("n_rows"), *[F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(k) for k, x in counts.items()],
+        F.min(F.least("t0", "p0")).alias("least"), F.max(F.greatest("t1", "p1")).alias("greatest"), F.hll_union_agg("values").alias("values"), F.hll_union_agg("shapes").alias("shapes"),
+    )
+    nulls = F.col("n_rows") - F.col("known")
+    estimate = lambda k: F.when(F.col("known") > 0, F.hll_sketch_estimate(k)).otherwise(0)
+    return found.select(
+        cells.named(0).alias("table"), cells.named(1).alias("column"), "n_rows", nulls.alias("nulls"), F.round(nulls / F.col("n_rows"), 6).alias("null_rate"), estimate("values").alias("distinct_values"),
+        estimate("shapes").alias("distinct_shapes"), "least", "greatest", _classified(F.col("known"), {k: F.col(f"r_{k}") for k in CLASSES}).alias("type"),
+    )
+
+
+def sketch_profile(tables: dict[str, DataFrame], null_spellings: tuple[str, ...], accuracy: int = 14) -> DataFrame:
+    """As `profile`, with estimates of the distinct values and shapes and without examples, in one pass over all tables: every
+    task keeps a few mergeable sketches of 2 ** accuracy registers a column, and only these are sent. Estimates are off by about
+    1.3 / sqrt(2 ** accuracy) of the number; small numbers are exact."""
+    return _sketched(_typed_cells(tables, null_spellings, lambda s: s.isNotNull()), accuracy)
+
+
+def sketches_and_counts(tables: dict[str, DataFrame], null_spellings: tuple[str, ...], accuracy: int = 14) -> tuple[DataFrame, DataFrame]:
+    """`sketch_profile`, and the exact distinct values and shapes that its estimates stand for. Whoever counts must bring equal
+    cells together; a sketch is the same whether it sees a cell once or often, so here it sees each once, with its number."""
+    cells = _counted(tables, null_spellings)
+    return _sketched(cells, accuracy), _distinct(cells)
 
 
 def summarise(profiled: DataFrame) -> DataFrame:

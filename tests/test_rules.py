@@ -21,6 +21,7 @@ from siltstone.operators import resolve as R
 from siltstone.operators import split as S
 from siltstone.operators import temporal as T
 from siltstone.operators.money import conform_money, money_problems
+from siltstone.plans import warehouse
 from siltstone.plans.revenue import q01_quarterly_revenue
 from siltstone.plans.warehouse import build_booking_fact, build_dim
 from siltstone.sources import manifest as M
@@ -440,6 +441,56 @@ def test_long_texts_keep_their_shapes_and_classes(spark):
     assert (r.n_rows, r.nulls, r.distinct_values, r.distinct_shapes, r.type) == (7, 1, 6, 3, "decimal")
 
 
+def test_sketches_and_counts_of_odd_cells_are_those_of_profiles(spark):
+    numbers = [0.0, -0.0, 1e7, 9_999_999.0, 0.001, 0.0009, -5.25, float("nan"), float("inf"), None]
+    ints = [0, 1, -1, 10**18, 10**18 - 1, -(2**63), 2**63 - 1, None, 7, -7]
+    times = [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(1, 1, 1), dt.datetime(2024, 1, 2, 3, 4, 5, 6), None] + [dt.datetime(9999, 12, 31)] * 6
+    texts = ["1" * 45 + ".5", "x" * 50 + "1", "N/A" + " " * 60, "2024-01-02 03:04:05 " + "x" * 40, "t", "2024-01-05", "USD 12,000.50", " n/a ", "(1,234.50)", "1.5\n"]
+    df = spark.createDataFrame(list(zip(numbers, ints, times, texts)), "d double, i bigint, t timestamp_ntz, s string")
+    tables = {"t": df.unionAll(df), "none": df.limit(0)}
+    for nulls in (C.NULL_SPELLINGS, ("", "7", "-5.25")):
+        exact = {r.column: r.asDict() for r in P.profile(tables, nulls).collect()}
+        direct = {r.column: r.asDict() for r in P.sketch_profile(tables, nulls).collect()}
+        once, counts = P.sketches_and_counts(tables, nulls)
+        assert {r.column: r.asDict() for r in once.collect()} == direct == {c: {k: r[k] for k in direct[c]} for c, r in exact.items()}
+        assert {r.column: r.asDict() for r in counts.collect()} == {c: {k: r[k] for k in ("table", "column", "distinct_values", "distinct_shapes")} for c, r in exact.items()}
+
+
+def test_classes_are_found_behind_their_shapes(spark):
+    odd = ["1\n", "-1\r\n", "t\n", "False\r\n", ".5", "-.5\n", "5.", "1234567890123456789", "2024-01-05T10:00", "2024-01-05x", "1/2/2024\n", "1-Jan-24", "Juni 5, 2024", "5.1.2024\r\n", "JÜNI 5, 2024"]
+    odd += ["$5", "(£ 1,000.5)", "ngn5", "NGN 1,000", "-USD 3", "1,000", "(1,000,000.25)", "1,00", "1,000\n", "EUR  5", "₦12,", "xyz 5", "", "-", "٣", "9" * 60 + ".5", "$" + "1" * 60, "x" * 60 + " 5, 2024"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    for r in df.select("t", P._bits(F.col("t"), P.shape(F.col("t"))).alias("bits"), *[F.col("t").rlike(p).alias(k) for k, p in P.CLASSES.items()]).collect():
+        assert r.bits == sum(1 << i for i, k in enumerate(P.CLASSES) if r[k]), r
+
+
+def test_a_query_of_sketches_reads_its_tables_once(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x: int) -> str:
+        read.add(1)
+        return f"{x % 7}.5"
+
+    df = spark.range(0, 40, 1, 2).select(F.udf(seen, "string")("id").alias("t"))
+    monkeypatch.setattr(warehouse, "_tables_to_profile", lambda spark, sf_dir: {"t": df})
+    (r,) = warehouse.p1_sketch_profile(spark, "").collect()
+    assert (r.n_rows, r.least, r.greatest, r.type, r.values_near, r.shapes_near) == (40, "0.5", "6.5", "decimal", True, True) and read.value == 40
+
+
+def test_sketches_of_a_wide_table_are_compiled_in_short_methods(spark):
+    wide = spark.range(9).select(*[F.col("id").cast(("double", "string", "bigint")[i % 3]).alias(f"c{i}") for i in range(24)])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = P.sketch_profile({"t": wide}, C.NULL_SPELLINGS)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    package = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    stages = getattr(package, "MODULE$").codegenStringSeq(plan)
+    # HotSpot interprets longer methods for ever
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
 def test_manifests_find_what_changed(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", {"k": 1}), (2, None, None), (2, None, None)], "i int, t string, m map<string,int>")
     save_with_manifest({"t": df, "none": df.limit(0)}, str(tmp_path / "a"))
