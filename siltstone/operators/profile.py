@@ -77,17 +77,12 @@ def _classified(known: Column, counts: dict[str, Column]) -> Column:
 def _cells(df: DataFrame, first: int, null_spellings: tuple[str, ...]) -> DataFrame:
     """(c, d, s, m) for every cell: the number of its column, from `first` on, and its text as kept. Of longer texts also their
     shape as kept and the classes that they fit, which a kept text does not tell; texts of null are null."""
-    free = [i for i, (_, kind) in enumerate(df.dtypes) if kind.startswith(("string", "char", "varchar", "binary", "array", "map", "struct", "variant"))]
-    # one step after another, so no cell is written as text twice
-    rows = df.select(*[cell(df, c).alias(f"t{i}") for i, c in enumerate(df.columns)])
-    rows = rows.select("*", *[F.when(F.length(f"t{i}") > SHOWN, _known(F.col(f"t{i}"), null_spellings)).alias(f"k{i}") for i in free])
-    rows = rows.select("*", *[x for i in free for x in (F.when(F.length(f"t{i}") <= SHOWN, F.col(f"t{i}")).otherwise(_kept(F.col(f"k{i}"))).alias(f"d{i}"), shape(F.col(f"k{i}")).alias(f"s{i}"))])
-    rows = rows.select("*", *[x for i in free for x in (_kept(F.col(f"s{i}")).alias(f"z{i}"), _bits(F.col(f"k{i}"), F.col(f"s{i}")).alias(f"m{i}"))])
-    cells = []
-    for i in range(len(df.columns)):
-        told = [F.col(f"d{i}"), F.col(f"z{i}"), F.col(f"m{i}")] if i in free else [F.col(f"t{i}"), F.lit(None).cast("string"), F.lit(None).cast("int")]
-        cells.append(F.struct(F.lit(first + i).alias("c"), *[x.alias(n) for x, n in zip(told, "dsm")]))
-    return rows.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(first + i).alias("c"), cell(df, c).alias("t")) for i, c in enumerate(df.columns)])))
+    t, k, s = F.col("t"), F.col("k"), F.col("s")
+    long = F.length(t) > SHOWN
+    # one step after another, so no text is looked at twice
+    rows = rows.withColumn("k", F.when(long, _known(t, null_spellings))).withColumn("s", shape(k))
+    return rows.select("c", F.when(long, _kept(k)).otherwise(t).alias("d"), _kept(s).alias("s"), F.when(long, _bits(k, s)).alias("m"))
 
 
 def _stored(df: DataFrame) -> DataFrame:
